@@ -15,6 +15,9 @@ def words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int) -> Column:
-    """The distinct n-word shingles of an array of words, empty when there are fewer than n."""
+    """The distinct n-word shingles of an array of words, empty when there are fewer than n.
+
+    ``tokens`` should be a column of its own: an expression would be computed anew for each shingle.
+    """
     runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))

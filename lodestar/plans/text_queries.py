@@ -11,7 +11,7 @@ from lodestar.plans.tables import read
 
 def copy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a run of eight words with a benchmark item, and with how many runs."""
-    runs = lambda df, key: df.select(key, F.explode(T.shingles(T.words(F.col("text")), 8)).alias("run"))
+    runs = lambda df, key: df.select(key, T.words(F.col("text")).alias("w")).select(key, F.explode(T.shingles(F.col("w"), 8)).alias("run"))
     known = runs(read(spark, sf_dir, "benchmark"), "item_id").select("run").distinct()
     hits = runs(read(spark, sf_dir, "documents"), "doc_id").join(known, "run", "left_semi")
     return hits.groupBy("doc_id").agg(F.count("*").alias("hits"))
