@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing
+from lodestar.llm import mixing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_mixing": op10_mixing}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict on each document."""
+    return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("stratum", "cutoffs")
+
+
+QUERIES = {"op8_quality": op8_quality, "op10_mixing": op10_mixing}
 ORACLE = {"op10_mixing": mixing.SQL}
