@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, quality
+from lodestar.llm import language, licences, mixing, quality, sentencepiece
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,26 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("stratum", "cutoffs")
 
 
-QUERIES = {"op8_quality": op8_quality, "op10_mixing": op10_mixing}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text."""
+    return sentencepiece.encoded(_read(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language.labelled(_read(spark, sf_dir, "documents"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document names or quotes."""
+    return licences.scanned(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op5_language": op5_language,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op9_licences": op9_licences,
+    "op8_quality": op8_quality,
+    "op10_mixing": op10_mixing,
+}
 ORACLE = {"op10_mixing": mixing.SQL}
