@@ -14,74 +14,74 @@ equal distance likewise; repeated rows get the same answer; other columns are no
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import fold
 
-SIZES = (1, 2, 3, 4)
+#: The longest n-gram: three characters of 21 bits fill a 63-bit number.
+LONGEST, BITS = 3, 21
 LENGTH = 300
 FIT_ROWS = 4000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-#: A worker forgets the n-grams of its words beyond so many words.
-CACHE = 200_000
-
-_GRAMS: dict[str, list[str]] = {}
-
-
-def grams(word: str) -> list[str]:
-    """The n-grams of a word between its two end marks."""
-    found = _GRAMS.get(word)
-    if found is None:
-        if len(_GRAMS) >= CACHE:
-            _GRAMS.clear()
-        w = f"_{word}_"
-        found = _GRAMS[word] = [w[i : i + n] for n in SIZES for i in range(len(w) - n + 1) if n > 1 or w[i] != "_"]
-    return found
-
-
-def counted(text: str, into: dict[str, int]) -> dict[str, int]:
-    """Adds the n-grams of a text."""
-    get = into.get
-    for word, times in Counter(LETTERS.findall(text.lower())).items():
-        for g in grams(word):
-            into[g] = get(g, 0) + times
-    return into
-
-
-def ranked(counts: dict[str, int], length: int = LENGTH) -> list[str]:
-    """The most frequent n-grams, by frequency, then by code points."""
-    if len(counts) > length:
-        least = sorted(counts.values(), reverse=True)[length - 1]
-        counts = {g: n for g, n in counts.items() if n >= least}
-    return [g for _, g in sorted((-n, g) for g, n in counts.items())[:length]]
-
-
-def distances(profile: list[str], languages: dict[str, dict[str, int]], length: int = LENGTH) -> dict[str, float]:
-    """The out-of-place distance to each language, as a part of the largest possible one."""
-    out = {}
-    for lang, ranks in languages.items():
-        get = ranks.get
-        total = 0
-        for r, g in enumerate(profile):
-            other = get(g)
-            total += length if other is None else abs(r - other)
-        out[lang] = total / (length * len(profile))
-    return out
-
-
-def predict(text: str | None, languages: dict[str, dict[str, int]]) -> tuple[str, float]:
+
+Profile = tuple[np.ndarray, np.ndarray]
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def packed(text: str) -> np.ndarray:
+    """Every n-gram of a text as a number: code points plus 2 (1 marks a word's end), 21 bits each."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    signs = np.where(_letters()[codes], codes.astype(np.int64) + 2, 1)
+    signs = np.concatenate([[1], signs, [1]])
+    signs = signs[np.append(True, (signs[1:] != 1) | (signs[:-1] != 1))]
+    if len(signs) < 3:
+        return np.empty(0, np.int64)
+    pairs = signs[:-1] << BITS | signs[1:]
+    triples = (pairs[:-1] << BITS | signs[2:])[signs[1:-1] != 1]
+    return np.concatenate([signs[signs != 1], pairs, triples])
+
+
+def gram(key: int) -> str:
+    """The n-gram of a number, with _ for a word's end."""
+    parts = [key >> BITS * i & (1 << BITS) - 1 for i in range(LONGEST)]
+    return "".join("_" if x == 1 else chr(x - 2) for x in reversed(parts) if x)
+
+
+def ranked(keys: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The most frequent n-grams, by frequency, then by number (shorter first, then by code points)."""
+    if len(keys) > length:
+        most = counts >= np.partition(counts, len(counts) - length)[len(counts) - length]
+        keys, counts = keys[most], counts[most]
+    return keys[np.lexsort((keys, -counts))[:length]]
+
+
+def distance(profile: np.ndarray, language: Profile, length: int = LENGTH) -> float:
+    """The out-of-place distance to a language, as a part of the largest possible one."""
+    keys, ranks = language
+    at = np.minimum(np.searchsorted(keys, profile), len(keys) - 1)
+    there = keys[at] == profile
+    places = np.arange(len(profile))
+    return float(np.where(there, np.abs(places - ranks[at]), length).sum()) / (length * len(profile))
+
+
+def predict(text: str | None, languages: dict[str, Profile]) -> tuple[str, float]:
     """(language, score) of a text."""
-    counts = counted(text, {}) if text else {}
-    if not counts or not languages:
+    keys = packed(text) if text else ()
+    if not len(keys) or not languages:
         return UNKNOWN, 0.0
-    far = distances(ranked(counts), languages)
+    profile = ranked(*np.unique(keys, return_counts=True))
+    far = {k: distance(profile, v) for k, v in languages.items()}
     lang = min(far, key=lambda k: (far[k], k))
     return lang, 1.0 - far[lang]
 
@@ -92,31 +92,28 @@ def sample(rows: DataFrame, most: int) -> DataFrame:
     return rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def fit(docs: DataFrame, most: int = FIT_ROWS, length: int = LENGTH) -> dict[str, dict[str, int]]:
-    """language -> n-gram -> rank, learned from at most about ``most`` rows that are not held out.
-
-    What reaches the driver is ``length`` n-grams for each language of the sample.
+def fit(docs: DataFrame, most: int = FIT_ROWS, length: int = LENGTH) -> dict[str, Profile]:
+    """language -> (n-grams in order of their numbers, their ranks), learned from at most about
+    ``most`` rows that are not held out. The driver gets ``length`` n-grams for each language.
     """
     rows = sample(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 1), most)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                counts: dict[str, int] = {}
-                for t in texts:
-                    counted(t, counts)
-                yield pd.DataFrame({"lang": lang, "gram": list(counts), "n": list(counts.values())})
+                keys, counts = np.unique(np.concatenate([packed(t) for t in texts]), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": keys, "n": counts})
 
-    counts = rows.select("lang", "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("r", order).where(F.col("r") <= length).collect()
-    out: dict[str, dict[str, int]] = {}
+    out: dict[str, list] = {}
     for row in top:
-        out.setdefault(row.lang, {})[row.gram] = row.r - 1
-    return out
+        out.setdefault(row.lang, []).append((row.gram, row.r - 1))
+    return {k: tuple(np.array(sorted(v), np.int64).T.copy()) for k, v in out.items()}
 
 
-def identify(docs: DataFrame, languages: dict[str, dict[str, int]]) -> DataFrame:
+def identify(docs: DataFrame, languages: dict[str, Profile]) -> DataFrame:
     """The columns of ``docs`` with the struct ``_language`` (lang_pred, score)."""
 
     @F.pandas_udf("lang_pred string, score double")
