@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import language, licences, mixing, quality, sentencepiece, toxicity
+from lodestar.llm import ann, html, language, licences, mixing, quality, sentencepiece, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encoded(_read(spark, sf_dir, "documents"))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every query vector."""
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -42,6 +52,8 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
+    "op2_html": op2_html,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op7_sentencepiece": op7_sentencepiece,
