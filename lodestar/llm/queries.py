@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import ann, html, language, licences, mixing, quality, sentencepiece, toxicity
+from lodestar.llm import ann, html, jaccard, language, licences, mixing, quality, sentencepiece, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("stratum", "cutoffs")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under four-word Jaccard links."""
+    return jaccard.joined(_read(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether they decode to its text."""
     return sentencepiece.encoded(_read(spark, sf_dir, "documents"))
@@ -56,9 +61,10 @@ QUERIES = {
     "op2_html": op2_html,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
+    "op6_jaccard": op6_jaccard,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_licences": op9_licences,
     "op8_quality": op8_quality,
     "op10_mixing": op10_mixing,
 }
-ORACLE = {"op10_mixing": mixing.SQL}
+ORACLE = {"op6_jaccard": jaccard.SQL, "op10_mixing": mixing.SQL}
