@@ -11,13 +11,9 @@ finds every pair, and a common word or passage makes no pairs unless it fills wh
 For candidate pairs the overlap is counted in each of ``PARTS`` fragments apart and summed by pair,
 exactly (up to collisions of 64-bit hashes), so large sets are never in one piece.
 
-Equal sets are one node. The nodes of one key don't all meet: each is compared with the key's
-least node. A node that doesn't link to it is compared with the others of that key too, but for
-those whose distance the triangle inequality of the Jaccard distance rules out, those of sizes
-that can't link, and those already of its component. So large groups of near copies cost one
-comparison for each member, and no link between components is lost. Keys are combined in each
-batch before the shuffle, so that a key which a third of all rows hold arrives as a row for each
-batch, not for each document.
+Equal sets are one node. The nodes of one key don't all meet (see ``components.resolved``), yet no
+link between components is lost. Keys are combined in each batch before the shuffle, so that a
+key which a third of all rows hold arrives as a row for each batch, not for each document.
 
 Cases: a null or empty text has no n-grams and links with nothing; a text with fewer words than n
 is one n-gram; rows that repeat an id are all returned, with the same component if their texts are
@@ -37,7 +33,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import small, written
-from lodestar.llm.components import components
+from lodestar.llm.components import resolved
 
 N, PERCENT = 4, 85
 PARTS = 8
@@ -181,10 +177,6 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return each.groupBy("a", "b", "x", "y").agg(F.sum("n").alias("both"))
 
 
-def linked(percent: int) -> F.Column:
-    return 100 * F.col("both") >= percent * (F.col("x") + F.col("y") - F.col("both"))
-
-
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; documents link at ``percent`` Jaccard or more."""
     rows = written(named(docs, n))
@@ -196,30 +188,15 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     inner = lists.where("inner").withColumnRenamed("least", "mid").join(outer, ["key", "mid"], "left").select("key", "node", F.coalesce("end", "mid").alias("least"))
     lists = written(lists.where("not inner").select("key", "node", "least").union(inner).where("node <> least").distinct())
 
-    stars = written(lists.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct().join(nodes, "node").select(F.col("first").alias("of"))
+    # the sets of all nodes that are candidates, each from its first document
+    wanted = lists.select("node").union(lists.select("least")).distinct().join(nodes, "node").select(F.col("first").alias("of"))
     wanted = written(wanted)
     mine = docs.join(small(wanted, wanted.count()), F.col("doc_id") == F.col("of"), "left_semi")
     sets = parted(mine, n)
     if repeats(rows):
         sets = sets.dropDuplicates(["node", "part"])
     sets = written(sets)
-    apart = (1 - F.col("both") / (F.col("x") + F.col("y") - F.col("both"))).alias("apart")
-    tried = written(overlaps(stars, sets).select("a", "b", "x", "y", linked(percent).alias("linked"), apart))
-    edges = tried.where("linked").select("a", "b")
-    parts = components(edges)
-
-    # nodes that don't link to their key's least node meet the others of that key
-    part_of = parts.select(F.col("node").alias("a"), "component")
-    known = tried.join(part_of, "a", "left").select("a", "b", "x", "linked", "apart", F.coalesce("component", "a").alias("component"))
-    members = lists.select("key", F.col("node").alias("a"), F.col("least").alias("b")).join(known, ["a", "b"])
-    others = members.select("key", F.col("a").alias("a2"), F.col("x").alias("x2"), F.col("linked").alias("linked2"), F.col("apart").alias("apart2"), F.col("component").alias("component2"))
-    reach = (100 - percent) / 100 + 1e-9
-    may = (F.col("component") != F.col("component2")) & (F.abs(F.col("apart") - F.col("apart2")) <= reach) & (100 * F.least("x", "x2") >= percent * F.greatest("x", "x2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
-    rest = members.where("not linked").join(others, "key").where(may).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct()
-    more = written(overlaps(rest, sets).where(linked(percent)).select("a", "b"))
-    if more.limit(1).count():
-        parts = components(edges.union(more))
+    parts = resolved(lists, lambda pairs: overlaps(pairs, sets), percent)
 
     firsts = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = firsts.groupBy("component").agg(F.min("first").alias("component_id"))

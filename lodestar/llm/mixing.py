@@ -82,24 +82,38 @@ def cutoffs(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     return state.select("source", (F.col("prefix") + nearer.cast("long")).alias("cut"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs`` (doc_id, source, text)."""
-    sized = written(sizes(docs))
+def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """goal_source, source_size, target, repeats, cut of each source; marked small where it is."""
     goals = written(targets(sized, weights, share, most))
     n = goals.count()
     cuts = cutoffs(sized, goals, n).withColumnRenamed("source", "cut_source")
     goals = goals.join(small(cuts, n), F.col("source").eqNullSafe(F.col("cut_source")), "left").withColumnRenamed("source", "goal_source")
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    more = F.coalesce(F.col("rank") < F.col("cut"), F.lit(False)).cast("long")
-    return sized.join(small(goals, n), F.col("source").eqNullSafe(F.col("goal_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (repeats + more)).cast("long").alias("taken"))
+    return small(written(goals.select("goal_source", "source_size", "target", repeats.cast("int").alias("repeats"), "cut")), n)
+
+
+def _times(rank: F.Column) -> F.Column:
+    """How often a document is taken."""
+    return F.col("repeats") + F.coalesce(rank < F.col("cut"), F.lit(False)).cast("int")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of ``docs`` (doc_id, source, text)."""
+    sized = written(sizes(docs))
+    rows = sized.join(plan(sized, weights, share, most), F.col("source").eqNullSafe(F.col("goal_source")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(F.col("rank"))).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it, in the columns of ``docs``."""
-    plan = mix(docs, weights, share, most).where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), (F.col("taken") / F.col("size")).cast("int").alias("mix_times")).distinct()
-    size = F.size(words(F.col("text"))).cast("long")
-    same = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.coalesce(F.col("mix_id").cast("string"), F.lit(""))) & (size == F.col("mix_size"))
-    return docs.join(plan, same).withColumn("mix_times", F.explode(F.array_repeat(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as the mix takes it, in the columns of ``docs``.
+
+    Documents without a word are left out; the texts aren't shuffled.
+    """
+    goals = plan(written(sizes(docs)), weights, share, most).select(*(F.col(c).alias(f"_mix_{c}") for c in ("goal_source", "repeats", "cut")))
+    rows = docs.join(goals, F.col("source").eqNullSafe(F.col("_mix_goal_source")))
+    times = F.col("_mix_repeats") + F.coalesce(rank() < F.col("_mix_cut"), F.lit(False)).cast("int")
+    rows = rows.where(F.col("text").rlike(WORD)).withColumn("_mix_times", times).where("_mix_times > 0")
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
 
 
 SQL = f"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import ann, html, jaccard, language, licences, mixing, quality, sentencepiece, toxicity
+from lodestar.llm import ann, html, jaccard, language, licences, lines, mixing, quality, sentencepiece, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,12 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_read(spark, sf_dir, "pages"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat earlier ones."""
+    out = lines.deduped(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines.n_lines").alias("n_lines"), F.col("_lines.removed").alias("removed"), "text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -59,6 +66,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_html": op2_html,
+    "op3_lines": op3_lines,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_jaccard": op6_jaccard,
