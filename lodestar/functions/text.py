@@ -21,3 +21,152 @@ def shingles(tokens: Column, n: int) -> Column:
     """
     runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def longest_free_run(candidate: Column, source: Column, n: int = 8) -> Column:
+    """The least n-word run of ``candidate`` (an array of words) that ``source`` (one too) also has.
+
+    Null where there is none, and for a candidate shorter than n.
+    """
+    shared = F.array_intersect(shingles(candidate, n), shingles(source, n))
+    return F.when(F.size(candidate) >= n, F.array_min(shared))
+
+
+def squeezed(text: Column) -> Column:
+    """White space runs as one blank, trimmed."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def clean_lines(text: Column) -> Column:
+    """Blank runs within lines as one blank, three or more line ends as two, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
+def quote_supported(quote: Column, source: Column, least: int = 8) -> Column:
+    """Whether a quote of at least ``least`` characters stands in the source, white space aside.
+
+    A quote that holds a page header of a multi-page source doesn't count.
+    """
+    q = squeezed(quote)
+    return F.coalesce((F.length(q) >= least) & ~q.contains("## Page:") & squeezed(source).contains(q), F.lit(False))
+
+
+def quote_backs_number(quote: Column, value: Column) -> Column:
+    """Whether a quote holds a number on its own, not as part of a longer one."""
+    return F.coalesce(F.array_contains(F.regexp_extract_all(quote, F.lit(r"\d+"), F.lit(0)), value.cast("string")), F.lit(False))
+
+
+def quote_backs_words(quote: Column, value: Column, stop: Column, least: int = 4) -> Column:
+    """Whether a quote shares a word of at least ``least`` letters, not a stop word, with a value."""
+    long = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
+    return F.coalesce(F.arrays_overlap(long(quote), long(value)), F.lit(False))
+
+
+def place_key(name: Column) -> Column:
+    """A place's name for comparison: lower case, & as and, straight apostrophe, no outer marks."""
+    x = F.regexp_replace(F.replace(F.replace(F.lower(name), F.lit("&"), F.lit(" and ")), F.lit("’"), F.lit("'")), r"\s+", " ")
+    return F.regexp_replace(x, r"^[ ,.;:]+|[ ,.;:]+$", "")
+
+
+def place_canon(name: Column) -> Column:
+    """A place's key without a leading article."""
+    return F.regexp_replace(place_key(name), r"^the ", "")
+
+
+def slug(text: Column, most: int | None = None) -> Column:
+    """Lower-case letters and digits with single hyphens between; at most ``most`` characters."""
+    out = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.rtrim(F.substring(out, 1, most), F.lit("-")) if most else out
+
+
+def name_slug(text: Column) -> Column:
+    """A slug that keeps possessives together and spells out &."""
+    return slug(F.replace(F.replace(F.lower(text), F.lit("'"), F.lit("")), F.lit("&"), F.lit(" and ")))
+
+
+def title_key(title: Column) -> Column:
+    """A title's key: bracketed parts dropped, letters and digits only, single blanks."""
+    x = F.regexp_replace(F.lower(title), r"\([^)]*\)|\[[^\]]*\]", " ")
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+
+
+def labelled_line(text: Column, label: str) -> Column:
+    """The value of the first line ``label: value``; null where there is none."""
+    found = F.regexp_extract(text, rf"(?mi)^\s*{label}\s*:[ \t]*(.+?)\s*$", 1)
+    return F.when(found != "", found)
+
+
+def match_class(needle: Column, term: Column) -> Column:
+    """How a term matches what was typed: 0 begins with it, 1 holds it, 2 holds its letters in
+    order, null not at all. Case is ignored."""
+    q, t = F.lower(needle), F.lower(term)
+    pattern = F.array_join(F.transform(F.filter(F.split(q, ""), lambda c: c != ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), ".*")
+    return F.when(t.startswith(q), 0).when(t.contains(q), 1).when(t.rlike(F.concat(F.lit("(?s)"), pattern)), 2)
+
+
+def redacted(text: Column, most: int = 200) -> Column:
+    """Secrets of 24 or more token characters masked, then at most ``most`` characters."""
+    return F.substring(F.regexp_replace(text, r"[A-Za-z0-9_-]{24,}", "[redacted]"), 1, most)
+
+
+def markdown_safe(text: Column) -> Column:
+    """Markdown's marks escaped."""
+    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+!|<>])", r"\\$1")
+
+
+def first_rule(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The category of the first rule (pattern, category) whose pattern the lower-case text holds."""
+    out = F
+    low = F.lower(text)
+    for pattern, category in rules:
+        out = out.when(low.rlike(pattern), F.lit(category))
+    return out.otherwise(F.lit(default))
+
+
+def schedule(text: Column) -> Column:
+    """(commitment, times) that a timing text states: struct<commitment, times array>."""
+    low = F.lower(text)
+    commitment = first_rule(text, [(r"one[- ]off|one day|single day", "one_off"), (r"fortnight|every other week", "fortnightly"), (r"month", "monthly"), (r"week", "weekly"), (r"flexible|any time", "flexible")], "unknown")
+    day, week_end = low.rlike(r"weekday|monday|tuesday|wednesday|thursday|friday"), low.rlike(r"weekend|saturday|sunday")
+    evening, daytime = low.rlike("evening|night"), low.rlike("morning|afternoon|daytime")
+    times = F.array_compact(
+        F.array(
+            F.when(day & (daytime | ~evening), F.lit("weekday_daytime")),
+            F.when(day & evening, F.lit("weekday_evening")),
+            F.when(week_end & (daytime | ~evening), F.lit("weekend_daytime")),
+            F.when(week_end & evening, F.lit("weekend_evening")),
+            F.when(low.rlike("overnight"), F.lit("overnight")),
+        )
+    )
+    return F.struct(commitment.alias("commitment"), times.alias("times"))
+
+
+def marker(text: Column, name: str) -> Column:
+    """The value of ``name=value`` inside an HTML comment; null where there is none."""
+    found = F.regexp_extract(text, rf"<!--[^>]*\b{name}=([^\s>]+)[^>]*-->", 1)
+    return F.when(found != "", found)
+
+
+def serial(items: Column, word: str = "and") -> Column:
+    """Items as words: 'a', 'a and b', 'a, b and c'; null items are left out."""
+    x = F.array_compact(items)
+    n = F.size(x)
+    return F.when(n <= 1, F.array_join(x, "")).otherwise(F.concat_ws(f" {word} ", F.array_join(F.slice(x, 1, n - 1), ", "), F.element_at(x, -1)))
+
+
+def role_text(sections: Column, link: Column, title: Column) -> Column:
+    """The sections (array of struct url, text) that belong to a role: the first, those at its link
+    and those that name its title; all where only the first would be left."""
+    own = F.filter(sections, lambda s, i: (i == 0) | (s["url"] == link) | F.lower(s["text"]).contains(F.lower(title)))
+    return F.when(F.size(own) > 1, own).otherwise(sections)
+
+
+def place_near_title(text: Column, title: Column, place: Column, span: int = 600) -> Column:
+    """Whether a place stands within ``span`` characters after any occurrence of a title; anywhere
+    where the title doesn't occur."""
+    page, head, want = F.lower(text), F.lower(title), F.lower(place)
+    # each piece after a title begins where that title ends; a piece may run on into the next ones
+    pieces = F.split(page, F.concat(F.lit(r"\Q"), head, F.lit(r"\E")))
+    tails = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.substring(F.array_join(F.slice(pieces, i, F.size(pieces)), head), F.lit(1), F.lit(span)))
+    near = F.when(F.size(pieces) > 1, F.exists(tails, lambda t: t.contains(want))).otherwise(page.contains(want))
+    return F.coalesce(near, F.lit(False))
