@@ -101,7 +101,7 @@ def match_class(needle: Column, term: Column) -> Column:
     order, null not at all. Case is ignored."""
     q, t = F.lower(needle), F.lower(term)
     pattern = F.array_join(F.transform(F.filter(F.split(q, ""), lambda c: c != ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), ".*")
-    return F.when(t.startswith(q), 0).when(t.contains(q), 1).when(t.rlike(F.concat(F.lit("(?s)"), pattern)), 2)
+    return F.when(t.startswith(q), 0).when(t.contains(q), 1).when(F.rlike(t, F.concat(F.lit("(?s)"), pattern)), 2)
 
 
 def redacted(text: Column, most: int = 200) -> Column:

@@ -25,7 +25,8 @@ def paired(old: DataFrame, new: DataFrame, by: str, least: float = LEAST_LIKENES
     """
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("ord"), right.sort_values("ord")
+        names = ["group", "id", "title", "ord"]
+        left, right = (x.reindex(columns=names).sort_values("ord") for x in (left, right))
         group = (left if len(left) else right)["group"].iloc[0]
         olds, news = list(left["title"].fillna("").str.lower()), list(right["title"].fillna("").str.lower())
         scores = []

@@ -100,11 +100,15 @@ def facet_counts(df: DataFrame, chosen: dict[str, Column], options: dict[str, Co
         kind = held.schema[f"_o{i}"].dataType.simpleString()
         values = F.array_distinct(f"_o{i}") if kind.startswith("array") else F.array(f"_o{i}")
         others = all_of([F.col(f"_p{j}") for j in range(len(names)) if j != i] + extra)
-        found = F.transform(values, lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("option")))
+        found = F.transform(values, _named(f))
         arrays.append(F.when(others, found).otherwise(F.array().cast("array<struct<facet:string,option:string>>")))
     return held.select(F.explode(F.flatten(F.array(*arrays))).alias("x")).groupBy("x.facet", "x.option").agg(F.count("*").alias("n"))
 
 
+def _named(facet: str):  # noqa: ANN202
+    return lambda v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("option"))
+
+
 def with_zeros(counts: DataFrame, listed: DataFrame) -> DataFrame:
     """Counts of every listed (facet, option), 0 where no row has it."""
     return F.broadcast(listed).join(counts, ["facet", "option"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
