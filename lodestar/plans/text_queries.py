@@ -6,24 +6,158 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.functions import values as V
+from lodestar.functions import web
+from lodestar.operators import changes, matching, pages, runs
 from lodestar.plans.tables import read
 
 
+def _words(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return read(spark, sf_dir, name).select(key, T.words(F.col("text")).alias("w"))
+
+
+def _runs(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """Each distinct run of eight words of a text, with a hash to join on."""
+    each = _words(spark, sf_dir, name, key).select(key, F.explode(T.shingles(F.col("w"), 8)).alias("run"))
+    return each.withColumn("h", F.xxhash64("run"))
+
+
 def copy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a run of eight words with a benchmark item, and with how many runs."""
-    runs = lambda df, key: df.select(key, T.words(F.col("text")).alias("w")).select(key, F.explode(T.shingles(F.col("w"), 8)).alias("run"))
-    known = runs(read(spark, sf_dir, "benchmark"), "item_id").select("run").distinct()
-    hits = runs(read(spark, sf_dir, "documents"), "doc_id").join(known, "run", "left_semi")
+    known = _runs(spark, sf_dir, "benchmark", "item_id").select("h", "run").distinct()
+    hits = _runs(spark, sf_dir, "documents", "doc_id").join(known, ["h", "run"], "left_semi")
     return hits.groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-QUERIES = {"copy_check": copy_check}
+def copy_check_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items that share a run, with the least shared one."""
+    known = _runs(spark, sf_dir, "benchmark", "item_id")
+    hits = _runs(spark, sf_dir, "documents", "doc_id").join(known, ["h", "run"])
+    return hits.groupBy("doc_id", "item_id").agg(F.min("run").alias("span"))
+
+
+def _sections(spark: SparkSession, sf_dir: str, last: bool) -> DataFrame:
+    df = read(spark, sf_dir, "conversations")
+    if not last:
+        ends = df.groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("t"))
+        df = df.join(ends, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left_anti")
+    return df.groupBy("conv_id").agg(web.content_hash(F.collect_list("text")).alias("hash"))
+
+
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each conversation's texts whatever their order."""
+    return _sections(spark, sf_dir, True)
+
+
+def hash_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations by whether their digest differs without the last turn."""
+    now, before = _sections(spark, sf_dir, True), _sections(spark, sf_dir, False).withColumnRenamed("hash", "old")
+    return now.join(before, "conv_id", "left").select("conv_id", F.col("old").isNull().alias("fresh"), (~F.col("hash").eqNullSafe(F.col("old"))).alias("changed"))
+
+
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of texts that several documents have."""
+    return changes.taken_clashes(read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("hash")), "hash")
+
+
+def page_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each registrable site."""
+    return read(spark, sf_dir, "pages").groupBy(web.site(F.col("url")).alias("site")).agg(F.count("*").alias("n"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page resolved against it, distinct, and how many stay on its site."""
+    each = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(web.hrefs(F.col("html"))).alias("href"))
+    full = each.select("page_id", "url", web.absolute(F.col("url"), F.col("href")).alias("target")).distinct()
+    return full.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(web.same_site(F.col("url"), F.col("target"))).alias("own"), F.min("target").alias("first"))
+
+
+def page_role_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links worth following, of links that the parser found outside of frames, and of menus."""
+    found = read(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(web.hrefs(F.col("html"))).alias("pos", "href"))
+    links = found.select("page_id", "url", "pos", "href", F.concat(F.lit("Volunteer "), F.substring("href", 2, 20)).alias("label"))
+    return pages.role_links(links, "page_id", 3)
+
+
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text's length and the share of the rest of each page."""
+    out = pages.share_of_chrome(pages.read_pages(read(spark, sf_dir, "pages")))
+    return out.select("page_id", F.length("main").alias("n_chars"), "boilerplate", F.size("links").alias("links"))
+
+
+def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages reached from each page by menu links that name a page of the same site, two rounds."""
+    p = read(spark, sf_dir, "pages").select("page_id", web.site(F.col("url")).alias("site"))
+    links = p.alias("a").join(p.alias("b"), (F.col("a.site") == F.col("b.site")) & (F.col("b.page_id") > F.col("a.page_id")) & (F.col("b.page_id") - F.col("a.page_id") < 60)).select(F.col("a.page_id").alias("source"), F.col("b.page_id").alias("target"), F.col("b.page_id").alias("pos"))
+    return matching.crawl(p.select(F.col("page_id").alias("page")), links, 2, 4).select("page", "target", "level", "place")
+
+
+def verdict_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on pages in their order, with shares and levels."""
+    k = F.col("page_id")
+    prose = F.length(F.regexp_replace("html", r"(?s)<[^>]*>", ""))
+    df = read(spark, sf_dir, "pages").select(pages.verdict(F.when(k % 20 == 0, 404).otherwise(200), k % 31 == 0, web.looks_client_rendered(F.col("html"), prose), F.col("url").contains("#top"), prose, F.when(k % 3 == 0, 0).otherwise(2)).alias("verdict"))
+    return runs.verdict_counts(df, F.col("verdict"), ["clean", "thin", "redirected", "client_rendered", "dead", "blocked"], "clean")
+
+
+def derived_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmed share of the labelled documents of each source."""
+    df = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    out = df.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("bad"))
+    return out.select("source", V.confidence(F.col("ok"), F.col("bad"), F.col("source") == "src1").alias("confidence"))
+
+
+def quote_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items a document quotes from its 20th character on, white space aside."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 20, 60).alias("quote"))
+    docs = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.squeezed(F.col("text")).alias("text"))
+    # only pairs that share an eight-word run can hold the quote's middle
+    near = copy_check_span(spark, sf_dir).select("doc_id", "item_id")
+    both = near.join(docs, "doc_id").join(F.broadcast(items), "item_id")
+    return both.select("doc_id", "item_id", T.quote_supported(F.col("quote"), F.col("text")).alias("supported"))
+
+
+def platform_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that a page's own address, put into it as a link, leads to and that aren't covered."""
+    html = F.concat(F.col("html"), F.lit('<a href="'), F.col("url"), F.lit('">x</a>'))
+    covered = F.array(F.lit("ththth.example.org"), F.lit("example.net"))
+    hosts = web.unread_hosts(web.platform_hosts(html), covered)
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(hosts, ",").alias("hosts"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (copy_check, copy_check_span, content_hash, hash_changed, duplicate_ids, page_site, page_links, page_role_links, page_main_text, page_crawl, verdict_census, derived_confidence, quote_support, platform_hosts)
+}
 
 _RUNS = """
 {0}_w as (select {1}, regexp_extract_all(lower(text), '[a-z0-9'']+') w from {0}),
 {0}_r as (select distinct {1}, array_to_string(w[i:i+7], ' ') run from {0}_w, unnest(range(1, len(w) - 6)) u(i) where len(w) >= 8)"""
+_BOTH = f"{_RUNS.format('documents', 'doc_id')}, {_RUNS.format('benchmark', 'item_id')}"
+_HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '')"
+_SITE = "regexp_extract(" + _HOST + ", '[^.]+\\.(?:(?:org|co|ac|gov|nhs)\\.)?[^.]+$')"
+_LINKS = f"""e as (select page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') root, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) href from pages),
+f as (select distinct page_id, url, regexp_replace(root || href, '#.*$', '') target from e)"""
 
 ORACLE = {
-    "copy_check": f"with {_RUNS.format('documents', 'doc_id')}, {_RUNS.format('benchmark', 'item_id')}"
-    " select doc_id, count(*) hits from documents_r where run in (select run from benchmark_r) group by doc_id",
+    "copy_check": f"with {_BOTH} select doc_id, count(*) hits from documents_r where run in (select run from benchmark_r) group by doc_id",
+    "copy_check_span": f"with {_BOTH} select doc_id, item_id, min(run) span from documents_r join benchmark_r using (run) group by doc_id, item_id",
+    "content_hash": "select conv_id, sha256(array_to_string(list_sort(list(text)), chr(10) || chr(10))) hash from conversations group by conv_id",
+    "hash_changed": "with a as (select conv_id, sha256(array_to_string(list_sort(list(text)), chr(10) || chr(10))) h from conversations group by conv_id), b as (select conv_id, sha256(array_to_string(list_sort(list(text)), chr(10) || chr(10))) o from (select * from conversations qualify turn <> max(turn) over (partition by conv_id)) group by conv_id) select conv_id, o is null \"fresh\", h is distinct from o changed from a left join b using (conv_id)",
+    "duplicate_ids": "select sha256(text) hash, count(*) n from documents group by 1 having count(*) > 1",
+    "page_site": f"select {_SITE.format('url')} site, count(*) n from pages group by 1",
+    "page_links": f"with {_LINKS} select page_id, count(*) links, count(*) filter ({_SITE.format('url')} = {_SITE.format('target')}) own, min(target) \"first\" from f group by page_id",
+    "page_crawl": f"""with p as (select page_id, {_SITE.format('url')} site from pages), l as (select a.page_id s, b.page_id t from p a join p b on a.site = b.site and b.page_id > a.page_id and b.page_id - a.page_id < 60),
+ one as (select s page, t target from l), many as (select page from one group by page having count(*) >= 2),
+ two as (select distinct one.page, l.t target from one join many using (page) join l on l.s = one.target where not exists (select 1 from one o where o.page = one.page and o.target = l.t)),
+ a as (select page, target, 1 as level, target pos from one union all select page, target, 2, target from two)
+ select page, target, level, row_number() over (partition by page order by level, pos, target) place from a qualify place <= 4""",
+    "verdict_census": """with v as (select page_id k, url, html, length(regexp_replace(html, '(?s)<[^>]*>', '', 'g')) n from pages),
+ c as (select case when k % 31 = 0 then 'blocked' when k % 20 = 0 then 'dead' when n < 80 and html ilike '%<script%' then 'client_rendered' when contains(url, '#top') then 'redirected' when n < 1200 and k % 3 = 0 then 'thin' else 'clean' end verdict from v),
+ o as (select unnest(['clean', 'thin', 'redirected', 'client_rendered', 'dead', 'blocked']) verdict, unnest([0, 1, 2, 3, 4, 5]) place),
+ g as (select verdict, count(*) n from c group by 1), h as (select verdict, place, coalesce(n, 0) n from o left join g using (verdict)), s as (select *, round_even(n / sum(n) over (), 3) share from h)
+ select *, case when verdict <> 'clean' then null when share >= 0.7 then 'good' when share >= 0.4 then 'mixed' else 'poor' end level from s""",
+    "derived_confidence": "with g as (select source, count(*) filter (quality = 1) ok, count(*) filter (quality = 0) bad from documents left join labels using (doc_id) group by source) select source, case when source = 'src1' then 0.0 when ok + bad = 0 then 1.0 else round_even(ok / (ok + bad), 3) end confidence from g",
+    "quote_support": f"with {_BOTH}, near as (select distinct doc_id, item_id from documents_r join benchmark_r using (run)), q as (select item_id, trim(regexp_replace(substr(text, 20, 60), '\\s+', ' ', 'g')) q from benchmark) select doc_id, item_id, length(q) >= 8 and not contains(q, '## Page:') and contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), q) supported from near join documents using (doc_id) join q using (item_id) where lang = 'en'",
+    "platform_hosts": f"with h as (select page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html || '<a href=\"' || url || '\">x</a>', 'href=\"(https?://[^\"]*)\"', 1), lambda x: {_HOST.format('x')}))) hs from pages) select page_id, array_to_string(list_filter(hs, lambda h: not (h = 'ththth.example.org' or h like '%.ththth.example.org' or h = 'example.net' or h like '%.example.net')), ',') hosts from h",
 }
