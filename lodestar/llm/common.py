@@ -45,3 +45,12 @@ def words(text: Column) -> Column:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 3: rows with 1 are held out; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
+
+
+def wrapped(df: DataFrame, *need: str) -> DataFrame:
+    """``df`` as the struct ``row`` and the columns ``need``: no other column's name can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *need)
+
+
+def unwrapped(df: DataFrame) -> DataFrame:
+    return df.select("row.*")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import small, written
+from lodestar.llm.common import small, unwrapped, wrapped, written
 from lodestar.llm.components import resolved
 
 N, PERCENT = 4, 85
@@ -191,7 +191,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # the sets of all nodes that are candidates, each from its first document
     wanted = lists.select("node").union(lists.select("least")).distinct().join(nodes, "node").select(F.col("first").alias("of"))
     wanted = written(wanted)
-    mine = docs.join(small(wanted, wanted.count()), F.col("doc_id") == F.col("of"), "left_semi")
+    mine = docs.select("doc_id", "text").join(small(wanted, wanted.count()), F.col("doc_id") == F.col("of"), "left_semi")
     sets = parted(mine, n)
     if repeats(rows):
         sets = sets.dropDuplicates(["node", "part"])
@@ -209,10 +209,11 @@ def one_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of ``docs`` but for all documents of a component after its first. Of rows that
     repeat an id and text one stays; rows without an id all stay, since no group can name them."""
     keep = written(joined(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("of")))
-    found = docs.join(small(keep, keep.count()), F.col("doc_id") == F.col("of"), "left_semi")
+    rows = wrapped(docs, "doc_id", "text")
+    found = rows.join(small(keep, keep.count()), F.col("doc_id") == F.col("of"), "left_semi")
     if repeats(keep.withColumnRenamed("of", "doc_id")):
         found = found.dropDuplicates(["doc_id", "text"])
-    return found.union(docs.where("doc_id is null"))
+    return unwrapped(found.union(rows.where("doc_id is null")))
 
 
 def repeats(rows: DataFrame) -> bool:

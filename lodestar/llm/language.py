@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold
+from lodestar.llm.common import fold, unwrapped, wrapped
 
 #: The longest n-gram: three characters of 21 bits fill a 63-bit number.
 LONGEST, BITS = 3, 21
@@ -113,22 +113,22 @@ def fit(docs: DataFrame, most: int = FIT_ROWS, length: int = LENGTH) -> dict[str
     return {k: tuple(np.array(sorted(v), np.int64).T.copy()) for k, v in out.items()}
 
 
-def identify(docs: DataFrame, languages: dict[str, Profile]) -> DataFrame:
-    """The columns of ``docs`` with the struct ``_language`` (lang_pred, score)."""
+def identified(rows: DataFrame, languages: dict[str, Profile]) -> DataFrame:
+    """``rows`` (with a column text) and the struct ``guess`` (lang_pred, score)."""
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([predict(t, languages) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_language", guess("text"))
+    return rows.withColumn("guess", guess("text"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``."""
-    rows = identify(docs.select("doc_id", "text"), fit(docs))
-    return rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "_language.lang_pred", "_language.score")
+    rows = identified(docs.select("doc_id", "text"), fit(docs))
+    return rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "guess.lang_pred", "guess.score")
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language could be told."""
-    return identify(docs, fit(docs)).where(F.col("_language.lang_pred") != UNKNOWN).select(*docs.columns)
+    return unwrapped(identified(wrapped(docs, "text"), fit(docs)).where(F.col("guess.lang_pred") != UNKNOWN))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD, small, words, written
+from lodestar.llm.common import WORD, small, unwrapped, words, wrapped, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -109,11 +109,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
 
     Documents without a word are left out; the texts aren't shuffled.
     """
-    goals = plan(written(sizes(docs)), weights, share, most).select(*(F.col(c).alias(f"_mix_{c}") for c in ("goal_source", "repeats", "cut")))
-    rows = docs.join(goals, F.col("source").eqNullSafe(F.col("_mix_goal_source")))
-    times = F.col("_mix_repeats") + F.coalesce(rank() < F.col("_mix_cut"), F.lit(False)).cast("int")
-    rows = rows.where(F.col("text").rlike(WORD)).withColumn("_mix_times", times).where("_mix_times > 0")
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    goals = plan(written(sizes(docs)), weights, share, most)
+    rows = wrapped(docs, "doc_id", "source", "text").where(F.col("text").rlike(WORD))
+    rows = rows.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn("times", _times(rank())).where("times > 0")
+    return unwrapped(rows.select("row", F.explode(F.sequence(F.lit(1), "times"))))
 
 
 SQL = f"""

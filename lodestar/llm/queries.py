@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestar.llm import ann, html, jaccard, language, licences, lines, mixing, quality, sentencepiece, toxicity
 
@@ -45,7 +44,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat earlier ones."""
     out = lines.deduped(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_lines.n_lines").alias("n_lines"), F.col("_lines.removed").alias("removed"), "text")
+    return out.select("row.doc_id", "n_lines", "removed", "row.text")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
