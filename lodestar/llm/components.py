@@ -50,22 +50,26 @@ def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], perce
     """node, component of all nodes with links, where nodes that share a key are candidates.
 
     ``lists`` (key, node, least) has each key's nodes but its least, and the least beside them;
-    ``overlaps`` maps pairs (a, b) to rows (a, b, x, y, both). Each node is compared with its
-    keys' least nodes. One that doesn't link to the least of a key is compared with the others of that
-    key as well, but for those whose distance the triangle inequality of the Jaccard distance rules
-    out, those of sizes that can't link, and those already of its component. So a large group of
+    ``overlaps`` maps pairs (a, b) to rows (a, b, x, y, both, exact), where ``both`` may be an upper
+    bound, not ``exact``, for pairs that it rules out. Each node is compared with its keys' least
+    nodes. One that doesn't link to the least of a key is compared with the others of that key as
+    well, but for those whose distance the triangle inequality of the Jaccard distance rules out,
+    those of sizes that can't link, and those already of its component. So a large group of
     similar nodes costs one comparison for each, and no link between components is lost.
     """
     stars = written(lists.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    apart = (1 - F.col("both") / (F.col("x") + F.col("y") - F.col("both"))).alias("apart")
-    tried = written(overlaps(stars).select("a", "b", "x", "y", linked(percent).alias("linked"), apart))
+    low = 1 - F.col("both") / (F.col("x") + F.col("y") - F.col("both"))
+    tried = written(overlaps(stars).select("a", "b", "x", (F.col("exact") & linked(percent)).alias("linked"), low.alias("low"), F.when(F.col("exact"), low).otherwise(1.0).alias("high")))
     edges = tried.where("linked").select("a", "b")
     parts = components(edges)
-    known = tried.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select("a", "b", "x", "linked", "apart", F.coalesce("component", "a").alias("component"))
-    members = lists.select("key", F.col("node").alias("a"), F.col("least").alias("b")).join(known, ["a", "b"])
-    others = members.select("key", F.col("a").alias("a2"), F.col("x").alias("x2"), F.col("linked").alias("linked2"), F.col("apart").alias("apart2"), F.col("component").alias("component2"))
+    known = tried.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    members = written(lists.select("key", F.col("node").alias("a"), F.col("least").alias("b")).join(known, ["a", "b"]).drop("b"))
+    others = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "x", "linked", "low", "high", "component")))
     reach = (100 - percent) / 100 + 1e-9
-    may = (F.col("component") != F.col("component2")) & (F.abs(F.col("apart") - F.col("apart2")) <= reach) & (100 * F.least("x", "x2") >= percent * F.greatest("x", "x2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
-    rest = members.where("not linked").join(others, "key").where(may).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct()
-    more = written(overlaps(rest).where(linked(percent)).select("a", "b"))
+    near = (F.col("low") - F.col("high2") <= reach) & (F.col("low2") - F.col("high") <= reach)
+    may = (F.col("component") != F.col("component2")) & near & (100 * F.least("x", "x2") >= percent * F.greatest("x", "x2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
+    rest = written(members.where("not linked").join(others, "key").where(may).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct())
+    if not rest.limit(1).count():
+        return parts
+    more = written(overlaps(rest).where(F.col("exact") & linked(percent)).select("a", "b"))
     return components(edges.union(more)) if more.limit(1).count() else parts

@@ -3,13 +3,15 @@
 A document's n-grams are distinct runs of words, as 64-bit hashes; the order of the hashes is the
 global order. It is cut into fragments: ranges of the order. Two sets of sizes x and y whose
 Jaccard coefficient reaches the threshold differ in at most H elements, H from x and y alone, so of
-more than H fragments at least one is equal in both. Sizes fall into bands that differ by the
-threshold's inverse, so that partners are of the same or the next band; a set is cut for its own
-band and for the one below, and the hash of each fragment is a key that partners share. That
-finds every pair, and a common word or passage makes no pairs unless it fills whole fragments.
+more than H fragments at least one is equal in both. Sizes fall into bands so that partners are of
+the same or the next band; a set is cut for its own band, and for the one below if it can have a
+partner there, and the hash of each fragment is a key that partners share. That finds every
+pair, and a common word or passage makes no pairs unless it fills whole fragments.
 
-For candidate pairs the overlap is counted in each of ``PARTS`` fragments apart and summed by pair,
-exactly (up to collisions of 64-bit hashes), so large sets are never in one piece.
+For candidate pairs, counts of elements in finer ranges of the order bound the overlap from above,
+which rules most of them out; for the rest the overlap is counted in each of ``PARTS`` fragments
+apart and summed by pair, exactly (up to collisions of 64-bit hashes), so large sets are never
+in one piece.
 
 Equal sets are one node. The nodes of one key don't all meet (see ``components.resolved``), yet no
 link between components is lost. Keys are combined in each batch before the shuffle, so that a
@@ -26,14 +28,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm.common import small, unwrapped, wrapped, written
-from lodestar.llm.components import resolved
+from lodestar.llm.common import release, small, unwrapped, wrapped, written
+from lodestar.llm.components import linked, resolved
 
 N, PERCENT = 4, 85
 PARTS = 8
@@ -70,40 +74,62 @@ def node_of(own: np.ndarray) -> int:
 
 
 class Bands:
-    """Bands of set sizes, and the number of fragments and of differences of each."""
+    """Bands of set sizes, each up to half as large again as it begins, and the number of
+    differences that two linked sets can have whose smaller is of a band."""
 
     def __init__(self, percent: int = PERCENT) -> None:
         self.percent, self.starts = percent, [1]
 
     def band(self, size: int) -> int:
         while self.starts[-1] <= size:
-            self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // self.percent)))
+            last = self.starts[-1]
+            self.starts.append(max(last + 1, last * 3 // 2, -(-last * 100 // self.percent)))
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
+    def levels(self, size: int) -> list[int]:
+        """The set's own band, and the one below if a set there can link to one of this size."""
+        own = self.band(size)
+        return [own, own - 1] if own and size * self.percent <= 100 * (self.starts[own] - 1) else [own]
+
     def differences(self, band: int) -> int:
-        """The most differences of two linked sets, the smaller of this band."""
-        self.band(self.starts[min(band, len(self.starts) - 1)])
         return (100 - self.percent) * (self.starts[band + 1] - 1) // self.percent
 
 
 def keys(own: np.ndarray, bands: Bands) -> np.ndarray:
-    """The fragment keys of a set, for its band and for the one below."""
+    """The fragment keys of a set for its levels."""
     found, spread = [], mixed(own + _GOLD)
-    band = bands.band(len(own))
-    for level in (band, band - 1) if band else (band,):
+    for level in bands.levels(len(own)):
         most = bands.differences(level)
         count = most + 1 + min(SPARE, most)
         where = ((own >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         sums = np.add.reduceat(spread, first)
-        slot = where[first] + (np.uint64(level) << np.uint64(40))
-        found.append(mixed(sums + mixed(slot + np.uint64(1))))
+        place = np.uint64(level) << np.uint64(40)
+        found.append(mixed(sums + mixed(where[first] + place + np.uint64(1))))
         if count - len(first) >= count - most:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), where[first])
-            found.append(mixed(mixed(empty + (np.uint64(level) << np.uint64(40)) + np.uint64(1))))
+            found.append(mixed(mixed(empty + place + np.uint64(1))))
     return np.concatenate(found)
 
 
+def bins(own: np.ndarray) -> np.ndarray:
+    """How many elements lie in each of 2 ** k equal ranges, k by the set's size (16-bit counts)."""
+    k = max(6, int(len(own) - 1).bit_length() - 1)
+    return np.minimum(np.bincount((own >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 65535).astype(np.uint16)
+
+
+def bound(a: bytes, b: bytes) -> int:
+    """The most elements that two sets can share, by their counts in the ranges of the coarser."""
+    x, y = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.uint16).astype(np.int64)
+    if max(x.max(), y.max()) == 65535:
+        return int(max(x.sum(), y.sum()) * 65536)
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(1)
+    return int(np.minimum(x, y).sum())
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS):
@@ -151,30 +177,74 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "route long, node long, key long, up long")
 
 
+def sketched(docs: DataFrame, n: int) -> DataFrame:
+    """node, size, bins of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches):
+            sets = [s for s in (grams(t, n) for t in texts) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bins(s).tobytes() for s in sets], pa.binary())], names=["node", "size", "bins"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, size long, bins binary")
+
+
 def parted(docs: DataFrame, n: int, parts: int = PARTS) -> DataFrame:
-    """node, part, size, own: the n-grams of each row in fragments of the global order."""
+    """node, part, own: the n-grams of each row in fragments of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
             for at in range(0, len(texts), 64):
-                node, part, size, own = [], [], [], []
+                node, part, own = [], [], []
                 for s in (grams(t, n) for t in texts[at : at + 64]):
                     if len(s):
-                        cut = np.searchsorted(s, [(i << 64) // parts for i in range(1, parts)])
                         name = node_of(s)
-                        for i, x in enumerate(np.split(s.view(np.int64), cut)):
-                            node.append(name), part.append(i), size.append(len(s)), own.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(size, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["node", "part", "size", "own"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, part int, size long, own array<long>")
-
-
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, x, y: the overlap of each pair, summed over the fragments, and the two sizes."""
-    a = sets.select(F.col("node").alias("a"), "part", F.col("size").alias("x"), F.col("own").alias("own_a"))
-    b = sets.select(F.col("node").alias("b"), "part", F.col("size").alias("y"), F.col("own").alias("own_b"))
-    each = pairs.join(a, "a").join(b, ["b", "part"]).select("a", "b", "x", "y", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("n"))
-    return each.groupBy("a", "b", "x", "y").agg(F.sum("n").alias("both"))
+                        place = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                        for i, x in enumerate(np.split(s.view(np.int64), np.searchsorted(place, np.arange(1, parts, dtype=np.uint64)))):
+                            node.append(name), part.append(i), own.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(own, pa.list_(pa.int64()))], names=["node", "part", "own"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, part int, own array<long>")
+
+
+@F.pandas_udf(T.LongType())
+def _bounds(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([bound(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
+class Candidates:
+    """Overlaps of pairs of nodes, from the first document of each node."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> None:
+        self.docs, self.nodes, self.n, self.percent = docs.select("doc_id", "text"), nodes, n, percent
+        self.repeats = repeats(rows)
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """The documents that stand for nodes."""
+        firsts = written(wanted.distinct().join(self.nodes, "node").select(F.col("first").alias("of")))
+        return self.docs.join(small(firsts, firsts.count()), F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", "text")
+
+    def _once(self, df: DataFrame, *by: str) -> DataFrame:
+        return df.dropDuplicates([*by]) if self.repeats else df
+
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """a, b, x, y, both, exact of each pair. A bound from the counts in ranges of the global
+        order rules most pairs out (exact is false); for the others the overlap in each of
+        ``PARTS`` fragments is counted apart and summed by pair."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        sketch = written(self._once(sketched(self._texts(ends), self.n), "node"))
+        side = lambda c, size, bins: sketch.select(F.col("node").alias(c), F.col("size").alias(size), F.col("bins").alias(bins))
+        both = pairs.join(side("a", "x", "bins_a"), "a").join(side("b", "y", "bins_b"), "b")
+        both = written(both.select("a", "b", "x", "y", _bounds("bins_a", "bins_b").alias("both")))
+        left = both.where(linked(self.percent)).drop("both")
+        n = left.count()
+        sets = self._once(parted(self._texts(left.select(F.col("a").alias("node")).union(left.select("b"))), self.n), "node", "part")
+        # a's fragments are sent to b's place at once; b's go there as well, but for sets that are no b
+        mine = sets.join(small(left, n), F.col("node") == F.col("a")).select("a", "b", "part", "x", "y", F.col("own").alias("own_a"))
+        ends = left.select(F.col("b").alias("end")).distinct()
+        theirs = sets.join(small(ends, n), F.col("node") == F.col("end"), "left_semi").select(F.col("node").alias("b"), "part", F.col("own").alias("own_b"))
+        each = mine.join(theirs, ["b", "part"]).select("a", "b", "x", "y", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("n"))
+        exact = each.groupBy("a", "b", "x", "y").agg(F.sum("n").alias("both")).withColumn("exact", F.lit(True))
+        return exact.unionByName(both.where(~linked(self.percent)).withColumn("exact", F.lit(False)))
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -184,19 +254,13 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
     least = F.first("node").over(Window.partitionBy("route").orderBy("node"))
     lists = written(keyed(docs, n, percent).withColumn("least", F.when(F.col("up").isNull(), least).otherwise(F.col("up"))).where("node <> least").select(F.coalesce("key", "route").alias("key"), "node", "least", F.col("up").isNotNull().alias("inner")))
+    release(docs.sparkSession)
     outer = lists.where("not inner").select("key", F.col("node").alias("mid"), F.col("least").alias("end")).distinct()
     inner = lists.where("inner").withColumnRenamed("least", "mid").join(outer, ["key", "mid"], "left").select("key", "node", F.coalesce("end", "mid").alias("least"))
     lists = written(lists.where("not inner").select("key", "node", "least").union(inner).where("node <> least").distinct())
 
-    # the sets of all nodes that are candidates, each from its first document
-    wanted = lists.select("node").union(lists.select("least")).distinct().join(nodes, "node").select(F.col("first").alias("of"))
-    wanted = written(wanted)
-    mine = docs.select("doc_id", "text").join(small(wanted, wanted.count()), F.col("doc_id") == F.col("of"), "left_semi")
-    sets = parted(mine, n)
-    if repeats(rows):
-        sets = sets.dropDuplicates(["node", "part"])
-    sets = written(sets)
-    parts = resolved(lists, lambda pairs: overlaps(pairs, sets), percent)
+    release(docs.sparkSession)
+    parts = resolved(lists, Candidates(docs, rows, nodes, n, percent).overlaps, percent)
 
     firsts = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
