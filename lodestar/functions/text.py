@@ -167,6 +167,6 @@ def place_near_title(text: Column, title: Column, place: Column, span: int = 600
     page, head, want = F.lower(text), F.lower(title), F.lower(place)
     # each piece after a title begins where that title ends; a piece may run on into the next ones
     pieces = F.split(page, F.concat(F.lit(r"\Q"), head, F.lit(r"\E")))
-    tails = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.substring(F.array_join(F.slice(pieces, i, F.size(pieces)), head), F.lit(1), F.lit(span)))
+    tails = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.substring(F.call_function("array_join", F.slice(pieces, i, F.size(pieces)), head), F.lit(1), F.lit(span)))
     near = F.when(F.size(pieces) > 1, F.exists(tails, lambda t: t.contains(want))).otherwise(page.contains(want))
     return F.coalesce(near, F.lit(False))
