@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import written
@@ -46,7 +46,7 @@ def linked(percent: int) -> F.Column:
     return 100 * F.col("both") >= percent * (F.col("x") + F.col("y") - F.col("both"))
 
 
-def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], percent: int, need: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """node, component of all nodes with links, where nodes that share a key are candidates.
 
     ``lists`` (key, node, least) has each key's nodes but its least, and the least beside them;
@@ -56,6 +56,10 @@ def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], perce
     well, but for those whose distance the triangle inequality of the Jaccard distance rules out,
     those of sizes that can't link, and those already of its component. So a large group of
     similar nodes costs one comparison for each, and no link between components is lost.
+
+    Two such nodes of different components meet once for each key that they share (at a key where both
+    link to the least they would be of one component). With ``need``, a function of their sizes and
+    of the least ``empty`` of both (a column of ``lists``), pairs that share fewer keys are left out.
     """
     stars = written(lists.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     low = 1 - F.col("both") / (F.col("x") + F.col("y") - F.col("both"))
@@ -63,12 +67,17 @@ def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], perce
     edges = tried.where("linked").select("a", "b")
     parts = components(edges)
     known = tried.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    members = written(lists.select("key", F.col("node").alias("a"), F.col("least").alias("b")).join(known, ["a", "b"]).drop("b"))
-    others = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "x", "linked", "low", "high", "component")))
+    lists = lists if need else lists.withColumn("empty", F.lit(0))
+    members = written(lists.select("key", "empty", F.col("node").alias("a"), F.col("least").alias("b")).join(known, ["a", "b"]).drop("b"))
+    others = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "x", "linked", "low", "high", "component", "empty")))
     reach = (100 - percent) / 100 + 1e-9
     near = (F.col("low") - F.col("high2") <= reach) & (F.col("low2") - F.col("high") <= reach)
     may = (F.col("component") != F.col("component2")) & near & (100 * F.least("x", "x2") >= percent * F.greatest("x", "x2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
-    rest = written(members.where("not linked").join(others, "key").where(may).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct())
+    met = members.where("not linked").join(others, "key").where(may)
+    met = met.groupBy(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("x", "x2")).alias("x"), F.max(F.greatest("x", "x2")).alias("y"), F.max(F.least("empty", "empty2")).alias("empty"))
+    if need:
+        met = met.where(F.col("n") >= need(F.col("x"), F.col("y"), F.col("empty")))
+    rest = written(met.select("a", "b"))
     if not rest.limit(1).count():
         return parts
     more = written(overlaps(rest).where(F.col("exact") & linked(percent)).select("a", "b"))

@@ -41,7 +41,8 @@ from lodestar.llm.components import linked, resolved
 
 N, PERCENT = 4, 85
 PARTS = 8
-#: Fragments more than differences can spoil; sets with as many empty ones get keys for those.
+#: So many fragments more than differences can spoil, or a tenth; sets with as many empty ones get
+#: keys for those.
 SPARE = 3
 ROWS = 4096
 
@@ -94,13 +95,25 @@ class Bands:
     def differences(self, band: int) -> int:
         return (100 - self.percent) * (self.starts[band + 1] - 1) // self.percent
 
+    def fragments(self, band: int) -> int:
+        """More fragments than differences can spoil, by ``SPARE`` or a tenth."""
+        most = self.differences(band)
+        return most + 1 + min(most, max(SPARE, most // 10))
 
-def keys(own: np.ndarray, bands: Bands) -> np.ndarray:
-    """The fragment keys of a set for its levels."""
-    found, spread = [], mixed(own + _GOLD)
+    def need(self, x: F.Column, y: F.Column, empty: F.Column) -> F.Column:
+        """The fewest keys that two linked sets of sizes x <= y share at the smaller's level, where
+        one has at most ``empty`` empty fragments: all fragments but those that differences spoil."""
+        self.band(1 << 40)
+        fragments = F.array(*(F.lit(self.fragments(i)) for i in range(len(self.starts) - 1)))
+        band = F.size(F.filter(F.array(*map(F.lit, self.starts)), lambda s: s <= x))
+        return F.element_at(fragments, band) - F.floor((100 - self.percent) * (x + y) / (100 + self.percent)) - empty
+
+
+def keys(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The fragment keys of a set for its levels, and the number of empty fragments at each key's."""
+    found, empties, spread = [], [], mixed(own + _GOLD)
     for level in bands.levels(len(own)):
-        most = bands.differences(level)
-        count = most + 1 + min(SPARE, most)
+        most, count = bands.differences(level), bands.fragments(level)
         where = ((own >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         sums = np.add.reduceat(spread, first)
@@ -109,7 +122,8 @@ def keys(own: np.ndarray, bands: Bands) -> np.ndarray:
         if count - len(first) >= count - most:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), where[first])
             found.append(mixed(mixed(empty + place + np.uint64(1))))
-    return np.concatenate(found)
+        empties.append(np.full(sum(map(len, found)) - sum(map(len, empties)), count - len(first), np.int16))
+    return np.concatenate(found), np.concatenate(empties)
 
 
 def bins(own: np.ndarray) -> np.ndarray:
@@ -150,7 +164,7 @@ def named(docs: DataFrame, n: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """route, node, key, up: within a batch the first node of a key stands for the others.
+    """route, node, empty, key, up: within a batch the first node of a key stands for the others.
 
     The first has route = key and nothing else; another has its key, its first as ``up``, and a
     route of its own.
@@ -163,18 +177,19 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if not sets:
                 continue
             each = [keys(s, bands) for s in sets]
-            key = np.concatenate(each).view(np.int64)
-            node = np.repeat(np.array([node_of(s) for s in sets], np.int64), [len(k) for k in each])
+            key = np.concatenate([k for k, _ in each]).view(np.int64)
+            empty = np.concatenate([e for _, e in each])
+            node = np.repeat(np.array([node_of(s) for s in sets], np.int64), [len(k) for k, _ in each])
             order = np.lexsort((node, key))
-            key, node = key[order], node[order]
+            key, node, empty = key[order], node[order], empty[order]
             new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-            key, node = key[new], node[new]
+            key, node, empty = key[new], node[new], empty[new]
             first = np.append(True, key[1:] != key[:-1])
             up = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
             route = np.where(first, key, mixed(key.view(np.uint64) ^ mixed(node.view(np.uint64))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(node), pa.array(key, mask=first), pa.array(up, mask=first)], names=["route", "node", "key", "up"])
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(node), pa.array(empty), pa.array(key, mask=first), pa.array(up, mask=first)], names=["route", "node", "empty", "key", "up"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "route long, node long, key long, up long")
+    return docs.select("doc_id", "text").mapInArrow(run, "route long, node long, empty short, key long, up long")
 
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:
@@ -253,14 +268,14 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
 
     least = F.first("node").over(Window.partitionBy("route").orderBy("node"))
-    lists = written(keyed(docs, n, percent).withColumn("least", F.when(F.col("up").isNull(), least).otherwise(F.col("up"))).where("node <> least").select(F.coalesce("key", "route").alias("key"), "node", "least", F.col("up").isNotNull().alias("inner")))
+    lists = written(keyed(docs, n, percent).withColumn("least", F.when(F.col("up").isNull(), least).otherwise(F.col("up"))).where("node <> least").select(F.coalesce("key", "route").alias("key"), "node", "empty", "least", F.col("up").isNotNull().alias("inner")))
     release(docs.sparkSession)
     outer = lists.where("not inner").select("key", F.col("node").alias("mid"), F.col("least").alias("end")).distinct()
-    inner = lists.where("inner").withColumnRenamed("least", "mid").join(outer, ["key", "mid"], "left").select("key", "node", F.coalesce("end", "mid").alias("least"))
-    lists = written(lists.where("not inner").select("key", "node", "least").union(inner).where("node <> least").distinct())
+    inner = lists.where("inner").withColumnRenamed("least", "mid").join(outer, ["key", "mid"], "left").select("key", "node", "empty", F.coalesce("end", "mid").alias("least"))
+    lists = written(lists.where("not inner").select("key", "node", "empty", "least").union(inner).where("node <> least").distinct())
 
     release(docs.sparkSession)
-    parts = resolved(lists, Candidates(docs, rows, nodes, n, percent).overlaps, percent)
+    parts = resolved(lists, Candidates(docs, rows, nodes, n, percent).overlaps, percent, Bands(percent).need)
 
     firsts = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
