@@ -233,9 +233,9 @@ def test_parallel_error_is_smaller_than_without_weight(monkeypatch):
 
     def parallel():
         m = ann.train(x)
-        where, packed = m.encode(x)
+        where, length, packed = m.encode(x)
         own = np.stack([packed >> 4, packed & 15], 2).reshape(len(x), -1)[:, : m.codes.shape[0]]
-        back = m.coarse[where] + m.codes[np.arange(own.shape[1]), own].reshape(len(x), -1)
+        back = m.coarse[where] + length[:, None] * m.codes[np.arange(own.shape[1]), own].reshape(len(x), -1)
         return (((x - back) * x).sum(1) ** 2).mean()
 
     weighted = parallel()
@@ -246,7 +246,7 @@ def test_parallel_error_is_smaller_than_without_weight(monkeypatch):
 def test_html_templates_go_and_prose_stays(spark):
     page = "<div><div class='x'>Read our {i} tips<ul><li>Home</li><li>Shop</li></ul></div><section><p>Same line everywhere.</p></section><div><p>Own text {i}.</p></div></div>"
     rows = [(i, "http://a.org/1", page.format(i=i)) for i in range(20)] + [(99, "http://b.org/1", page.format(i=99))]
-    article = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href='/'>Menu</a></nav><article><h1>Head</h1><p>Repeated paragraph.</p><div class='comments'><p>Nice!</p></div><p>New\n {i}&eacute;<br>x</p><form><input></form><div><span>Share</span> this</div></article><footer>&copy;</footer>"
+    article = "<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href='/'>Menu</a></nav><article><h1>Head</h1><p>Repeated paragraph.</p><div class='comments'><p>Nice!</p></div><p>New\n {i}&eacute;<br>x</p><form><input></form><div><span>Share</span> this</div></article><footer>&copy;</footer>"
     rows += [(200 + i, "http://c.org/1", article.format(i=i)) for i in range(20)]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Read our 3 tips\n\nOwn text 3."
