@@ -51,7 +51,7 @@ def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], perce
 
     ``lists`` (key, node, least) has each key's nodes but its least, and the least beside them;
     ``overlaps`` maps pairs (a, b) to rows (a, b, x, y, both, exact), where ``both`` may be an upper
-    bound, not ``exact``, for pairs that it rules out. Each node is compared with its keys' least
+    bound, not ``exact``, for pairs that it rules out (null, with the sizes, if it has none). Each node is compared with its keys' least
     nodes. One that doesn't link to the least of a key is compared with the others of that key as
     well, but for those whose distance the triangle inequality of the Jaccard distance rules out,
     those of sizes that can't link, and those already of its component. So a large group of
@@ -62,7 +62,7 @@ def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], perce
     of the least ``empty`` of both (a column of ``lists``), pairs that share fewer keys are left out.
     """
     stars = written(lists.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    low = 1 - F.col("both") / (F.col("x") + F.col("y") - F.col("both"))
+    low = F.coalesce(1 - F.col("both") / (F.col("x") + F.col("y") - F.col("both")), F.lit(0.0))
     tried = written(overlaps(stars).select("a", "b", "x", (F.col("exact") & linked(percent)).alias("linked"), low.alias("low"), F.when(F.col("exact"), low).otherwise(1.0).alias("high")))
     edges = tried.where("linked").select("a", "b")
     parts = components(edges)
@@ -72,7 +72,7 @@ def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], perce
     others = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "x", "linked", "low", "high", "component", "empty")))
     reach = (100 - percent) / 100 + 1e-9
     near = (F.col("low") - F.col("high2") <= reach) & (F.col("low2") - F.col("high") <= reach)
-    may = (F.col("component") != F.col("component2")) & near & (100 * F.least("x", "x2") >= percent * F.greatest("x", "x2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
+    may = (F.col("component") != F.col("component2")) & near & F.coalesce(100 * F.least("x", "x2") >= percent * F.greatest("x", "x2"), F.lit(True)) & (F.col("linked2") | (F.col("a") < F.col("a2")))
     met = members.where("not linked").join(others, "key").where(may)
     met = met.groupBy(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("x", "x2")).alias("x"), F.max(F.greatest("x", "x2")).alias("y"), F.max(F.least("empty", "empty2")).alias("empty"))
     if need:
