@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,7 +90,8 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, name = f"{sf_dir}/events.parquet", f"stream_counts_{abs(hash(sf_dir))}"
     schema = spark.read.parquet(folder).schema
     stream = checks.event_counts(spark, f"{sf_dir}/events*.parquet", schema)
-    out = checks.run_available(stream, tempfile.mkdtemp(prefix="stream-"), name)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    out = checks.run_available(stream, f"{shared}/stream-{uuid.uuid4().hex}", name)
     return out.select(F.col("w.start").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
