@@ -1,9 +1,11 @@
 """Every query with SQL returns the same rows as DuckDB; the others return rows."""
 
 import math
+import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -26,9 +28,9 @@ def duck():
 
 
 def plain(value):
-    if value is None or value is pd.NaT or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NaT or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return ""
-    if isinstance(value, (float, int)) and not isinstance(value, bool):
+    if isinstance(value, numbers.Real) and not isinstance(value, (bool, np.bool_)):
         return f"{float(value):.9g}"
     return str(value)
 
