@@ -1,21 +1,27 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-A document's segments are its lines, its paragraphs of several lines, and the whole text where it
-has several paragraphs. A segment and a template are normalised alike (lower case, words of
-letters and digits with dots inside, copyright lines left out), and their distinct word bigrams
-compared: 2 * shared / (segment's + template's). A Dice coefficient of at least ``LEAST`` needs
-sizes within a factor of (2 - LEAST) / LEAST, so templates of other sizes are not compared, and a
-segment with too few words for any template isn't cut into bigrams at all.
+A text's words are compared wherever they stand: in each run of adjacent sentences and lines (so lines,
+paragraphs and the whole text too), and in each window inside them that begins and ends with bigrams of
+a template and has as many distinct ones as it; a copy in mid-sentence with words more or fewer isn't found. Text and templates are normalised alike (lower case, words of letters and digits with dots
+inside), and distinct word bigrams compared: 2 * shared / (window's + template's). Copyright signs
+and years at a line's start are left out; a text that has them is also read without those lines.
+
+A Dice coefficient of at least ``LEAST`` needs sizes within a factor of (2 - LEAST) / LEAST, so
+windows of other sizes are not compared, and as many shared bigrams as the template's size over that
+factor, so a text that doesn't hold them anywhere isn't cut into windows for it.
 
 Templates are a few short texts, held by the code; callers may pass others, such as whole licences.
 
-Cases: null and empty texts have no licence; a segment matches its best template, ties by name; a
-document repeats each licence once, with its best coefficient; other columns are not looked at.
+Cases: null and empty texts have no licence; a passage matches its best template, ties by name (two
+windows are one passage if more than half of each lies in the other); a document repeats each licence
+once, with its best coefficient; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,13 +65,20 @@ TEMPLATES = {
 }
 WORDS = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 NOTICE = re.compile(r"(?im)^\W*(?:copyright\b|\(c\)|©).*$")
-BREAK = re.compile(r"\n[^\S\n]*\n\s*")
+#: Only the copyright words, signs and years of such a line.
+SIGNS = re.compile(r"(?im)^[^\w\n]*(?:copyright\b(?=\W*(?:\(c\)|©|\d{4}\b))|\(c\)|©)(?:[^\w\n]|\(c\)|copyright\b|\d{4}\b)*")
+BREAK = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|\n")
 KIND = "array<struct<licence:string,dice:double>>"
 
 
+def spelled(text: str) -> list[str]:
+    """The words of a text; spellings of licence are one."""
+    return ["license" if w == "licence" else w for w in WORDS.findall(text.lower())]
+
+
 def normal(text: str) -> list[str]:
-    """The words that are compared; spellings of licence are one."""
-    return ["license" if w == "licence" else w for w in WORDS.findall(NOTICE.sub(" ", text).lower())]
+    """The words that are compared, without copyright lines."""
+    return spelled(NOTICE.sub(" ", text))
 
 
 def bigrams(words: list[str]) -> frozenset:
@@ -83,34 +96,67 @@ def compiled(templates: dict[str, tuple[str, ...]]) -> list[tuple[int, str, froz
     return sorted((len(b), name, b) for name, b in found)
 
 
-def segments(text: str) -> list[str]:
-    """Lines, paragraphs of several lines, and the whole where it has several paragraphs."""
-    lines = text.split("\n")
-    if len(lines) == 1:
-        return lines
-    paragraphs = BREAK.split(text)
-    out = lines + [p for p in paragraphs if "\n" in p]
-    return out + [text] if len(paragraphs) > 1 else out
+def windows(pairs: list[tuple], b: frozenset) -> Iterator[tuple[int, int, float]]:
+    """(start, end, coefficient) of the windows that begin and end with pairs of ``b`` and have as many distinct ones."""
+    for start in (i for i, pair in enumerate(pairs) if pair in b):
+        seen: set = set()
+        for end in range(start, len(pairs)):
+            seen.add(pairs[end])
+            if len(seen) > len(b):
+                break
+            if len(seen) == len(b) and pairs[end] in b:
+                yield start, end + 2, len(seen & b) / len(b)
+
+
+def runs(words: list[str], cuts: list[int], b: frozenset, span: float) -> Iterator[tuple[int, int, float]]:
+    """(start, end, coefficient) of the runs of adjacent pieces that have a size to be compared with ``b``."""
+    for at, start in enumerate(cuts):
+        seen: set = set()
+        shared, last = 0, start
+        for end in cuts[at + 1 :]:
+            if end == start + 1:
+                yield start, end, dice(bigrams(words[start:end]), b)
+                continue
+            for pair in zip(words[last : end - 1], words[last + 1 : end]):
+                if pair not in seen:
+                    seen.add(pair)
+                    shared += pair in b
+            last = end - 1
+            if len(seen) > len(b) * span:
+                break
+            if len(seen) * span >= len(b):
+                yield start, end, 2 * shared / (len(seen) + len(b))
+
+
+def passages(text: str, table: list[tuple[int, str, frozenset]], least: float) -> Iterator[tuple[float, str]]:
+    """(coefficient, licence) of each passage of a text that matches a template."""
+    words, span = spelled(text), (2 - least) / least
+    pairs = list(zip(words, words[1:]))
+    held = {*pairs, *((w, "") for w in words)}
+    likely = [(name, b) for size, name, b in table if size and len(b & held) * span >= size - 1e-9]
+    if not likely:
+        return
+    cuts = [0]
+    for piece in BREAK.split(text):
+        if n := len(WORDS.findall(piece)):
+            cuts.append(cuts[-1] + n)
+    found = {(-d, name, start, end) for name, b in likely for kind in (windows(pairs, b), runs(words, cuts, b, span)) for start, end, d in kind if d >= least}
+    over = defaultdict(list)
+    for d, name, start, end in sorted(found):
+        if any(2 * (min(end, e) - max(start, s)) > max(end - start, e - s) for s, e in over[(start + end) // 2]):
+            continue
+        for place in range(start, end):
+            over[place].append((start, end))
+        yield -d, name
 
 
 def scan(text: str | None, table: list[tuple[int, str, frozenset]], least: float) -> list[tuple[str, float]]:
     """(licence, coefficient) of each licence in a text, by name."""
     found: dict[str, float] = {}
-    span = (2 - least) / least
-    low = table[0][0] / span
-    for part in segments(text or ""):
-        words = normal(part)
-        if not words or max(1, len(words) - 1) < low:
-            continue
-        own = bigrams(words)
-        best = (0.0, "")
-        for size, name, b in table:
-            if size > len(own) * span:
-                break
-            if len(own) <= size * span and (d := dice(own, b)) >= least and d > best[0]:
-                best = (d, name)
-        if best[1]:
-            found[best[1]] = max(best[0], found.get(best[1], 0.0))
+    whole, without = SIGNS.sub(" ", text or ""), NOTICE.sub(" ", text or "")
+    for version in {whole, without}:
+        for d, name in passages(version, table, least):
+            found[name] = max(d, found.get(name, 0.0))
     return sorted(found.items())
 
 
