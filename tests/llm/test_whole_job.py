@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodestar.llm import licences
+from lodestar.llm import licences, lines
 
 SYLLABLES = "the er on an re ha ing st or en ea ti ed is wh ou".split()
 
@@ -28,3 +28,13 @@ def test_licence_notice_inside_a_line():
     for sign in ("Copyright 2020", "(c) 2020", "©"):
         assert licences.scan(f"{sign} Jane Doe. Licensed under the BSD License.", table, 0.8) == [("BSD", 1.0)]
     assert licences.scan("See: this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", table, 0.8) == [("CC-BY-SA-4.0", 1.0)]
+
+
+@pytest.mark.parametrize("changed", [1, 2])
+def test_lines_at_the_threshold_are_found(spark, changed):
+    draw, docs = random.Random(2), []
+    for i in range(1500):  # 9 * changed shingles each, of which 8 * changed are shared
+        line = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9 * changed + lines.SHINGLE - 1))
+        docs.append((i, f"{line[:-changed]}{'0' * changed}\n{line[:-changed]}{'1' * changed}"))
+    found = lines.removals(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert found >= 0.985 * len(docs)
