@@ -38,3 +38,10 @@ def test_lines_at_the_threshold_are_found(spark, changed):
         docs.append((i, f"{line[:-changed]}{'0' * changed}\n{line[:-changed]}{'1' * changed}"))
     found = lines.removals(spark.createDataFrame(docs, "doc_id long, text string")).count()
     assert found >= 0.985 * len(docs)
+
+
+def test_one_edit_in_a_line_of_sixty_characters_is_found(spark):
+    line = "Last updated on 3 May at noon, see the notes for all changes"
+    assert len(line) == 60
+    got = lines.removals(spark.createDataFrame([(1, line), (2, line.replace("noon", "noun"))], "doc_id long, text string")).collect()
+    assert [(r.dd_id, r.removed) for r in got] == [(2, [0])]
