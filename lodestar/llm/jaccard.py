@@ -152,15 +152,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]
 
 
 def named(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node of each row."""
+    """doc_id, tag (a hash of the text), n_shingles, node of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches):
             sets = [grams(t, n) for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["id", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
+    tagged = docs.select(F.struct("doc_id", F.xxhash64("text").alias("tag")).alias("id"), "text")
+    return tagged.mapInArrow(run, f"id struct<doc_id: {kind}, tag: bigint>, n_shingles long, node long").select("id.doc_id", "id.tag", "n_shingles", "node")
 
 
 def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -227,16 +228,22 @@ def _bounds(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class Candidates:
-    """Overlaps of pairs of nodes, from the first document of each node."""
+    """Overlaps of pairs of nodes, from the first document of each node; by a hash of the text if none has an id."""
 
     def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> None:
         self.docs, self.nodes, self.n, self.percent = docs.select("doc_id", "text"), nodes, n, percent
-        self.repeats = repeats(rows)
+        self.unnamed = nodes.where("first is null").limit(1).count() > 0
+        self.repeats = self.unnamed or repeats(rows)
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """The documents that stand for nodes."""
-        firsts = written(wanted.distinct().join(self.nodes, "node").select(F.col("first").alias("of")))
-        return self.docs.join(small(firsts, firsts.count()), F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", "text")
+        firsts = written(wanted.distinct().join(self.nodes, "node").select(F.col("first").alias("of"), "tag"))
+        firsts = small(firsts, firsts.count())
+        named = self.docs.join(firsts, F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", "text")
+        if not self.unnamed:
+            return named
+        tags = firsts.where("of is null").select("tag")
+        return named.union(self.docs.where("doc_id is null").join(tags, F.xxhash64("text") == F.col("tag"), "left_semi").select("doc_id", "text"))
 
     def _once(self, df: DataFrame, *by: str) -> DataFrame:
         return df.dropDuplicates([*by]) if self.repeats else df
@@ -265,7 +272,7 @@ class Candidates:
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; documents link at ``percent`` Jaccard or more."""
     rows = written(named(docs, n))
-    nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
+    nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("tag").alias("tag"), F.count("*").alias("n_rows")))
 
     least = F.first("node").over(Window.partitionBy("route").orderBy("node"))
     lists = written(keyed(docs, n, percent).withColumn("least", F.when(F.col("up").isNull(), least).otherwise(F.col("up"))).where("node <> least").select(F.coalesce("key", "route").alias("key"), "node", "empty", "least", F.col("up").isNotNull().alias("inner")))

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from lodestar.llm import licences, lines
+from lodestar.llm import jaccard, licences, lines
 
 SYLLABLES = "the er on an re ha ing st or en ea ti ed is wh ou".split()
 
@@ -45,3 +46,13 @@ def test_one_edit_in_a_line_of_sixty_characters_is_found(spark):
     assert len(line) == 60
     got = lines.removals(spark.createDataFrame([(1, line), (2, line.replace("noon", "noun"))], "doc_id long, text string")).collect()
     assert [(r.dd_id, r.removed) for r in got] == [(2, [0])]
+
+
+def test_a_null_id_near_copy_does_not_part_a_group(spark):
+    draw, docs = random.Random(3), []
+    for i in range(20):
+        words = prose(draw, 80).split(" ")
+        other = lambda at: " ".join([*words[:at], "zzzz", *words[at + 1 :]])
+        docs += [(2 * i, other(0)), (2 * i + 1, other(79)), (None, " ".join(words))]
+    rows = jaccard.joined(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.component_id for r in rows) == sorted(2 * i for i in range(20) for _ in range(3))
