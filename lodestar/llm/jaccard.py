@@ -122,7 +122,7 @@ def keys(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         if count - len(first) >= count - most:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), where[first])
             found.append(mixed(mixed(empty + place + np.uint64(1))))
-        empties.append(np.full(sum(map(len, found)) - sum(map(len, empties)), count - len(first), np.int16))
+        empties.append(np.full(sum(map(len, found)) - sum(map(len, empties)), count - len(first), np.int32))
     return np.concatenate(found), np.concatenate(empties)
 
 
@@ -190,7 +190,7 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
             route = np.where(first, key, mixed(key.view(np.uint64) ^ mixed(node.view(np.uint64))).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(node), pa.array(empty), pa.array(key, mask=first), pa.array(up, mask=first)], names=["route", "node", "empty", "key", "up"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "route long, node long, empty short, key long, up long")
+    return docs.select("doc_id", "text").mapInArrow(run, "route long, node long, empty int, key long, up long")
 
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:

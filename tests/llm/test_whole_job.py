@@ -56,3 +56,8 @@ def test_a_null_id_near_copy_does_not_part_a_group(spark):
         docs += [(2 * i, other(0)), (2 * i + 1, other(79)), (None, " ".join(words))]
     rows = jaccard.joined(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(r.component_id for r in rows) == sorted(2 * i for i in range(20) for _ in range(3))
+
+
+def test_more_empty_fragments_than_sixteen_bits_hold():
+    found, empty = jaccard.keys(np.arange(200_000, dtype=np.uint64), jaccard.Bands())
+    assert len(found) == len(empty) and empty.max() > 32767
