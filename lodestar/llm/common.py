@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables of at most so many rows may be broadcast; each use counts the rows first.
 BROADCAST_ROWS = 200_000
+#: The same for tables of a single 64-bit column (16 MB).
+BROADCAST_KEYS = 2_000_000
+
+#: Bytes of text that a Python worker works on at once.
+PIECE = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,16 +41,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished work, which it does once nothing refers to
-    it: after a large shuffle was used up, before the next one."""
-    gc.collect()
-    spark._jvm.System.gc()
+def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts in ``column`` have ``most`` bytes together, or one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` are few, else as it is (a shuffled join)."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` are at most ``most``, else as it is (a shuffled join)."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def words(text: Column) -> Column:

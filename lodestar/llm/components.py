@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import written
@@ -46,39 +46,89 @@ def linked(percent: int) -> F.Column:
     return 100 * F.col("both") >= percent * (F.col("x") + F.col("y") - F.col("both"))
 
 
-def resolved(lists: DataFrame, overlaps: Callable[[DataFrame], DataFrame], percent: int, need: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+#: Clusters of so many nodes besides their hub, or fewer, are compared pair by pair.
+FEW = 8
+#: The number of classes of distances to the hub that a linked pair's distance spans, about.
+CLASSES = 6
+
+
+def hubs(members: DataFrame) -> DataFrame:
+    """a (node), b (hub) for each node and the hub of each of its keys. A key's hub is the node that
+    shares its keys with the most others: among copies of one text, the one that differs least from all."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    ranked = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("fame"))
+    best = members.join(ranked, "node").groupBy("key").agg(F.max(F.struct("fame", "node")).alias("best"))
+    return members.join(best, "key").select(F.col("node").alias("a"), F.col("best.node").alias("b")).where("a <> b").distinct()
+
+
+def resolved(members: DataFrame, compare: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """node, component of all nodes with links, where nodes that share a key are candidates.
 
-    ``lists`` (key, node, least) has each key's nodes but its least, and the least beside them;
-    ``overlaps`` maps pairs (a, b) to rows (a, b, x, y, both, exact), where ``both`` may be an upper
-    bound, not ``exact``, for pairs that it rules out (null, with the sizes, if it has none). Each node is compared with its keys' least
-    nodes. One that doesn't link to the least of a key is compared with the others of that key as
-    well, but for those whose distance the triangle inequality of the Jaccard distance rules out,
-    those of sizes that can't link, and those already of its component. So a large group of
-    similar nodes costs one comparison for each, and no link between components is lost.
-
-    Two such nodes of different components meet once for each key that they share (at a key where both
-    link to the least they would be of one component). With ``need``, a function of their sizes and
-    of the least ``empty`` of both (a column of ``lists``), pairs that share fewer keys are left out.
+    ``members`` (key, node) has the nodes of every key that two or more hold; ``compare`` maps pairs
+    (a, b) to rows (a, b, x, y, both), the sizes and the overlap of their sets, and ``differences``
+    to rows (a, b, diff), the elements that only one of the two has.
+
+    Each node is compared with the hubs of its keys only, not with all others of them. What links to
+    the same hub is of one component, so pairs are left to try only if one of them doesn't link
+    to their hub and they are not yet of one component. Those are joined on their *differences from the hub*
+    (see ``nearby``), where what a whole group shares has cancelled out. So a large
+    group of similar sets costs a comparison for each set, and no link between components is lost.
     """
-    stars = written(lists.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    low = F.coalesce(1 - F.col("both") / (F.col("x") + F.col("y") - F.col("both")), F.lit(0.0))
-    tried = written(overlaps(stars).select("a", "b", "x", (F.col("exact") & linked(percent)).alias("linked"), low.alias("low"), F.when(F.col("exact"), low).otherwise(1.0).alias("high")))
+    tried = written(compare(hubs(members)).select("a", "b", "x", "y", "both", linked(percent).alias("linked")))
     edges = tried.where("linked").select("a", "b")
     parts = components(edges)
     known = tried.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    lists = lists if need else lists.withColumn("empty", F.lit(0))
-    members = written(lists.select("key", "empty", F.col("node").alias("a"), F.col("least").alias("b")).join(known, ["a", "b"]).drop("b"))
-    others = members.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "x", "linked", "low", "high", "component", "empty")))
-    reach = (100 - percent) / 100 + 1e-9
-    near = (F.col("low") - F.col("high2") <= reach) & (F.col("low2") - F.col("high") <= reach)
-    may = (F.col("component") != F.col("component2")) & near & F.coalesce(100 * F.least("x", "x2") >= percent * F.greatest("x", "x2"), F.lit(True)) & (F.col("linked2") | (F.col("a") < F.col("a2")))
-    met = members.where("not linked").join(others, "key").where(may)
-    met = met.groupBy(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("x", "x2")).alias("x"), F.max(F.greatest("x", "x2")).alias("y"), F.max(F.least("empty", "empty2")).alias("empty"))
-    if need:
-        met = met.where(F.col("n") >= need(F.col("x"), F.col("y"), F.col("empty")))
-    rest = written(met.select("a", "b"))
-    if not rest.limit(1).count():
+    open_hubs = known.groupBy("b").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 1 and low <> high").select("b", "n")
+    cluster = written(known.join(open_hubs, "b"))
+    if not cluster.limit(1).count():
+        return parts
+    cluster = written(cluster.join(differences(cluster.select("a", "b")), ["a", "b"]))
+    side = lambda c: cluster.select("b", F.col("a").alias(c), F.col("x").alias(f"x_{c}"), F.col("diff").alias(f"diff_{c}"), F.col("component").alias(f"part_{c}"))
+    pairs = nearby(cluster, percent).distinct()
+    checked = pairs.join(side("p"), ["b", "p"]).join(side("q"), ["b", "q"])
+    apart = F.size("diff_p") + F.size("diff_q") - 2 * F.size(F.array_intersect("diff_p", "diff_q"))
+    checked = checked.withColumn("both", (F.col("x_p") + F.col("x_q") - apart) / 2).withColumnsRenamed({"x_p": "x", "x_q": "y"}).where(linked(percent))
+    more = written(checked.select(F.col("part_p").alias("a"), F.col("part_q").alias("b")).distinct())
+    if not more.limit(1).count():
         return parts
-    more = written(overlaps(rest).where(F.col("exact") & linked(percent)).select("a", "b"))
-    return components(edges.union(more)) if more.limit(1).count() else parts
+    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = parts.union(alone).join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return written(every)
+
+
+def nearby(cluster: DataFrame, percent: int) -> DataFrame:
+    """b, p, q: the pairs of a hub's nodes that can link, are not of one component, and of which ``p``
+    doesn't link to the hub ``b`` (a superset, found by a prefix filter on their differences).
+
+    With sizes x, y and differences of d, e elements from the hub, two sets differ in d + e - 2 * o
+    elements if o of those are common, so a link needs o of at least (d + e - c * (x + y)) / 2,
+    where c = (100 - percent) / (100 + percent). That is positive unless both link to the hub. Under an
+    order of the elements, the rarest of the cluster first, two lists that share o elements share one
+    within their first d - o + 1 and e - o + 1. As o grows with the other's distance, the prefixes are cut
+    for each class of the other's distance apart. What only one node has can't be shared and is never sent.
+    """
+    few = cluster.where(F.col("n") <= FEW)
+    one = few.where("not linked").select("b", F.col("a").alias("p"), F.col("component").alias("part"))
+    two = few.select("b", F.col("a").alias("q"), F.col("component").alias("part_q"), F.col("linked").alias("linked_q"))
+    pairs = one.join(two, "b").where("part <> part_q and (linked_q or p < q)").select("b", "p", "q")
+
+    c, span = (100 - percent) / (100 + percent), 100 / percent
+    many = cluster.where(F.col("n") > FEW).select("b", "a", "x", "y", "linked", "component", "diff", F.size("diff").alias("d"), F.greatest(F.lit(1), F.floor(2 * c * F.col("y") / CLASSES)).cast("int").alias("width"))
+    each = many.select("b", "a", F.explode("diff").alias("e"))
+    rare = each.groupBy("b", "e").agg(F.count("*").alias("times")).where("times > 1")
+    shared = each.join(rare, ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared"))
+    many = many.drop("diff").join(shared, ["b", "a"]).withColumn("class", F.floor(F.col("d") / F.col("width")).cast("int"))
+    most = (c * (1 + span) * F.col("x") / F.col("width")).cast("int") + 1
+    rows = many.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("class") - most), F.col("class") + most)).alias("other"))
+    other = F.col("other") * F.col("width")
+    least = F.greatest(F.lit(1), F.ceil((F.col("d") + other - c * (F.col("x") + F.least(span * F.col("x"), F.col("y") + other))) / 2 - 1e-6)).cast("int")
+    rows = rows.withColumn("least", least).where((F.col("least") <= F.col("d")) & (F.col("least") < other + F.col("width")))
+    take = F.col("d") - F.col("least") + 1 - (F.col("d") - F.size("shared"))
+    rows = rows.withColumn("take", take).where("take > 0").withColumn("s", F.explode(F.slice("shared", 1, F.col("take"))))
+    rows = rows.select("b", F.col("s.e").alias("e"), F.least("class", "other").alias("lo"), F.greatest("class", "other").alias("hi"), "a", "class", "linked", F.col("component").alias("part"))
+    rows = written(rows)
+    one = rows.where("not linked").select("b", "e", "lo", "hi", F.col("a").alias("p"), "class", "part")
+    two = rows.select("b", "e", "lo", "hi", F.col("a").alias("q"), F.col("class").alias("class_q"), F.col("linked").alias("linked_q"), F.col("part").alias("part_q"))
+    met = one.join(two, ["b", "e", "lo", "hi"]).where("part <> part_q and (linked_q or p < q) and (class <> class_q or lo = hi)")
+    return pairs.union(met.select("b", "p", "q"))

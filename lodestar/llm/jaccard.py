@@ -8,10 +8,8 @@ the same or the next band; a set is cut for its own band, and for the one below
 partner there, and the hash of each fragment is a key that partners share. That finds every
 pair, and a common word or passage makes no pairs unless it fills whole fragments.
 
-For candidate pairs, counts of elements in finer ranges of the order bound the overlap from above,
-which rules most of them out; for the rest the overlap is counted in each of ``PARTS`` fragments
-apart and summed by pair, exactly (up to collisions of 64-bit hashes), so large sets are never
-in one piece.
+The overlap of a pair to verify is counted in each of ``PARTS`` fragments apart and summed by
+pair, exactly (up to collisions of 64-bit hashes), so large sets are never in one piece.
 
 Equal sets are one node. The nodes of one key don't all meet (see ``components.resolved``), yet no
 link between components is lost. Keys are combined in each batch before the shuffle, so that a
@@ -28,23 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestar.llm.common import release, small, unwrapped, wrapped, written
-from lodestar.llm.components import linked, resolved
+from lodestar.llm.common import pieces, small, unwrapped, wrapped, written
+from lodestar.llm.components import resolved
 
 N, PERCENT = 4, 85
 PARTS = 8
 #: So many fragments more than differences can spoil, or a tenth; sets with as many empty ones get
 #: keys for those.
 SPARE = 3
-ROWS = 4096
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,18 +95,19 @@ class Bands:
         most = self.differences(band)
         return most + 1 + min(most, max(SPARE, most // 10))
 
-    def need(self, x: F.Column, y: F.Column, empty: F.Column) -> F.Column:
-        """The fewest keys that two linked sets of sizes x <= y share at the smaller's level, where
-        one has at most ``empty`` empty fragments: all fragments but those that differences spoil."""
-        self.band(1 << 40)
-        fragments = F.array(*(F.lit(self.fragments(i)) for i in range(len(self.starts) - 1)))
-        band = F.size(F.filter(F.array(*map(F.lit, self.starts)), lambda s: s <= x))
-        return F.element_at(fragments, band) - F.floor((100 - self.percent) * (x + y) / (100 + self.percent)) - empty
+    def need(self, size: int, band: int, empty: int) -> int:
+        """The fewest keys that a set shares with any that it links to at a band's level: all fragments
+        but those that are empty and those that the differences of a linked pair spoil, of which the other
+        is as large as can be (at its own level), or ends before this one's band (at the one below)."""
+        other = size * 100 // self.percent if band == self.band(size) else self.starts[band + 1] - 1
+        spoilt = (100 - self.percent) * (size + other) // (100 + self.percent)
+        return max(1, self.fragments(band) - spoilt - empty)
 
 
 def keys(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The fragment keys of a set for its levels, and the number of empty fragments at each key's."""
-    found, empties, spread = [], [], mixed(own + _GOLD)
+    """The fragment keys of a set for its levels, and beside each its level and how many keys of that level
+    the set shares with any that it links to, as ``need << 8 | level``."""
+    found, tags, spread = [], [], mixed(own + _GOLD)
     for level in bands.levels(len(own)):
         most, count = bands.differences(level), bands.fragments(level)
         where = ((own >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
@@ -119,35 +115,16 @@ def keys(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         sums = np.add.reduceat(spread, first)
         place = np.uint64(level) << np.uint64(40)
         found.append(mixed(sums + mixed(where[first] + place + np.uint64(1))))
-        if count - len(first) >= count - most:
+        if len(first) <= most:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), where[first])
             found.append(mixed(mixed(empty + place + np.uint64(1))))
-        empties.append(np.full(sum(map(len, found)) - sum(map(len, empties)), count - len(first), np.int32))
-    return np.concatenate(found), np.concatenate(empties)
-
-
-def bins(own: np.ndarray) -> np.ndarray:
-    """How many elements lie in each of 2 ** k equal ranges, k by the set's size (16-bit counts)."""
-    k = max(6, int(len(own) - 1).bit_length() - 1)
-    return np.minimum(np.bincount((own >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 65535).astype(np.uint16)
-
-
-def bound(a: bytes, b: bytes) -> int:
-    """The most elements that two sets can share, by their counts in the ranges of the coarser."""
-    x, y = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.uint16).astype(np.int64)
-    if max(x.max(), y.max()) == 65535:
-        return int(max(x.sum(), y.sum()) * 65536)
-    if len(x) > len(y):
-        x = x.reshape(len(y), -1).sum(1)
-    elif len(y) > len(x):
-        y = y.reshape(len(x), -1).sum(1)
-    return int(np.minimum(x, y).sum())
+        tags.append(np.full(sum(map(len, found)) - sum(map(len, tags)), bands.need(len(own), level, count - len(first)) << 8 | level, np.int64))
+    return np.concatenate(found), np.concatenate(tags)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
     for whole in batches:
-        for at in range(0, whole.num_rows, ROWS):
-            part = whole.slice(at, ROWS)
+        for part in pieces(whole, 1):
             yield part.column(0), part.column(1).to_pylist()
 
 
@@ -165,10 +142,10 @@ def named(docs: DataFrame, n: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """route, node, empty, key, up: within a batch the first node of a key stands for the others.
+    """route, node, tag, key, up: within a batch the first node of a key stands for the others.
 
-    The first has route = key and nothing else; another has its key, its first as ``up``, and a
-    route of its own.
+    The first has route = key, and itself as ``up`` if there are others; another has its key, its first
+    as ``up``, and a route of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,29 +156,19 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 continue
             each = [keys(s, bands) for s in sets]
             key = np.concatenate([k for k, _ in each]).view(np.int64)
-            empty = np.concatenate([e for _, e in each])
+            tag = np.concatenate([t for _, t in each])
             node = np.repeat(np.array([node_of(s) for s in sets], np.int64), [len(k) for k, _ in each])
             order = np.lexsort((node, key))
-            key, node, empty = key[order], node[order], empty[order]
+            key, node, tag = key[order], node[order], tag[order]
             new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-            key, node, empty = key[new], node[new], empty[new]
+            key, node, tag = key[new], node[new], tag[new]
             first = np.append(True, key[1:] != key[:-1])
             up = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+            alone = first & np.append(first[1:], True)
             route = np.where(first, key, mixed(key.view(np.uint64) ^ mixed(node.view(np.uint64))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(node), pa.array(empty), pa.array(key, mask=first), pa.array(up, mask=first)], names=["route", "node", "empty", "key", "up"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "route long, node long, empty int, key long, up long")
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(node), pa.array(tag), pa.array(key, mask=first), pa.array(up, mask=alone)], names=["route", "node", "tag", "key", "up"])
 
-
-def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """node, size, bins of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
-            sets = [s for s in (grams(t, n) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bins(s).tobytes() for s in sets], pa.binary())], names=["node", "size", "bins"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, size long, bins binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "route long, node long, tag long, key long, up long")
 
 
 def parted(docs: DataFrame, n: int, parts: int = PARTS) -> DataFrame:
@@ -222,22 +189,17 @@ def parted(docs: DataFrame, n: int, parts: int = PARTS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, part int, own array<long>")
 
 
-@F.pandas_udf(T.LongType())
-def _bounds(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([bound(x, y) for x, y in zip(a, b)], dtype="int64")
-
-
 class Candidates:
-    """Overlaps of pairs of nodes, from the first document of each node; by a hash of the text if none has an id."""
+    """The sets of nodes, from the first document of each node; by a hash of the text if none has an id."""
 
-    def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> None:
-        self.docs, self.nodes, self.n, self.percent = docs.select("doc_id", "text"), nodes, n, percent
+    def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int) -> None:
+        self.docs, self.nodes, self.n = docs.select("doc_id", "text"), nodes, n
         self.unnamed = nodes.where("first is null").limit(1).count() > 0
         self.repeats = self.unnamed or repeats(rows)
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """The documents that stand for nodes."""
-        firsts = written(wanted.distinct().join(self.nodes, "node").select(F.col("first").alias("of"), "tag"))
+        firsts = written(wanted.join(self.nodes, "node").select(F.col("first").alias("of"), "tag"))
         firsts = small(firsts, firsts.count())
         named = self.docs.join(firsts, F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", "text")
         if not self.unnamed:
@@ -245,28 +207,38 @@ class Candidates:
         tags = firsts.where("of is null").select("tag")
         return named.union(self.docs.where("doc_id is null").join(tags, F.xxhash64("text") == F.col("tag"), "left_semi").select("doc_id", "text"))
 
-    def _once(self, df: DataFrame, *by: str) -> DataFrame:
-        return df.dropDuplicates([*by]) if self.repeats else df
-
-    def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """a, b, x, y, both, exact of each pair. A bound from the counts in ranges of the global
-        order rules most pairs out (exact is false); for the others the overlap in each of
-        ``PARTS`` fragments is counted apart and summed by pair."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-        sketch = written(self._once(sketched(self._texts(ends), self.n), "node"))
-        side = lambda c, size, bins: sketch.select(F.col("node").alias(c), F.col("size").alias(size), F.col("bins").alias(bins))
-        both = pairs.join(side("a", "x", "bins_a"), "a").join(side("b", "y", "bins_b"), "b")
-        both = written(both.select("a", "b", "x", "y", _bounds("bins_a", "bins_b").alias("both")))
-        left = both.where(linked(self.percent)).drop("both")
-        n = left.count()
-        sets = self._once(parted(self._texts(left.select(F.col("a").alias("node")).union(left.select("b"))), self.n), "node", "part")
-        # a's fragments are sent to b's place at once; b's go there as well, but for sets that are no b
-        mine = sets.join(small(left, n), F.col("node") == F.col("a")).select("a", "b", "part", "x", "y", F.col("own").alias("own_a"))
-        ends = left.select(F.col("b").alias("end")).distinct()
-        theirs = sets.join(small(ends, n), F.col("node") == F.col("end"), "left_semi").select(F.col("node").alias("b"), "part", F.col("own").alias("own_b"))
-        each = mine.join(theirs, ["b", "part"]).select("a", "b", "x", "y", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("n"))
-        exact = each.groupBy("a", "b", "x", "y").agg(F.sum("n").alias("both")).withColumn("exact", F.lit(True))
-        return exact.unionByName(both.where(~linked(self.percent)).withColumn("exact", F.lit(False)))
+    def parts(self, wanted: DataFrame) -> DataFrame:
+        """node, part, own of the nodes ``wanted`` (distinct)."""
+        sets = parted(self._texts(wanted), self.n)
+        return written(sets.dropDuplicates(["node", "part"]) if self.repeats else sets)
+
+
+def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, part, own_a, own_b of each pair and fragment; every set has a row for each fragment."""
+    mine = sets.join(pairs.select("a", "b"), F.col("node") == F.col("a")).select("a", "b", "part", F.col("own").alias("own_a"))
+    return mine.join(sets.select(F.col("node").alias("b"), "part", F.col("own").alias("own_b")), ["b", "part"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, x, y, both of each pair: the overlap in each fragment is counted apart and summed by pair."""
+    total = lambda c: F.sum(F.size(c).cast("long"))
+    return _sides(pairs, sets).groupBy("a", "b").agg(total("own_a").alias("x"), total("own_b").alias("y"), total(F.array_intersect("own_a", "own_b")).alias("both"))
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, diff of each pair: the elements that only one of the two has, found in each fragment apart."""
+    only = F.concat(F.array_except("own_a", "own_b"), F.array_except("own_b", "own_a"))
+    return _sides(pairs, sets).groupBy("a", "b").agg(F.flatten(F.collect_list(only)).alias("diff"))
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """key, node of the nodes that may link, by the keys that others hold as well. A node that shares
+    fewer keys of a level than any link of it needs is left out there."""
+    route = Window.partitionBy("route")
+    seen = found.select("*", F.min("node").over(route).alias("low"), F.max("node").over(route).alias("high"))
+    held = seen.where("up is not null or low < high").select(F.coalesce("key", "route").alias("key"), "node", "tag").distinct()
+    of_level = F.count("*").over(Window.partitionBy("node", "tag"))  # at most a row for each fragment of a set
+    return held.withColumn("n", of_level).where(F.col("n") >= F.shiftright("tag", 8)).select("key", "node")
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -274,15 +246,10 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     rows = written(named(docs, n))
     nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("tag").alias("tag"), F.count("*").alias("n_rows")))
 
-    least = F.first("node").over(Window.partitionBy("route").orderBy("node"))
-    lists = written(keyed(docs, n, percent).withColumn("least", F.when(F.col("up").isNull(), least).otherwise(F.col("up"))).where("node <> least").select(F.coalesce("key", "route").alias("key"), "node", "empty", "least", F.col("up").isNotNull().alias("inner")))
-    release(docs.sparkSession)
-    outer = lists.where("not inner").select("key", F.col("node").alias("mid"), F.col("least").alias("end")).distinct()
-    inner = lists.where("inner").withColumnRenamed("least", "mid").join(outer, ["key", "mid"], "left").select("key", "node", "empty", F.coalesce("end", "mid").alias("least"))
-    lists = written(lists.where("not inner").select("key", "node", "empty", "least").union(inner).where("node <> least").distinct())
-
-    release(docs.sparkSession)
-    parts = resolved(lists, Candidates(docs, rows, nodes, n, percent).overlaps, percent, Bands(percent).need)
+    members = written(shared(keyed(docs, n, percent)))
+    found = Candidates(docs, rows, nodes, n)
+    sets = found.parts(members.select("node").distinct())
+    parts = resolved(members, lambda pairs: compared(pairs, sets), lambda pairs: differences(pairs, sets), percent)
 
     firsts = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = firsts.groupBy("component").agg(F.min("first").alias("component_id"))

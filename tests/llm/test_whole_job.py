@@ -2,10 +2,9 @@
 
 import random
 
-import numpy as np
 import pytest
 
-from lodestar.llm import jaccard, licences, lines
+from lodestar.llm import components, jaccard, licences, lines
 
 SYLLABLES = "the er on an re ha ing st or en ea ti ed is wh ou".split()
 
@@ -58,6 +57,32 @@ def test_a_null_id_near_copy_does_not_part_a_group(spark):
     assert sorted(r.component_id for r in rows) == sorted(2 * i for i in range(20) for _ in range(3))
 
 
-def test_more_empty_fragments_than_sixteen_bits_hold():
-    found, empty = jaccard.keys(np.arange(200_000, dtype=np.uint64), jaccard.Bands())
-    assert len(found) == len(empty) and empty.max() > 32767
+@pytest.mark.parametrize("share", [0.01, 0.03, 0.05])
+def test_large_groups_of_near_copies_lose_no_link(spark, share, monkeypatch):
+    """One text's copies with edits of their own, and chains of copies of copies: clusters above and below FEW."""
+    draw = random.Random(int(share * 1000))
+    base = prose(draw, 120).split(" ")
+    edit = lambda ws: [w if draw.random() > share else "".join(draw.choices(SYLLABLES, k=4)) for w in ws]
+    texts = [edit(base) for _ in range(150)]
+    for _ in range(100):
+        texts.append(edit(draw.choice(texts)))
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[j : j + 4]) for j in range(len(t) - 3)} for t in texts]
+    up = list(range(len(sets)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    assert len({find(i) for i in up}) < len(up)
+    for few in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        got = {r.doc_id: r.component_id for r in jaccard.joined(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == {i: find(i) for i in range(len(sets))}
