@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words of a lower-cased text for verbatim comparison.
 WORD = "[a-z0-9']+"
@@ -14,7 +18,7 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def shingles(tokens: Column, n: int) -> Column:
+def shingles(tokens: Column, n: int | Column) -> Column:
     """The distinct n-word shingles of an array of words, empty when there are fewer than n.
 
     ``tokens`` should be a column of its own: an expression would be computed anew for each shingle.
@@ -56,10 +60,36 @@ def quote_backs_number(quote: Column, value: Column) -> Column:
     return F.coalesce(F.array_contains(F.regexp_extract_all(quote, F.lit(r"\d+"), F.lit(0)), value.cast("string")), F.lit(False))
 
 
-def quote_backs_words(quote: Column, value: Column, stop: Column, least: int = 4) -> Column:
-    """Whether a quote shares a word of at least ``least`` letters, not a stop word, with a value."""
-    long = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
-    return F.coalesce(F.arrays_overlap(long(quote), long(value)), F.lit(False))
+#: What a quotation must hold to back a check, and words that back nothing.
+CHECK_WORDS = {
+    "enhanced": ("enhanced",),
+    "basic": ("basic",),
+    "none": ("dbs", "criminal record", "background check", "disclosure"),
+    "required_unspecified": ("dbs", "criminal record", "background check", "disclosure"),
+}
+STOP = ("with", "your", "from", "that", "this", "their", "they", "will", "have", "volunteer", "volunteers", "volunteering", "role", "help", "people", "about")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def quote_backs_check(quote: Column, value: Column) -> Column:
+    """Whether a quote holds a word of the check that it is to back."""
+    out = F
+    for name, found in CHECK_WORDS.items():
+        out = out.when(value == name, F.lower(quote).rlike("|".join(found)))
+    return F.coalesce(out.otherwise(F.lit(False)), F.lit(False))
+
+
+def quote_backs_season(quote: Column, start: Column, end: Column) -> Column:
+    """Whether a quote names both months of a season, in full or by three letters."""
+    short = F.array(*(F.lit(m[:3]) for m in MONTHS))
+    names = lambda m: F.lower(quote).contains(F.get(short, m - 1))
+    return F.coalesce(names(start) & names(end), F.lit(False))
+
+
+def quote_backs_words(quote: Column, value: Column, stop: tuple[str, ...] = STOP, least: int = 4) -> Column:
+    """Whether a quote holds a word of at least ``least`` letters of a value, but a stop word."""
+    long = F.array_except(F.regexp_extract_all(F.lower(value), F.lit(f"[a-z]{{{least},}}"), F.lit(0)), F.array(*map(F.lit, stop)))
+    return F.coalesce(F.exists(long, lambda w: F.lower(quote).contains(w)), F.lit(False))
 
 
 def place_key(name: Column) -> Column:
@@ -85,11 +115,21 @@ def name_slug(text: Column) -> Column:
 
 
 def title_key(title: Column) -> Column:
-    """A title's key: bracketed parts dropped, letters and digits only, single blanks."""
-    x = F.regexp_replace(F.lower(title), r"\([^)]*\)|\[[^\]]*\]", " ")
+    """A title's key: parts in round brackets dropped, letters and digits only, single blanks."""
+    x = F.regexp_replace(F.replace(F.lower(unescaped(title)), F.lit("\u2019"), F.lit("'")), r"\([^)]*\)", " ")
     return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
+@F.pandas_udf(StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded; texts without & never leave the JVM's hands changed."""
+    return F.when(text.contains("&"), _unescape(text)).otherwise(text)
+
+
 def labelled_line(text: Column, label: str) -> Column:
     """The value of the first line ``label: value``; null where there is none."""
     found = F.regexp_extract(text, rf"(?mi)^\s*{label}\s*:[ \t]*(.+?)\s*$", 1)
@@ -123,22 +163,48 @@ def first_rule(text: Column, rules: list[tuple[str, str]], default: str) -> Colu
     return out.otherwise(F.lit(default))
 
 
-def schedule(text: Column) -> Column:
-    """(commitment, times) that a timing text states: struct<commitment, times array>."""
-    low = F.lower(text)
-    commitment = first_rule(text, [(r"one[- ]off|one day|single day", "one_off"), (r"fortnight|every other week", "fortnightly"), (r"month", "monthly"), (r"week", "weekly"), (r"flexible|any time", "flexible")], "unknown")
-    day, week_end = low.rlike(r"weekday|monday|tuesday|wednesday|thursday|friday"), low.rlike(r"weekend|saturday|sunday")
-    evening, daytime = low.rlike("evening|night"), low.rlike("morning|afternoon|daytime")
-    times = F.array_compact(
-        F.array(
-            F.when(day & (daytime | ~evening), F.lit("weekday_daytime")),
-            F.when(day & evening, F.lit("weekday_evening")),
-            F.when(week_end & (daytime | ~evening), F.lit("weekend_daytime")),
-            F.when(week_end & evening, F.lit("weekend_evening")),
-            F.when(low.rlike("overnight"), F.lit("overnight")),
-        )
+def schedule(text: Column, christmas: Column) -> Column:
+    """struct<commitment, times> that a board's timing text states; unknown and flexible unless it says.
+    One shift is a one-off only in the Christmas season; a day of the week means weekly."""
+    low = F.coalesce(F.lower(text), F.lit(""))
+    week, end = low.rlike(r"\b(?:mon|tues|wednes|thurs|fri)days?\b"), low.rlike(r"\b(?:satur|sun)days?\b")
+    commitment = (
+        F.when(low.rlike(r"\b(?:1|one) (?:complete |full )?shift\b") & F.coalesce(christmas, F.lit(False)), "one_off")
+        .when(low.rlike(r"\b(?:per|a|every|each) week\b|\bweekly\b") | week | end, "weekly")
+        .when(low.rlike(r"\b(?:per|a|every|each) month\b|\bmonthly\b"), "monthly")
+        .otherwise("unknown")
     )
-    return F.struct(commitment.alias("commitment"), times.alias("times"))
+    times = F.array_compact(F.array(F.when(week, F.lit("weekday_daytime")), F.when(end, F.lit("weekend_daytime"))))
+    return F.struct(commitment.alias("commitment"), F.when(F.size(times) > 0, times).otherwise(F.array(F.lit("flexible"))).alias("times"))
+
+
+#: Words of a title and the activity that they stand for, first rule first.
+ACTIVITIES = [
+    ("shop|retail|e-commerce|warehouse|picker|collections", "shop_warehouse"),
+    ("chef|kitchen|cook|catering", "cooking_serving"),
+    ("advice|caseworker|mental health", "advice"),
+    ("driver|delivery|minibus|handyperson", "practical"),
+    ("digital|it support|av support|coordinator|operations|quartermaster|admin|office", "admin"),
+    ("welcome|reception|wellbeing|guest welfare|night owl|hotel assistant|befriend", "befriending"),
+    ("fundrais|partner events|event", "fundraising"),
+]
+#: Words of a disclosure label and the check that they state, first rule first.
+CHECKS = [
+    (r"\bnone\b|\bno\b|\bn/?a\b|not (?:needed|required)|nothing", "none"),
+    (r"\benhanced\b", "enhanced"),
+    (r"\bbasic\b", "basic"),
+    (r"\bdbs\b|disclosure|criminal record|background check", "required_unspecified"),
+]
+
+
+def activity_of(title: Column) -> Column:
+    """The activity that a title names, else varies."""
+    return first_rule(title, ACTIVITIES, "varies")
+
+
+def check_of(label: Column) -> Column:
+    """The check that a label states, else unknown."""
+    return first_rule(F.coalesce(label, F.lit("")), CHECKS, "unknown")
 
 
 def marker(text: Column, name: str) -> Column:
@@ -157,7 +223,8 @@ def serial(items: Column, word: str = "and") -> Column:
 def role_text(sections: Column, link: Column, title: Column) -> Column:
     """The sections (array of struct url, text) that belong to a role: the first, those at its link
     and those that name its title; all where only the first would be left."""
-    own = F.filter(sections, lambda s, i: (i == 0) | (s["url"] == link) | F.lower(s["text"]).contains(F.lower(title)))
+    bare = lambda u: F.rtrim(F.regexp_replace(u, "#.*$", ""), F.lit("/"))
+    own = F.filter(sections, lambda s, i: (i == 0) | F.coalesce((bare(link) != "") & (bare(s["url"]) == bare(link)), F.lit(False)) | F.coalesce((title != "") & F.lower(s["text"]).contains(F.lower(title)), F.lit(False)))
     return F.when(F.size(own) > 1, own).otherwise(sections)
 
 

@@ -61,11 +61,11 @@ def in_season(start: Column, end: Column, month: Column) -> Column:
     return F.when(start <= end, month.between(start, end)).otherwise((month >= start) | (month <= end))
 
 
-def status_today(status: Column, start: Column, end: Column, next_intake: Column, today: Column) -> Column:
-    """An open role outside its season, or before its next intake, is closed for the season."""
-    outside = start.isNotNull() & ~in_season(start, end, F.month(today))
-    early = next_intake.isNotNull() & (F.to_date(next_intake) > today)
-    return F.when((status == "open") & F.coalesce(outside | early, F.lit(False)), "seasonal_closed").otherwise(status)
+def status_today(status: Column, start: Column, end: Column, today: Column) -> Column:
+    """The status that still holds on a day: "closed for the season" says nothing once the season that
+    it names has begun, so it is unknown inside its window."""
+    inside = F.coalesce(in_season(start, end, F.month(today)), F.lit(False))
+    return F.when((status == "seasonal_closed") & inside, "unknown").otherwise(status)
 
 
 def share_bucket(n: Column, most: Column, buckets: int = 3) -> Column:
@@ -82,9 +82,11 @@ def minutes(seconds: Column) -> Column:
     return F.bround(seconds / 60).cast("int")
 
 
-def asserted(value: Column) -> Column:
-    """Whether a text value claims anything: not null, empty or unknown."""
-    return value.isNotNull() & ~value.isin("", "unknown")
+def asserted(value: Column, default: str | None = None) -> Column:
+    """Whether a text value claims anything: not null, empty, unknown, or the ``default`` that a page
+    never spells out (``individual`` for who can apply)."""
+    claims = value.isNotNull() & ~value.isin("", "unknown")
+    return claims & (value != default) if default else claims
 
 
 def asserted_list(values: Column) -> Column:

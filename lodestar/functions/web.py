@@ -40,14 +40,20 @@ def absolute(base: Column, link: Column) -> Column:
     """A link resolved against its page (rooted paths and full URLs), without its fragment."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
-    full = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, F.lit("/"), link))
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    full = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, F.lit("/"), link))
     return F.regexp_replace(full, r"#.*$", "")
 
 
-def platform_hosts(html: Column) -> Column:
-    """The sorted distinct hosts of a page's full links."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(r'(?i)\bhref\s*=\s*"(https?://[^"]*)"'), F.lit(1)), host)
-    return F.array_sort(F.array_distinct(F.filter(found, lambda h: h != "")))
+#: What the hosts of volunteer platforms hold.
+PLATFORMS = r"(?i)goassemble|rosterfy|betterimpact|simplyvolunteer|teamkinetic|volunteerplus|volunteer|volunteering|do-it\.org|assemblevolunteering"
+
+
+def platform_hosts(html: Column, url: Column) -> Column:
+    """The sorted distinct hosts of volunteer platforms that a page links to, but its own."""
+    links = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    found = F.transform(links, lambda h: host(absolute(url, h)))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda h: (h != "") & (h != host(url)) & h.rlike(PLATFORMS))))
 
 
 def unread_hosts(hosts: Column, covered: Column) -> Column:
@@ -62,10 +68,14 @@ def known_pages(links: Column, landing: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda x: x.rlike("(?i)^https?://") & ~x.rlike(DOCUMENTS) & (trim(x) != trim(landing))))
 
 
-def updated_date(html: Column) -> Column:
-    """The date (yyyy-MM-dd) of a page's modified mark within its first 20,000 characters."""
-    found = F.regexp_extract(F.substring(html, 1, 20_000), r'(?i)(?:article:modified_time|dateModified|og:updated_time)["\'\s:=]*(?:content\s*=\s*)?["\']?\s*(\d{4}-\d{2}-\d{2})', 1)
-    return F.when(found != "", found)
+#: Fixed value: how a page states its last change.
+UPDATED = r"(?i)(?:last\s+)?updated[:\s]*(\d{1,2}(?:st|nd|rd|th)?\s+\w+,?\s+\d{4}|\d{4}-\d{2}-\d{2})"
+
+
+def updated_date(text: Column) -> Column:
+    """The date, as written, after "updated" within the first 20,000 characters of a page's text."""
+    found = F.regexp_extract(F.substring(text, 1, 20_000), UPDATED, 1)
+    return F.when(found != "", F.trim(found))
 
 
 def looks_client_rendered(html: Column, prose_length: Column) -> Column:

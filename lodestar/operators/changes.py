@@ -115,11 +115,19 @@ def upsert_actions(old: DataFrame, new: DataFrame, key: str, changed: Column, re
     return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), action.alias("action"))
 
 
-def suffixed(df: DataFrame, base: str, order: list[Column], out: str = "id") -> DataFrame:
-    """base, base-2, base-3 … in order. A suffixed name that is another row's base is possible; see
-    ``taken_clashes``."""
+def suffixed(df: DataFrame, base: str, order: list[Column], out: str = "id", taken: DataFrame | None = None) -> DataFrame:
+    """base, base-2, base-3 … in order, but for names that are taken: the ids of ``taken`` (id), and
+    all bases themselves."""
+    names = df.select(F.col(base).alias("_t"))
+    own = names.limit(0) if taken is None else taken.select(F.col("id").cast("string").alias("_t"))
+    tail = F.expr("try_cast(regexp_extract(_t, '-([1-9][0-9]{0,8})$', 1) as int)")
+    used = names.union(own).distinct().select(F.regexp_extract("_t", "^(.*)-[1-9][0-9]{0,8}$", 1).alias("_b"), tail.alias("_k")).where("_k >= 2")
+    each = used.union(own.distinct().select("_t", F.lit(1))).groupBy("_b").agg(F.array_sort(F.collect_set("_k")).alias("_used"))
     n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), n.cast("string"))))
+    numbered = df.withColumn("_n", n).join(each, F.col(base) == F.col("_b"), "left")
+    # the n-th number that isn't used: each used one up to it moves it on by one
+    free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_n"), lambda a, u: F.when(u <= a, a + 1).otherwise(a))
+    return numbered.withColumn("_n", free).withColumn(out, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("_n").cast("string")))).drop("_n", "_b", "_used")
 
 
 def taken_clashes(df: DataFrame, col: str) -> DataFrame:

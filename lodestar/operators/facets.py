@@ -7,7 +7,7 @@ facets hold, and one aggregation adds them up.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,11 +116,8 @@ def with_zeros(counts: DataFrame, listed: DataFrame) -> DataFrame:
 
 def grid(df: DataFrame, first: str, *others: str) -> DataFrame:
     """Counts by ``first`` alone and by it with each other column; only combinations with rows."""
-    sets = ", ".join([f"({first})", *(f"({first}, {o})" for o in others)])
-    view = f"_grid_{abs(hash((id(df), first, others)))}"
-    df.createOrReplaceTempView(view)
-    cols = ", ".join((first, *others))
-    return df.sparkSession.sql(f"select {cols}, grouping_id() as level, count(*) as n from {view} group by grouping sets ({sets})")
+    sets = [[F.col(first)], *([F.col(first), F.col(o)] for o in others)]
+    return df.groupingSets(sets, first, *others).agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
 
 
 def door_grid(roles: DataFrame) -> DataFrame:
@@ -133,21 +130,51 @@ def door_grid(roles: DataFrame) -> DataFrame:
     return placed.join(free, "door", "left").select("door", "borough", (F.col("exact") + F.coalesce("free", F.lit(0))).alias("n"), "exact")
 
 
+def door_activity(roles: DataFrame) -> DataFrame:
+    """door, activity, n: pages of a door and an activity that have roles."""
+    doors = F.array(*(F.when(in_door(F.col("commitment"), d), F.lit(d)) for d in DOORS))
+    return roles.select("activity", F.explode(F.array_compact(doors)).alias("door")).groupBy("door", "activity").agg(F.count("*").alias("n"))
+
+
+def majority_note(df: DataFrame, by: str, silent: Column, least: int = 3) -> DataFrame:
+    """by, n, silent, note: whether a group of ``least`` rows or more is silent on something in half of them."""
+    out = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(silent).alias("silent"))
+    return out.withColumn("note", (F.col("n") >= least) & (2 * F.col("silent") >= F.col("n")))
+
+
+def discoverable(roles: DataFrame) -> DataFrame:
+    """Roles that one person can ask about: neither for teams only nor closed."""
+    return roles.where(~true(F.col("who_can_apply") == "team_only") & ~true(F.col("status") == "closed"))
+
+
 def unnest_counts(df: DataFrame, values: Column) -> DataFrame:
     """option, n: rows that hold each value of an array, and those with none under null."""
     return df.select(F.explode_outer(F.array_distinct(values)).alias("option")).groupBy("option").agg(F.count("*").alias("n"))
 
 
-def relaxations(df: DataFrame, chosen: dict[str, Column], most: int = 3) -> DataFrame:
-    """facet, n, place: the facets whose removal finds rows, and other than now, best first."""
-    flags = df.select(*(true(p).alias(k) for k, p in chosen.items()))
-    now = F.count_if(all_of([F.col(k) for k in chosen])).alias("_now")
-    sums = [F.count_if(all_of([F.col(k) for k in chosen if k != f])).alias(f) for f in chosen]
-    row = flags.agg(now, *sums)
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).alias("n"), F.lit(i).alias("i")) for i, f in enumerate(chosen))))
-    found = row.select("_now", each.alias("x")).select("_now", "x.*").where("n > 0 and n <> _now")
+#: What an empty result offers instead: a name, and the choices that it changes, in order of preference.
+RELAXED = (
+    ("zones", {"zones": []}),
+    ("borough", {"borough": ""}),
+    ("activity", {"activity": ""}),
+    ("open", {"open": False}),
+    ("who", {"who": ""}),
+    ("door_one_off", {"door": "one_off"}),
+    ("door_weekly", {"door": "weekly"}),
+)
+
+
+def relaxations(df: DataFrame, query: Query, most: int = 3) -> DataFrame:
+    """relaxed, n, place: the changes of a query that find rows, best first, in one scan; a change
+    that leaves the query as it is isn't offered."""
+    tried = [(name, replace(query, **change)) for name, change in RELAXED if any(getattr(query, k) != v for k, v in change.items())]
+    if not tried:
+        return df.sparkSession.createDataFrame([], "relaxed string, n long, place int")
+    sums = [F.count_if(all_of([true(p) for p in q.predicates().values()])).alias(name) for name, q in tried]
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("relaxed"), F.col(name).alias("n"), F.lit(i).alias("i")) for i, (name, _) in enumerate(tried))))
+    found = df.agg(*sums).select(each.alias("x")).select("x.*").where("n > 0")
     place = F.row_number().over(Window.orderBy(F.desc("n"), "i"))
-    return found.withColumn("place", place).where(F.col("place") <= most).select("facet", "n", "place")
+    return found.withColumn("place", place).where(F.col("place") <= most).select("relaxed", "n", "place")
 
 
 def binding(chosen: dict[str, Column], order: tuple[str, ...] = ("zones", "borough", "activity", "who", "open")) -> str:
@@ -162,17 +189,23 @@ def weight(value: Column, table: dict[str, int], other: int = 9) -> Column:
     return out.otherwise(other)
 
 
+def hours() -> Column:
+    """A shift's hours for sorting: 0 is as unknown as null, and comes last."""
+    h = F.col("typical_shift_hours")
+    return F.when(h != 0, h).otherwise(99.0)
+
+
 def page_order() -> list[Column]:
     """Open roles first, then by commitment, then by hours, then in their own order."""
-    return [weight(F.col("status"), STATUS_RANK, 2), weight(F.col("commitment"), PAGE_WEIGHT), F.coalesce("typical_shift_hours", F.lit(99.0)), F.col("ord")]
+    return [weight(F.col("status"), STATUS_RANK, 2), weight(F.col("commitment"), PAGE_WEIGHT), hours(), F.col("ord")]
 
 
 def soonest_order() -> list[Column]:
-    return [weight(F.col("status"), STATUS_RANK, 2), weight(F.col("commitment"), SOON_WEIGHT), F.coalesce("typical_shift_hours", F.lit(99.0)), F.col("ord")]
+    return [weight(F.col("status"), STATUS_RANK, 2), weight(F.col("commitment"), SOON_WEIGHT), hours(), F.col("ord")]
 
 
 def least_order() -> list[Column]:
-    return [weight(F.col("commitment"), PAGE_WEIGHT), F.coalesce("typical_shift_hours", F.lit(99.0)), F.col("ord")]
+    return [weight(F.col("commitment"), PAGE_WEIGHT), hours(), F.col("ord")]
 
 
 def title_order() -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE = "array<struct<x:double,y:double>>"
@@ -78,6 +78,14 @@ def seam(one: DataFrame, other: DataFrame) -> DataFrame:
     return ends(one).intersect(ends(other))
 
 
+def stitched(one: list[Point], two: list[Point], seams: list[list[Point]]) -> list[Point]:
+    """The outline of two polygons (closed rings) that meet along ``seams``: their edges but the shared ones,
+    chained into the longest ring. Seams are given as chains of points."""
+    gone = {tuple(sorted(e)) for line in seams for e in zip(line, line[1:])}
+    left = [e for ring in (one, two) for e in zip(ring, ring[1:]) if tuple(sorted(e)) not in gone]
+    return max(chained(left), key=len, default=[])
+
+
 def chained(edges: list[tuple[Point, Point]]) -> list[list[Point]]:
     """Undirected edges joined into lines: starts are loose ends in order, then loops."""
     near: dict[Point, list[Point]] = {}
@@ -129,9 +137,9 @@ def largest_ring(rings: Column) -> Column:
 def projected(df: DataFrame, lon: str, lat: str, width: float) -> DataFrame:
     """x, y in a picture of a width: equirectangular, scaled by the cosine of the middle latitude,
     y downwards, to a tenth."""
-    all_rows = Window.partitionBy()
-    west, east = F.min(lon).over(all_rows), F.max(lon).over(all_rows)
-    south, north = F.min(lat).over(all_rows), F.max(lat).over(all_rows)
+    box = df.agg(F.min(lon).alias("_w"), F.max(lon).alias("_e"), F.min(lat).alias("_s"), F.max(lat).alias("_n"))
+    df = df.crossJoin(F.broadcast(box))  # one row
+    west, east, south, north = (F.col(c) for c in ("_w", "_e", "_s", "_n"))
     squeeze = F.cos(F.radians((south + north) / 2))
     scale = F.lit(width) / ((east - west) * squeeze)
-    return df.withColumns({"x": F.round((F.col(lon) - west) * squeeze * scale, 1), "y": F.round((north - F.col(lat)) * scale, 1)})
+    return df.withColumns({"x": F.round((F.col(lon) - west) * squeeze * scale, 1), "y": F.round((north - F.col(lat)) * scale, 1)}).drop("_w", "_e", "_s", "_n")

@@ -9,18 +9,19 @@ from lodestar.functions.text import title_key
 
 
 def feed_gaps(feed: DataFrame, held: DataFrame) -> DataFrame:
-    """kind (missing or gone), link, title.
+    """kind (missing or gone), link, title. A slash at a link's end doesn't count.
 
     Missing: offers of the feed (title, link) whose title's key and whose link are both not held.
-    Gone: held links that the feed lacks, below a prefix (scheme, host, first folder) of the feed.
+    Gone: held offers whose link the feed lacks, below a prefix (scheme, host, first folder) of the feed.
     """
-    prefix = lambda c: F.concat(F.substring_index(c, "/", 4), F.lit("/"))
-    keys = held.select(title_key(F.col("title")).alias("key")).where("key <> ''").distinct()
-    links = held.select("link").distinct()
-    missing = feed.withColumn("key", title_key(F.col("title"))).join(keys, "key", "left_anti").join(links, "link", "left_anti").select(F.lit("missing").alias("kind"), "link", "title")
+    bare = F.rtrim(F.coalesce("link", F.lit("")), F.lit("/"))
+    prefix = F.concat(F.substring_index("link", "/", 4), F.lit("/"))
     deep = F.size(F.split("link", "/")) > 4
-    prefixes = feed.where(deep).select(prefix(F.col("link")).alias("prefix")).distinct()
-    gone = held.where(deep).withColumn("prefix", prefix(F.col("link"))).join(feed.select("link").distinct(), "link", "left_anti").join(prefixes, "prefix", "left_semi").select(F.lit("gone").alias("kind"), "link", "title")
+    feed, held = feed.select("title", "link", bare.alias("bare")), held.select("title", "link", bare.alias("bare"))
+    keys = held.select(title_key(F.col("title")).alias("key")).distinct()
+    missing = feed.withColumn("key", title_key(F.col("title"))).join(keys, "key", "left_anti").join(held.select("bare").distinct(), "bare", "left_anti").select(F.lit("missing").alias("kind"), "link", "title")
+    prefixes = feed.where(deep).select(prefix.alias("prefix")).distinct()
+    gone = held.where(deep).withColumn("prefix", prefix).join(feed.select("bare").distinct(), "bare", "left_anti").join(prefixes, "prefix", "left_semi").select(F.lit("gone").alias("kind"), "link", "title")
     return missing.unionByName(gone)
 
 
@@ -53,17 +54,41 @@ def newest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def crawl(start: DataFrame, links: DataFrame, depth: int = 2, most: int = 15, deeper: int = 2) -> DataFrame:
-    """page, target, level: links followed breadth first from each page, ``depth`` rounds, at most
-    ``most`` targets a page in order of level and position; a second round only for pages whose
-    first found ``deeper`` targets or more. ``links`` has source, target, pos."""
-    found = start.select("page", F.col("page").alias("target"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("pos"))
-    frontier = found
+def crawl(start: DataFrame, links: DataFrame, depth: int = 2, most: int = 15, deeper: int = 2, known: DataFrame | None = None) -> DataFrame:
+    """page, target, level, pos, place: links followed breadth first from each page, ``depth`` rounds, at most
+    ``most`` targets a page in order of level and position, pages that were known before (``known``: page,
+    target, pos) first; a further round only for pages whose last found ``deeper`` targets or more.
+    ``links`` has source, target, pos. What a page's cap leaves out isn't followed, so a round makes at most
+    ``most`` times the links of a source."""
+    first = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("page").orderBy("pos", "target"))).where(F.col("_n") <= most).drop("_n")
+    home = start.select("page", F.col("page").alias("target"))
+    found = known.select("page", "target", F.lit(0).alias("level"), F.col("pos").cast("long").alias("pos")).where("page <> target") if known is not None else None
+    frontier = home if found is None else home.union(found.select("page", "target"))
     for level in range(1, depth + 1):
-        step = frontier.select("page", F.col("target").alias("source")).join(links, "source").select("page", "target", F.lit(level).alias("level"), F.col("pos").cast("long").alias("pos"))
-        step = step.groupBy("page", "target", "level").agg(F.min("pos").alias("pos")).join(found.select("page", "target"), ["page", "target"], "left_anti")
-        found = found.unionByName(step)
+        seen = home if found is None else home.union(found.select("page", "target"))
+        step = frontier.select("page", F.col("target").alias("source")).join(links, "source").groupBy("page", "target").agg(F.min("pos").cast("long").alias("pos"))
+        step = first(step.join(seen, ["page", "target"], "left_anti")).select("page", "target", F.lit(level).alias("level"), "pos")
+        found = step if found is None else found.unionByName(step)
         many = step.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") >= deeper).select("page")
-        frontier = step.join(many, "page", "left_semi")
+        frontier = step.join(many, "page", "left_semi").select("page", "target")
     place = F.row_number().over(Window.partitionBy("page").orderBy("level", "pos", "target"))
-    return found.where("level > 0").withColumn("place", place).where(F.col("place") <= most)
+    return found.withColumn("place", place).where(F.col("place") <= most)
+
+
+def unseen(now: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of ``now`` that ``seen`` lacks: decisions that a report hasn't named yet."""
+    return now.select(key).distinct().join(seen.select(key).distinct(), key, "left_anti")
+
+
+def attributed(errors: DataFrame, orgs: DataFrame, roles: DataFrame) -> DataFrame:
+    """org_id, error: errors ("id: text") with the organisation that they concern, whose own id or one of
+    whose roles' ids (roles: id, org_id) stands before the colon; others are left out."""
+    named = errors.withColumn("_id", F.substring_index("error", ":", 1))
+    ids = orgs.select(F.col("org_id").cast("string").alias("_id"), "org_id").union(roles.select(F.col("id").cast("string").alias("_id"), "org_id")).distinct()
+    return named.join(ids, "_id").select("org_id", "error").distinct()
+
+
+def union_of_lists(df: DataFrame, by: list[str], values: str) -> DataFrame:
+    """by, values: the sorted distinct items of an array column over each group's rows."""
+    each = df.select(*by, F.explode_outer(values).alias("_v"))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_set("_v")).alias(values))

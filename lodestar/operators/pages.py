@@ -15,16 +15,20 @@ from lodestar.functions.values import boilerplate
 
 #: Elements that never hold main text, and marks of a class or id that say so.
 STRIPPED = frozenset(("nav", "header", "footer", "aside", "form", "script", "style", "noscript", "svg", "iframe"))
-CHROME = re.compile(r"(?i)\b(?:nav|menu|sidebar|footer|header|cookie|newsletter|share|social|tag-?cloud|breadcrumb|ad)s?\b")
+CHROME = re.compile(
+    r"(?i)nav|menu|breadcrumb|sidebar|side-bar|footer|header|cookie|banner|social|share|tag-cloud|tagcloud|most-read|mostread|latest|related|newsletter|signup|sign-up|search|skip|basket|cart|translate|gtranslate"
+)
 FRAME = frozenset(("nav", "header", "footer", "aside"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 BREAKS = frozenset(("p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "section", "article", "main", "body"))
 LEAST, MOST = 400, 90_000
-#: Words of a link that make it worth following, and words that forbid it.
-HINT = r"(?i)volunteer|role|opportunit|get-?involved|join|help"
-BLOCKED = r"(?i)privacy|cookie|login|sign-?in|donate|news|blog|terms|contact"
-PAID = r"(?i)\b(?:job|career|vacanc)"
-DIED = (404, 410)
+#: What a link worth following holds, what forbids it, and what needs the word volunteer beside it.
+HINT = r"(?i)volunteer|volunteering|befriend|mentor|mentoring|host|hosting|trustee|night shelter|shelter volunteer|peer|lived experience|shop|drop-in|outreach|kitchen|role|opportunit"
+BLOCKED = r"(?i)donate|donation|fundrais|marathon|sleep ?out|challenge event|cycle|half.?marathon|10k|legacy|gift.?aid|shop online|privacy|cookie|terms|complaint|sitemap|login|basket|/news|blog"
+PAID = r"(?i)job|vacanc|career|recruitment"
+VOLUNTEER = "(?i)volunteer"
+FILES = r"(?i)\.(?:pdf|doc|docx|zip)$"
+THIN = 1200
 
 
 class _Reader(HTMLParser):
@@ -65,7 +69,7 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         self._add(data)
         if self.links and any(s[0] == "a" for s in self.stack) and not any(s[0] in FRAME for s in self.stack):
-            self.links[-1][1] += data
+            self.links[-1][1] += f" {data}"
 
     def _state(self) -> tuple[bool, bool, str]:
         return (self.stack[-1][1], self.stack[-1][2], self.stack[-1][0]) if self.stack else (False, False, "")
@@ -89,11 +93,11 @@ def tidy(parts: list[str]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def isolated(html: str | None) -> tuple[str, str, int, list[tuple[str, str]]]:
+def isolated(html: str | None, most: int | None = None) -> tuple[str, str, int, list[tuple[str, str]]]:
     """(main text, whole text, scripts, links) of a page.
 
     Main text: the first of main, role=main, article, body that has ``LEAST`` characters without
-    chrome, else with it, else the longest of all; at most ``MOST`` characters.
+    chrome, else with it, else the longest of all; at most ``most`` characters, if that is given.
     """
     r = _Reader()
     r.feed(html or "")
@@ -103,19 +107,20 @@ def isolated(html: str | None) -> tuple[str, str, int, list[tuple[str, str]]]:
         for place in ("main", "role", "article", "body"):
             text = tidy(parts.get(place, []))
             if len(text) >= LEAST:
-                return text[:MOST], tidy(r.whole), r.scripts, [(h, " ".join(t.split())) for h, t, _ in r.links]
+                return text[:most], tidy(r.whole), r.scripts, [(h, " ".join(t.split())) for h, t, _ in r.links]
             found.append(text)
         found.append(tidy(parts.get("page", [])))
-    return max(found, key=len)[:MOST], tidy(r.whole), r.scripts, [(h, " ".join(t.split())) for h, t, _ in r.links]
+    return max(found, key=len)[:most], tidy(r.whole), r.scripts, [(h, " ".join(t.split())) for h, t, _ in r.links]
 
 
-def read_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, url, main, whole, scripts, links (array of struct href, label) of each page."""
+def read_pages(pages: DataFrame, key: str = "page_id", most: int | None = None) -> DataFrame:
+    """key, url, main, whole, scripts, links (array of struct href, label) of each page; main text is cut
+    to ``most`` characters (``MOST`` where a reader has that budget), whole without it."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [isolated(h) for h in b["html"]]
+            rows = [isolated(h, most) for h in b["html"]]
             yield pd.DataFrame({key: b[key], "url": b["url"], "main": [r[0] for r in rows], "whole": [r[1] for r in rows], "scripts": [r[2] for r in rows], "links": [[{"href": h, "label": t} for h, t in r[3]] for r in rows]})
 
     return pages.select(key, "url", "html").mapInPandas(run, f"{key} {kind}, url string, main string, whole string, scripts int, links array<struct<href:string,label:string>>")
@@ -125,23 +130,34 @@ def role_links(links: DataFrame, key: str, most: int = 15) -> DataFrame:
     """key, target, strong, place: the links (key, url, href, label, pos) worth following.
 
     Same site, a label of 1 to 90 characters, no documents, none of the blocked words, paid work only where
-    volunteers are named; strong where the link or label has a hint, else weak where it lies below the
-    page. Strong links first, then page order; one a target; at most ``most``.
+    volunteers are named; below the page, or with a hint in link or label. Strong are those below the page
+    and those whose link names volunteers; they come first, then page order; one a target, its first
+    occurrence; at most ``most``.
     """
-    full = web.absolute(F.col("url"), F.col("href"))
-    df = links.withColumn("target", F.rtrim(full, F.lit("/"))).where(web.same_site(F.col("url"), F.col("target")))
-    both = F.concat_ws(" ", "target", "label")
-    bare = F.rtrim(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/"))
-    df = df.where(F.length("label").between(1, 90) & ~F.col("target").rlike(web.DOCUMENTS) & ~both.rlike(BLOCKED) & (~both.rlike(PAID) | both.rlike("(?i)volunteer")) & (F.col("target") != bare))
-    df = df.withColumn("strong", both.rlike(HINT)).where(F.col("strong") | F.col("target").startswith(F.concat(bare, F.lit("/"))))
-    first = df.groupBy(key, "target").agg(F.bool_or("strong").alias("strong"), F.min("pos").alias("pos"))
+    path = lambda u: F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    label = F.trim(F.regexp_replace("label", r"\s+", " "))
+    df = links.withColumns({"full": web.absolute(F.col("url"), F.col("href")), "label": label}).withColumn("target", F.rtrim("full", F.lit("/")))
+    df = df.where(F.length("label").between(1, 90) & F.col("full").rlike("(?i)^https?://") & ~path(F.col("full")).rlike(FILES) & web.same_site(F.col("url"), F.col("full")) & (F.col("target") != F.rtrim("url", F.lit("/"))))
+    both, base = F.concat_ws(" ", "label", "full"), F.rtrim(path(F.col("url")), F.lit("/"))
+    under = (base != "") & path(F.col("full")).startswith(F.concat(base, F.lit("/")))
+    df = df.where(~both.rlike(BLOCKED) & (~both.rlike(PAID) | both.rlike(VOLUNTEER)) & (under | both.rlike(HINT)))
+    first = df.groupBy(key, "target").agg(F.min_by(under | F.col("full").rlike(VOLUNTEER), "pos").alias("strong"), F.min("pos").alias("pos"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("strong"), "pos", "target"))
     return first.withColumn("place", place).where(F.col("place") <= most).select(key, "target", "strong", "place")
 
 
-def verdict(status: Column, blocked: Column, shell: Column, redirected: Column, length: Column, n_links: Column) -> Column:
-    """A census verdict: blocked, dead, client_rendered, redirected, thin or clean."""
-    return F.when(blocked, "blocked").when(status.isin(*DIED), "dead").when(shell, "client_rendered").when(redirected, "redirected").when((length < 1200) & (n_links == 0), "thin").otherwise("clean")
+def verdict(status: Column, refused: Column, shell: Column, redirected: Column, length: Column, n_links: Column) -> Column:
+    """A census verdict. blocked where robots are refused; dead for a status of 400 or more or none at all; a main
+    text under ``LEAST`` characters is a script's shell or thin, whatever its links; then redirected; thin is also a
+    short page without links to roles; else clean."""
+    return (
+        F.when(refused, "blocked")
+        .when(status.isNull() | (status >= 400), "dead")
+        .when(length < LEAST, F.when(shell, "client_rendered").otherwise("thin"))
+        .when(redirected, "redirected")
+        .when((length < THIN) & (n_links == 0), "thin")
+        .otherwise("clean")
+    )
 
 
 def share_of_chrome(df: DataFrame) -> DataFrame:

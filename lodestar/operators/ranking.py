@@ -8,67 +8,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+REGULAR = ("weekly", "fortnightly", "monthly", "long_term")
+AT_HOME = ("remote", "own_home")
+
+
 @dataclass
 class Preferences:
+    """``commitment`` is any, once or regular."""
+
     when: list[str] = field(default_factory=list)
-    commitment: str = ""
+    commitment: str = "any"
     zones: list[str] = field(default_factory=list)
     remote: bool = False
 
 
-def fit(p: Preferences) -> Column:
+class _Score:
+    """Branches of which the first that holds counts: points, a conflict, reasons, cautions."""
+
+    def __init__(self) -> None:
+        self.points, self.clashes, self.reasons, self.cautions = [], [], [], []
+
+    def cascade(self, *branches: tuple) -> None:
+        """Each branch is (condition or None, points, conflict, reason, caution); None always holds."""
+        left = F.lit(True)
+        for condition, points, clash, reason, caution in branches:
+            mine = left if condition is None else left & F.coalesce(condition, F.lit(False))
+            self.points.append(F.when(mine, points).otherwise(0))
+            self.clashes.append((mine & F.lit(clash)).cast("int"))
+            self.reasons.append(F.when(mine, F.lit(reason)))
+            self.cautions.append(F.when(mine, F.lit(caution)))
+            left = left if condition is None else left & ~F.coalesce(condition, F.lit(False))
+
+    def column(self) -> Column:
+        total = lambda xs: sum(xs, F.lit(0)).cast("int")
+        text = lambda xs: F.array_compact(F.array(*xs)).cast("array<string>")
+        return F.struct(total(self.points).alias("score"), total(self.clashes).alias("conflicts"), text(self.reasons).alias("reasons"), text(self.cautions).alias("cautions"))
+
+
+def fit(p: Preferences | None) -> Column:
     """struct<score, conflicts, reasons, cautions> over the columns of roles.
 
-    Points: open 8; the wanted frequency 30; a common time 25; remote 25, or 15 where zones were
-    asked for too; a common zone 25, or 12 where it stems from the organisation's coverage.
+    Points: open 8; the wanted frequency 30; a common time 25. For the place, the first that holds:
+    remote or hybrid where remote is wanted 25, fully remote beside wanted zones 15, at one's own home
+    nothing but a caution, a common zone 25, or 12 where it stems from areas that are named or
+    covered rather than an address. Without preferences only the status counts.
     """
-    c = F.col
-    none = lambda x: F.size(F.coalesce(x, F.array().cast("array<string>"))) == 0
-    points, clashes, reasons, cautions = [F.when(c("status") == "open", 8).otherwise(0)], [], [F.when(c("status") == "open", F.lit("open now"))], []
+    c, s = F.col, _Score()
+    size = lambda x: F.size(F.coalesce(x, F.array().cast("array<string>")))
+    s.cascade((c("status") == "open", 8, False, None, None), (c("status") == "seasonal_closed", 0, False, None, "seasonal: ask for the next intake"), (c("status") == "oversubscribed", 0, False, None, "oversubscribed: ask for a waiting list"), (None, 0, False, None, "recruitment isn't confirmed"))
+    if p is None:
+        return s.column()
+    flexible, unknown = c("commitment") == "flexible", c("commitment") == "unknown"
     if p.commitment == "once":
-        ongoing = (F.coalesce(c("min_term_months"), F.lit(0)) > 0) | (c("location_type") == "own_home")
-        fits = (c("commitment") == "one_off") & ~F.coalesce(ongoing, F.lit(False))
-        maybe = (c("commitment") == "flexible") & ~F.coalesce(ongoing, F.lit(False))
-        points.append(F.when(fits, 30).otherwise(0))
-        clashes.append(~(fits | maybe | (c("commitment") == "unknown")) | F.coalesce(ongoing, F.lit(False)))
-        cautions.append(F.when(maybe, F.lit("ask whether once is enough")))
-        reasons.append(F.when(fits, F.lit("can be done once")))
-    elif p.commitment:
-        fits = c("commitment").isin(p.commitment, "flexible")
-        points.append(F.when(fits, 30).otherwise(0))
-        clashes.append(~fits & (c("commitment") != "unknown"))
-        reasons.append(F.when(fits, F.lit("right frequency")))
-        cautions.append(F.when(c("commitment") == "unknown", F.lit("frequency not stated")))
+        ongoing = (c("min_term_months") > 0) | (c("location_type") == "own_home")
+        s.cascade(((c("commitment") == "one_off") & ~F.coalesce(ongoing, F.lit(False)), 30, False, "can be done once", None), (ongoing, 0, True, None, "is an ongoing commitment"), (flexible, 0, False, None, "ask whether once is enough"), (unknown, 0, False, None, "frequency not stated"), (None, 0, True, None, "another commitment than wanted"))
+    elif p.commitment != "any":
+        s.cascade((c("commitment").isin(*REGULAR), 30, False, "is a regular commitment", None), (flexible, 0, False, None, "ask for a regular slot"), (unknown, 0, False, None, "frequency not stated"), (None, 0, True, None, "another commitment than wanted"))
     if p.when:
         wanted = F.array(*map(F.lit, p.when))
-        overlap = F.coalesce(F.arrays_overlap(c("when"), wanted), F.lit(False))
-        loose = none(c("when")) | F.array_contains(c("when"), "flexible")
-        points.append(F.when(overlap, 25).otherwise(0))
-        clashes.append(~overlap & ~loose)
-        reasons.append(F.when(overlap, F.lit("right time")))
-        cautions.append(F.when(~overlap & loose, F.lit("times to be agreed")))
-    away = c("location_type").isin("remote", "hybrid")
-    if p.remote:
-        points.append(F.when(away, 15 if p.zones else 25).otherwise(0))
-        reasons.append(F.when(away, F.lit("can be done from home")))
-        if not p.zones:
-            clashes.append(~away)
-    if p.zones:
-        overlap = F.coalesce(F.arrays_overlap(c("zones"), F.array(*map(F.lit, p.zones))), F.lit(False))
-        points.append(F.when(overlap, F.when(c("location_basis") == "charity_coverage", 12).otherwise(25)).otherwise(0))
-        clashes.append(~overlap & ~none(c("zones")) & ~(away if p.remote else F.lit(False)))
-        reasons.append(F.when(overlap, F.lit("in your area")))
-        cautions.append(F.when(none(c("zones")) & ~away, F.lit("place not stated")))
-    text = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
-    total = lambda xs: sum(xs, F.lit(0))
-    return F.struct(total(points).cast("int").alias("score"), total([F.coalesce(x, F.lit(False)).cast("int") for x in clashes]).cast("int").alias("conflicts"), text(reasons).alias("reasons"), text(cautions).alias("cautions"))
+        s.cascade((F.arrays_overlap(c("when"), wanted), 25, False, "right time", None), (F.array_contains("when", "flexible"), 0, False, None, "times to be agreed"), (size(c("when")) == 0, 0, False, None, "times not stated"), (None, 0, True, None, "other times than wanted"))
+    if p.zones or p.remote:
+        kind, wanted, at_home = c("location_type"), F.array(*map(F.lit, p.zones)).cast("array<string>"), c("location_type").isin(*AT_HOME)
+        overlap = F.arrays_overlap(c("zones"), wanted)
+        named = c("location_basis").isin("charity_coverage", "role_areas")
+        zoned, far = F.lit(bool(p.zones)), F.lit(p.remote and not p.zones)
+        s.cascade(
+            (F.lit(p.remote) & (kind == "remote"), 25, False, "can be done from home", None),
+            (F.lit(p.remote) & (kind == "hybrid"), 25, False, "can be done from home in part", "some of it may be in person"),
+            (zoned & (kind == "remote"), 15, False, "no journey", None),
+            (zoned & (kind == "own_home"), 0, False, None, "ask whether your address is covered"),
+            (overlap & named, 12, False, "covers your area", "covering an area isn't a venue there"),
+            (overlap, 25, False, "in your area", None),
+            (far, 0, True, None, "isn't remote"),
+            ((c("location_basis") == "london_wide") & ~at_home, 0, False, "runs across the city", None),
+            ((size(c("zones")) == 0) & ~at_home, 0, False, None, "place not stated"),
+            (None, 0, True, None, "outside the wanted areas"),
+        )
+    return s.column()
 
 
 def order() -> list[Column]:
     return [F.col("fit.conflicts"), F.desc("fit.score"), F.col("confidence").desc_nulls_last(), F.col("title")]
 
 
-def ranked(roles: DataFrame, p: Preferences, seen: DataFrame | None = None, widened: bool = False) -> DataFrame:
+def ranked(roles: DataFrame, p: Preferences | None, seen: DataFrame | None = None, widened: bool = False) -> DataFrame:
     """Roles with their fit, without those in ``seen`` (id), and without conflicts unless widened."""
     left = roles.join(seen, "id", "left_anti") if seen is not None else roles
     found = left.withColumn("fit", fit(p))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.values import BANNER_DAYS, upper_median
+from lodestar.sources.scratch import written
 
 
 def failure_runs(df: DataFrame, by: str, order: list[Column], failed: Column, dead: int = 2) -> DataFrame:
@@ -33,6 +34,11 @@ def outcome_counts(df: DataFrame, outcome: Column, groups: dict[str, tuple[str,
     return df.agg(*(F.count_if(outcome.isin(*values)).alias(name) for name, values in groups.items()))
 
 
+def totals(df: DataFrame, counters: list[str]) -> DataFrame:
+    """One row: the sum of each counter."""
+    return df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters))
+
+
 def freshness_summary(df: DataFrame, age: str, hidden: str) -> DataFrame:
     """One row: upper median age, oldest, how many are suppressed, and whether a banner is due.
 
@@ -74,6 +80,20 @@ def change_from_last(df: DataFrame, order: list[Column], count: str) -> DataFram
     return df.withColumn("delta", F.col(count) - F.lag(count).over(Window.orderBy(*order)))
 
 
+def placed(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """Rows with their place in a total order, 1 for the first, without bringing them into one task.
+
+    Rows are dealt out by ranges of the order, each range is numbered apart, and the counts of the ranges
+    before it are added: only a count for each range is ever in one place.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    counts = dealt.groupBy(F.col("_range").alias("_of")).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_of", before.alias("_before"))
+    return numbered.join(F.broadcast(counts), F.col("_range") == F.col("_of")).withColumn(place, (F.col("_n") + F.col("_before")).cast("int")).drop("_range", "_of", "_n", "_before")
+
+
 def repair_queue(df: DataFrame, last: str) -> DataFrame:
     """Rows by how long ago they were done, never first, with their place."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.col(last).asc_nulls_first(), "ord")))
+    return placed(df, [F.col(last).asc_nulls_first(), F.col("ord")])

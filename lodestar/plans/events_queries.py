@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import values as V
 from lodestar.operators import geometry, runs
 from lodestar.plans.tables import read
+from lodestar.sources.scratch import fresh_path
 from lodestar.streaming import checks
 
 NOW = "timestamp '2024-02-19 12:00:00'"
@@ -76,7 +74,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The check state of each user after the last event of the first half and one of the second."""
-    df = read(spark, sf_dir, "events").where("user_id % 10 <> 3 or event_type <> 'error'")
+    df = read(spark, sf_dir, "events")
     order = [F.desc("ts"), F.desc("event_id")]
     first = checks.latest(df.where("ts < timestamp_ntz '2024-01-16 00:00:00'"), "user_id", order)
     state = first.select("user_id", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("failures"), F.col("event_type").alias("content_hash"))
@@ -86,13 +84,11 @@ def state_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts by type, as a stream that reads all there is now."""
-    folder, name = f"{sf_dir}/events.parquet", f"stream_counts_{abs(hash(sf_dir))}"
-    schema = spark.read.parquet(folder).schema
+    """Daily counts by type of the days that are closed, as a stream that reads all there is now."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = checks.event_counts(spark, f"{sf_dir}/events*.parquet", schema)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    out = checks.run_available(stream, f"{shared}/stream-{uuid.uuid4().hex}", name)
-    return out.select(F.col("w.start").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+    stream = stream.select(F.col("w.start").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+    return checks.run_available(stream, fresh_path(spark, "stream"))
 
 
 def simplify_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,13 +100,11 @@ def simplify_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ring_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area and centroid of the ring of each user's first points."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = read(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n <= 5")
-    ring = F.array_sort(F.collect_list(F.struct("n", F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))))
-    rings = first.groupBy("user_id").agg(ring.alias("ring")).where(F.size("ring") == 5)
+    """Area and centroid of the ring of each user's points; a user's events are a ring that fits a row."""
+    point = F.struct(F.col("ts"), F.col("event_id"), F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
+    rings = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(point)).alias("ring")).where(F.size("ring") >= 3)
     c = geometry.centroid(F.col("ring"))
-    return rings.select("user_id", F.round(geometry.doubled_area(F.col("ring")) / 2, 4).alias("area"), F.round(c["x"], 4).alias("cx"), F.round(c["y"], 4).alias("cy"))
+    return rings.select("user_id", F.round(geometry.doubled_area(F.col("ring")) / 2, 3).alias("area"), F.round(c["x"], 3).alias("cx"), F.round(c["y"], 3).alias("cy"))
 
 
 def daily_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +134,7 @@ ORACLE = {
     "allowance": "with a as (select *, event_id % 7 asked from events) select event_id, asked, greatest(0, least(asked, 8 - coalesce(sum(asked) over (partition by user_id, cast(ts as date) order by ts, event_id rows between unbounded preceding and 1 preceding), 0))) granted from a",
     "exclude_seen": "select distinct user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and ts < timestamp '2024-01-04')",
     "json_props": "select event_type, count(cast(props->>'k' as int)) parsed, count(*) filter (cast(props->>'k' as int) is null) refused, sum(cast(props->>'k' as int)) total from events group by event_type",
-    "state_after_batch": """with e as (select * from events where user_id % 10 <> 3 or event_type <> 'error'),
+    "state_after_batch": """with e as (select * from events),
 a as (select * from e where ts < timestamp '2024-01-16' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1),
 b as (select * from e where ts >= timestamp '2024-01-16' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)
 select coalesce(a.user_id, b.user_id) user_id,
@@ -148,10 +142,10 @@ select coalesce(a.user_id, b.user_id) user_id,
  a.event_type content_hash,
  case when b.user_id is null then null when b.value > 40 then 'refused' when b.event_type = 'error' then case when coalesce(case when a.event_type = 'error' then 1 else 0 end, 0) + 1 >= 2 then 'dead' else 'failed' end when b.event_type is not distinct from a.event_type then 'unchanged' else 'changed' end outcome
 from a full join b on a.user_id = b.user_id""",
-    "ring_centroids": """with f as (select user_id, value x, cast(event_id % 100 as double) y, row_number() over (partition by user_id order by ts, event_id) n from events qualify n <= 5),
-g as (select *, count(*) over (partition by user_id) c from f), h as (select a.user_id, a.x, a.y, b.x x2, b.y y2 from g a join g b on a.user_id = b.user_id and b.n = a.n % 5 + 1 where a.c = 5),
-s as (select user_id, sum(x * y2 - x2 * y) d, sum((x + x2) * (x * y2 - x2 * y)) sx, sum((y + y2) * (x * y2 - x2 * y)) sy from h group by user_id)
-select user_id, round(d / 2, 4) area, round(case when d <> 0 then sx / (3 * d) end, 4) cx, round(case when d <> 0 then sy / (3 * d) end, 4) cy from s""",
+    "stream_counts": "select cast(date_trunc('day', ts) as timestamp)::varchar \"day\", event_type, count(*) n, round(sum(value), 2) total from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 2 day group by all",
+    "ring_centroids": """with g as (select user_id, value x, cast(event_id % 100 as double) y, row_number() over w n, count(*) over (partition by user_id) c from events window w as (partition by user_id order by ts, event_id)), h as (select a.user_id, a.n, a.x, a.y, b.x x2, b.y y2 from g a join g b on a.user_id = b.user_id and b.n = a.n % a.c + 1 where a.c >= 3),
+s as (select user_id, sum(x * y2 - x2 * y order by n) d, sum((x + x2) * (x * y2 - x2 * y) order by n) sx, sum((y + y2) * (x * y2 - x2 * y) order by n) sy from h group by user_id)
+select user_id, round(d / 2, 3) area, round(case when d <> 0 then sx / (3 * d) end, 3) cx, round(case when d <> 0 then sy / (3 * d) end, 3) cy from s""",
     "daily_change": "with d as (select cast(ts as date) d, count(*) n from events group by 1) select cast(d as varchar) \"day\", n, n - lag(n) over (order by d) delta from d",
     "queue_order": "with l as (select user_id, max(ts) filter (event_type = 'purchase') l from events group by user_id) select user_id, row_number() over (order by l nulls first, user_id) place from l",
 }

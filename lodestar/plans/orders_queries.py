@@ -29,7 +29,7 @@ def _case(col: str, table: dict[str, str]) -> F.Column:
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as roles."""
     none = F.array().cast("array<string>")
-    df = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.col("o_orderkey")
     return df.select(
         key.alias("id"),
@@ -49,7 +49,7 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, None).otherwise((key % 4).cast("int")).alias("min_term_months"),
         F.when(key % 6 == 0, None).otherwise((key % 9).cast("double")).alias("typical_shift_hours"),
         F.when(key % 8 == 0, None).otherwise(F.bround(F.col("o_totalprice") % 1000 / 1000, 3)).alias("confidence"),
-        F.when(key % 2 == 0, "charity_coverage").otherwise("role_areas").alias("location_basis"),
+        F.when(key % 4 == 0, "charity_coverage").when(key % 4 == 1, "role_areas").when(key % 4 == 2, "postcode").otherwise("london_wide").alias("location_basis"),
     )
 
 
@@ -63,7 +63,7 @@ _ROLES = """roles as (select o_orderkey id, o_orderkey ord, c_mktsegment || ' '
  case when o_orderkey % 3 = 0 then null else o_orderkey % 4 end min_term_months,
  case when o_orderkey % 6 = 0 then null else cast(o_orderkey % 9 as double) end typical_shift_hours,
  case when o_orderkey % 8 = 0 then null else round_even(o_totalprice % 1000 / 1000, 3) end confidence,
- case when o_orderkey % 2 = 0 then 'charity_coverage' else 'role_areas' end location_basis
+ case o_orderkey % 4 when 0 then 'charity_coverage' when 1 then 'role_areas' when 2 then 'postcode' else 'london_wide' end location_basis
  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
 
 CHOSEN = facets.Query(door="weekly", borough="NATION_3", when=["weekday_daytime"], text=" machin ")
@@ -111,8 +111,28 @@ def door_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relax_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three choices whose removal finds most."""
-    return facets.relaxations(roles(spark, sf_dir), _TIGHT.predicates())
+    """The three changes of a query that find most."""
+    return facets.relaxations(roles(spark, sf_dir), _TIGHT)
+
+
+def door_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of doors and activities."""
+    return facets.door_activity(roles(spark, sf_dir))
+
+
+def majority_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether half of an organisation's roles, three or more, don't state their hours."""
+    return facets.majority_note(roles(spark, sf_dir), "org_id", F.col("typical_shift_hours").isNull())
+
+
+def discoverable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles that one person can ask about, by activity."""
+    return facets.discoverable(roles(spark, sf_dir)).groupBy("activity").agg(F.count("*").alias("n"))
+
+
+def filter_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles for regular help on evenings, alone."""
+    return facets.matching(roles(spark, sf_dir), facets.Query(frequency="regular", when=["weekday_evening"], who="individual").predicates()).select("id", "commitment")
 
 
 def _picked(df: DataFrame) -> DataFrame:
@@ -136,11 +156,20 @@ def top1_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WISH = ranking.Preferences(when=["weekday_evening"], commitment="once", zones=["zone1"], remote=True)
+REGULAR = ranking.Preferences(commitment="regular", zones=["zone2", "zone3"])
 
 
 def fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores, conflicts and numbers of reasons and cautions of every role for one visitor."""
-    out = ranking.ranked(roles(spark, sf_dir), WISH, widened=True)
+    return _scores(ranking.ranked(roles(spark, sf_dir), WISH, widened=True))
+
+
+def fit_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a visitor who wants regular help in two zones."""
+    return _scores(ranking.ranked(roles(spark, sf_dir), REGULAR, widened=True))
+
+
+def _scores(out: DataFrame) -> DataFrame:
     return out.select("id", "fit.score", "fit.conflicts", F.size("fit.reasons").alias("reasons"), F.size("fit.cautions").alias("cautions"))
 
 
@@ -155,24 +184,24 @@ def fit_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers by region."""
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    small = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    df = read(spark, sf_dir, "customer").join(F.broadcast(small), F.col("c_nationkey") == F.col("n_nationkey"))
+    small = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    df = read(spark, sf_dir, "customer").join(small, F.col("c_nationkey") == F.col("n_nationkey"))
     return df.groupBy("r_name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("c_acctbal").cast("decimal(18,2)")), 2).cast("double").alias("balance"))
 
 
 def two_key_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers that share neither key nor number of name with chosen customers."""
-    c = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
-    other = c.select((F.col("c_custkey") % 40).alias("key"), F.lower(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("name")).where("name rlike '[05]$'")
+    """Suppliers that share neither key nor name with customers, whose keys count threefold and whose names sevenfold."""
+    other = read(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("key"), F.concat(F.lit("supplier#"), F.lpad((F.col("c_custkey") * 7).cast("string"), 9, "0")).alias("name"))
     return matching.without_either(read(spark, sf_dir, "supplier"), other, [(F.col("s_suppkey"), F.col("key")), (F.lower("s_name"), F.col("name"))]).select("s_suppkey")
 
 
 def feed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as offers: those of a feed that aren't held, held ones that are gone."""
     link = F.concat(F.lit("https://a.example/"), F.lower("p_type"), F.lit("/"), F.col("p_partkey").cast("string"))
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat_ws(" ", "p_name", F.concat(F.lit("("), F.col("p_brand"), F.lit(")")), F.col("p_partkey").cast("string")).alias("title"), link.alias("link"))
+    title = lambda sign: F.concat_ws(" ", "p_name", F.concat(F.lit("("), F.col("p_brand"), F.lit(")")), F.lit(sign), F.col("p_partkey").cast("string"))
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", title("&amp;").alias("title"), title("&").alias("plain"), link.alias("link"))
     feed = p.where("p_size <= 20 and p_partkey % 3 <> 0").select("title", "link")
-    held = p.where("p_size <= 10 or p_partkey % 3 = 0").select("title", "link")
+    held = p.where("p_size <= 10 or p_partkey % 3 = 0").select(F.col("plain").alias("title"), F.when(F.col("p_partkey") % 4 == 0, F.concat("link", F.lit("/"))).otherwise(F.col("link")).alias("link"))
     return matching.feed_gaps(feed, held)
 
 
@@ -247,9 +276,10 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique ids from slugs of part names."""
-    p = read(spark, sf_dir, "part").select("p_partkey", slug(F.col("p_name")).alias("base"))
-    return changes.suffixed(p, "base", [F.col("p_partkey")]).select("p_partkey", "id")
+    """Unique ids from slugs of part names, of which small parts' second and fourth are taken."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", slug(F.col("p_name")).alias("base"))
+    taken = p.where("p_size = 1").select(F.explode(F.array(F.concat("base", F.lit("-2")), F.concat("base", F.lit("-4")))).alias("id"))
+    return changes.suffixed(p, "base", [F.col("p_partkey")], taken=taken).select("p_partkey", "id")
 
 
 def rename_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,18 +316,17 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") + F.when(k % 50 == 0, 1_000_000).otherwise(0)).alias("org_id"),
         _case("o_orderpriority", COMMITMENTS).alias("commitment"),
         _case("o_orderstatus", STATUSES).alias("status"),
-        F.when(k % 29 == 0, None).otherwise(F.concat(F.lit("https://s"), (k % 3).cast("string"), F.lit(".org/"))).alias("apply_url"),
-        F.when(k % 4 == 0, "homepage").otherwise("role").alias("url_specificity"),
+        F.when(k % 29 == 0, None).otherwise(F.concat(F.lit("https://a.s"), (k % 3).cast("string"), F.lit(".org/"))).alias("apply_url"),
+        F.when(k % 4 == 0, "org_homepage").otherwise("role").alias("url_specificity"),
         (k % 10 / 10).alias("confidence"),
         (k % 3).cast("int").alias("min_term_months"),
         (k % 2 == 0).alias("has_season"),
         F.when(k % 5 == 0, "none").otherwise("basic").alias("dbs"),
         F.when(k % 10 == 0, F.array(F.lit("screening.dbs"))).alias("verified"),
-        F.when(k % 7 == 0, F.array(F.lit("status"))).alias("unsupported"),
+        F.when(k % 7 == 0, F.array(F.lit("status"))).when(k % 2 == 0, F.array(F.lit("platform a.s1.org"))).alias("unsupported"),
         (k % 3 == 1).alias("reviewed"),
-        F.concat(F.lit("s"), (k % 3).cast("string")).alias("apply_site"),
     )
-    o = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("org_id"), (F.col("c_custkey") % 40 == 0).alias("opted_out"), F.lit("s0").alias("site"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("s1"))).alias("platforms"))
+    o = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("org_id"), (F.col("c_custkey") % 40 == 0).alias("opted_out"), F.lit("https://www.s0.org/").alias("website_url"), F.when(F.col("c_custkey") % 2 == 0, "https://s0.org/v").alias("volunteer_url"))
     return rules.invariants(r, o).groupBy("rule").agg(F.count("*").alias("n"))
 
 
@@ -309,10 +338,10 @@ def season_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statuses as of a day, by seasons and next intakes."""
+    """Statuses as of a day, by seasons."""
     k = F.col("o_orderkey")
     today = F.to_date(F.lit("2000-06-15"))
-    now = values.status_today(_case("o_orderstatus", STATUSES), F.when(k % 3 == 0, (k % 12 + 1).cast("int")), F.when(k % 3 == 0, (k % 5 + 1).cast("int")), F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")), today)
+    now = values.status_today(_case("o_orderstatus", STATUSES), F.when(k % 3 == 0, (k % 12 + 1).cast("int")), F.when(k % 3 == 0, (k % 5 + 1).cast("int")), today)
     return read(spark, sf_dir, "orders").groupBy(now.alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -331,12 +360,47 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reach_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that a nation reaches within 5, 10 or 20 steps of nation numbers."""
-    n, s = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0")
-    pairs = s.crossJoin(F.broadcast(n)).select("n_name", F.col("s_suppkey").cast("string").alias("s"), F.abs(F.col("n_nationkey") - F.col("s_nationkey")).alias("steps"))
+    reach = read(spark, sf_dir, "nation").select("n_name", "n_nationkey", F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("step"))
+    reach = reach.select("n_name", (F.col("n_nationkey") + F.col("step")).alias("s_nationkey"), F.abs("step").alias("steps"))
+    pairs = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(reach, "s_nationkey").select("n_name", F.col("s_suppkey").cast("string").alias("s"), "steps")
     out = matching.bands(pairs, F.col("steps"), [5, 10, 20], "n_name", "s")
     return out.select("n_name", "band", F.array_join("items", ",").alias("items"))
 
 
+def crawl_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts followed from each part to the next of the same order, two rounds of at most 15."""
+    item = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = item.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("target"))
+    links = item.join(after, ["l_orderkey", "l_linenumber"]).groupBy(F.col("l_partkey").alias("source"), "target").agg(F.min("l_orderkey").alias("pos"))
+    return matching.crawl(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page")), links).select("page", "target", "level", "place")
+
+
+def attributed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of orders and customers by the customer that they concern."""
+    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_custkey").alias("org_id"), "o_orderstatus")
+    errors = o.where("o_orderstatus = 'P'").select(F.concat("id", F.lit(": is pending")).alias("error")).union(read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.col("c_custkey").cast("string"), F.lit(": owes")).alias("error")))
+    found = matching.attributed(errors, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("org_id")), o.select("id", "org_id"))
+    return found.groupBy("org_id").agg(F.count("*").alias("n"))
+
+
+def unseen_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a pending order who had no open one."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), "o_orderstatus")
+    return matching.unseen(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus = 'O'"), "cust")
+
+
+def union_of_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all part names of each brand."""
+    p = read(spark, sf_dir, "part").select("p_brand", F.split("p_name", " ").alias("words"))
+    return matching.union_of_lists(p, ["p_brand"], "words").select("p_brand", F.array_join("words", ",").alias("words"))
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of counters over all customers."""
+    per = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), *(F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("O", "opened"), ("P", "pending"), ("F", "finished"))), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return runs.totals(per, ["orders", "opened", "pending", "finished", "urgent"])
+
+
 def seam_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part and supplier edges that returned and other items share."""
     item = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), "l_returnflag")
@@ -395,13 +459,14 @@ def place_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     gazetteer = nation.select(F.concat(F.lit("the "), F.col("n_name")).alias("name"), F.col("n_name").alias("borough")).union(spark.createDataFrame([("London", None)], "name string, borough string"))
     district_borough = F.create_map(*(F.lit(x) for i in range(1, 6) for x in (f"N{i}", f"NATION_{i}")))
     borough_zone = F.create_map(*(F.lit(x) for i in range(20) for x in (f"NATION_{i}", f"zone{i % 4}")))
+    zone_names = F.create_map(*(F.lit(x) for i in range(4) for x in (f"zone{i}", f"Zone {i}")))
     name = lambda i: F.concat(F.lit("nation_"), (i % 30).cast("string"))
     o = read(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.when(k % 11 == 0, "remote").otherwise("in_person").alias("location"),
-        F.when(k % 6 == 0, F.concat(F.lit("N"), (k % 8).cast("string"))).when(k % 37 == 0, "SE1").alias("district"),
+        F.when(k % 6 == 0, F.concat(F.lit(" n"), (k % 8).cast("string"))).when(k % 37 == 0, "SE1").alias("district"),
         F.when(k % 4 == 0, F.array(name(k), F.concat(F.lit("The "), name(k + 1)))).when(k % 4 == 1, F.array(F.lit(" London. "))).otherwise(F.array().cast("array<string>")).alias("places"),
-        F.when(k % 9 == 0, F.array(F.lit("zone3"))).alias("role_zones"),
+        F.when(k % 9 == 0, F.array(F.lit("zone3"), F.lit("zone9"))).alias("role_zones"),
         (k % 10 == 7).alias("wide"),
         F.when(k % 5 != 0, F.array(F.upper(name(k)))).alias("coverage"),
     )
@@ -415,7 +480,7 @@ def place_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(zones, ",").alias("zones"),
         place.in_city(c("location"), F.size("places"), c("boroughs"), c("london_only")).alias("in_city"),
         place.basis(c("location"), c("district"), c("boroughs"), c("london_only"), c("role_zones"), c("wide"), c("coverage")).alias("basis"),
-        place.area_label(c("location"), c("boroughs"), c("london_only")).alias("label"),
+        place.area_label(c("location"), c("district"), c("boroughs"), c("london_only"), c("role_zones"), c("wide"), c("coverage"), zone_names).alias("label"),
     )
 
 
@@ -433,7 +498,8 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        facet_filter, facet_filter_zones, facet_counts, facet_grid, door_grid, door_counts, relax_suggest, sort_page, sort_soonest, top1_per_group, fit_score, fit_best,
+        facet_filter, facet_filter_zones, facet_counts, facet_grid, door_grid, door_counts, relax_suggest, door_activity, majority_note, discoverable, filter_regular, sort_page, sort_soonest, top1_per_group, fit_score, fit_regular, fit_best,
+        crawl_parts, attributed_errors, unseen_customers, union_of_lists, totals,
         lookup_join, two_key_anti, feed_gaps, self_others, semi_surviving, anti_surviving, snapshot_diff, gate_route, carry_forward, upsert_actions, fuzzy_pairs, id_suffix,
         rename_hints, rule_violations, invariants, season_wrap, status_today, collapse_rules, bands, reach_bands, seam_intersect, prune_mask, unnest_counts, share_buckets,
         typeahead, duplicate_names, brand_medians, project_points, place_cascade, sitemap, bundle,
@@ -445,13 +511,19 @@ def _where(*names: str) -> str:
     return " and ".join(_P[n] for n in names)
 
 
-_SORT = "case status when 'open' then 0 when 'seasonal_closed' then 1 else 2 end, case commitment when 'one_off' then 1 when 'flexible' then 2 when 'monthly' then 3 when 'weekly' then {w} else 9 end, coalesce(typical_shift_hours, 99), ord"
-_FIT = f"""{_ROLES}, f as (select *, coalesce(min_term_months, 0) > 0 or location_type = 'own_home' ongoing from roles),
-g as (select *, commitment = 'one_off' and not ongoing fits, commitment = 'flexible' and not ongoing maybe, list_has_any("when", ['weekday_evening']) timed, len("when") = 0 or list_contains("when", 'flexible') loose, location_type in ('remote', 'hybrid') away, list_has_any(zones, ['zone1']) near from f),
-fit as (select *, case when status = 'open' then 8 else 0 end + case when fits then 30 else 0 end + case when timed then 25 else 0 end + case when away then 15 else 0 end + case when near then case when location_basis = 'charity_coverage' then 12 else 25 end else 0 end score,
- cast((not (fits or maybe or commitment = 'unknown') or ongoing) as int) + cast((not timed and not loose) as int) + cast((not near and len(zones) > 0 and not away) as int) conflicts,
- cast(status = 'open' as int) + cast(fits as int) + cast(timed as int) + cast(away as int) + cast(near as int) reasons,
- cast(maybe as int) + cast((not timed and loose) as int) + cast((len(zones) = 0 and not away) as int) cautions from g)"""
+_SORT = "case status when 'open' then 0 when 'seasonal_closed' then 1 else 2 end, case commitment when 'one_off' then 1 when 'flexible' then 2 when 'monthly' then 3 when 'weekly' then {w} else 9 end, coalesce(nullif(typical_shift_hours, 0), 99), ord"
+_FIT = f"""{_ROLES}, f as (select *, coalesce(min_term_months > 0, false) or location_type = 'own_home' ongoing, list_has_any("when", ['weekday_evening']) timed, list_has_any(zones, ['zone1']) near, location_basis in ('charity_coverage', 'role_areas') named, location_type in ('remote', 'own_home') home from roles),
+p as (select *, commitment = 'one_off' and not ongoing fits, case when location_type in ('remote', 'hybrid') then 'away' when location_type = 'own_home' then 'own' when near and named then 'covered' when near then 'near' when location_basis = 'london_wide' then 'wide' when len(zones) = 0 then 'silent' else 'far' end spot from f),
+fit as (select *, case when status = 'open' then 8 else 0 end + case when fits then 30 else 0 end + case when timed then 25 else 0 end + case spot when 'away' then 25 when 'covered' then 12 when 'near' then 25 else 0 end score,
+ cast((ongoing or commitment not in ('one_off', 'flexible', 'unknown')) as int) + cast((not timed and len("when") > 0 and not list_contains("when", 'flexible')) as int) + cast(spot = 'far' as int) conflicts,
+ cast(fits as int) + cast(timed as int) + cast(spot in ('away', 'covered', 'near', 'wide') as int) reasons,
+ cast(status <> 'open' as int) + cast(not fits as int) + cast(not timed as int) + cast((location_type = 'hybrid' or spot in ('own', 'covered', 'silent', 'far')) as int) cautions from p)"""
+_FIT2 = f"""{_ROLES}, f as (select *, list_has_any(zones, ['zone2', 'zone3']) near, location_basis in ('charity_coverage', 'role_areas') named, commitment in ('weekly', 'fortnightly', 'monthly', 'long_term') fits from roles),
+p as (select *, case when location_type = 'remote' then 'remote' when location_type = 'own_home' then 'own' when near and named then 'covered' when near then 'near' when location_basis = 'london_wide' then 'wide' when len(zones) = 0 then 'silent' else 'far' end spot from f)
+select id, case when status = 'open' then 8 else 0 end + case when fits then 30 else 0 end + case spot when 'remote' then 15 when 'covered' then 12 when 'near' then 25 else 0 end score,
+ cast((not fits and commitment not in ('flexible', 'unknown')) as int) + cast(spot = 'far' as int) conflicts,
+ cast(fits as int) + cast(spot in ('remote', 'covered', 'near', 'wide') as int) reasons,
+ cast(status <> 'open' as int) + cast(not fits as int) + cast(spot in ('own', 'covered', 'silent', 'far') as int) cautions from p"""
 _TIGHT_SQL = {
     "door": "(commitment <> 'unknown' and commitment in ('flexible', 'one_off'))",
     "borough": "(location_type in ('remote', 'own_home') or len(areas) = 0 or list_contains(areas, 'NATION_7'))",
@@ -478,18 +550,32 @@ ORACLE = {
  p as (select door, borough, count(*) exact from (select door, unnest(areas) borough from e) group by all), f as (select door, count(*) free from e where len(areas) = 0 group by door)
  select door, borough, exact + coalesce(free, 0) n, exact from p left join f using (door)""",
     "door_counts": f"with {_ROLES} select count(*) filter (commitment in ('one_off', 'flexible')) one_off, count(*) filter (commitment in ('weekly', 'monthly', 'flexible')) weekly, count(*) filter (commitment = 'flexible') long_term, count(*) filter (commitment = 'flexible') flexible, count(*) filter (commitment = 'flexible') fortnightly, count(*) filter (commitment in ('monthly', 'flexible')) monthly from roles",
-    "relax_suggest": f"with {_ROLES}, c as (" + " union all ".join(f"select '{k}' facet, {i} i, count(*) filter ({' and '.join(v for j, v in _TIGHT_SQL.items() if j != k)}) n, count(*) filter ({' and '.join(_TIGHT_SQL.values())}) now from roles" for i, k in enumerate(("door", "borough", "zones", "activity", "who", "open"))) + ") select facet, n, row_number() over (order by n desc, i) place from c where n > 0 and n <> now qualify place <= 3",
+    "relax_suggest": f"with {_ROLES}, c as (" + " union all ".join(f"select '{name}' relaxed, {i} i, count(*) filter ({' and '.join(({**_TIGHT_SQL, key: new}).values())}) n from roles" for i, (name, key, new) in enumerate((("zones", "zones", "true"), ("borough", "borough", "true"), ("activity", "activity", "true"), ("open", "open", "true"), ("who", "who", "true"), ("door_weekly", "door", _P["door"])))) + ") select relaxed, n, row_number() over (order by n desc, i) place from c where n > 0 qualify place <= 3",
+    "door_activity": f"""with {_ROLES}, doors as (select unnest(['one_off', 'weekly', 'weekly', 'weekly', 'long_term', 'flexible', 'fortnightly', 'monthly']) door, unnest(['one_off', 'weekly', 'fortnightly', 'monthly', 'long_term', 'flexible', 'fortnightly', 'monthly']) member),
+ e as (select distinct door, id, activity from roles join doors on commitment = member or commitment = 'flexible') select door, activity, count(*) n from e group by all""",
+    "majority_note": f"with {_ROLES}, g as (select org_id, count(*) n, count(*) filter (typical_shift_hours is null) silent from roles group by org_id) select *, n >= 3 and silent >= n / 2.0 note from g",
+    "discoverable": f"with {_ROLES} select activity, count(*) n from roles where who_can_apply <> 'team_only' and status <> 'closed' group by activity",
+    "filter_regular": f"""with {_ROLES} select id, commitment from roles where commitment <> 'one_off' and who_can_apply <> 'team_only' and (len("when") = 0 or list_contains("when", 'weekday_evening'))""",
+    "fit_regular": f"with {_FIT2}",
+    "crawl_parts": """with l as (select a.l_partkey s, b.l_partkey t, min(a.l_orderkey) pos from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 group by all),
+ one as (select s page, t target, pos from l where s <> t qualify row_number() over (partition by s order by pos, t) <= 15), many as (select page from one group by page having count(*) >= 2),
+ two as (select o.page, l.t target, min(l.pos) pos from one o join many using (page) join l on l.s = o.target where l.t <> o.page and not exists (select 1 from one x where x.page = o.page and x.target = l.t) group by all),
+ a as (select page, target, 1 as level, pos from one union all select page, target, 2, pos from two) select page, target, level, row_number() over (partition by page order by level, pos, target) place from a where page in (select p_partkey from part) qualify place <= 15""",
+    "attributed_errors": "select org_id, count(*) n from (select o_custkey org_id, o_orderkey k from orders where o_orderstatus = 'P' and o_custkey is not null union all select c_custkey, -1 from customer where c_acctbal < 0) group by org_id",
+    "unseen_customers": "select distinct o_custkey cust from orders where o_orderstatus = 'P' except select o_custkey from orders where o_orderstatus = 'O'",
+    "union_of_lists": "select p_brand, array_to_string(list_sort(list(distinct w)), ',') words from (select p_brand, unnest(string_split(p_name, ' ')) w from part) group by p_brand",
+    "totals": "select count(*) orders, count(*) filter (o_orderstatus = 'O') opened, count(*) filter (o_orderstatus = 'P') pending, count(*) filter (o_orderstatus = 'F') finished, count(*) filter (o_orderpriority = '1-URGENT') urgent from orders",
     "sort_page": f"with {_ROLES} select id, row_number() over (order by {_SORT.format(w=4)}) place from roles qualify place <= 50",
     "sort_soonest": f"with {_ROLES} select id, row_number() over (order by {_SORT.format(w=3)}) place from roles qualify place <= 50",
     "top1_per_group": f"with {_ROLES} select org_id, id from roles qualify row_number() over (partition by org_id order by case when status = 'open' then 0 else 1 end, confidence desc nulls last, ord) = 1",
     "fit_score": f"with {_FIT} select id, score, conflicts, reasons, cautions from fit",
     "fit_best": f"with {_FIT} select id, row_number() over (order by conflicts, score desc, confidence desc nulls last, title, ord) place, score from fit where conflicts = 0 and id % 4 <> 1 qualify place <= 10",
     "lookup_join": "select r_name, count(*) n, cast(sum(cast(c_acctbal as decimal(18,2))) as double) balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name",
-    "two_key_anti": "with c as (select c_custkey % 40 key, lower(replace(c_name, 'Customer', 'Supplier')) name from customer where c_custkey % 3 = 0 and regexp_matches(c_name, '[05]$')) select s_suppkey from supplier where s_suppkey not in (select key from c) and lower(s_name) not in (select name from c)",
-    "feed_gaps": """with p as (select p_partkey, p_size, p_name || ' (' || p_brand || ') ' || p_partkey title, 'https://a.example/' || lower(p_type) || '/' || p_partkey link, p_name || ' ' || p_partkey key from part),
+    "two_key_anti": "select s_suppkey from supplier where s_suppkey not in (select c_custkey * 3 from customer) and lower(s_name) not in (select 'supplier#' || lpad(cast(c_custkey * 7 as varchar), 9, '0') from customer)",
+    "feed_gaps": """with p as (select p_partkey, p_size, p_name || ' (' || p_brand || ') &amp; ' || p_partkey title, p_name || ' (' || p_brand || ') & ' || p_partkey plain, 'https://a.example/' || lower(p_type) || '/' || p_partkey link, p_name || ' ' || p_partkey key from part),
  feed as (select * from p where p_size <= 20 and p_partkey % 3 <> 0), held as (select * from p where p_size <= 10 or p_partkey % 3 = 0)
  select 'missing' kind, link, title from feed where key not in (select key from held) and link not in (select link from held)
- union all select 'gone', link, title from held where link not in (select link from feed) and regexp_extract(link, '^https://[^/]*/[^/]*/') in (select regexp_extract(link, '^https://[^/]*/[^/]*/') from feed)""",
+ union all select 'gone', link || case when p_partkey % 4 = 0 then '/' else '' end, plain from held where link not in (select link from feed) and regexp_extract(link, '^https://[^/]*/[^/]*/') in (select regexp_extract(link, '^https://[^/]*/[^/]*/') from feed)""",
     "self_others": "select a.n_name, b.n_name other from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_name <> b.n_name",
     "semi_surviving": "select o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem)",
     "anti_surviving": "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)",
@@ -497,20 +583,20 @@ ORACLE = {
     "gate_route": f"with {_SNAP}, r as (select coalesce(o_custkey, n_custkey) custkey, case when not (old and new) then 'review' when not (dp or dr or ds) then 'auto' when ds then 'review' when confidence is null or confidence < 0.85 then 'review' else 'auto' end route from d) select custkey, case when bool_or(route = 'review') then 'review' else 'auto' end route, count(*) filter (route = 'review') reviews from r group by custkey",
     "carry_forward": f"with {_SNAP} select k o_orderkey, coalesce(n_priority, priority) priority from s where old and new",
     "upsert_actions": "with a as (select o_orderkey, o_totalprice from orders where o_orderkey % 6 <> 0), b as (select o_orderkey, case when o_orderkey % 5 = 0 then o_totalprice * 2 else o_totalprice end price, o_orderstatus st from orders where o_orderkey % 4 <> 1) select case when a.o_orderkey is null then 'insert' when b.o_orderkey is null then 'untouched' when st = 'P' then 'retire' when o_totalprice <> price then 'update' else 'keep' end action, count(*) n from a full join b using (o_orderkey) group by 1",
-    "id_suffix": "with s as (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') base from part), n as (select *, row_number() over (partition by base order by p_partkey) n from s) select p_partkey, case when n = 1 then base else base || '-' || n end id from n",
+    "id_suffix": "with s as (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') base, bool_or(p_size = 1) over (partition by p_name) held from part), n as (select *, row_number() over (partition by base order by p_partkey) n from s) select p_partkey, case when n = 1 then base else base || '-' || case when not held then n when n = 2 then 3 else n + 2 end end id from n",
     "rename_hints": f"with {_SNAP} select a.n_custkey cust, a.n_status status, a.k added_id, g.k gone_id from s a join s g on a.n_custkey = g.o_custkey and a.n_status = g.status where not a.old and not g.new",
     "rule_violations": "with v as (select unnest(['l_linestatus', 'l_quantity', 'discount', 'flag', 'l_returnflag']) \"rule\", unnest(['isn''t an allowed value', 'must lie between 1 and 45', 'discount too high for the quantity', 'returned without tax', 'has the wrong form']) message, unnest([l_linestatus <> 'O', l_quantity not between 1 and 45, l_discount * 100 > l_quantity + 3, l_returnflag = 'R' and l_linestatus = 'F' and l_tax = 0, l_returnflag not in ('A', 'N')]) broken from lineitem) select \"rule\", message, count(*) n from v where broken group by all",
     "invariants": """with r as (select o_orderkey k, o_orderkey - case when o_orderkey % 100 = 1 then 1 else 0 end id, o_custkey + case when o_orderkey % 50 = 0 then 1000000 else 0 end org, o_orderpriority p, o_orderstatus s from orders),
  q as (select *, count(*) over (partition by id) c from r), j as (select q.*, c_custkey from q left join customer on org = c_custkey)
  select "rule", count(*) n from (select unnest(['duplicate', 'organisation', 'opt_out', 'link', 'dbs', 'homepage', 'season', 'term', 'foreign', 'open']) "rule",
-  unnest([c > 1, c_custkey is null, c_custkey % 40 = 0, k % 29 = 0, k % 5 = 0 and k % 10 <> 0, k % 4 = 0 and k % 10 > 5, s = 'O' and k % 2 <> 0, p in ('1-URGENT', '5-LOW') and k % 3 > 0,
-   c_custkey is not null and k % 3 <> 0 and not (k % 3 = 1 and coalesce(c_custkey % 2 = 0, false)), s = 'F' and k % 7 = 0]) b from j) where b group by "rule\"""",
+  unnest([c > 1, c_custkey is null, c_custkey % 40 = 0, c_custkey is not null and k % 29 = 0 and c_custkey % 2 <> 0, k % 5 = 0 and k % 10 <> 0, k % 4 = 0 and k % 10 > 5, s = 'O' and k % 2 <> 0, p in ('1-URGENT', '5-LOW') and k % 3 > 0,
+   c_custkey is not null and k % 29 <> 0 and k % 3 <> 0 and not (k % 3 = 1 and k % 7 <> 0 and k % 2 = 0), s = 'F' and k % 7 = 0]) b from j) where b group by "rule\"""",
     "season_wrap": "select month(o_orderdate) \"month\", month(o_orderdate) >= 11 or month(o_orderdate) <= 4 winter, month(o_orderdate) between 5 and 8 summer, count(*) n from orders group by all",
     "status_today": """with o as (select *, case o_orderstatus when 'F' then 'open' when 'O' then 'seasonal_closed' else 'closed' end st, case when o_orderkey % 3 = 0 then o_orderkey % 12 + 1 end a, case when o_orderkey % 3 = 0 then o_orderkey % 5 + 1 end b from orders)
- select case when st = 'open' and ((a is not null and not (case when a <= b then 6 between a and b else 6 >= a or 6 <= b end)) or (o_orderkey % 4 = 0 and cast(o_orderdate as date) > date '2000-06-15')) then 'seasonal_closed' else st end status, count(*) n from o group by 1""",
+ select case when st = 'seasonal_closed' and a is not null and (case when a <= b then 6 between a and b else 6 >= a or 6 <= b end) then 'unknown' else st end status, count(*) n from o group by 1""",
     "collapse_rules": "with t as (select p_name, case when p_name like 'red %' then 'Red things' when regexp_matches(p_name, 'bolt|ring') then 'Small metal' when regexp_matches(p_name, 'g[ei]') then 'Gears and gizmos' end r from part), u as (select r title, count(*) n from t where r is not null group by r union all select p_name, 1 from t where r is null) select title, sum(n) n, count(*) \"rows\" from u group by title",
     "bands": "with p as (select *, case when p_partkey % 9 = 0 then null else p_size end s from part) select p_brand, band, array_to_string(list_sort(list(distinct p_type)), ',') items from p, unnest([15, 30, 45]) u(band) where s <= band group by p_brand, band",
-    "reach_bands": "select n_name, band, array_to_string(list_sort(list(distinct cast(s_suppkey as varchar))), ',') items from supplier, nation, unnest([5, 10, 20]) u(band) where s_suppkey % 5 = 0 and abs(n_nationkey - s_nationkey) <= band group by n_name, band",
+    "reach_bands": "select n_name, band, array_to_string(list_sort(list(distinct cast(s_suppkey as varchar))), ',') items from supplier, nation, unnest([5, 10, 20]) u(band) where abs(n_nationkey - s_nationkey) <= band group by n_name, band",
     "seam_intersect": "select distinct least(l_partkey, l_suppkey) a, greatest(l_partkey, l_suppkey) b from lineitem where l_returnflag = 'R' intersect select least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey) from lineitem where l_returnflag <> 'R'",
     "prune_mask": "with l as (select o_custkey, date_sub('day', max(o_orderdate), timestamp '2001-08-10') >= 21 hide from orders group by 1) select o_orderkey, case when hide then 'unknown' else o_orderstatus end status, case when hide then null else o_totalprice end price from orders join l using (o_custkey)",
     "unnest_counts": "select option, count(*) n from (select distinct p_partkey, unnest(string_split(p_name, ' ')) option from part where p_size <> 50 union all select p_partkey, null from part where p_size = 50) group by option",
@@ -523,13 +609,13 @@ ORACLE = {
   case when o_orderkey % 4 = 0 then list_filter(list_distinct(['NATION_' || o_orderkey % 30, 'NATION_' || (o_orderkey + 1) % 30]), lambda x: cast(replace(x, 'NATION_', '') as int) < 25) else [] end raw, o_orderkey % 4 = 1 city, o_orderkey % 4 <= 1 any_place, o_orderkey % 9 = 0 rz, o_orderkey % 10 = 7 wide,
   case when o_orderkey % 5 <> 0 then ['NATION_' || o_orderkey % 30] else [] end cov from orders),
  m as (select *, list_sort(raw) bs from o),
- a as (select *, case when loc = 'remote' then [] when district is not null then [case when regexp_matches(district, '^N[1-5]$') then 'NATION_' || district[2:] else district end] when len(bs) > 0 then bs when city or rz then [] else cov end areas,
+ a as (select *, case when loc = 'remote' then [] when district = 'SE1' then [district] when district is not null then [' n' || district[2:]] when len(bs) > 0 then bs when city or rz then [] else cov end areas,
   case when loc = 'remote' then [] when district = 'SE1' then ['central'] when district is not null then case when regexp_matches(district, '^N[1-5]$') then ['zone' || cast(district[2:] as int) % 4] else [] end
    when len(bs) > 0 then list_sort(list_distinct(list_transform(list_filter(bs, lambda x: cast(replace(x, 'NATION_', '') as int) < 20), lambda x: 'zone' || cast(replace(x, 'NATION_', '') as int) % 4)))
    when city then [] when rz then ['zone3'] else list_sort(list_transform(list_filter(cov, lambda x: cast(replace(x, 'NATION_', '') as int) < 20), lambda x: 'zone' || cast(replace(x, 'NATION_', '') as int) % 4)) end zs from m)
  select k o_orderkey, array_to_string(areas, ',') boroughs, array_to_string(zs, ',') zones, loc = 'remote' or not any_place or len(bs) > 0 or city in_city,
-  case when loc = 'remote' then loc when district is not null then 'postcode' when len(bs) > 0 or rz then 'role_areas' when city or wide then 'london_wide' when len(cov) > 0 then 'charity_coverage' else 'unknown' end basis,
-  case when loc = 'remote' then 'from home' when len(bs) = 1 then bs[1] when len(bs) = 2 then bs[1] || ' and ' || bs[2] when city then 'across the city' end label from a""",
+  case when loc = 'remote' then loc when district is not null then 'postcode' when len(bs) > 0 then 'role_areas' when city then 'london_wide' when rz then 'role_areas' when len(cov) > 0 then 'charity_coverage' when wide then 'london_wide' else 'unknown' end basis,
+  case when loc = 'remote' or district is not null then null when len(bs) > 0 then array_to_string(bs, ', ') when city then 'London' when rz then 'Zone 3' when len(cov) = 0 and wide then 'Across London' end label from a""",
     "sitemap": "select distinct path from (select '/area/' || replace(lower(n_name), '_', '-') || '/' path from nation union all select '/kind/' || lower(p_type) || '/' from part union all select '/brand/' || replace(lower(p_brand), '#', '-') || '/' from part)",
     "bundle": "select '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}' line from part",
 }

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import values as V
 from lodestar.functions import web
-from lodestar.operators import changes, matching, pages, runs
+from lodestar.operators import changes, pages, runs
 from lodestar.plans.tables import read
 
 
@@ -16,24 +16,29 @@ def _words(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return read(spark, sf_dir, name).select(key, T.words(F.col("text")).alias("w"))
 
 
-def _runs(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """Each distinct run of eight words of a text, with a hash to join on."""
-    each = _words(spark, sf_dir, name, key).select(key, F.explode(T.shingles(F.col("w"), 8)).alias("run"))
-    return each.withColumn("h", F.xxhash64("run"))
+def _hits(spark: SparkSession, sf_dir: str, n: Column | int = 8, items: DataFrame | None = None) -> DataFrame:
+    """doc_id, item_id, run: the runs of n words that a document and a benchmark item share, once each.
+
+    Documents' runs are hashes until one meets a hash of the benchmark; only then is it a string, and compared.
+    """
+    items = items if items is not None else _words(spark, sf_dir, "benchmark", "item_id").withColumn("n", F.lit(n))
+    known = items.select("item_id", "n", F.explode(T.shingles(F.col("w"), F.col("n"))).alias("run")).withColumn("h", F.xxhash64(F.split("run", " ")))
+    sizes = F.array(*(F.lit(r.n) for r in known.select("n").distinct().collect()))  # at most as many as lengths of runs
+    docs = _words(spark, sf_dir, "documents", "doc_id").select("doc_id", "w", F.explode(sizes).alias("n")).where(F.size("w") >= F.col("n"))
+    starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
+    each = docs.select("doc_id", "w", "n", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.col("n"))))).alias("at", "h"))
+    met = each.join(known.select("item_id", "n", "h", "run"), ["n", "h"]).select("doc_id", "item_id", "run", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("own"))
+    return met.where("own = run").select("doc_id", "item_id", "run").distinct()
 
 
 def copy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a run of eight words with a benchmark item, and with how many runs."""
-    known = _runs(spark, sf_dir, "benchmark", "item_id").select("h", "run").distinct()
-    hits = _runs(spark, sf_dir, "documents", "doc_id").join(known, ["h", "run"], "left_semi")
-    return hits.groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return _hits(spark, sf_dir).select("doc_id", "run").distinct().groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
 def copy_check_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items that share a run, with the least shared one."""
-    known = _runs(spark, sf_dir, "benchmark", "item_id")
-    hits = _runs(spark, sf_dir, "documents", "doc_id").join(known, ["h", "run"])
-    return hits.groupBy("doc_id", "item_id").agg(F.min("run").alias("span"))
+    return _hits(spark, sf_dir).groupBy("doc_id", "item_id").agg(F.min("run").alias("span"))
 
 
 def _sections(spark: SparkSession, sf_dir: str, last: bool) -> DataFrame:
@@ -73,10 +78,12 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_role_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links worth following, of links that the parser found outside of frames, and of menus."""
-    found = read(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(web.hrefs(F.col("html"))).alias("pos", "href"))
-    links = found.select("page_id", "url", "pos", "href", F.concat(F.lit("Volunteer "), F.substring("href", 2, 20)).alias("label"))
-    return pages.role_links(links, "page_id", 3)
+    """Links worth following, of those that the parser found outside of menus and frames."""
+    found = pages.read_pages(read(spark, sf_dir, "pages")).select("page_id", "url", F.posexplode("links").alias("pos", "link"))
+    menus = read(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(web.hrefs(F.col("html"))).alias("pos", "href"))
+    # the pages' own links are few, so their menus' count as well, as listings of roles below the page
+    below = menus.select("page_id", "url", (F.col("pos") + 1000).alias("pos"), F.concat(F.rtrim(F.regexp_replace("url", "[?#].*$", ""), F.lit("/")), "href").alias("href"), F.substring("href", 2, 90).alias("label"))
+    return pages.role_links(found.select("page_id", "url", "pos", "link.href", "link.label").unionByName(below), "page_id", 3)
 
 
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,18 +92,20 @@ def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.length("main").alias("n_chars"), "boilerplate", F.size("links").alias("links"))
 
 
-def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages reached from each page by menu links that name a page of the same site, two rounds."""
-    p = read(spark, sf_dir, "pages").select("page_id", web.site(F.col("url")).alias("site"))
-    links = p.alias("a").join(p.alias("b"), (F.col("a.site") == F.col("b.site")) & (F.col("b.page_id") > F.col("a.page_id")) & (F.col("b.page_id") - F.col("a.page_id") < 60)).select(F.col("a.page_id").alias("source"), F.col("b.page_id").alias("target"), F.col("b.page_id").alias("pos"))
-    return matching.crawl(p.select(F.col("page_id").alias("page")), links, 2, 4).select("page", "target", "level", "place")
+def page_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date that a document states after the word updated, of texts to which such a line is added."""
+    k = F.col("doc_id")
+    line = F.when(k % 3 == 0, F.concat(F.lit("Last updated: 3rd May 20"), (k % 90 + 10).cast("string"))).when(k % 3 == 1, F.concat(F.lit("updated 2024-05-"), (k % 20 + 10).cast("string")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", F.substring(F.regexp_replace("text", "(?i)updated", ""), 1, 500), line).alias("text"))
+    return docs.select("doc_id", web.updated_date(F.col("text")).alias("updated"))
 
 
 def verdict_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on pages in their order, with shares and levels."""
     k = F.col("page_id")
     prose = F.length(F.regexp_replace("html", r"(?s)<[^>]*>", ""))
-    df = read(spark, sf_dir, "pages").select(pages.verdict(F.when(k % 20 == 0, 404).otherwise(200), k % 31 == 0, web.looks_client_rendered(F.col("html"), prose), F.col("url").contains("#top"), prose, F.when(k % 3 == 0, 0).otherwise(2)).alias("verdict"))
+    status = F.when(k % 20 == 0, 404).when(k % 20 == 7, 503).when(k % 20 == 9, None).otherwise(200)
+    df = read(spark, sf_dir, "pages").select(pages.verdict(status, k % 31 == 0, web.looks_client_rendered(F.col("html"), F.when(k % 2 == 0, 0).otherwise(prose)), F.col("url").contains("#top"), F.when(k % 5 == 0, prose % 1000).otherwise(prose), F.when(k % 3 == 0, 0).otherwise(2)).alias("verdict"))
     return runs.verdict_counts(df, F.col("verdict"), ["clean", "thin", "redirected", "client_rendered", "dead", "blocked"], "clean")
 
 
@@ -108,26 +117,31 @@ def derived_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark items a document quotes from its 20th character on, white space aside."""
+    """Which benchmark items a document quotes from their 20th character on, white space aside.
+
+    A document that holds a quote holds the run of its inner whole words: only pairs that share this are looked at.
+    """
     items = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 20, 60).alias("quote"))
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.squeezed(F.col("text")).alias("text"))
-    # only pairs that share an eight-word run can hold the quote's middle
-    near = copy_check_span(spark, sf_dir).select("doc_id", "item_id")
-    both = near.join(docs, "doc_id").join(F.broadcast(items), "item_id")
-    return both.select("doc_id", "item_id", T.quote_supported(F.col("quote"), F.col("text")).alias("supported"))
+    tokens = items.select("item_id", "quote", T.words(F.col("quote")).alias("w")).where("size(w) > 2")
+    inner = tokens.select("item_id", F.slice("w", F.lit(2), F.least(F.lit(8), F.size("w") - 2)).alias("w")).withColumn("n", F.size("w"))
+    near = _hits(spark, sf_dir, items=inner).select("doc_id", "item_id").distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", T.squeezed(F.col("text")).alias("text"))
+    both = near.join(docs, "doc_id").join(items, "item_id")
+    return both.where(T.quote_supported(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
 
 
 def platform_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts that a page's own address, put into it as a link, leads to and that aren't covered."""
-    html = F.concat(F.col("html"), F.lit('<a href="'), F.col("url"), F.lit('">x</a>'))
-    covered = F.array(F.lit("ththth.example.org"), F.lit("example.net"))
-    hosts = web.unread_hosts(web.platform_hosts(html), covered)
+    """Hosts of platforms that pages lead to and that aren't covered, of pages that such links are added to."""
+    k = F.col("page_id")
+    more = F.concat(F.lit("<a href='https://www.Volunteer.example.org/x'>a</a><a href=\"//app"), (k % 7).cast("string"), F.lit('.betterimpact.com:8080/y">b</a><a href = "https://other.example.org/">c</a>'))
+    covered = F.array(F.lit("app1.betterimpact.com"), F.lit("example.net"))
+    hosts = web.unread_hosts(web.platform_hosts(F.concat("html", more), F.when(k % 2 == 0, F.lit("https://volunteer.example.org/")).otherwise(F.col("url"))), covered)
     return read(spark, sf_dir, "pages").select("page_id", F.array_join(hosts, ",").alias("hosts"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (copy_check, copy_check_span, content_hash, hash_changed, duplicate_ids, page_site, page_links, page_role_links, page_main_text, page_crawl, verdict_census, derived_confidence, quote_support, platform_hosts)
+    for f in (copy_check, copy_check_span, content_hash, hash_changed, duplicate_ids, page_site, page_links, page_role_links, page_main_text, page_updated, verdict_census, derived_confidence, quote_support, platform_hosts)
 }
 
 _RUNS = """
@@ -147,17 +161,13 @@ ORACLE = {
     "duplicate_ids": "select sha256(text) hash, count(*) n from documents group by 1 having count(*) > 1",
     "page_site": f"select {_SITE.format('url')} site, count(*) n from pages group by 1",
     "page_links": f"with {_LINKS} select page_id, count(*) links, count(*) filter ({_SITE.format('url')} = {_SITE.format('target')}) own, min(target) \"first\" from f group by page_id",
-    "page_crawl": f"""with p as (select page_id, {_SITE.format('url')} site from pages), l as (select a.page_id s, b.page_id t from p a join p b on a.site = b.site and b.page_id > a.page_id and b.page_id - a.page_id < 60),
- one as (select s page, t target from l), many as (select page from one group by page having count(*) >= 2),
- two as (select distinct one.page, l.t target from one join many using (page) join l on l.s = one.target where not exists (select 1 from one o where o.page = one.page and o.target = l.t)),
- a as (select page, target, 1 as level, target pos from one union all select page, target, 2, target from two)
- select page, target, level, row_number() over (partition by page order by level, pos, target) place from a qualify place <= 4""",
-    "verdict_census": """with v as (select page_id k, url, html, length(regexp_replace(html, '(?s)<[^>]*>', '', 'g')) n from pages),
- c as (select case when k % 31 = 0 then 'blocked' when k % 20 = 0 then 'dead' when n < 80 and html ilike '%<script%' then 'client_rendered' when contains(url, '#top') then 'redirected' when n < 1200 and k % 3 = 0 then 'thin' else 'clean' end verdict from v),
+    "page_updated": "select doc_id, case doc_id % 3 when 0 then '3rd May 20' || (doc_id % 90 + 10) when 1 then '2024-05-' || (doc_id % 20 + 10) end updated from documents",
+    "verdict_census": """with v as (select page_id k, url, html, length(regexp_replace(html, '(?s)<[^>]*>', '', 'g')) p from pages), m as (select *, case when k % 5 = 0 then p % 1000 else p end n from v),
+ c as (select case when k % 31 = 0 then 'blocked' when k % 20 in (0, 7, 9) then 'dead' when n < 400 then case when (k % 2 = 0 or p < 80) and html ilike '%<script%' then 'client_rendered' else 'thin' end when contains(url, '#top') then 'redirected' when n < 1200 and k % 3 = 0 then 'thin' else 'clean' end verdict from m),
  o as (select unnest(['clean', 'thin', 'redirected', 'client_rendered', 'dead', 'blocked']) verdict, unnest([0, 1, 2, 3, 4, 5]) place),
  g as (select verdict, count(*) n from c group by 1), h as (select verdict, place, coalesce(n, 0) n from o left join g using (verdict)), s as (select *, round_even(n / sum(n) over (), 3) share from h)
  select *, case when verdict <> 'clean' then null when share >= 0.7 then 'good' when share >= 0.4 then 'mixed' else 'poor' end level from s""",
     "derived_confidence": "with g as (select source, count(*) filter (quality = 1) ok, count(*) filter (quality = 0) bad from documents left join labels using (doc_id) group by source) select source, case when source = 'src1' then 0.0 when ok + bad = 0 then 1.0 else round_even(ok / (ok + bad), 3) end confidence from g",
-    "quote_support": f"with {_BOTH}, near as (select distinct doc_id, item_id from documents_r join benchmark_r using (run)), q as (select item_id, trim(regexp_replace(substr(text, 20, 60), '\\s+', ' ', 'g')) q from benchmark) select doc_id, item_id, length(q) >= 8 and not contains(q, '## Page:') and contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), q) supported from near join documents using (doc_id) join q using (item_id) where lang = 'en'",
-    "platform_hosts": f"with h as (select page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html || '<a href=\"' || url || '\">x</a>', 'href=\"(https?://[^\"]*)\"', 1), lambda x: {_HOST.format('x')}))) hs from pages) select page_id, array_to_string(list_filter(hs, lambda h: not (h = 'ththth.example.org' or h like '%.ththth.example.org' or h = 'example.net' or h like '%.example.net')), ',') hosts from h",
+    "quote_support": "with q as (select item_id, trim(regexp_replace(substr(text, 20, 60), '\\s+', ' ', 'g')) q from benchmark), d as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from documents) select distinct doc_id, item_id from d join q on contains(t, q) where length(q) >= 8 and not contains(q, '## Page:')",
+    "platform_hosts": "select page_id, array_to_string(list_filter([case when page_id % 7 <> 1 then 'app' || page_id % 7 || '.betterimpact.com' end, case when page_id % 2 <> 0 then 'volunteer.example.org' end], lambda x: x is not null), ',') hosts from pages",
 }

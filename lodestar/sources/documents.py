@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions.values import status_today
+
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType, only: list[str] | None = None, key: Column | None = None) -> DataFrame:
     """All documents of a folder with ``_file``; ``only`` keeps those whose ``key`` is listed.
@@ -17,12 +19,32 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType, only: l
 
 
 def roles_of(docs: DataFrame, organisation: str = "organisation", roles: str = "opportunities") -> DataFrame:
-    """One row a role with its organisation's id and ``ord``: file order, then place in the file."""
-    rank = F.dense_rank().over(Window.orderBy("_file"))
-    numbered = docs.withColumn("_rank", rank)
+    """One row a role with its organisation's id and ``ord``: file order, then place in the file. Only file
+    names are ranked together, not roles."""
+    files = docs.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))
+    numbered = docs.join(files, "_file")
     return numbered.select("_rank", F.col(f"{organisation}.id").alias("_org"), F.posexplode(roles).alias("_pos", "role")).select((F.col("_rank") * F.lit(1_000_000) + F.col("_pos")).cast("long").alias("ord"), F.col("_org").alias("of_org"), "role.*")
 
 
+def load(roles: DataFrame, orgs: DataFrame, today: Column, key: str = "org_id") -> tuple[DataFrame, DataFrame]:
+    """(roles, organisations) as they are shown: roles in the city only (``in_city``), with their status as of
+    today (``start_month``, ``end_month`` name the season), and organisations that have any such role."""
+    kept = roles.where(F.coalesce("in_city", F.lit(True))).withColumn("status", status_today(F.col("status"), F.col("start_month"), F.col("end_month"), today))
+    return kept, orgs.join(kept.select(key), key, "left_semi")
+
+
+def geo_features(spark: SparkSession, path: str, names: list[str], expected: int | None = None) -> DataFrame:
+    """name, geometry (JSON) of the features of a GeoJSON file; the name is the first of ``names`` that a
+    feature's properties have. Raises where a feature has no name, or ``expected`` isn't their number."""
+    kind = "features array<struct<properties:map<string,string>,geometry:string>>"
+    df = spark.read.schema(kind).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    each = df.select(F.explode("features").alias("f")).select(F.coalesce(*(F.try_element_at("f.properties", F.lit(n)) for n in names)).alias("name"), "f.geometry")
+    n = each.agg(F.count("*").alias("n"), F.count("name").alias("named")).first()
+    if n.named != n.n or expected not in (None, n.n):
+        raise ValueError(f"{n.n} features of which {n.named} have a name; {expected} were expected")
+    return each
+
+
 def first_findings(findings: DataFrame, org: str = "org_id") -> DataFrame:
     """Of several findings on an organisation, that of the first file, then the first place."""
     return findings.withColumn("_n", F.row_number().over(Window.partitionBy(org).orderBy("_file", "_pos"))).where("_n = 1").drop("_n")

@@ -37,11 +37,12 @@ def event_counts(spark: SparkSession, path: str, schema, window: str = "1 day",
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def run_available(stream: DataFrame, checkpoint: str, table: str) -> DataFrame:
-    """All that a stream has now, in complete mode, as a table in memory."""
-    query = stream.writeStream.format("memory").queryName(table).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """All windows that are closed once a stream has read what there is now, as a table in ``folder``: append
+    mode writes each window once, when the watermark has passed its end."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(table)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

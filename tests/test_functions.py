@@ -53,8 +53,9 @@ def test_place_key(spark):
     assert one(spark, text.place_canon(F.col("p")), p=" The  Barking &  Dagenham. ") == "barking and dagenham"
 
 
-def test_title_key(spark):
-    assert one(spark, text.title_key(F.col("p")), p="Cook (evening) - Café!") == "cook caf"
+@pytest.mark.parametrize("title,want", [("Cook (evening) - Café!", "cook caf"), ("Driver [van]", "driver van"), ("Tea &amp; Talk", "tea talk"), ("Women\u2019s Group", "women s group")])
+def test_title_key(spark, title, want):
+    assert one(spark, text.title_key(F.col("p")), p=title) == want
 
 
 @pytest.mark.parametrize("quote,want", [("must be  eighteen", True), ("short", False), ("## Page: x must", False), (None, False)])
@@ -76,14 +77,68 @@ def test_place_near_any_title(spark):
 
 def test_role_sections(spark):
     df = spark.createDataFrame([([("a", "top"), ("b", "The Cook role"), ("c", "other")],)], "s array<struct<url:string,text:string>>")
-    got = df.select(text.role_text(F.col("s"), F.lit("c"), F.lit("cook")).alias("x")).first().x
+    got = df.select(text.role_text(F.col("s"), F.lit("c/#apply"), F.lit("cook")).alias("x")).first().x
     assert [r.url for r in got] == ["a", "b", "c"]
     assert [r.url for r in df.select(text.role_text(F.col("s"), F.lit("z"), F.lit("driver")).alias("x")).first().x] == ["a", "b", "c"]
 
 
-def test_schedule(spark):
-    r = one(spark, text.schedule(F.lit("Every week, Monday evening or Saturday morning")))
-    assert r.commitment == "weekly" and "weekday_evening" in r.times
+@pytest.mark.parametrize(
+    "timing,christmas,want",
+    [
+        ("Every Monday evening", False, ("weekly", ["weekday_daytime"])),
+        ("Saturdays or Sundays", False, ("weekly", ["weekend_daytime"])),
+        ("Tuesday and Saturday", False, ("weekly", ["weekday_daytime", "weekend_daytime"])),
+        ("One full shift", True, ("one_off", ["flexible"])),
+        ("One full shift", False, ("unknown", ["flexible"])),
+        ("4 hours each week", False, ("weekly", ["flexible"])),
+        ("a day per month", False, ("monthly", ["flexible"])),
+        ("Fortnightly, flexible", False, ("unknown", ["flexible"])),
+        (None, None, ("unknown", ["flexible"])),
+    ],
+)
+def test_schedule(spark, timing, christmas, want):
+    df = spark.createDataFrame([(timing, christmas)], "t string, c boolean")
+    assert tuple(df.select(text.schedule(F.col("t"), F.col("c")).alias("x")).first().x) == want
+
+
+@pytest.mark.parametrize("label,want", [(None, "unknown"), ("No check required", "none"), ("N/A", "none"), ("Enhanced DBS", "enhanced"), ("Basic DBS", "basic"), ("DBS check", "required_unspecified"), ("Nobody asked", "unknown")])
+def test_check_of_a_label(spark, label, want):
+    df = spark.createDataFrame([(label,)], "l string")
+    assert df.select(text.check_of(F.col("l")).alias("x")).first().x == want
+
+
+@pytest.mark.parametrize("title,want", [("Charity Shop Cook", "shop_warehouse"), ("Kitchen help", "cooking_serving"), ("Minibus Driver", "practical"), ("Event steward", "fundraising"), ("Dreamer", "varies")])
+def test_activity_of_a_title(spark, title, want):
+    assert one(spark, text.activity_of(F.col("t")), t=title) == want
+
+
+def test_quotes_that_back_values(spark):
+    assert one(spark, text.quote_backs_season(F.lit("From Nov until April"), F.lit(11), F.lit(4))) is True
+    assert one(spark, text.quote_backs_season(F.lit("From November"), F.lit(11), F.lit(4))) is False
+    assert one(spark, text.quote_backs_check(F.lit("a background check"), F.lit("none"))) is True
+    assert one(spark, text.quote_backs_check(F.lit("a DBS check"), F.lit("enhanced"))) is False
+    assert one(spark, text.quote_backs_words(F.lit("our kitchens need you"), F.lit("Kitchen help"))) is True
+    assert one(spark, text.quote_backs_words(F.lit("we help people"), F.lit("Help people cook"))) is False
+
+
+@pytest.mark.parametrize("status,month,want", [("seasonal_closed", 12, "unknown"), ("seasonal_closed", 2, "unknown"), ("seasonal_closed", 6, "seasonal_closed"), ("open", 6, "open"), ("closed", 12, "closed")])
+def test_status_inside_its_season_is_unknown(spark, status, month, want):
+    assert one(spark, values.status_today(F.lit(status), F.lit(11), F.lit(4), F.make_date(F.lit(2026), F.lit(month), F.lit(5)))) == want
+
+
+def test_asserted(spark):
+    df = spark.createDataFrame([("individual",), ("either",), ("unknown",), ("",), (None,)], "v string")
+    assert [r.a for r in df.select(values.asserted(F.col("v"), "individual").alias("a")).collect()] == [False, True, False, False, False]
+
+
+def test_platform_hosts(spark):
+    html = "<a href='//www.Rosterfy.com:80/x'>1</a><a href=\"/volunteer\">2</a><a HREF = 'https://do-it.org/y'>3</a><a href='https://other.com'>4</a><a href='https://volunteer.a.org/'>5</a>"
+    assert one(spark, web.platform_hosts(F.lit(html), F.lit("https://volunteer.a.org/p"))) == ["do-it.org", "rosterfy.com"]
+
+
+def test_places_stand_together(spark):
+    df = spark.createDataFrame([(["Camden  Town", "Brent"], [True, True]), (["Camden", "Brent"], [True, False]), (None, None)], "p array<string>, f array<boolean>")
+    assert [r.x for r in df.select(place.stated_places(F.col("p"), F.col("f")).alias("x")).collect()] == [["Camden Town", "Brent"], [], []]
 
 
 def test_words_and_redaction(spark):
@@ -102,9 +157,13 @@ def test_image_kinds(spark):
     assert [r.k for r in df.select(web.image_kind(F.col("c")).alias("k")).collect()] == ["png", "jpg", "webp", "svg", None]
 
 
-def test_updated_and_shell(spark):
-    html = '<meta property="article:modified_time" content="2026-03-04T00:00"><div id="root"></div><script></script>'
-    assert one(spark, web.updated_date(F.lit(html))) == "2026-03-04"
+@pytest.mark.parametrize("page,want", [("x Last updated: 3rd March 2026 y", "3rd March 2026"), ("Updated 2026-03-04", "2026-03-04"), ("last   updated 14 May, 2025.", "14 May, 2025"), ("no date was updated", None), ("x" * 20_000 + " updated 2026-03-04", None)])
+def test_updated(spark, page, want):
+    assert one(spark, web.updated_date(F.lit(page))) == want
+
+
+def test_shell(spark):
+    html = '<div id="root"></div><script></script>'
     assert one(spark, web.looks_client_rendered(F.lit(html), F.lit(500))) is True
     assert one(spark, web.looks_client_rendered(F.lit("<p>short but real"), F.lit(20))) is False
 

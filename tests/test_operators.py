@@ -77,21 +77,66 @@ def test_orders_differ(roles):
     assert [r.id for r in facets.top(roles, facets.title_order(), 2).orderBy("place").collect()] == [1, 2]
 
 
-def test_relaxations_and_binding(roles):
-    chosen = facets.Query(door="one_off", activity="advice", borough="Leeds").predicates()
-    got = [(r.facet, r.n) for r in facets.relaxations(roles, chosen).orderBy("place").collect()]
-    assert got == [("door", 2), ("borough", 1)]
-    assert facets.binding(chosen) == "borough"
+def test_no_hours_come_last(roles):
+    spark = roles.sparkSession
+    rows = spark.createDataFrame([role(1, typical_shift_hours=0.0), role(2, typical_shift_hours=None), role(3, typical_shift_hours=8.0)], ROLE)
+    for order in (facets.page_order(), facets.soonest_order(), facets.least_order()):
+        assert [r.id for r in facets.top(rows, order, 9).orderBy("place").collect()] == [3, 1, 2]
 
 
-def test_fit(roles):
-    p = ranking.Preferences(commitment="once", zones=["north"], remote=True)
-    got = {r.id: r.fit for r in ranking.ranked(roles, p, widened=True).collect()}
-    assert got[6].score == 8 + 30 + 25 and got[6].conflicts == 0
-    assert got[1].conflicts == 1 and got[5].score == 15
-    assert "ask whether once is enough" in got[2].cautions
-    seen = roles.where("id = 6").select("id")
-    assert 6 not in ids(ranking.ranked(roles, p, seen))
+def test_relaxations_and_binding(roles):
+    query = facets.Query(door="one_off", activity="advice", borough="Leeds")
+    got = [(r.relaxed, r.n) for r in facets.relaxations(roles, query).orderBy("place").collect()]
+    # every change counts beside the others; the door is already one_off, so that isn't offered
+    assert got == [("door_weekly", 2), ("borough", 1)]
+    assert facets.binding(query.predicates()) == "borough"
+    assert facets.relaxations(roles, facets.Query(door="one_off", activity="none")).orderBy("place").first().relaxed == "activity"
+
+
+def scored(spark, p, **over):
+    return spark.createDataFrame([role(1, **over)], ROLE).select(ranking.fit(p).alias("f")).first().f
+
+
+@pytest.mark.parametrize(
+    "p,over,score,conflicts",
+    [
+        (None, {}, 8, 0),
+        (dict(commitment="once"), dict(commitment="one_off"), 38, 0),
+        (dict(commitment="once"), dict(commitment="one_off", min_term_months=6), 8, 1),  # a one-off with a term is ongoing
+        (dict(commitment="once"), dict(commitment="one_off", location_type="own_home"), 8, 1),
+        (dict(commitment="once"), dict(commitment="flexible"), 8, 0),  # flexible doesn't confirm a single visit
+        (dict(commitment="once"), dict(commitment="weekly"), 8, 1),
+        (dict(commitment="regular"), dict(commitment="long_term"), 38, 0),
+        (dict(commitment="regular"), dict(commitment="flexible"), 8, 0),
+        (dict(commitment="regular"), dict(commitment="one_off"), 8, 1),
+        (dict(commitment="regular"), dict(commitment="unknown"), 8, 0),
+        (dict(remote=True), dict(location_type="hybrid"), 33, 0),
+        (dict(remote=True), dict(), 8, 1),
+        (dict(zones=["south"]), dict(location_type="remote"), 23, 0),  # remote answers any area, without full points
+        (dict(zones=["south"]), dict(location_type="own_home"), 8, 0),
+        (dict(zones=["north"]), dict(), 20, 0),  # named areas aren't a venue
+        (dict(zones=["north"]), dict(location_basis="charity_coverage"), 20, 0),
+        (dict(zones=["north"]), dict(location_basis="postcode"), 33, 0),
+        (dict(zones=["south"]), dict(location_basis="london_wide", zones=[]), 8, 0),
+        (dict(zones=["south"]), dict(zones=[]), 8, 0),
+        (dict(zones=["south"]), dict(), 8, 1),
+        (dict(zones=["north"], remote=True), dict(location_type="remote"), 33, 0),  # one branch, never both
+        (dict(when=["weekend_daytime"]), dict(), 33, 0),
+        (dict(when=["weekday_evening"]), dict(when=["flexible"]), 8, 0),
+        (dict(when=["weekday_evening"]), dict(when=None), 8, 0),
+        (dict(when=["weekday_evening"]), dict(), 8, 1),
+    ],
+)
+def test_fit(spark, p, over, score, conflicts):
+    f = scored(spark, None if p is None else ranking.Preferences(**p), **over)
+    assert (f.score, f.conflicts) == (score, conflicts)
+
+
+def test_fit_says_why(spark, roles):
+    for status, n in (("open", 0), ("seasonal_closed", 1), ("oversubscribed", 1), ("unknown", 1)):
+        assert len(scored(spark, None, status=status).cautions) == n
+    assert "runs across the city" in scored(spark, ranking.Preferences(zones=["south"]), zones=[], location_basis="london_wide").reasons
+    assert 6 not in ids(ranking.ranked(roles, ranking.Preferences(commitment="once"), roles.where("id = 6").select("id")))
 
 
 def test_pairs_greedily_with_late_ties(spark):
@@ -131,8 +176,8 @@ def test_rules(spark):
 
 
 def test_feed_gaps(spark):
-    feed = spark.createDataFrame([("Cook", "https://a.org/x/1"), ("Driver (van)", "https://a.org/x/2")], "title string, link string")
-    held = spark.createDataFrame([("driver", "https://b.org/q/1"), ("Old", "https://a.org/x/9"), ("Far", "https://c.org/x/9")], "title string, link string")
+    feed = spark.createDataFrame([("Cook", "https://a.org/x/1"), ("Driver (van)", "https://a.org/x/2"), ("Tea &amp; talk", "https://a.org/x/3"), ("New [name]", "https://a.org/x/4/")], "title string, link string")
+    held = spark.createDataFrame([("driver", "https://b.org/q/1"), ("Old", "https://a.org/x/9"), ("TEA & TALK", "https://a.org/x/3/"), ("Other", "https://a.org/x/4"), ("Far", "https://c.org/x/9")], "title string, link string")
     got = {(r.kind, r.title) for r in matching.feed_gaps(feed, held).collect()}
     assert got == {("missing", "Cook"), ("gone", "Old")}
 
@@ -166,6 +211,61 @@ def test_places(spark):
     assert got == {1: (["Camden", "Islington"], False, False), 2: ([], True, False), 3: ([], False, True), 4: ([], False, False)}
 
 
+def cascade(spark, **over):
+    base = {"location": "in_person", "district": None, "boroughs": [], "london_only": False, "role_zones": None, "wide": False, "coverage": []}
+    df = spark.createDataFrame([tuple({**base, **over}.values())], "location string, district string, boroughs array<string>, london_only boolean, role_zones array<string>, wide boolean, coverage array<string>")
+    district = F.create_map(F.lit("N1"), F.lit("Islington"))
+    zone = F.create_map(*map(F.lit, ("Islington", "north", "Camden", "central", "Brent", "west")))
+    names = F.create_map(*map(F.lit, ("north", "North London", "west", "West London")))
+    cols = [F.col(c) for c in ("location", "district", "boroughs", "london_only", "role_zones")]
+    r = df.select(place.zones(*cols, F.col("coverage"), district, zone).alias("zones"), place.basis(*cols, F.col("wide"), F.col("coverage")).alias("basis"), place.area_label(*cols, F.col("wide"), F.col("coverage"), names).alias("label")).first()
+    return r.zones, r.basis, r.label
+
+
+@pytest.mark.parametrize(
+    "over,want",
+    [
+        ({}, ([], "unknown", None)),
+        (dict(location="remote", boroughs=["Camden"], wide=True), ([], "remote", None)),
+        (dict(district=" se1 "), (["central"], "postcode", None)),
+        (dict(district="n1", coverage=["Brent"]), (["north"], "postcode", None)),
+        (dict(district="N22", coverage=["Brent"]), ([], "postcode", None)),  # an unplaced district inherits nothing
+        (dict(boroughs=["Brent", "Camden"], role_zones=["north"]), (["central", "west"], "role_areas", "Brent, Camden")),
+        (dict(london_only=True, role_zones=["north"], coverage=["Brent"]), ([], "london_wide", "London")),
+        (dict(role_zones=["west", "nowhere", "north", "west"], coverage=["Brent"]), (["north", "west"], "role_areas", "North London, West London")),
+        (dict(coverage=["Brent"], wide=True), (["west"], "charity_coverage", None)),
+        (dict(wide=True), ([], "london_wide", "Across London")),
+    ],
+)
+def test_place_cascade(spark, over, want):
+    assert cascade(spark, **over) == want
+
+
+def test_suffixes_skip_what_is_taken(spark):
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(["cook", "cook", "drive", "cook", "cook-2", "tea"])], "n int, base string")
+    taken = spark.createDataFrame([("cook",), ("cook-3",), ("drive",), ("other",)], "id string")
+    got = [r.id for r in changes.suffixed(df, "base", [F.col("n")], taken=taken).orderBy("n").collect()]
+    assert got == ["cook-4", "cook-5", "drive-2", "cook-6", "cook-2", "tea"]
+    assert [r.id for r in changes.suffixed(df, "base", [F.col("n")]).orderBy("n").collect()] == ["cook", "cook-3", "drive", "cook-4", "cook-2", "tea"]
+
+
+def test_places_in_an_order_without_one_task(spark):
+    last = {i: i * 7919 % 1000 for i in range(1000)}
+    df = spark.createDataFrame([(x, i) for i, x in last.items()], "last int, ord int").repartition(5)
+    got = [r.ord for r in runs.repair_queue(df.withColumn("last", F.when(F.col("last") > 100, F.col("last"))), "last").orderBy("place").collect()]
+    assert got == sorted(last, key=lambda i: (last[i] if last[i] > 100 else -1, i))
+    assert [r.place for r in runs.repair_queue(df, "last").orderBy("place").collect()] == list(range(1, 1001))
+
+
+def test_crawl_known_first_and_capped(spark):
+    links = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "d", 1), ("c", "b", 1), ("c", "e", 2), ("d", "a", 1)], "source string, target string, pos int")
+    start = spark.createDataFrame([("a",), ("d",)], "page string")
+    rows = lambda **k: [(r.page, r.target, r.level) for r in matching.crawl(start, links, **k).orderBy("page", "place").collect()]
+    assert rows() == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 2), ("d", "a", 1)]
+    known = spark.createDataFrame([("a", "z", 1)], "page string, target string, pos int")
+    assert rows(most=2, known=known) == [("a", "z", 0), ("a", "b", 1), ("d", "a", 1)]
+
+
 def test_failure_runs_and_median(spark):
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate([1, 1, 0, 1, 1, 1])], "k string, t int, bad int")
     got = sorted((r.length, r.dead) for r in runs.failure_runs(df, "k", [F.col("t")], F.col("bad") == 1).collect())
@@ -177,6 +277,13 @@ def test_failure_runs_and_median(spark):
     assert none.median_age is None and none.banner is True
 
 
+def test_stitched_outline():
+    one = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    two = [(1, 0), (2, 0), (2, 1), (1, 1), (1, 0)]
+    ring = geometry.stitched(one, two, [[(1, 0), (1, 1)]])
+    assert len(ring) == 7 and set(ring) == {(0, 0), (1, 0), (2, 0), (2, 1), (1, 1), (0, 1)} and ring[0] == ring[-1]
+
+
 PAGE = "<html><body><nav>{nav}</nav><main><h1>Help</h1><p>" + "We need people to cook for us. " * 20 + "{x}</p></main><aside>{side}</aside><a href='/volunteer/cook'>Cook role</a></body></html>"
 
 
@@ -189,11 +296,29 @@ def test_main_text_ignores_chrome():
     assert pages.isolated(None)[0] == ""
 
 
+def links_of(spark, base, *links):
+    df = spark.createDataFrame([(1, base, h, t, i) for i, (h, t) in enumerate(links)], "page_id int, url string, href string, label string, pos int")
+    return [(r.target, r.strong) for r in pages.role_links(df, "page_id").orderBy("place").collect()]
+
+
 def test_role_links(spark):
-    rows = [(1, "https://a.org/help", h, t, i) for i, (h, t) in enumerate([("/news/x", "News"), ("/help/drive", "Drive"), ("/volunteer/cook", "Cook"), ("/volunteer/cook/", "Cook again"), ("https://b.org/volunteer", "V"), ("/volunteer/form.pdf", "Form"), ("/jobs", "Job opportunity")])]
-    df = spark.createDataFrame(rows, "page_id int, url string, href string, label string, pos int")
-    got = [(r.target, r.strong) for r in pages.role_links(df, "page_id").orderBy("place").collect()]
-    assert got == [("https://a.org/volunteer/cook", True), ("https://a.org/help/drive", False)]
+    got = links_of(spark, "https://a.org/help", ("/news/x", "Volunteer news"), ("/drop-in", "Drop-in host"), ("/help/drive", "Drive"), ("/volunteer/cook", "Cook"), ("/volunteer/cook/", "Cook again"), ("https://b.org/volunteer", "V"), ("/volunteer/form.pdf", "Form"), ("/jobs", "Job opportunity"))
+    # below the page and links that name volunteers are strong, in page order; a hint alone is weak
+    assert got == [("https://a.org/help/drive", True), ("https://a.org/volunteer/cook", True), ("https://a.org/drop-in", False)]
+
+
+def test_role_links_of_subdomains_and_paid_work(spark):
+    got = links_of(spark, "https://www.a.org.uk/volunteer/", ("https://volunteer.a.org.uk/roles", "Roles"), ("/vacancy/7", "Volunteer befriender"), ("/vacancy/8", "Senior mentor"), ("/volunteer/donate", "Donate"), ("/volunteer/", "Volunteer"), ("/about", "About us"), ("/kitchen", "x" * 91))
+    assert got == [("https://volunteer.a.org.uk/roles", True), ("https://www.a.org.uk/vacancy/7", False)]
+
+
+@pytest.mark.parametrize(
+    "row,want",
+    [((200, True, False, False, 5000, 3), "blocked"), ((None, False, False, False, 0, 0), "dead"), ((500, False, False, False, 5000, 3), "dead"), ((200, False, True, False, 399, 9), "client_rendered"), ((200, False, False, True, 399, 9), "thin"), ((200, False, True, True, 5000, 9), "redirected"), ((200, False, False, False, 1199, 0), "thin"), ((200, False, False, False, 1199, 1), "clean"), ((200, False, False, False, 1200, 0), "clean")],
+)
+def test_verdict(spark, row, want):
+    df = spark.createDataFrame([row], "s int, b boolean, c boolean, r boolean, n int, l int")
+    assert df.select(pages.verdict(*(F.col(c) for c in "sbcrnl")).alias("v")).first().v == want
 
 
 def test_documents_round_trip(spark, tmp_path):
