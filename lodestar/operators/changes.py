@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Fields whose change a person must see, and the least confidence to do without.
 CRITICAL = ("screening.dbs", "screening.references", "screening.interview", "screening.min_age", "screening.induction", "status", "next_intake", "stated_places")
@@ -16,39 +18,67 @@ REFUSED = (401, 403, 429, 451)
 DEAD_AFTER = 2
 
 
+@F.pandas_udf(DoubleType())
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio of each pair of titles; 0 where bounds of it show that it is less than the least."""
+    matcher, last, out = SequenceMatcher(None), None, []
+    for x, y in zip(a, b):
+        if y != last:
+            matcher.set_seq2(y)
+            last = y
+        matcher.set_seq1(x)
+        fits = matcher.real_quick_ratio() >= LEAST_LIKENESS and matcher.quick_ratio() >= LEAST_LIKENESS
+        out.append(matcher.ratio() if fits else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
+def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    """One group's pairs, the most alike first; of equal ones the later old row, then the later new row. Rows of
+    kind o and n have id, title and ord; those of kind s are title pairs (title, other) with their likeness."""
+    side = lambda k: rows[rows["kind"] == k].sort_values("ord", kind="stable")
+    olds, news, scores = side("o"), side("n"), rows[rows["kind"] == "s"]
+    old_ids, new_ids = olds["id"].tolist(), news["id"].tolist()
+    mine, theirs = defaultdict(list), defaultdict(list)  # places of the free rows of a title, ascending
+    for i, t in enumerate(olds["title"]):
+        mine[t].append(i)
+    for j, t in enumerate(news["title"]):
+        theirs[t].append(j)
+    group, pairs = rows["group"].iloc[0], []
+    for r, level in sorted(scores.groupby("likeness"), key=lambda x: -x[0]):
+        partners = defaultdict(list)
+        for a, b in zip(level["title"], level["other"]):
+            partners[a].append(b)
+        for i, a in sorted(((i, a) for a in partners for i in mine[a]), reverse=True):
+            best = max((b for b in partners[a] if theirs[b]), key=lambda b: theirs[b][-1], default=None)
+            if best is not None:
+                mine[a].remove(i)
+                pairs.append((group, old_ids[i], new_ids[theirs[best].pop()], r))
+    pairs += [(group, old_ids[i], None, None) for i in sorted(i for left in mine.values() for i in left)]
+    pairs += [(group, None, new_ids[j], None) for j in sorted(j for left in theirs.values() for j in left)]
+    return pd.DataFrame(pairs, columns=["group", "old_id", "new_id", "likeness"])
+
+
 def paired(old: DataFrame, new: DataFrame, by: str, least: float = LEAST_LIKENESS) -> DataFrame:
     """One-to-one pairs of similar titles inside each group: by, old_id, new_id, likeness.
 
     Inputs have ``by``, id, title and ord (their order). The most alike pair first; of equal ones the
-    later old row, then the later new row. Rows without a partner have a null other side. A group
-    must fit a task (an organisation's roles do).
+    later old row, then the later new row. Rows without a partner have a null other side. Each pair of
+    different titles that meet in any group is scored once, whatever the number of rows that have them, and
+    only where their lengths allow it; groups then choose among the scored titles. The rows of a group must fit a
+    task (an organisation's roles do).
     """
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["group", "id", "title", "ord"]
-        left, right = (x.reindex(columns=names).sort_values("ord") for x in (left, right))
-        group = (left if len(left) else right)["group"].iloc[0]
-        olds, news = list(left["title"].fillna("").str.lower()), list(right["title"].fillna("").str.lower())
-        scores = []
-        for j, b in enumerate(news):
-            matcher = SequenceMatcher(None, "", b)
-            for i, a in enumerate(olds):
-                # twice the shorter length bounds the likeness
-                if (len(a) + len(b) == 0) or 2 * min(len(a), len(b)) >= least * (len(a) + len(b)):
-                    matcher.set_seq1(a)
-                    if (r := matcher.ratio()) >= least:
-                        scores.append((r, i, j))
-        pairs, free_old, free_new = [], set(range(len(olds))), set(range(len(news)))
-        for r, i, j in sorted(scores, reverse=True):
-            if i in free_old and j in free_new:
-                free_old.discard(i), free_new.discard(j)
-                pairs.append((group, left["id"].iloc[i], right["id"].iloc[j], r))
-        pairs += [(group, left["id"].iloc[i], None, None) for i in sorted(free_old)]
-        pairs += [(group, None, right["id"].iloc[j], None) for j in sorted(free_new)]
-        return pd.DataFrame(pairs, columns=["group", "old_id", "new_id", "likeness"])
-
-    cols = [F.col(by).cast("string").alias("group"), F.col("id").cast("string").alias("id"), "title", "ord"]
-    out = old.select(*cols).groupBy("group").cogroup(new.select(*cols).groupBy("group")).applyInPandas(match, "group string, old_id string, new_id string, likeness double")
+    if least < LEAST_LIKENESS:
+        raise ValueError(f"titles are only scored from {LEAST_LIKENESS} on")
+    side = lambda df, kind: df.select(F.col(by).cast("string").alias("group"), F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.col("ord").cast("long").alias("ord"))
+    olds, news = side(old, "o"), side(new, "n")
+    met = olds.select("group", "title").distinct().join(news.select("group", F.col("title").alias("other")).distinct(), "group")
+    a, b = F.length("title"), F.length("other")
+    met = met.where((a + b == 0) | (2 * F.least(a, b) >= least * (a + b)))
+    # equal titles score 1; empty ones are alike as well
+    scores = met.select("title", "other").distinct().withColumn("likeness", F.when(F.col("title") == F.col("other"), 1.0).otherwise(_likeness("title", "other"))).where(F.col("likeness") >= least)
+    scored = met.join(scores, ["title", "other"]).select("group", F.lit("s").alias("kind"), "title", "other", "likeness")
+    every = olds.unionByName(news).unionByName(scored, allowMissingColumns=True)
+    out = every.groupBy("group").applyInPandas(_greedy, "group string, old_id string, new_id string, likeness double")
     return out.withColumnRenamed("group", by)
 
 

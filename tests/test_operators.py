@@ -147,6 +147,29 @@ def test_pairs_greedily_with_late_ties(spark):
     assert SequenceMatcher(None, "tide", "diet").ratio() != SequenceMatcher(None, "diet", "tide").ratio()
 
 
+def test_pairs_equal_plain_greedy_pairing(spark):
+    import random
+
+    draw, olds, news = random.Random(4), [], []
+    words = ["kitchen", "helper", "night", "shelter", "driver", "cook", "mentor", "shop", "Tea"]
+    for rows in (olds, news):
+        for i in range(90):
+            rows.append((f"g{draw.randint(0, 3)}", f"{'on'[rows is news]}{i}", draw.choice([None, "", " ".join(draw.choices(words, k=draw.randint(1, 4)))]) if draw.random() < 0.2 else " ".join(draw.choices(words, k=3)), draw.choice([i, i, 7 * i % 90])))
+    want = set()
+    for g in {r[0] for r in olds + news}:
+        a, b = (sorted((r for r in rows if r[0] == g), key=lambda r: r[3]) for rows in (olds, news))
+        scores = [(r, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (r := SequenceMatcher(None, (x[2] or "").lower(), (y[2] or "").lower()).ratio()) >= 0.72]
+        left, right = set(range(len(a))), set(range(len(b)))
+        for _, i, j in sorted(scores, reverse=True):
+            if i in left and j in right:
+                left.remove(i), right.remove(j)
+                want.add((g, a[i][1], b[j][1]))
+        want |= {(g, a[i][1], None) for i in left} | {(g, None, b[j][1]) for j in right}
+    kind = "g string, id string, title string, ord int"
+    got = {(r.g, r.old_id, r.new_id) for r in changes.paired(spark.createDataFrame(olds, kind), spark.createDataFrame(news, kind), "g").collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("changed,confidence,want", [([], 0.1, "auto"), (["status"], 0.99, "review"), (["title"], 0.9, "auto"), (["title"], 0.8, "review"), (["title"], None, "review"), (None, 0.9, "review"), *[([f], 0.99, "review") for f in changes.CRITICAL]])
 def test_route(spark, changed, confidence, want):
     df = spark.createDataFrame([(changed, confidence)], "c array<string>, f double")
