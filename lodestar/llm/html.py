@@ -3,16 +3,20 @@
 Pass one parses every page, hashes the subtree of each block element (its tag, its own text and
 its children's hashes), and Spark counts on how many pages of a host each hash occurs. A subtree
 that occurs on at least ``MANY`` pages and on a share ``SHARE`` of the host's pages is template.
-Pass two parses again, deletes template subtrees, and what is boilerplate by its nature (menus,
-forms, scripts, and blocks whose class or id says so), and takes the article of the rest.
-Inside an article, blocks of prose (paragraphs, headings, list items, quotes, tables) are content
-even where many pages repeat them; only other containers there can be template.
+Pass two parses again and deletes template subtrees, and what is boilerplate by its element (menus,
+forms, scripts) or by a class, id or role that is a mark as a whole: ``sidebar`` is one, ``has-sidebar`` isn't.
+What holds an article or the main element is never deleted.
+
+The text is that of all articles and main elements, in page order, or of the page if it has neither. Inside
+an article, blocks of prose (paragraphs, headings, list items, quotes, tables) are content
+even where many pages repeat them, as copied articles do; only other containers there can be template. The same
+holds in a main element without articles.
 
 The text of each remaining block: character references decoded once, white space runs one blank,
 trimmed; blocks in page order, joined by an empty line.
 
 Cases: null or empty html gives ''; markup that isn't closed is closed as browsers do; a page
-without host is of the host ''; pages that repeat a page_id are each extracted; pages with equal
+without host is of the host ''; pages that repeat a page_id, or have none, are each extracted; pages with equal
 subtrees count once each; other columns are not looked at.
 """
 
@@ -28,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import BROADCAST_ROWS, small, written
+from lodestar.llm.common import BROADCAST_ROWS, bounded, small, written
 
 MANY, SHARE = 5, 0.05
 #: Elements of HTML by what they do to text and to open elements.
@@ -41,14 +45,16 @@ CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body head
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div main body td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of a class, id or role that mark boilerplate. Fixed values.
+#: Classes, ids and roles that mark boilerplate as a whole. Fixed values.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements adbox adslot sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer sidebar rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended comment comments respond disqus reply replies complementary contentinfo search toolbar skip".split()
+    "ad ads advert adverts advertisement advertisements adbox adslot ad-slot ad-container ad-banner sponsor sponsored promo promotion banner nav navbar nav-bar main-nav site-nav navigation menu main-menu site-menu breadcrumb breadcrumbs pagination pager header masthead site-header page-header-bar footer site-footer sidebar side-bar rail widget widgets cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice notices alert popup modal overlay newsletter newsletter-signup subscribe subscription signup sign-up login share sharing share-buttons social social-share social-links follow related related-posts related-articles recommended comment comments comment-list comment-section comments-section comments-area reader-comments user-comments post-comments respond disqus disqus_thread reply replies complementary contentinfo search searchbox search-form toolbar skip skip-link".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+ROLE = re.compile(r"(?i)\brole\s*=\s*[\"']?main\b")
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-PARTS = re.compile(r"[a-z0-9]+")
-HOST = re.compile(r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
+#: A URL's host; the same pattern for Spark and Python.
+HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
+_HOST = re.compile(HOST)
 
 
 class Node:
@@ -59,7 +65,7 @@ class Node:
 
 
 def host(url: str | None) -> str:
-    found = HOST.match(url or "")
+    found = _HOST.match(url or "")
     return found[1].lower() if found else ""
 
 
@@ -144,37 +150,26 @@ def candidates(url: str | None, html: str | None) -> list[int]:
 
 
 def _boilerplate(node: Node, inside: bool) -> bool:
+    """Whether a node is boilerplate by itself; ``inside`` an article or main element a header is content."""
     if node.tag in DROPPED or node.tag == "header" and not inside:
         return True
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
+    if not node.attrs or node.tag in ("html", "body", "main"):
         return False
     for name, value in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role") and not (node.tag == "header" and inside) and not MARKS.isdisjoint(PARTS.findall(value)):
+        if name in ("class", "id", "role") and not (node.tag == "header" and inside) and not MARKS.isdisjoint(value.split()):
             return True
     return False
 
 
-def _size(node: Node) -> int:
-    """Code points of prose in a subtree."""
-    total, stack = 0, [node]
-    while stack:
-        for p in stack.pop().parts:
-            if isinstance(p, Node):
-                if p.tag not in DROPPED:
-                    stack.append(p)
-            else:
-                total += len(p)
-    return total
-
-
 def extract(url: str | None, html: str | None, template: frozenset | set) -> str:
     """The main text of a page, given the keys of its host's template subtrees."""
     root = parse(html or "")
-    nodes = hashed(root) if template else _nodes(root)
-    main = _main(nodes, root)
+    if template:
+        hashed(root)
+    regions, holders = _regions(root)
     site, blocks, line = host(url), [], []
 
     def end() -> None:
@@ -183,83 +178,82 @@ def extract(url: str | None, html: str | None, template: frozenset | set) -> str
             blocks.append(text)
         line.clear()
 
-    inside = main is not root
-    stack: list = list(reversed(main.parts))
+    # a part, whether it is inside an article or main element, and whether its prose is content whatever repeats it
+    stack: list = [(r, r is not root, r.tag == "article" or r is not root and r not in holders) for r in reversed(regions)]
     while stack:
-        part = stack.pop()
+        part, inside, prose = stack.pop()
         if part is None:
             end()
         elif isinstance(part, str):
             line.append(part)
         elif part.tag == "br":
             line.append(" ")
-        elif _boilerplate(part, inside) or template and part.tag in BLOCK and not (inside and part.tag in PROSE) and part.parts and part.tag not in ("html", "body") and site_key(site, part.hash) in template:
+        elif part not in holders and part not in regions and (_boilerplate(part, inside) or template and part.tag in BLOCK and not (prose and part.tag in PROSE) and part.parts and part.tag not in ("html", "body") and site_key(site, part.hash) in template):
             if part.tag in BLOCK:
                 end()
             else:
                 line.append(" ")
-        elif part.tag in BLOCK:
-            end()
-            stack.append(None)
-            stack.extend(reversed(part.parts))
         else:
-            stack.extend(reversed(part.parts))
+            block = part.tag in BLOCK
+            if block:
+                end()
+                stack.append((None, inside, prose))
+            prose = prose or part.tag == "article"
+            stack.extend((p, inside or part.tag == "article", prose) for p in reversed(part.parts))
     end()
     return "\n\n".join(blocks)
 
 
-def _nodes(root: Node) -> list[Node]:
-    nodes, stack = [], [root]
+def _regions(root: Node) -> tuple[list[Node], set[Node]]:
+    """The outermost articles and main elements, in page order, or else the page; and the nodes that hold one of
+    them (or an article inside a main element). Those inside or with marks of boilerplate, such as comments that
+    are articles, count only if there are no others; those in menus, asides and the like never do."""
+    found, stack = [], [(root, False, False)]
     while stack:
-        node = stack.pop()
-        nodes.append(node)
-        stack.extend(p for p in reversed(node.parts) if isinstance(p, Node))
-    return nodes
-
-
-def _main(nodes: list[Node], root: Node) -> Node:
-    """The largest article that isn't boilerplate or inside it, else the main element, else the page."""
-    for wanted in ("article", "main"):
-        found = [n for n in nodes if n.tag == wanted or wanted == "main" and re.search(r"(?i)\brole\s*=\s*[\"']?main\b", n.attrs)]
-        found = [n for n in found if not _within(n)]
-        if found:
-            return max(found, key=_size)
-    return root
-
-
-def _within(node: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag == "article" or up.tag and _boilerplate(up, False):
-            return True
-        up = up.parent
-    return False
+        node, marked, within = stack.pop()
+        if node.tag in DROPPED:
+            continue
+        article = node.tag == "article"
+        marked = marked or node is not root and _boilerplate(node, True)
+        if article or node.tag == "main" or ROLE.search(node.attrs):
+            found.append((node, marked, within))
+            within = True
+        if not article:
+            stack.extend((p, marked, within) for p in reversed(node.parts) if isinstance(p, Node))
+    if not all(marked for _, marked, _ in found):
+        found = [x for x in found if not x[1]]
+    holders: set[Node] = set()
+    for node, _, _ in found:
+        up = node.parent
+        while up is not None and up not in holders:
+            holders.add(up)
+            up = up.parent
+    return [node for node, _, within in found if not within] or [root], holders
 
 
 def keyed(pages: DataFrame) -> DataFrame:
-    """page_id, site (a hash of the host) and keys of each page."""
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, site long, keys array<long>"
+    """site (the host) and keys of each page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [candidates(u, h) for u, h in zip(b["url"], b["html"])]
-            yield pd.DataFrame({"page_id": b["page_id"], "site": [_hash(host(u), b"") for u in b["url"]], "keys": keys})
+            yield pd.DataFrame({"site": [host(u) for u in b["url"]], "keys": [candidates(u, h) for u, h in zip(b["url"], b["html"])]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
+    return bounded(pages).select("url", "html").mapInPandas(run, "site string, keys array<long>")
 
 
 def templates(found: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
-    """key of each subtree that is template on its host."""
+    """site, key of each subtree that is template on its host. A host has at most 1 / ``share`` times as many as one of
+    its pages has subtrees on average."""
     counts = found.select("site", F.explode("keys").alias("key")).groupBy("site", "key").agg(F.count("*").alias("n")).where(F.col("n") >= many)
     hosts = found.groupBy("site").agg(F.count("*").alias("pages"))
-    return counts.join(hosts, "site").where(F.col("n") >= F.col("pages") * share).select("key")
+    return counts.join(hosts, "site").where(F.col("n") >= F.col("pages") * share).select("site", "key")
 
 
 def main_text(pages: DataFrame, many: int = MANY, share: float = SHARE, most: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages``.
 
     The template keys, 8 bytes each, go to all executors if there are at most ``most``; else each
-    page gets its own by a join.
+    page gets its host's by a join, in which a hot host is one row on the other side.
     """
     found = written(keyed(pages))
     keys = written(templates(found, many, share))
@@ -267,22 +261,22 @@ def main_text(pages: DataFrame, many: int = MANY, share: float = SHARE, most: in
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
     rows = pages.select("page_id", "url", "html")
     if n <= most:
-        few = pages.sparkSession.sparkContext.broadcast(np.array([r.key for r in keys.collect()], np.int64))
+        few = pages.sparkSession.sparkContext.broadcast(np.array([r.key for r in keys.select("key").collect()], np.int64))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             template = frozenset(few.value.tolist())
             for b in batches:
                 yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": [extract(u, h, template) for u, h in zip(b["url"], b["html"])]})
 
-        out = rows.mapInPandas(run, schema)
     else:
-        own = found.select("page_id", F.explode("keys").alias("key")).join(small(keys, n), "key").groupBy(F.col("page_id").alias("of")).agg(F.collect_set("key").alias("keys"))
-        rows = rows.join(own, F.col("page_id").eqNullSafe(F.col("of")), "left").drop("of")
+        own = keys.groupBy(F.col("site").alias("of")).agg(F.collect_list("key").alias("keys"))
+        site = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
+        rows = rows.join(own, site == F.col("of"), "left").drop("of")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 text = [extract(u, h, set(k) if k is not None else frozenset()) for u, h, k in zip(b["url"], b["html"], b["keys"])]
                 yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text})
 
-        out = rows.mapInPandas(run, schema)
+    out = rows.mapInPandas(run, schema)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

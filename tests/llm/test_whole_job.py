@@ -2,13 +2,104 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from lodestar.llm import components, jaccard, licences, lines
+from lodestar.llm import ann, components, html, jaccard, licences, lines
 
 SYLLABLES = "the er on an re ha ing st or en ea ti ed is wh ou".split()
 
 
+P = "<p>The first paragraph of the article.</p><p>The second one.</p>"
+TEXT = "The first paragraph of the article.\n\nThe second one."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<body><div class="layout has-sidebar"><article>{P}</article><div class="sidebar">Side</div></div>', TEXT),
+        (f'<body><div class="no-comments post"><main>{P}</main></div>', TEXT),
+        (f'<body><article><section class="post-header"><h1>Title</h1></section>{P}</article>', "Title\n\n" + TEXT),
+        ('<body><article><p id="follow-up">One.</p><p class="ad-free">Two.</p><div id="search-strategy"><p>Three.</p></div></article>', "One.\n\nTwo.\n\nThree."),
+        ("<body><article><p>One.</p></article><article><p>Two, longer.</p></article>", "One.\n\nTwo, longer."),
+        ("<body><main><h1>Head</h1><article><p>One.</p></article><p>Beside.</p><nav>Menu</nav></main><footer>F</footer>", "Head\n\nOne.\n\nBeside."),
+        (f'<body><div class="widget"><article>{P}</article></div><div class="widget">Other</div>', TEXT),
+        (f'<body><article>{P}<div class="comments"><p>Nice</p></div></article><section id="comments"><article class="c"><p>Bad</p></article></section>', TEXT),
+        (f'<body><div class="cookie banner">Cookies</div><header>H</header><article><header><h1>T</h1></header>{P}<form>F</form><aside>A</aside></article>', "T\n\n" + TEXT),
+        ("<body><main></main><article><p>Beside an empty main.</p></article>", "Beside an empty main."),
+        ("<body><p>No article &amp; no main.</p><footer>F</footer>", "No article & no main."),
+    ],
+)
+def test_articles_are_whole(page, want):
+    assert html.extract("https://a.org/x", page, frozenset()) == want
+    assert html.extract("https://a.org/x", page, frozenset({1})) == want
+
+
+def test_subtrees_counted_by_another_parser(spark):
+    """Templates of two hosts by the standard parser and plain counts against the operator's."""
+    from collections import Counter, defaultdict
+    from html.parser import HTMLParser
+
+    draw, rows = random.Random(8), []
+    for site, shared in (("one.org", 3), ("two.org", 5)):
+        for i in range(40):
+            common = "".join(f"<div><span>Part {site} {k}</span><div>deep {k}</div></div>" for k in range(shared) if draw.random() < 0.6)
+            own = "".join(f"<div>{prose(draw, 8)}</div>" for _ in range(3))
+            rare = f"<div>rare {i % 20}</div>"  # on two pages each
+            rows.append((len(rows), f"https://{site}/{i}", f"<html><body>{common}{own}{rare}<div>Part one.org 0</div></body></html>"))
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.all = [["root", []]], []
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append([tag, []])
+
+        def handle_endtag(self, tag):
+            tag, parts = self.stack.pop()
+            node = (tag, tuple(parts))
+            self.stack[-1][1].append(node)
+            self.all.append(node)
+
+        def handle_data(self, data):
+            self.stack[-1][1].append(data)
+
+    def tree(page):
+        t = Tree()
+        t.feed(page)
+        return t
+
+    seen, pages = defaultdict(Counter), Counter()
+    for _, url, page in rows:
+        site = url.split("/")[2]
+        pages[site] += 1
+        seen[site].update({n for n in tree(page).all if n[0] == "div"})
+    template = {s: {n for n, k in c.items() if k >= html.MANY and k >= html.SHARE * pages[s]} for s, c in seen.items()}
+
+    def blocks(node, site):
+        out, line = [], []
+        for p in node[1]:
+            if isinstance(p, str):
+                line.append(p)
+            elif p[0] == "div":
+                out.append("".join(line))
+                line = []
+                out += [] if p in template[site] else blocks(p, site)
+            else:
+                line.append("".join(p[1]))
+        return [b for b in [*out, "".join(line)] if b]
+
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {}
+    for i, url, page in rows:
+        body = next(n for n in tree(page).all if n[0] == "body")
+        want[i] = "\n\n".join(blocks(body, url.split("/")[2]))
+    assert any("rare" in t for t in want.values()) and not any("deep" in t for t in want.values())
+    for most in (200_000, 0):
+        assert {r.page_id: r.text for r in html.main_text(df, most=most).collect()} == want
+
+
 def prose(draw, n):
     return " ".join("".join(draw.choices(SYLLABLES, k=draw.randint(1, 4))) for _ in range(n))
 
@@ -86,3 +177,37 @@ def test_large_groups_of_near_copies_lose_no_link(spark, share, monkeypatch):
         monkeypatch.setattr(components, "FEW", few)
         got = {r.doc_id: r.component_id for r in jaccard.joined(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
         assert got == {i: find(i) for i in range(len(sets))}
+
+
+def recall(rows, x, every):
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    queries = range(0, len(x), every)
+    hits = 0
+    for q in queries:
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(got[q] & set(np.argsort(-score)[: ann.K].tolist()))
+    return hits / (ann.K * len(queries))
+
+
+def test_recall_of_a_full_chunk_of_vectors_without_structure(spark):
+    x = np.random.default_rng(5).normal(size=(ann.CHUNK, 64))
+    chunk, model = [], ann.train(ann._unit(x[: ann.FIT_ROWS]))
+    for at in range(0, len(x), ann.ENCODED):
+        chunk.append(model.encode(ann._unit(x[at : at + ann.ENCODED])))
+    where, length, code = (np.concatenate(c) for c in zip(*chunk))
+    every = 700
+    queries = np.arange(0, len(x), every)
+    q, v, _ = ann.search(ann.Chunk(np.arange(len(x)), x, where, length.astype(np.float32), code), x[queries], queries, model)
+    rows = [type("Row", (), {"query_id": a, "vec_id": b}) for a, b in zip(q.tolist(), v.tolist())]
+    assert recall(rows, x, every) >= 0.95
+
+
+def test_queries_in_blocks_over_several_chunks(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    rows = ann.neighbours(df, block=13, chunk=700).collect()
+    assert len(rows) == ann.K * 60 and recall(rows, x, ann.EVERY) >= 0.99
