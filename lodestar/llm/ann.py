@@ -5,12 +5,13 @@ plus a residual; the residual is its length times a direction in pairs of dimens
 is one of 16 codes (4 bits; two codes to a byte), so dense clusters are told apart as finely as
 sparse ones. Codes and their centres are chosen for scores, not for distances: the part of the error
 that is parallel to the vector changes its large inner products, so it weighs ``ETA`` times as
-much as the rest. A query turns the codes into a table of 256 partial scores for each byte; a scan
-adds them up for every row of a chunk, the best ``RERANK`` rows of each chunk are scored exactly, in
-double precision on the original vectors, and the best exact scores of all chunks are the answer.
-Chunks have a fixed number of rows, so the share that is reranked, and the recall, don't fall as
-tables grow. Queries come in blocks of a bounded number; rows are read once for each block, and
-only k results for each query and chunk are shuffled.
+much as the rest. Each row is encoded once, into a table in the shared folder. A query turns the codes into a
+table of 256 partial scores for each byte; a scan adds them up for every row of a chunk, the best ``RERANK`` rows of
+each chunk are scored exactly, in double precision on the original vectors, and the best exact scores of all
+chunks are the answer. Every chunk goes this way, however few rows it has. Chunks have a fixed number of rows, so
+the share that is reranked, and the recall, don't fall as tables grow. Queries come in blocks of a bounded
+number: a block is sent to all workers, its answers are written, and it is released before the next; a worker
+keeps only the best k of each query of the block over all its chunks, and only those are shuffled.
 
 Equal vectors in a chunk are one candidate that carries its k + 1 smallest ids, so copies take no
 places from others; nothing is dropped, since no answer can need more of them.
@@ -27,19 +28,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import bounded, written
+
 K = 5
 EVERY = 50
 #: The weight of parallel error: (d - 1) T^2 / (1 - T^2) for scores above T = 0.78 in 64 dimensions.
 ETA = 100.0
 CENTRES, CODES, WIDTH = 32, 16, 2
 FIT_ROWS = 6000
-CHUNK, RERANK = 8192, 256
+CHUNK, RERANK = 65_536, 512
+#: So many rows are encoded at a time.
+ENCODED = 4096
 QUERY_BLOCK = 4096
 OUT = "query_id long, vec_id long, score double"
+CODED = "vec_id long, v array<double>, centre int, length float, code binary"
 
 
 @dataclass
@@ -146,10 +154,21 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, model: Quantiser, k: int = K, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Chunk:
+    """Rows with their codes: ids, vectors, coarse centres, lengths of residuals, codes by byte."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    centre: np.ndarray
+    length: np.ndarray
+    code: np.ndarray
+
+
+def search(chunk: Chunk, queries: np.ndarray, query_ids: np.ndarray, model: Quantiser, k: int = K, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query_id, vec_id, score of the best k rows of a chunk for each query."""
-    order = np.argsort(ids, kind="stable")
-    x, ids = np.ascontiguousarray(x[order]), ids[order]
+    order = np.argsort(chunk.ids, kind="stable")
+    x, ids = np.ascontiguousarray(chunk.x[order]), chunk.ids[order]
     seen: dict[bytes, list[int]] = {}
     for i, key in enumerate(map(bytes, np.ascontiguousarray(x + 0.0).view(np.uint8))):
         same = seen.setdefault(key, [])
@@ -157,25 +176,17 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.nd
             same.append(i)
     rows = np.array([s[0] for s in seen.values()])
     copies = list(seen.values())
-    own = x[rows]
-    alone = all(len(s) == 1 for s in copies)
-    few = len(rows) <= rerank
-    if not few:
-        where, length, packed = model.encode(_even(_unit(own)))
-        length = length.astype(np.float32)
-        packed = np.ascontiguousarray(packed.T.astype(np.intp))
+    own, alone = x[rows], all(len(s) == 1 for s in copies)
+    where, length = chunk.centre[order][rows], chunk.length[order][rows]
+    code = np.ascontiguousarray(chunk.code[order][rows].T.astype(np.intp))
     out_q, out_v, out_s = [], [], []
     for q, query_id in zip(queries, query_ids):
-        if few:
-            best = np.arange(len(rows))
-        else:
-            unit = _even(_unit(q[None]))[0]
-            table = model.tables(unit)
-            score = np.zeros(len(rows), np.float32)
-            for byte, line in zip(packed, table):
-                score += line[byte]
-            score = score * length + (model.coarse @ unit).astype(np.float32)[where]
-            best = np.argpartition(-score, rerank)[:rerank]
+        unit = _even(_unit(q[None]))[0]
+        score = np.zeros(len(rows), np.float32)
+        for byte, line in zip(code, model.tables(unit)):
+            score += line[byte]
+        score = score * length + (model.coarse @ unit).astype(np.float32)[where]
+        best = np.argpartition(-score, rerank)[:rerank] if len(rows) > rerank else np.argsort(-score)
         score = exact(own[best], q)
         if alone:
             found = ids[rows[best]]
@@ -196,54 +207,97 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.nd
     return np.concatenate([none.astype(np.int64), *out_q]), np.concatenate([none.astype(np.int64), *out_v]), np.concatenate([none, *out_s])
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def best_of(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k rows of each query, an id once with its best score, ties to the smaller id."""
+    order = np.lexsort((-s, v, q))
+    q, v, s = q[order], v[order], s[order]
+    first = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])) if len(q) else np.empty(0, bool)
+    q, v, s = q[first], v[first], s[first]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    start = np.append(True, q[1:] != q[:-1]) if len(q) else np.empty(0, bool)
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0)) if len(q) else np.empty(0, int)
+    return q[place < k], v[place < k], s[place < k]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def coded(rows: DataFrame, models: Broadcast) -> DataFrame:
+    """vec_id, v, centre, length, code of each row, by the model of its number of dimensions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            size = pc.list_value_length(whole.column(1)).to_numpy()
+            for d in np.unique(size):
+                part = whole.filter(pa.array(size == d)) if len(np.unique(size)) > 1 else whole
+                for at in range(0, part.num_rows, ENCODED):
+                    b = part.slice(at, ENCODED)
+                    where, length, code = models.value[int(d)].encode(_even(_unit(_matrix(b.column(1)))))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(where, pa.int32()), pa.array(length, pa.float32()), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "v", "centre", "length", "code"])
+
+    return rows.mapInArrow(run, CODED)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
+    """The rows of a worker in chunks of ``most``; the last may have fewer."""
+    held, n = [], 0
+
+    def whole() -> Chunk:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return Chunk(t.column(0).to_numpy(), _matrix(t.column(1)), t.column(2).to_numpy(), t.column(3).to_numpy(), _codes(t.column(4)))
+
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, most - n))
+            n += held[-1].num_rows
+            batch = batch.slice(held[-1].num_rows)
+            if n == most:
+                yield whole()
+                held, n = [], 0
+    if n:
+        yield whole()
 
 
 def neighbours(df: DataFrame, k: int = K, every: int = EVERY, chunk: int = CHUNK, rerank: int = RERANK, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id ``every`` divides."""
-    spark, rows = df.sparkSession, usable(df)
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    context, rows = df.sparkSession.sparkContext, bounded(usable(df))
+    queries = written(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
     shapes = queries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
-    found = None
-    for d, n in shapes:
+    models = {}
+    for d, _ in shapes:
         same = rows.where(F.size("v") == d)
         share = min(1.0, FIT_ROWS / max(1, same.count()))
         sample = same.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) <= int(share * 1_000_000)).select("v").toPandas()
-        model = train(_even(_unit(_matrix(sample["v"]))))
+        models[d] = train(_even(_unit(np.stack(sample["v"].to_numpy()).astype(np.float64))))
+    shared = context.broadcast(models)
+    table = written(coded(rows.where(F.size("v").isin([d for d, _ in shapes])), shared))
+    shared.destroy()
+    found = df.sparkSession.createDataFrame([], OUT)
+    for d, n in shapes:
         blocks = -(-n // block)
         for b in range(blocks):
             part = queries.where((F.size("v") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).toPandas()
             if not len(part):
                 continue
-            sent = spark.sparkContext.broadcast((_matrix(part["v"]), part["vec_id"].to_numpy(), model))
+            sent = context.broadcast((np.stack(part["v"].to_numpy()).astype(np.float64), part["vec_id"].to_numpy(), models[d]))
 
-            def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
                 q, q_ids, model = sent.value
-                held: list[pd.DataFrame] = []
-
-                def chunks() -> Iterator[pd.DataFrame]:
-                    size = 0
-                    for batch in batches:
-                        for at in range(0, len(batch), chunk):
-                            held.append(batch.iloc[at : at + chunk])
-                            size += len(held[-1])
-                            if size >= chunk:
-                                whole = pd.concat(held)
-                                yield whole[:chunk]
-                                held[:] = [whole[chunk:]]
-                                size -= chunk
-                    if size:
-                        yield pd.concat(held)
-
-                for c in chunks():
-                    a, v, s = search(_matrix(c["v"]), c["vec_id"].to_numpy(), q, q_ids, model, k, rerank)
-                    yield pd.DataFrame({"query_id": a, "vec_id": v, "score": s})
-
-            near = same.select("vec_id", "v").mapInPandas(run, OUT)
-            found = near if found is None else found.unionByName(near)
-    if found is None:
-        found = spark.createDataFrame([], OUT)
+                best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                for c in chunks(batches, chunk):
+                    best = best_of(*(np.concatenate(x) for x in zip(best, search(c, q, q_ids, model, k, rerank))), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "vec_id", "score"])
+
+            found = found.unionByName(written(table.where(F.size("v") == d).mapInArrow(run, OUT)))
+            sent.destroy()
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
