@@ -46,19 +46,19 @@ def linked(percent: int) -> F.Column:
     return 100 * F.col("both") >= percent * (F.col("x") + F.col("y") - F.col("both"))
 
 
-#: Clusters of so many nodes besides their hub, or fewer, are compared pair by pair.
+#: Keys of so many nodes besides their hub, or fewer, are compared pair by pair.
 FEW = 8
 #: The number of classes of distances to the hub that a linked pair's distance spans, about.
 CLASSES = 6
 
 
 def hubs(members: DataFrame) -> DataFrame:
-    """a (node), b (hub) for each node and the hub of each of its keys. A key's hub is the node that
-    shares its keys with the most others: among copies of one text, the one that differs least from all."""
+    """key, n (its nodes), a (node), b (hub) for each node of a key but its hub: the node that
+    shares its keys with the most others. Among copies of one text, that differs least from all."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     ranked = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("fame"))
-    best = members.join(ranked, "node").groupBy("key").agg(F.max(F.struct("fame", "node")).alias("best"))
-    return members.join(best, "key").select(F.col("node").alias("a"), F.col("best.node").alias("b")).where("a <> b").distinct()
+    best = members.join(ranked, "node").groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("fame", "node")).alias("best"))
+    return members.join(best, "key").select("key", "n", F.col("node").alias("a"), F.col("best.node").alias("b")).where("a <> b")
 
 
 def resolved(members: DataFrame, compare: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -69,32 +69,44 @@ def resolved(members: DataFrame, compare: Callable[[DataFrame], DataFrame], diff
     to rows (a, b, diff), the elements that only one of the two has.
 
     Each node is compared with the hubs of its keys only, not with all others of them. What links to
-    the same hub is of one component, so pairs are left to try only if one of them doesn't link
-    to their hub and they are not yet of one component. Those are joined on their *differences from the hub*
-    (see ``nearby``), where what a whole group shares has cancelled out. So a large
-    group of similar sets costs a comparison for each set, and no link between components is lost.
+    the same hub is of one component, so pairs of a key are left to try only if one of them doesn't link
+    to the hub and they are not yet of one component. Within keys of at most ``FEW`` such nodes they are
+    compared; those of larger keys are joined on their *differences from the hub* (see ``nearby``), where what a
+    whole group shares has cancelled out. So a large group of similar sets costs a comparison for each
+    set, and no link between components is lost.
     """
-    tried = written(compare(hubs(members)).select("a", "b", "x", "y", "both", linked(percent).alias("linked")))
-    edges = tried.where("linked").select("a", "b")
-    parts = components(edges)
+    routes = written(hubs(members))
+    tried = written(compare(routes.select("a", "b").distinct()).select("a", "b", "x", "y", linked(percent).alias("linked")))
+    parts = components(tried.where("linked").select("a", "b"))
     known = tried.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_hubs = known.groupBy("b").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 1 and low <> high").select("b", "n")
-    cluster = written(known.join(open_hubs, "b"))
-    if not cluster.limit(1).count():
-        return parts
-    cluster = written(cluster.join(differences(cluster.select("a", "b")), ["a", "b"]))
-    side = lambda c: cluster.select("b", F.col("a").alias(c), F.col("x").alias(f"x_{c}"), F.col("diff").alias(f"diff_{c}"), F.col("component").alias(f"part_{c}"))
-    pairs = nearby(cluster, percent).distinct()
-    checked = pairs.join(side("p"), ["b", "p"]).join(side("q"), ["b", "q"])
-    apart = F.size("diff_p") + F.size("diff_q") - 2 * F.size(F.array_intersect("diff_p", "diff_q"))
-    checked = checked.withColumn("both", (F.col("x_p") + F.col("x_q") - apart) / 2).withColumnsRenamed({"x_p": "x", "x_q": "y"}).where(linked(percent))
-    more = written(checked.select(F.col("part_p").alias("a"), F.col("part_q").alias("b")).distinct())
+    left = routes.where("n > 2").join(known, ["a", "b"])
+    split = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    left = written(left.join(split, "key", "left_semi"))
+
+    one = left.where((F.col("n") <= FEW + 1) & ~F.col("linked")).select("key", F.col("a").alias("p"), F.col("x").alias("x_p"), F.col("component").alias("part_p"))
+    two = left.where(F.col("n") <= FEW + 1).select("key", F.col("a").alias("q"), F.col("x").alias("x_q"), F.col("component").alias("part_q"), F.col("linked").alias("linked_q"))
+    near = 100 * F.least("x_p", "x_q") >= percent * F.greatest("x_p", "x_q")
+    pairs = one.join(two, "key").where(F.expr("part_p <> part_q and (linked_q or p < q)") & near)
+    pairs = written(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    more = compare(pairs).where(linked(percent)).select("a", "b") if pairs.limit(1).count() else pairs
+
+    cluster = written(left.where(F.col("n") > FEW + 1).select("a", "b", "x", "y", "linked", "component").distinct())
+    if cluster.limit(1).count():
+        cluster = written(cluster.join(differences(cluster.select("a", "b")), ["a", "b"]))
+        side = lambda c: cluster.select("b", F.col("a").alias(c), F.col("x").alias(f"x_{c}"), F.col("diff").alias(f"diff_{c}"))
+        checked = nearby(cluster, percent).distinct().join(side("p"), ["b", "p"]).join(side("q"), ["b", "q"])
+        apart = F.size("diff_p") + F.size("diff_q") - 2 * F.size(F.array_intersect("diff_p", "diff_q"))
+        checked = checked.withColumn("both", (F.col("x_p") + F.col("x_q") - apart) / 2).withColumnsRenamed({"x_p": "x", "x_q": "y"})
+        more = more.union(checked.where(linked(percent)).select("p", "q"))
+    more = written(more)
     if not more.limit(1).count():
         return parts
-    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    # the new links join what are single nodes or components so far
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    whole = components(ends).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
-    every = parts.union(alone).join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-    return written(every)
+    return written(parts.union(alone).join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
 
 
 def nearby(cluster: DataFrame, percent: int) -> DataFrame:
@@ -108,13 +120,8 @@ def nearby(cluster: DataFrame, percent: int) -> DataFrame:
     within their first d - o + 1 and e - o + 1. As o grows with the other's distance, the prefixes are cut
     for each class of the other's distance apart. What only one node has can't be shared and is never sent.
     """
-    few = cluster.where(F.col("n") <= FEW)
-    one = few.where("not linked").select("b", F.col("a").alias("p"), F.col("component").alias("part"))
-    two = few.select("b", F.col("a").alias("q"), F.col("component").alias("part_q"), F.col("linked").alias("linked_q"))
-    pairs = one.join(two, "b").where("part <> part_q and (linked_q or p < q)").select("b", "p", "q")
-
     c, span = (100 - percent) / (100 + percent), 100 / percent
-    many = cluster.where(F.col("n") > FEW).select("b", "a", "x", "y", "linked", "component", "diff", F.size("diff").alias("d"), F.greatest(F.lit(1), F.floor(2 * c * F.col("y") / CLASSES)).cast("int").alias("width"))
+    many = cluster.select("b", "a", "x", "y", "linked", "component", "diff", F.size("diff").alias("d"), F.greatest(F.lit(1), F.floor(2 * c * F.col("y") / CLASSES)).cast("int").alias("width"))
     each = many.select("b", "a", F.explode("diff").alias("e"))
     rare = each.groupBy("b", "e").agg(F.count("*").alias("times")).where("times > 1")
     shared = each.join(rare, ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared"))
@@ -124,11 +131,9 @@ def nearby(cluster: DataFrame, percent: int) -> DataFrame:
     other = F.col("other") * F.col("width")
     least = F.greatest(F.lit(1), F.ceil((F.col("d") + other - c * (F.col("x") + F.least(span * F.col("x"), F.col("y") + other))) / 2 - 1e-6)).cast("int")
     rows = rows.withColumn("least", least).where((F.col("least") <= F.col("d")) & (F.col("least") < other + F.col("width")))
-    take = F.col("d") - F.col("least") + 1 - (F.col("d") - F.size("shared"))
-    rows = rows.withColumn("take", take).where("take > 0").withColumn("s", F.explode(F.slice("shared", 1, F.col("take"))))
-    rows = rows.select("b", F.col("s.e").alias("e"), F.least("class", "other").alias("lo"), F.greatest("class", "other").alias("hi"), "a", "class", "linked", F.col("component").alias("part"))
-    rows = written(rows)
+    rows = rows.withColumn("take", F.size("shared") - F.col("least") + 1).where("take > 0").withColumn("s", F.explode(F.slice("shared", 1, F.col("take"))))
+    rows = written(rows.select("b", F.col("s.e").alias("e"), F.least("class", "other").alias("lo"), F.greatest("class", "other").alias("hi"), "a", "class", "linked", F.col("component").alias("part")))
     one = rows.where("not linked").select("b", "e", "lo", "hi", F.col("a").alias("p"), "class", "part")
     two = rows.select("b", "e", "lo", "hi", F.col("a").alias("q"), F.col("class").alias("class_q"), F.col("linked").alias("linked_q"), F.col("part").alias("part_q"))
     met = one.join(two, ["b", "e", "lo", "hi"]).where("part <> part_q and (linked_q or p < q) and (class <> class_q or lo = hi)")
-    return pairs.union(met.select("b", "p", "q"))
+    return met.select("b", "p", "q")
