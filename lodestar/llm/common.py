@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.sources.scratch import written as written
+
 #: A word: a run of characters that are not ASCII white space. Fixed by the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,23 +23,23 @@ BROADCAST_KEYS = 2_000_000
 
 #: Bytes of text that a Python worker works on at once.
 PIECE = 4 << 20
+#: Bytes of an Arrow batch.
+BATCH = 8 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints; a local one only where none is set, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+def _bytes(size: str) -> int:
+    """A size as Spark writes it (64m, 1024b) in bytes; a bare number counts bytes."""
+    found = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", size.strip().lower())
+    return int(found[1]) << 10 * "bkmgt".index(found[2] or "b") if found else -1
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches cut at ``BATCH`` bytes: rows don't bound what a Python worker holds,
+    as texts may be long."""
+    conf = df.sparkSession.conf
+    if not 0 < _bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
+    return df
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:

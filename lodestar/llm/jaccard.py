@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, small, unwrapped, wrapped, written
+from lodestar.llm.common import bounded, pieces, small, unwrapped, wrapped, written
 from lodestar.llm.components import resolved
 
 N, PERCENT = 4, 85
@@ -137,7 +137,7 @@ def named(docs: DataFrame, n: int) -> DataFrame:
             sets = [grams(t, n) for t in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["id", "n_shingles", "node"])
 
-    tagged = docs.select(F.struct("doc_id", F.xxhash64("text").alias("tag")).alias("id"), "text")
+    tagged = bounded(docs).select(F.struct("doc_id", F.xxhash64("text").alias("tag")).alias("id"), "text")
     return tagged.mapInArrow(run, f"id struct<doc_id: {kind}, tag: bigint>, n_shingles long, node long").select("id.doc_id", "id.tag", "n_shingles", "node")
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold, unwrapped, wrapped
+from lodestar.llm.common import bounded, fold, unwrapped, wrapped
 
 #: The longest n-gram: three characters of 21 bits fill a 63-bit number.
 LONGEST, BITS = 3, 21
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, most: int = FIT_ROWS, length: int = LENGTH) -> dict[str
     """language -> (n-grams in order of their numbers, their ranks), learned from at most about
     ``most`` rows that are not held out. The driver gets ``length`` n-grams for each language.
     """
-    rows = sample(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 1), most)
+    rows = sample(bounded(docs).select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 1), most)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,7 +120,7 @@ def identified(rows: DataFrame, languages: dict[str, Profile]) -> DataFrame:
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([predict(t, languages) for t in texts], columns=["lang_pred", "score"])
 
-    return rows.withColumn("guess", guess("text"))
+    return bounded(rows).withColumn("guess", guess("text"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:

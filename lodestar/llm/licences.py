@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import bounded
+
 LEAST = 0.8
 #: Public licence notices and texts, by SPDX name. Fixed values.
 TEMPLATES = {
@@ -168,4 +170,4 @@ def scanned(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
     def look(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"licence": n, "dice": d} for n, d in scan(t, table, least)])
 
-    return docs.select("doc_id", look("text").alias("licences"))
+    return bounded(docs).select("doc_id", look("text").alias("licences"))

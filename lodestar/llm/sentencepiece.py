@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.common import bounded, pieces
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: The file's numbers for kinds of pieces and models. Fixed values of the format.
@@ -41,7 +43,7 @@ UNIGRAM = 1
 UNKNOWN_PENALTY = 10.0
 #: A worker forgets its segments beyond so many; blocks of new segments are this large in bytes.
 CACHE, BLOCK = 600_000, 4_000_000
-TEXTS = 256
+TEXTS = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -287,14 +289,13 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     The driver reads the model and sends it, some 2 MB, with the tasks.
     """
     model = docs.sparkSession.sparkContext.broadcast(load(path))
-    rows = docs.select(key, text).toDF("key", "text")
+    rows = bounded(docs).select(key, text).toDF("key", "text")
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("same", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, model.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
+            for batch in pieces(whole, 1, TEXTS):
                 texts = batch.column(1).to_pylist()
                 ids = codec.encode(texts)
                 same = [None if t is None else codec.decode(x) == t for t, x in zip(texts, ids)]

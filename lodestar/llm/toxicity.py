@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold
+from lodestar.llm.common import bounded, fold
 from lodestar.llm.language import sample
 
 FIT_ROWS = 12_000
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Grammar:
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
-    grammar = fit(docs, labels, most)
+    grammar = fit(bounded(docs), labels, most)
 
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
