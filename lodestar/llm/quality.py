@@ -1,14 +1,15 @@
 """Quality rules with risk-controlled thresholds [DataFrame functions only].
 
-Base rules: too few words, or too many words inside repeated three-word windows. Further rules
-reject a document when one of its rates lies above a cutoff. Cutoffs are not set by hand: the
-labelled documents are a holdout on which nothing is fitted, and for each stratum (the language)
-and rate the cutoffs of a fixed grid are tested from the mildest to the strictest. A cutoff
-passes while the exact binomial (Clopper-Pearson) upper bound of its false rejections among good
-documents stays below the rate's part of ``RISK``; the test of a stratum and rate stops at the
-first failure, which keeps the error of the whole sequence at its level, and the levels of all
-strata and rates share ``ALPHA`` equally (Bonferroni). So with probability 1 - ALPHA no stratum
-loses more than ``RISK`` of its good documents. A stratum with too few labels gets no cutoff.
+Base rules: too few words, or too many words inside repeated three-word windows. A further rule
+rejects a document when any of its rates lies above that rate's cutoff. Cutoffs are not set by hand: all of them
+tighten together along a fixed grid, from the mildest step to the strictest (``GRID``), and the
+labelled documents are a holdout on which nothing is fitted. For each stratum (the language) the steps are tested from
+the mildest on: a step passes while the exact binomial (Clopper-Pearson) upper bound of the share of good documents that
+it rejects stays within ``RISK``. The rejections of the steps are nested and the test stops at the
+first failure, which keeps the error of the whole sequence at its level (fixed sequence), and the
+strata share ``ALPHA`` equally (Bonferroni). So with probability 1 - ALPHA no stratum
+loses more than ``RISK`` of its good documents. A stratum with too few labels gets no cutoffs (about 220 good
+documents are needed with four strata).
 
 Cases: a null or empty text has no words and fails the base rules; a null language is a stratum
 of its own; labels of a document that disagree count as bad, null labels are ignored; without
@@ -17,21 +18,21 @@ labels only the base rules decide; repeated rows are judged alike; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import WORD, words, written
 
 RISK = 0.02
 ALPHA = 0.05
-#: The grid of cutoffs: ratio steps down from 1 (rates) or from 100 (mean word length).
-STEPS, RATIO = 120, 0.94
-RATES = {
-    "symbol_rate": 1.0,
-    "dup_line_rate": 1.0,
-    "repeat_rate": 1.0,
-    "upper_rate": 1.0,
-    "word_length": 100.0,
+#: Each rate's mildest and strictest cutoff; the steps between are even ratios.
+STEPS = 60
+GRID = {
+    "symbol_rate": (1.0, 0.005),
+    "dup_line_rate": (1.0, 0.05),
+    "repeat_rate": (0.5, 0.02),
+    "upper_rate": (1.0, 0.03),
+    "word_length": (100.0, 6.0),
 }
 LEAST_WORDS = 50
 MOST_REPEATED = 0.5
@@ -91,34 +92,39 @@ def allowed(n: F.Column, risk: F.Column, alpha: F.Column) -> F.Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(n * risk)), start, step, lambda a: a["k"])
 
 
+def cutoff(rate: str, step: F.Column) -> F.Column:
+    """A rate's cutoff at a step of the grid."""
+    mild, strict = GRID[rate]
+    return F.lit(mild) * F.pow(F.lit(strict / mild), step / (STEPS - 1))
+
+
+def first_step(rate: str) -> F.Column:
+    """The mildest step that rejects a document by a rate; STEPS if none does. Never later than the comparison with
+    the cutoff itself would have it."""
+    mild, strict = GRID[rate]
+    step = F.floor(F.log(F.col(rate) / mild) / F.log(F.lit(strict / mild)) * (STEPS - 1)) + 1
+    return F.when(F.col(rate) > 0, F.greatest(F.lit(0), F.least(F.lit(STEPS), step))).otherwise(STEPS).cast("int")
+
+
 def cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """stratum, rate, cutoff: one row for each stratum and rate with a cutoff that passed."""
+    """stratum, step: the strictest step that passed, one row for each stratum that has one."""
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = rated.where("not base_failed").join(good, "doc_id", "left_semi")
-    # of each rate, the number of grid cutoffs below the value: those would reject the document
-    step = lambda name, top: F.when(F.col(name) > 0, F.greatest(F.lit(0), F.least(F.lit(STEPS), F.floor(F.log(F.col(name) / top) / F.log(F.lit(RATIO))) + 1))).otherwise(STEPS).cast("int")
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), step(k, v).alias("first")) for k, v in RATES.items())))
-    counts = held.select("stratum", each.alias("x")).select("stratum", "x.*").groupBy("stratum", "rate", "first").count()
-    of = Window.partitionBy("stratum", "rate")
-    counts = counts.select("*", F.sum("count").over(of).alias("n"), F.sum("count").over(of.orderBy("first")).alias("k"))
-    tests = F.count("*").over(Window.partitionBy())
-    per = counts.groupBy("stratum", "rate").agg(F.max("n").alias("n"), F.collect_list(F.struct("first", "k")).alias("steps")).withColumn("tests", tests)
-    per = per.withColumn("k_most", allowed(F.col("n"), F.lit(risk / len(RATES)), F.lit(alpha) / F.col("tests")))
-    # cutoff number s rejects those with first <= s; the first s that fails is the least `first` whose running count is too high
-    fails = F.array_min(F.transform(F.filter("steps", lambda x: x["k"] > F.col("k_most")), lambda x: x["first"]))
-    per = per.withColumn("last", F.coalesce(fails - 1, F.lit(STEPS - 1))).where("k_most >= 0 and last >= 0")
-    top = F.create_map(*(F.lit(x) for pair in RATES.items() for x in pair))
-    return per.select("stratum", "rate", (top[F.col("rate")] * F.pow(F.lit(RATIO), F.col("last"))).alias("cutoff"))
+    counts = held.select("stratum", F.least(*map(first_step, GRID)).alias("first")).groupBy("stratum", "first").count()
+    # a stratum has at most a row for each step from here on
+    per = counts.groupBy("stratum").agg(F.sum("count").alias("n"), F.collect_list(F.struct("first", "count")).alias("steps"))
+    strata = per.agg(F.count("*").alias("strata"))
+    per = per.crossJoin(F.broadcast(strata)).withColumn("most", allowed(F.col("n"), F.lit(risk), F.lit(alpha) / F.col("strata")))
+    rejected = lambda s: F.aggregate(F.filter("steps", lambda x: x["first"] <= s), F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    fails = F.array_min(F.transform(F.filter("steps", lambda x: rejected(x["first"]) > F.col("most")), lambda x: x["first"]))
+    last = F.least(F.lit(STEPS - 1), F.coalesce(fails - 1, F.lit(STEPS - 1)))
+    return per.withColumn("step", last).where("most >= 0 and step >= 0").select("stratum", "step")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the cutoffs that applied, for each row."""
+    """doc_id, the base counts, base_failed, kept and the step whose cutoffs applied, for each row."""
     rated = rates(written(measured(docs)))
-    found = cutoffs(rated, labels, risk, alpha).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rate", "cutoff"))).alias("cutoffs")).withColumnRenamed("stratum", "of")
-    found = written(found)
+    found = written(cutoffs(rated, labels, risk, alpha).withColumnRenamed("stratum", "of"))
     out = rated.join(found, F.col("stratum").eqNullSafe(F.col("of")), "left")
-    over = [F.coalesce(F.col(k) > F.col("cutoffs")[k], F.lit(False)) for k in RATES]
-    kept = ~F.col("base_failed")
-    for x in over:
-        kept = kept & ~x
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "stratum", "cutoffs")
+    kept = ~F.col("base_failed") & F.coalesce(F.least(*map(first_step, GRID)) > F.col("step"), F.lit(True))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "stratum", "step")

@@ -18,7 +18,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on each document."""
-    return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("stratum", "cutoffs")
+    return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("stratum", "step")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestar.llm import ann, components, html, jaccard, licences, lines
+from lodestar.llm import ann, components, html, jaccard, licences, lines, quality
 
 SYLLABLES = "the er on an re ha ing st or en ea ti ed is wh ou".split()
 
@@ -211,3 +211,46 @@ def test_queries_in_blocks_over_several_chunks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
     rows = ann.neighbours(df, block=13, chunk=700).collect()
     assert len(rows) == ann.K * 60 and recall(rows, x, ann.EVERY) >= 0.99
+
+
+def test_quality_steps_equal_plain_counts(spark):
+    import math
+
+    draw, docs, marks = random.Random(12), [], []
+    for i in range(1500):
+        lang = draw.choice(["aa", "aa", "aa", "bb", None])
+        bad = draw.random() < 0.3
+        words = [w + "$" * (draw.random() < (0.4 if bad else 0.01)) + ("QQ" if draw.random() < (0.3 if bad else 0.02) else "") for w in prose(draw, 60).split(" ")]
+        docs.append((i, " ".join(words), lang))
+        marks.append((i, int(not bad)))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+
+    def step(text):
+        w = text.split()
+        size = max(1, sum(map(len, w)))
+        seen = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        twice = {i + d for i, s in enumerate(seen) if seen.count(s) > 1 for d in range(3)}
+        rate = {"symbol_rate": sum(c in "#*$%&|<>" for c in text) / size, "dup_line_rate": 0.0, "repeat_rate": len(twice) / len(w), "upper_rate": sum("A" <= c <= "Z" for c in text) / size, "word_length": size / len(w)}
+        for s in range(quality.STEPS):
+            if any(rate[k] > mild * (strict / mild) ** (s / (quality.STEPS - 1)) for k, (mild, strict) in quality.GRID.items()):
+                return s
+        return quality.STEPS
+
+    first = {i: step(t) for i, t, _ in docs}
+    for lang in ("aa", "bb", None):
+        own = [i for i, _, x in docs if x == lang]
+        held = [first[i] for i in own if marks[i][1] and not got[i].base_failed]
+        # the most rejections whose exact upper bound stays within the risk
+        n, cdf, most = len(held), 0.0, -1
+        for k in range(n + 1):
+            cdf += math.comb(n, k) * quality.RISK**k * (1 - quality.RISK) ** (n - k)
+            if cdf > quality.ALPHA / 3:
+                break
+            most = k
+        passed = -1
+        while most >= 0 and passed + 1 < quality.STEPS and sum(f <= passed + 1 for f in held) <= most:
+            passed += 1
+        assert {got[i].step for i in own} == {None if passed < 0 else passed}
+        for i in own:
+            assert got[i].kept == (not got[i].base_failed and first[i] > passed)
+    assert any(r.step is not None and not r.kept for r in got.values())
