@@ -8,7 +8,8 @@ and years at a line's start are left out; a text that has them is also read with
 
 A Dice coefficient of at least ``LEAST`` needs sizes within a factor of (2 - LEAST) / LEAST, so
 windows of other sizes are not compared, and as many shared bigrams as the template's size over that
-factor, so a text that doesn't hold them anywhere isn't cut into windows for it.
+factor, so a text that doesn't hold them anywhere isn't cut into windows for it. A passage must name the versions that
+the template names, and no others: one word less in common is not another version.
 
 Templates are a few short texts, held by the code; callers may pass others, such as whole licences.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import bounded
 
 LEAST = 0.8
-#: Public licence notices and texts, by SPDX name. Fixed values.
+#: Public licence notices and texts, by SPDX name (a LicenseRef where a notice leaves open which). Fixed values.
 TEMPLATES = {
     "MIT": (
         "Released under the MIT License.",
@@ -60,7 +61,10 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
-    "BSD": (
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",),
+    "LicenseRef-BSD": (
         "Licensed under the BSD License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ),
@@ -70,6 +74,9 @@ NOTICE = re.compile(r"(?im)^\W*(?:copyright\b|\(c\)|©).*$")
 #: Only the copyright words, signs and years of such a line.
 SIGNS = re.compile(r"(?im)^[^\w\n]*(?:copyright\b(?=\W*(?:\(c\)|©|\d{4}\b))|\(c\)|©)(?:[^\w\n]|\(c\)|copyright\b|\d{4}\b)*")
 BREAK = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|\n")
+#: A number as versions are written, and the words that a version follows.
+VERSION = re.compile(r"v?(\d+(?:\.\d+)*)")
+BEFORE_VERSION = frozenset("version v license gpl by sa nc apache attribution sharealike noncommercial".split())
 KIND = "array<struct<licence:string,dice:double>>"
 
 
@@ -92,10 +99,19 @@ def dice(a: frozenset, b: frozenset) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
-def compiled(templates: dict[str, tuple[str, ...]]) -> list[tuple[int, str, frozenset]]:
-    """(size, name, bigrams) of each template, by size."""
-    found = [(name, bigrams(normal(t))) for name, texts in templates.items() for t in texts]
-    return sorted((len(b), name, b) for name, b in found)
+def versions(words: list[str]) -> frozenset:
+    """The versions that words name: numbers marked with v, or after a word that a version follows."""
+    found = set()
+    for before, word in zip(["", *words], words):
+        if (m := VERSION.fullmatch(word)) and (word[0] == "v" or before in BEFORE_VERSION):
+            found.add(m[1].removesuffix(".0"))
+    return frozenset(found)
+
+
+def compiled(templates: dict[str, tuple[str, ...]]) -> list[tuple[int, str, frozenset, frozenset]]:
+    """(size, name, bigrams, versions) of each template, by size."""
+    found = [(name, normal(t)) for name, texts in templates.items() for t in texts]
+    return sorted(((len(b), name, b, versions(w)) for name, w in found for b in [bigrams(w)]), key=lambda t: t[:2])
 
 
 def windows(pairs: list[tuple], b: frozenset) -> Iterator[tuple[int, int, float]]:
@@ -130,19 +146,19 @@ def runs(words: list[str], cuts: list[int], b: frozenset, span: float) -> Iterat
                 yield start, end, 2 * shared / (len(seen) + len(b))
 
 
-def passages(text: str, table: list[tuple[int, str, frozenset]], least: float) -> Iterator[tuple[float, str]]:
+def passages(text: str, table: list[tuple[int, str, frozenset, frozenset]], least: float) -> Iterator[tuple[float, str]]:
     """(coefficient, licence) of each passage of a text that matches a template."""
     words, span = spelled(text), (2 - least) / least
     pairs = list(zip(words, words[1:]))
     held = {*pairs, *((w, "") for w in words)}
-    likely = [(name, b) for size, name, b in table if size and len(b & held) * span >= size - 1e-9]
+    likely = [(name, b, own) for size, name, b, own in table if size and len(b & held) * span >= size - 1e-9]
     if not likely:
         return
     cuts = [0]
     for piece in BREAK.split(text):
         if n := len(WORDS.findall(piece)):
             cuts.append(cuts[-1] + n)
-    found = {(-d, name, start, end) for name, b in likely for kind in (windows(pairs, b), runs(words, cuts, b, span)) for start, end, d in kind if d >= least}
+    found = {(-d, name, start, end) for name, b, own in likely for kind in (windows(pairs, b), runs(words, cuts, b, span)) for start, end, d in kind if d >= least and versions(words[start:end]) == own}
     over = defaultdict(list)
     for d, name, start, end in sorted(found):
         if any(2 * (min(end, e) - max(start, s)) > max(end - start, e - s) for s, e in over[(start + end) // 2]):
@@ -152,7 +168,7 @@ def passages(text: str, table: list[tuple[int, str, frozenset]], least: float) -
         yield -d, name
 
 
-def scan(text: str | None, table: list[tuple[int, str, frozenset]], least: float) -> list[tuple[str, float]]:
+def scan(text: str | None, table: list[tuple[int, str, frozenset, frozenset]], least: float) -> list[tuple[str, float]]:
     """(licence, coefficient) of each licence in a text, by name."""
     found: dict[str, float] = {}
     whole, without = SIGNS.sub(" ", text or ""), NOTICE.sub(" ", text or "")

@@ -117,10 +117,32 @@ def test_licence_notice_inside_a_line():
     table = licences.compiled(licences.TEMPLATES)
     assert licences.scan("Unless noted otherwise, this project is licensed under the terms of the MIT license and may be copied.", table, 0.8) == [("MIT", 1.0)]
     for sign in ("Copyright 2020", "(c) 2020", "©"):
-        assert licences.scan(f"{sign} Jane Doe. Licensed under the BSD License.", table, 0.8) == [("BSD", 1.0)]
+        assert licences.scan(f"{sign} Jane Doe. Licensed under the BSD License.", table, 0.8) == [("LicenseRef-BSD", 1.0)]
     assert licences.scan("See: this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", table, 0.8) == [("CC-BY-SA-4.0", 1.0)]
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Licensed under the Apache License, Version 3.0.", []),
+        ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("Licensed under the GNU General Public License v2.0.", []),
+        ("Licensed under the GNU General Public License v3.", ["GPL-3.0"]),
+        ("Licensed under CC BY 3.0.", []),
+        ("Great tool. Released under the MIT License. See docs.", ["MIT"]),
+    ],
+)
+def test_licence_versions_agree(text, want):
+    assert [n for n, _ in licences.scan(text, licences.compiled(licences.TEMPLATES), 0.8)] == want
+
+
+def test_clauses_of_bsd_are_told_apart():
+    table = licences.compiled(licences.TEMPLATES)
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "ISC"):
+        found = dict(licences.scan(f"Copyright 2020 X\n\n{licences.TEMPLATES[name][0]}\n\nint main() {{}}", table, 0.8))
+        assert max(found, key=found.get) == name and found[name] == 1.0
+
+
 @pytest.mark.parametrize("changed", [1, 2])
 def test_lines_at_the_threshold_are_found(spark, changed):
     draw, docs = random.Random(2), []
