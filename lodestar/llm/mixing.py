@@ -1,14 +1,15 @@
 """Mixing sources to target weights by hash-threshold histograms [DataFrame functions only].
 
 Each source has a token target. Whole repeats of the source are taken first; for the rest, every
-document has a fixed pseudo-random rank (60 bits of a digest of its id), and the documents with
+document has a fixed pseudo-random rank (60 bits of a digest of its id and text), and the documents with
 the lowest ranks are taken until the sizes add up to the rest. No sort finds that rank: sizes are
 summed by source and by the leading 12 bits of the rank, the bucket in which the running sum
 passes the rest is the boundary, and only that bucket is summed again by its next 12 bits, until
 all 60 bits are fixed. Thresholds are nested: a larger target keeps all that a smaller one took.
 
 Cases: a null text has size 0 and is never taken; a null source is a source of its own, after all
-others; rows that repeat an id share a rank and are taken together; a source of size 0 has target
+others; rows that repeat an id and a text share a rank and are taken together, other texts of the id
+have ranks of their own; sources may be many: no task holds all of them; a source of size 0 has target
 0; an empty table gives an empty table. Other columns of the input are not looked at.
 """
 
@@ -26,11 +27,25 @@ BITS, LEVELS = 12, 5
 
 
 def rank() -> F.Column:
-    """60 bits of md5 of the document's id."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    """60 bits of md5 of the document's id and its text's digest."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    digest = F.md5(F.concat(text(F.col("doc_id")), F.lit(":"), F.md5(text(F.col("text")).cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def running(df: DataFrame, order: list[F.Column], sums: dict[str, F.Column]) -> DataFrame:
+    """``df`` with the sums of what comes before each row in a total order. Rows are dealt out by ranges of the
+    order; only one row for each range is ever in one place."""
+    dealt = written(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(F.col("range").alias("at")).agg(*(F.sum(x).alias(f"{c}_of") for c, x in sums.items()))
+    ranges = ranges.select("at", *(F.coalesce(F.sum(f"{c}_of").over(before), F.lit(0)).alias(f"{c}_before") for c in sums))
+    rows = dealt.select("*", *(F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"{c}_inside") for c, x in sums.items()))
+    rows = rows.join(F.broadcast(ranges), F.col("range") == F.col("at"))
+    return rows.select(*df.columns, *((F.col(f"{c}_inside") + F.col(f"{c}_before")).alias(c) for c in sums))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, and rank of each row."""
     return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), rank().alias("rank"))
@@ -44,24 +59,16 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     the remaining budget would reach are capped, and the first that isn't sets L.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    per = per.select("*", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long").alias("weight"))
-    full = (F.col("source_size") * most).cast("double") / F.col("weight")
-    before = Window.orderBy("full", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    per = per.withColumn("full", full).select(
-        "*",
-        F.sum("source_size").over(everything).alias("total"),
-        F.sum("weight").over(everything).alias("weights"),
-        F.coalesce(F.sum("source_size").over(before) * most, F.lit(0)).alias("used"),
-        F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("gone"),
-    )
-    level = (F.col("total") * F.lit(share) - F.col("used")) / (F.col("weights") - F.col("gone"))
-    per = per.withColumn("level", level)
-    level = F.max(F.when(F.col("level") < F.col("full"), F.col("level"))).over(everything)
+    per = running(per, [F.col("source").asc_nulls_last()], {"turn": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int")).cast("long")
     top = (F.col("source_size") * most).cast("double")
-    return per.withColumn("level", level).select("source", "source_size", F.coalesce(F.least(top, F.col("level") * F.col("weight")), top).alias("target"))
+    per = per.withColumn("weight", weight).withColumn("full", top / F.col("weight"))
+    per = written(running(per, [F.col("full"), F.col("source").asc_nulls_last()], {"used": F.col("source_size"), "gone": F.col("weight")}))
+    every = per.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    level = (F.col("total") * F.lit(share) - F.col("used") * most) / (F.col("weights") - F.col("gone"))
+    reached = per.crossJoin(F.broadcast(every)).withColumn("level", level)  # one row
+    level = reached.agg(F.max(F.when(F.col("level") < F.col("full"), F.col("level"))).alias("level"))
+    return per.crossJoin(F.broadcast(level)).select("source", "source_size", F.coalesce(F.least(top, F.col("level") * F.col("weight")), top).alias("target"))
 
 
 def cutoffs(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
@@ -118,7 +125,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
 SQL = f"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) size,
-    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) h from documents),
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) h from documents),
 per as (select source, cast(sum(size) as bigint) source_size, row_number() over (order by source nulls last) n from sized group by source),
 weighed as (select *, [3, 1, 2][1 + (n - 1) % 3] w from per),
 filling as (select *, 2 * source_size / cast(w as double) f, sum(source_size) over () total, sum(w) over () ws,

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestar.llm import ann, components, html, jaccard, licences, lines, quality
+from lodestar.llm import ann, components, html, jaccard, licences, lines, mixing, quality
 
 SYLLABLES = "the er on an re ha ing st or en ea ti ed is wh ou".split()
 
@@ -276,3 +276,31 @@ def test_quality_steps_equal_plain_counts(spark):
         for i in own:
             assert got[i].kept == (not got[i].base_failed and first[i] > passed)
     assert any(r.step is not None and not r.kept for r in got.values())
+
+
+def test_a_repeated_id_with_many_texts_meets_its_target(spark):
+    draw = random.Random(9)
+    docs = [(7, prose(draw, 20), "a") for _ in range(400)] + [(i, prose(draw, 20), "b") for i in range(100)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    own = [r for r in rows if r.doc_id == 7 and r.source_size == 8000]
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 40
+
+
+def test_targets_of_many_sources(spark):
+    draw = random.Random(10)
+    sized = [(None if i == 50 else f"s{i:03}", draw.choice([0, 1, 5, 50, 500, 5000])) for i in range(400)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sized, "source string, size long")).collect()}
+    size = dict(sized)
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    budget, free, want = 1.5 * sum(size.values()), set(names), {}
+    while True:
+        level = (budget - sum(want.values())) / max(1, sum(weight[s] for s in free))
+        over = [s for s in free if weight[s] * level > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            free.remove(s)
+            want[s] = 2.0 * size[s]
+    want |= {s: weight[s] * level for s in free}
+    assert all(abs(got[s] - want[s]) < 1e-6 * max(1.0, want[s]) for s in names)
