@@ -5,7 +5,8 @@ document's own profile is compared with each: an n-gram counts the difference of
 or the profile's length when the language lacks it; the nearest language wins, and the score is
 1 minus the distance as a part of the largest possible one. Words are runs of letters, lower case,
 between two marks of a word's ends; n-grams lie inside words. Profiles are learned from a bounded
-sample (``FIT_ROWS``) of the documents that have a language and are not held out.
+sample of the documents that have a language and are not held out: about ``FIT_ROWS`` of each language, or all
+of one that has fewer, so rare languages are learned as well.
 
 Cases: a text that is null, empty or without letters is ``und`` with score 0, and so is every
 text when nothing could be learned; n-grams of equal frequency rank by code points, languages of
@@ -27,7 +28,7 @@ from lodestar.llm.common import bounded, fold, unwrapped, wrapped
 #: The longest n-gram: three characters of 21 bits fill a 63-bit number.
 LONGEST, BITS = 3, 21
 LENGTH = 300
-FIT_ROWS = 4000
+FIT_ROWS = 1000
 UNKNOWN = "und"
 
 Profile = tuple[np.ndarray, np.ndarray]
@@ -92,11 +93,20 @@ def sample(rows: DataFrame, most: int) -> DataFrame:
     return rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def by_language(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of each language (all where there are no more), picked by a hash of doc_id."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
+    parts = F.lit(1_000_000)
+    for lang, n in counts:
+        parts = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * most / n))).otherwise(parts)
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < parts)
+
+
 def fit(docs: DataFrame, most: int = FIT_ROWS, length: int = LENGTH) -> dict[str, Profile]:
     """language -> (n-grams in order of their numbers, their ranks), learned from at most about
-    ``most`` rows that are not held out. The driver gets ``length`` n-grams for each language.
+    ``most`` rows of each that are not held out. The driver gets ``length`` n-grams for each language.
     """
-    rows = sample(bounded(docs).select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 1), most)
+    rows = by_language(bounded(docs).select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold(F.col("doc_id")) != 1), most)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
