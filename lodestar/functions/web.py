@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import unescaped
+
 #: Second-last labels of a host that make the site three labels long. Fixed values.
 SHARED_LABELS = ("org", "co", "ac", "gov", "nhs")
 DOCUMENTS = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|jpe?g|png|gif|mp4|mp3)$"
@@ -92,13 +94,11 @@ def image_kind(content: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Line ends for breaks and blocks, other tags as blanks, the five basic references decoded."""
+    """Line ends for breaks and blocks, other tags as blanks, all character references decoded."""
     x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     x = F.regexp_replace(x, r"(?i)<br\s*/?>|</(?:p|li|h[1-6]|div)>", "\n")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(sign))
-    x = F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r" ?\n ?", "\n")
+    x = unescaped(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
+    x = F.regexp_replace(F.regexp_replace(x, "[ \t\u00a0]+", " "), r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(x, r"\n{2,}", "\n"))
 
 

@@ -99,6 +99,12 @@ def flattened(record: Column, paths: dict[str, str]) -> dict[str, Column]:
     return out
 
 
+def with_value(record: Column, path: str, value: Column) -> Column:
+    """A record with the field at a dotted path set; a null record on the way stays null."""
+    head, _, rest = path.partition(".")
+    return record.withField(head, with_value(record[head], rest, value) if rest else value)
+
+
 def route(changed: Column, confidence: Column, critical: tuple[str, ...] = CRITICAL, least: float = LEAST_CONFIDENCE) -> Column:
     """auto or review for the changed fields of one record; null where the record is new or gone
     must be turned to review by the caller's join."""

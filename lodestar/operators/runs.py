@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,11 @@ def trailing_sum(df: DataFrame, by: str, second: Column, value: Column, span: in
     return df.withColumn(out, F.sum(value).over(w))
 
 
-def allowance(df: DataFrame, by: list[str], order: list[Column], asked: Column, cap: int) -> DataFrame:
-    """The rows with ``granted``: what of ``asked`` a cap for each group still allows, in order."""
+def allowance(df: DataFrame, by: list[str], order: list[Column], asked: Column, cap: int, usd: float | None = None, cost: float | None = None) -> DataFrame:
+    """The rows with ``granted``: what of ``asked`` a cap for each group still allows, in order; and, where a budget
+    and the cost of one are given, what the budget still pays for."""
+    if usd is not None and cost:
+        cap = min(cap, math.floor(usd / cost + 1e-9))
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     left = F.lit(cap) - F.coalesce(F.sum(asked).over(w), F.lit(0))
     return df.withColumn("granted", F.greatest(F.lit(0), F.least(asked, left)).cast("long"))

@@ -54,9 +54,9 @@ def trailing_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a cap of 20 a user and day still grants to each event's ask."""
+    """What a cap of 8 a user and day, and a budget for 7, still grant to each event's ask."""
     df = _events(spark, sf_dir).withColumns({"day": F.to_date("ts"), "asked": (F.col("event_id") % 7).cast("long")})
-    return runs.allowance(df, ["user_id", "day"], [F.col("ts"), F.col("event_id")], F.col("asked"), 8).select("event_id", "asked", "granted")
+    return runs.allowance(df, ["user_id", "day"], [F.col("ts"), F.col("event_id")], F.col("asked"), 8, usd=0.7, cost=0.1).select("event_id", "asked", "granted")
 
 
 def exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ ORACLE = {
     "outcome_counts": "select count(*) filter (event_type = 'error') failed, count(*) filter (event_type in ('view', 'click')) \"read\", count(*) filter (event_type in ('purchase', 'signup')) done from events",
     "failure_runs": "with m as (select *, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) run from events) select user_id, run, count(*) length, count(*) >= 2 dead from m where event_type = 'error' group by user_id, run",
     "trailing_sum": "with s as (select *, cast(floor(epoch(ts)) as bigint) sec from events), t as (select event_id, sum(cast(value as decimal(18,2))) over (partition by user_id order by sec range between 3599 preceding and current row) t from s) select event_id, cast(t as double) \"trailing\", t > 100 waits from t",
-    "allowance": "with a as (select *, event_id % 7 asked from events) select event_id, asked, greatest(0, least(asked, 8 - coalesce(sum(asked) over (partition by user_id, cast(ts as date) order by ts, event_id rows between unbounded preceding and 1 preceding), 0))) granted from a",
+    "allowance": "with a as (select *, event_id % 7 asked from events) select event_id, asked, greatest(0, least(asked, 7 - coalesce(sum(asked) over (partition by user_id, cast(ts as date) order by ts, event_id rows between unbounded preceding and 1 preceding), 0))) granted from a",
     "exclude_seen": "select distinct user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and ts < timestamp '2024-01-04')",
     "json_props": "select event_type, count(cast(props->>'k' as int)) parsed, count(*) filter (cast(props->>'k' as int) is null) refused, sum(cast(props->>'k' as int)) total from events group by event_type",
     "state_after_batch": """with e as (select * from events),

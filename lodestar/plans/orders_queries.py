@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions import place, values
+from lodestar.functions import labels, place, values
 from lodestar.functions.text import match_class, name_slug, slug
 from lodestar.operators import changes, facets, geometry, matching, ranking, rules, runs
 from lodestar.plans.tables import read
@@ -490,6 +490,19 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.site_list(path("nation", "n_name", "/area/"), path("part", "p_type", "/kind/"), path("part", "p_brand", "/brand/"))
 
 
+def role_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words for the particulars of roles."""
+    c, k = F.col, F.col("id")
+    df = roles(spark, sf_dir).withColumns({"stale": k % 3 == 0, "district": F.when(k % 4 == 0, F.concat(F.lit("N"), (k % 9).cast("string"))), "label": F.when(k % 10 == 0, "London"), "age": F.when(k % 5 > 0, 18), "asked": F.when(k % 7 == 0, F.array(F.lit("drivers")))})
+    return df.select("id", labels.where(c("location_type"), c("district"), c("areas"), c("label")).alias("place"), labels.frequency(c("commitment"), c("min_term_months"), c("typical_shift_hours")).alias("often"), labels.timing(F.when(k % 2 == 0, "Mondays"), c("stale")).alias("times"), F.array_join(labels.requirements(c("asked"), c("age"), c("stale")), ", ").alias("asked"))
+
+
+def bundle_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a script that assigns them."""
+    n = read(spark, sf_dir, "nation")
+    return sinks.assigned(n.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("line")), "window.DATA", "n_nationkey")
+
+
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as compact JSON of three columns."""
     return sinks.bundle(read(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_size"])
@@ -502,7 +515,7 @@ QUERIES = {
         crawl_parts, attributed_errors, unseen_customers, union_of_lists, totals,
         lookup_join, two_key_anti, feed_gaps, self_others, semi_surviving, anti_surviving, snapshot_diff, gate_route, carry_forward, upsert_actions, fuzzy_pairs, id_suffix,
         rename_hints, rule_violations, invariants, season_wrap, status_today, collapse_rules, bands, reach_bands, seam_intersect, prune_mask, unnest_counts, share_buckets,
-        typeahead, duplicate_names, brand_medians, project_points, place_cascade, sitemap, bundle,
+        typeahead, duplicate_names, brand_medians, project_points, place_cascade, role_labels, sitemap, bundle, bundle_script,
     )
 }
 
@@ -616,6 +629,11 @@ ORACLE = {
  select k o_orderkey, array_to_string(areas, ',') boroughs, array_to_string(zs, ',') zones, loc = 'remote' or not any_place or len(bs) > 0 or city in_city,
   case when loc = 'remote' then loc when district is not null then 'postcode' when len(bs) > 0 then 'role_areas' when city then 'london_wide' when rz then 'role_areas' when len(cov) > 0 then 'charity_coverage' when wide then 'london_wide' else 'unknown' end basis,
   case when loc = 'remote' or district is not null then null when len(bs) > 0 then array_to_string(bs, ', ') when city then 'London' when rz then 'Zone 3' when len(cov) = 0 and wide then 'Across London' end label from a""",
-    "sitemap": "select distinct path from (select '/area/' || replace(lower(n_name), '_', '-') || '/' path from nation union all select '/kind/' || lower(p_type) || '/' from part union all select '/brand/' || replace(lower(p_brand), '#', '-') || '/' from part)",
+    "sitemap": "select path, row_number() over (order by path) place from (select distinct path from (select '/area/' || replace(lower(n_name), '_', '-') || '/' path from nation union all select '/kind/' || lower(p_type) || '/' from part union all select '/brand/' || replace(lower(p_brand), '#', '-') || '/' from part))",
+    "role_labels": f"""with {_ROLES}, d as (select *, id % 3 = 0 stale, case when id % 4 = 0 then 'N' || id % 9 end district, coalesce(areas[1], case when id % 10 = 0 then 'London' end, 'Location not stated') stated from roles)
+ select id, case location_type when 'own_home' then 'Your own home' when 'remote' then 'Remote' else coalesce(district || ' \u00b7 ', '') || stated end place,
+ case commitment when 'one_off' then 'One-off' when 'flexible' then 'Flexible frequency' when 'weekly' then 'Weekly' when 'monthly' then 'Monthly' else 'Frequency not stated' end || case when coalesce(min_term_months, 0) > 0 then ' \u00b7 at least ' || min_term_months || ' months' else '' end || case when coalesce(typical_shift_hours, 0) > 0 then ' \u00b7 ' || cast(typical_shift_hours as int) || 'h per shift' else '' end often,
+ case when stale then 'Confirm with charity' when id % 2 = 0 then 'Mondays' else 'Times not stated' end times, array_to_string(list_filter([case when id % 7 = 0 then 'drivers' end, case when not stale and id % 5 > 0 then 'Aged 18 or over' end], lambda x: x is not null), ', ') asked from d""",
+    "bundle_script": "select 'window.DATA=[' || string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' order by n_nationkey) || '];' script from nation",
     "bundle": "select '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}' line from part",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators.runs import placed
+
 
 def documents(orgs: DataFrame, roles: DataFrame, key: str = "org_id") -> DataFrame:
     """One row an organisation with its roles nested in their order; roles of one are few."""
@@ -23,17 +25,26 @@ def bundle(df: DataFrame, columns: list[str], name: str = "line") -> DataFrame:
     return df.select(F.to_json(F.struct(*columns)).alias(name))
 
 
+def assigned(lines: DataFrame, variable: str, order: str) -> DataFrame:
+    """One row ``script``: the lines of a bundle in order as a script that assigns them to a variable. What a
+    browser loads at once is small."""
+    rows = F.array_sort(F.collect_list(F.struct(order, "line")))
+    body = F.array_join(F.transform(rows, lambda r: r["line"]), ",")
+    return lines.agg(F.concat(F.lit(f"{variable}=["), body, F.lit("];")).alias("script"))
+
+
 def write_pages(df: DataFrame, path: str, *by: str) -> None:
     """A folder for each value of the columns; rows of a folder are written by one task."""
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def site_list(*paths: DataFrame) -> DataFrame:
-    """The distinct paths of several one-column tables."""
+    """path, place: the distinct paths of several one-column tables, sorted."""
     out = paths[0]
     for p in paths[1:]:
         out = out.union(p)
-    return out.distinct()
+    out = out.toDF("path").distinct()
+    return placed(out, [F.col("path")])
 
 
 def report(lines: DataFrame, text: Column, order: list[str], most: int = 60_000) -> DataFrame:
@@ -42,6 +53,30 @@ def report(lines: DataFrame, text: Column, order: list[str], most: int = 60_000)
     return lines.agg(F.substring(F.array_join(F.transform(parts, lambda p: p["_t"]), "\n"), 1, most).alias("report"))
 
 
+class Locked:
+    """An exclusive lock on a path for the driver, as a file beside it that only one can create; raises
+    BlockingIOError while another holds it."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        jvm = spark._jvm
+        self.file = jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+        self.fs = self.file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def __enter__(self) -> Locked:
+        if not self.fs.createNewFile(self.file):
+            raise BlockingIOError(f"{self.file.toString()} is held")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.fs.delete(self.file, False)
+
+
+def replaced(df: DataFrame, path: str, valid=lambda df: None) -> None:  # noqa: ANN001
+    """``swapped_in`` under the path's lock."""
+    with Locked(df.sparkSession, path):
+        swapped_in(df, path, valid)
+
+
 def swapped_in(df: DataFrame, path: str, valid) -> None:  # noqa: ANN001
     """Writes beside the target, checks what was written, then puts it in its place; on a failed
     check the target stays as it was."""

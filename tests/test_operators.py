@@ -396,6 +396,30 @@ def test_swap_rolls_back(spark, tmp_path):
     assert spark.read.parquet(target).count() == 3
 
 
+def test_one_holds_a_lock(spark, tmp_path):
+    target = f"file://{tmp_path}/t"
+    sinks.replaced(spark.range(3), target)
+    with sinks.Locked(spark, target), pytest.raises(BlockingIOError):
+        sinks.replaced(spark.range(5), target)
+    sinks.replaced(spark.range(4), target)
+    assert spark.read.parquet(target).count() == 4
+
+
+def test_dotted_values_are_set(spark):
+    df = spark.createDataFrame([((("basic", 18), "x"),), ((None, "y"),)], "r struct<screening:struct<dbs:string,min_age:int>,title:string>")
+    got = [r.r for r in df.select(changes.with_value(F.col("r"), "screening.dbs", F.lit("none")).alias("r")).collect()]
+    assert got[0].screening.dbs == "none" and got[0].screening.min_age == 18 and got[1].screening is None
+
+
+def test_geo_features(spark, tmp_path):
+    f = tmp_path / "x.json"
+    f.write_text(json.dumps({"features": [{"properties": {"name": "Camden"}, "geometry": {"type": "Point"}}, {"properties": {"LAD13NM": "Brent"}, "geometry": None}]}))
+    assert [r.name for r in documents.geo_features(spark, str(f), ["name", "LAD13NM"], 2).collect()] == ["Camden", "Brent"]
+    for names, n in ((["name"], 2), (["name", "LAD13NM"], 3)):
+        with pytest.raises(ValueError):
+            documents.geo_features(spark, str(f), names, n)
+
+
 def test_report_and_pages(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "i int, t string")
     assert sinks.report(df, F.col("t"), ["i"]).first().report == "a\nb"
