@@ -163,9 +163,9 @@ ORACLE = {
     "page_links": f"with {_LINKS} select page_id, count(*) links, count(*) filter ({_SITE.format('url')} = {_SITE.format('target')}) own, min(target) \"first\" from f group by page_id",
     "page_role_links": f"""with e as (select page_id, url, rtrim(regexp_replace(url, '[?#].*$', ''), '/') base, regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*"([^"]*)"', 1) hs from pages),
  l as (select page_id, url, base, unnest(hs) href, unnest(range(len(hs))) pos from e), f as (select *, regexp_replace(base || href, '#.*$', '') f, trim(regexp_replace(substr(href, 2, 90), '\\s+', ' ', 'g')) label from l),
- p as (select *, rtrim(f, '/') target, regexp_extract(base, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) bp, regexp_extract(f, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) fp, label || ' ' || f both from f),
- q as (select *, bp <> '' and starts_with(fp, bp || '/') under from p where length(label) between 1 and 90 and not regexp_matches(fp, '{pages.FILES}') and {_SITE.format('url')} = {_SITE.format('f')} and target <> rtrim(url, '/') and not regexp_matches(both, '{pages.BLOCKED}') and (not regexp_matches(both, '{pages.PAID}') or regexp_matches(both, '{pages.VOLUNTEER}'))),
- g as (select page_id, target, min_by(under or regexp_matches(f, '{pages.VOLUNTEER}'), pos) strong, min(pos) pos from q where under or regexp_matches(both, '{pages.HINT}') group by page_id, target)
+ p as (select *, rtrim(f, '/') target, regexp_extract(base, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) bp, regexp_extract(f, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) fp, label || ' ' || f hay from f),
+ q as (select *, bp <> '' and starts_with(fp, bp || '/') under from p where length(label) between 1 and 90 and not regexp_matches(fp, '{pages.FILES}') and {_SITE.format('url')} = {_SITE.format('f')} and target <> rtrim(url, '/') and not regexp_matches(hay, '{pages.BLOCKED}') and (not regexp_matches(hay, '{pages.PAID}') or regexp_matches(hay, '{pages.VOLUNTEER}'))),
+ g as (select page_id, target, min_by(under or regexp_matches(f, '{pages.VOLUNTEER}'), pos) strong, min(pos) pos from q where under or regexp_matches(hay, '{pages.HINT}') group by page_id, target)
  select page_id, target, strong, row_number() over (partition by page_id order by strong desc, pos, target) place from g qualify place <= 3""",
     "page_updated": "select doc_id, case doc_id % 3 when 0 then '3rd May 20' || (doc_id % 90 + 10) when 1 then '2024-05-' || (doc_id % 20 + 10) end updated from documents",
     "verdict_census": """with v as (select page_id k, url, html, length(regexp_replace(html, '(?s)<[^>]*>', '', 'g')) p from pages), m as (select *, case when k % 5 = 0 then p % 1000 else p end n from v),
