@@ -99,6 +99,14 @@ def flattened(record: Column, paths: dict[str, str]) -> dict[str, Column]:
     return out
 
 
+def snapshots(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, kind (pair, added or gone), old, new (structs of the rows) of two snapshots."""
+    a = old.select(key, F.struct(*old.columns).alias("old"))
+    b = new.select(key, F.struct(*new.columns).alias("new"))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "gone").otherwise("pair")
+    return a.join(b, key, "full_outer").select(key, kind.alias("kind"), "old", "new")
+
+
 def with_value(record: Column, path: str, value: Column) -> Column:
     """A record with the field at a dotted path set; a null record on the way stays null."""
     head, _, rest = path.partition(".")

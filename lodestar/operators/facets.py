@@ -142,6 +142,12 @@ def majority_note(df: DataFrame, by: str, silent: Column, least: int = 3) -> Dat
     return out.withColumn("note", (F.col("n") >= least) & (2 * F.col("silent") >= F.col("n")))
 
 
+def value_lists(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, option, place: the sorted lists of distinct values that filters offer, a row for each value."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("option")) for c in columns)))
+    return df.select(each.alias("x")).select("x.*").where("option is not null").distinct().withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy("option")))
+
+
 def discoverable(roles: DataFrame) -> DataFrame:
     """Roles that one person can ask about: neither for teams only nor closed."""
     return roles.where(~true(F.col("who_can_apply") == "team_only") & ~true(F.col("status") == "closed"))

@@ -490,6 +490,19 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.site_list(path("nation", "n_name", "/area/"), path("part", "p_type", "/kind/"), path("part", "p_brand", "/brand/"))
 
 
+def snapshot_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs, added and gone orders of two snapshots, and pairs with another status."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    new = o.where("o_orderkey % 5 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")))
+    both = changes.snapshots(o.where("o_orderkey % 7 <> 0"), new, "o_orderkey")
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("old.o_orderstatus") != F.col("new.o_orderstatus")).alias("changed"))
+
+
+def value_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that filters on roles offer."""
+    return facets.value_lists(roles(spark, sf_dir), ["activity", "commitment", "status"])
+
+
 def role_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words for the particulars of roles."""
     c, k = F.col, F.col("id")
@@ -515,7 +528,7 @@ QUERIES = {
         crawl_parts, attributed_errors, unseen_customers, union_of_lists, totals,
         lookup_join, two_key_anti, feed_gaps, self_others, semi_surviving, anti_surviving, snapshot_diff, gate_route, carry_forward, upsert_actions, fuzzy_pairs, id_suffix,
         rename_hints, rule_violations, invariants, season_wrap, status_today, collapse_rules, bands, reach_bands, seam_intersect, prune_mask, unnest_counts, share_buckets,
-        typeahead, duplicate_names, brand_medians, project_points, place_cascade, role_labels, sitemap, bundle, bundle_script,
+        typeahead, duplicate_names, brand_medians, project_points, place_cascade, role_labels, snapshot_kinds, value_lists, sitemap, bundle, bundle_script,
     )
 }
 
@@ -630,6 +643,8 @@ ORACLE = {
   case when loc = 'remote' then loc when district is not null then 'postcode' when len(bs) > 0 then 'role_areas' when city then 'london_wide' when rz then 'role_areas' when len(cov) > 0 then 'charity_coverage' when wide then 'london_wide' else 'unknown' end basis,
   case when loc = 'remote' or district is not null then null when len(bs) > 0 then array_to_string(bs, ', ') when city then 'London' when rz then 'Zone 3' when len(cov) = 0 and wide then 'Across London' end label from a""",
     "sitemap": "select path, row_number() over (order by path) place from (select distinct path from (select '/area/' || replace(lower(n_name), '_', '-') || '/' path from nation union all select '/kind/' || lower(p_type) || '/' from part union all select '/brand/' || replace(lower(p_brand), '#', '-') || '/' from part))",
+    "snapshot_kinds": "with a as (select o_orderkey k, o_orderstatus s from orders where o_orderkey % 7 <> 0), b as (select o_orderkey k, case when o_orderkey % 3 = 0 then 'X' else o_orderstatus end s from orders where o_orderkey % 5 <> 0) select case when a.k is null then 'added' when b.k is null then 'gone' else 'pair' end kind, count(*) n, count(*) filter (a.s <> b.s) changed from a full join b on a.k = b.k group by 1",
+    "value_lists": f"""with {_ROLES}, v as (select distinct 'activity' "column", activity option from roles union all select distinct 'commitment', commitment from roles union all select distinct 'status', status from roles) select *, row_number() over (partition by "column" order by option) place from v""",
     "role_labels": f"""with {_ROLES}, d as (select *, id % 3 = 0 stale, case when id % 4 = 0 then 'N' || id % 9 end district, coalesce(areas[1], case when id % 10 = 0 then 'London' end, 'Location not stated') stated from roles)
  select id, case location_type when 'own_home' then 'Your own home' when 'remote' then 'Remote' else coalesce(district || ' \u00b7 ', '') || stated end place,
  case commitment when 'one_off' then 'One-off' when 'flexible' then 'Flexible frequency' when 'weekly' then 'Weekly' when 'monthly' then 'Monthly' else 'Frequency not stated' end || case when coalesce(min_term_months, 0) > 0 then ' \u00b7 at least ' || min_term_months || ' months' else '' end || case when coalesce(typical_shift_hours, 0) > 0 then ' \u00b7 ' || cast(typical_shift_hours as int) || 'h per shift' else '' end often,
