@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,40 @@ def fresh_path(spark: SparkSession, kind: str = "table") -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: The tables written in each open scope of this thread, innermost last.
+_SCOPES = threading.local()
+
+
+def _open() -> list[list[str]]:
+    if not hasattr(_SCOPES, "stack"):
+        _SCOPES.stack = []
+    return _SCOPES.stack
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives any executor."""
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
+    if _open():
+        _open()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scoped(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns as a table, and every other table that it wrote on the way removed, as the result no
+    longer needs them."""
+    _open().append([])
+    try:
+        made = make()
+        inner = _open()[-1]
+        before = len(inner)
+        out = written(made)
+        path = inner.pop(before)
+    finally:
+        gone = _open().pop()
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        for old in gone:
+            place(old).getFileSystem(spark._jsc.hadoopConfiguration()).delete(place(old), True)
+    if _open():
+        _open()[-1].append(path)
+    return out
