@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.sources.scratch import scoped as scoped
 from lodestar.sources.scratch import written as written
 
 #: A word: a run of characters that are not ASCII white space. Fixed by the contracts.

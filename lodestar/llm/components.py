@@ -89,14 +89,15 @@ def resolved(members: DataFrame, compare: Callable[[DataFrame], DataFrame], diff
         routes = written(hubs(pending))
         tried = written(compare(routes.select("a", "b").distinct()).select("a", "b", "x", "y", "both", linked(percent).alias("linked")))
         found = tried.where("linked").select("a", "b")
-        links = found if links is None else written(links.union(found))
-        parts = components(links)
+        if links is None or found.limit(1).count():
+            links = found if links is None else written(links.union(found))
+            parts = components(links)
         out = (F.col("x") + F.col("y") - 2 * F.col("both")) / F.col("x")
         known = tried.select("a", "b", "x", "y", "linked", out.alias("out")).join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         left = _open(routes.where("n > 2").join(known, ["a", "b"]))
         last = turn + 1 == ROUNDS
         more = _tried(left if last else left.where(F.col("out") <= near), compare, differences, percent)
-        if more is not None:
+        if more is not None and more.limit(1).count():
             links = written(links.union(more))
             parts = components(links)
         pending = None if last else left.where(F.col("out") > far).select("key", "a").toDF("key", "node")

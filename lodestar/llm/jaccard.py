@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bounded, pieces, small, unwrapped, wrapped, written
+from lodestar.llm.common import bounded, pieces, scoped, small, unwrapped, wrapped, written
 from lodestar.llm.components import resolved
 
 N, PERCENT = 4, 85
@@ -246,11 +246,12 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     rows = written(named(docs, n))
     nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("tag").alias("tag"), F.count("*").alias("n_rows")))
 
-    members = written(shared(keyed(docs, n, percent)))
-    found = Candidates(docs, rows, nodes, n)
-    sets = found.parts(members.select("node").distinct())
-    parts = resolved(members, lambda pairs: compared(pairs, sets), lambda pairs: differences(pairs, sets), percent)
+    def resolve() -> DataFrame:
+        members = written(shared(keyed(docs, n, percent)))
+        sets = Candidates(docs, rows, nodes, n).parts(members.select("node").distinct())
+        return resolved(members, lambda pairs: compared(pairs, sets), lambda pairs: differences(pairs, sets), percent)
 
+    parts = scoped(docs.sparkSession, resolve)
     firsts = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     smallest = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
     firsts = firsts.join(smallest, "component").select("node", "component_id")
