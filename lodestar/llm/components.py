@@ -84,27 +84,35 @@ def resolved(members: DataFrame, compare: Callable[[DataFrame], DataFrame], diff
     """
     t, r = percent / 100, (100 - percent) / percent
     far, near = 1.2 * r, 1.2 * r / t + r
-    links, parts, pending = None, None, members
+    parts, pending = None, members
     for turn in range(ROUNDS):
         routes = written(hubs(pending))
         tried = written(compare(routes.select("a", "b").distinct()).select("a", "b", "x", "y", "both", linked(percent).alias("linked")))
         found = tried.where("linked").select("a", "b")
-        if links is None or found.limit(1).count():
-            links = found if links is None else written(links.union(found))
-            parts = components(links)
+        parts = components(found) if parts is None else extended(parts, found)
         out = (F.col("x") + F.col("y") - 2 * F.col("both")) / F.col("x")
         known = tried.select("a", "b", "x", "y", "linked", out.alias("out")).join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         left = _open(routes.where("n > 2").join(known, ["a", "b"]))
         last = turn + 1 == ROUNDS
         more = _tried(left if last else left.where(F.col("out") <= near), compare, differences, percent)
-        if more is not None and more.limit(1).count():
-            links = written(links.union(more))
-            parts = components(links)
+        if more is not None:
+            parts = extended(parts, more)
         pending = None if last else left.where(F.col("out") > far).select("key", "a").toDF("key", "node")
         if last or not pending.limit(1).count():
             return parts
 
 
+def extended(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component with further links (a, b): what they join are single nodes, or components so far."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    ends = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("x"), F.coalesce("part_b", "b").alias("y")).where("x <> y"))
+    if not ends.limit(1).count():
+        return parts
+    whole = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = ends.where("a = x").select("a").union(ends.where("b = y").select("b")).distinct().toDF("node").join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return written(parts.union(alone).join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+
 def _open(left: DataFrame) -> DataFrame:
     """The rows of keys whose nodes are of two components or more."""
     split = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")

@@ -99,6 +99,13 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_components_with_further_links(spark):
+    kind = "a long, b long"
+    parts = components.components(spark.createDataFrame([(1, 2), (2, 3), (10, 11)], kind))
+    got = {r.node: r.component for r in components.extended(parts, spark.createDataFrame([(3, 1), (3, 20), (21, 11), (5, 6), (6, 7)], kind)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 20: 1, 10: 10, 11: 10, 21: 10, 5: 5, 6: 5, 7: 5}
+
+
 def test_lines_equal_exact_components(spark):
     draw, texts = random.Random(9), []
     pool = [prose(draw, draw.randint(1, 25)) for _ in range(30)]
