@@ -47,11 +47,11 @@ def linked(percent: int) -> F.Column:
 
 
 #: Keys of so many nodes besides their hub, or fewer, are compared pair by pair.
-FEW = 2
+FEW = 4
 #: The number of classes of distances to the hub that a linked pair's distance spans, about.
 CLASSES = 6
-#: How often nodes that are far from their key's hub get another hub among themselves.
-ROUNDS = 2
+#: Elements that more of a hub's nodes than this have among their first differences go last in the order.
+COMMON = 16
 
 
 def hubs(members: DataFrame) -> DataFrame:
@@ -68,79 +68,52 @@ def resolved(members: DataFrame, compare: Callable[[DataFrame], DataFrame], diff
 
     ``members`` (key, node) has the nodes of every key that two or more hold; ``compare`` maps pairs
     (a, b) to rows (a, b, x, y, both), the sizes and the overlap of their sets, and ``differences``
-    to rows (a, b, diff), the elements that only one of the two has.
+    to rows (a, b, mine, theirs), the elements that only a has, and only b.
 
     Each node is compared with the hubs of its keys only, not with all others of them. What links to
     the same hub is of one component, so pairs of a key are left to try only if one of them doesn't link
-    to the hub and they are not yet of one component. A linked pair's distances from the hub differ by no more than
-    the two differ, so those who are near the hub and those who are far are tried apart: the far ones among
-    themselves, with a hub of their own, the near ones by their *differences from the hub* (see ``nearby``), where
-    what a whole group shares has cancelled out; within keys of at most ``FEW`` such nodes pairs are compared. So a
-    large group of similar sets costs a few comparisons for each set, and no link between components is lost.
-
-    In parts of a set's size, a linked pair differs in at most r = (100 - percent) / percent of either; if one is
-    further from the hub than F / t + r, where t = percent / 100, the other is further than F. All further than F
-    are the far ones, all up to F / t + r the near ones, so every linked pair is among one of them.
+    to the hub and they are not yet of one component. Within keys of at most ``FEW`` such nodes they are
+    compared; those of larger keys are joined on their *differences from the hub* (see ``nearby``), where what a
+    whole group shares has cancelled out. So a large group of similar sets costs a comparison for each
+    set, and no link between components is lost.
     """
-    t, r = percent / 100, (100 - percent) / percent
-    far, near = 1.2 * r, 1.2 * r / t + r
-    parts, pending = None, members
-    for turn in range(ROUNDS):
-        routes = written(hubs(pending))
-        tried = written(compare(routes.select("a", "b").distinct()).select("a", "b", "x", "y", "both", linked(percent).alias("linked")))
-        found = tried.where("linked").select("a", "b")
-        parts = components(found) if parts is None else extended(parts, found)
-        out = (F.col("x") + F.col("y") - 2 * F.col("both")) / F.col("x")
-        known = tried.select("a", "b", "x", "y", "linked", out.alias("out")).join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        left = _open(routes.where("n > 2").join(known, ["a", "b"]))
-        last = turn + 1 == ROUNDS
-        more = _tried(left if last else left.where(F.col("out") <= near), compare, differences, percent)
-        if more is not None:
-            parts = extended(parts, more)
-        pending = None if last else left.where(F.col("out") > far).select("key", "a").toDF("key", "node")
-        if last or not pending.limit(1).count():
-            return parts
-
-
-def extended(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """node, component with further links (a, b): what they join are single nodes, or components so far."""
-    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
-    ends = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("x"), F.coalesce("part_b", "b").alias("y")).where("x <> y"))
-    if not ends.limit(1).count():
-        return parts
-    whole = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    alone = ends.where("a = x").select("a").union(ends.where("b = y").select("b")).distinct().toDF("node").join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return written(parts.union(alone).join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
-
-
-def _open(left: DataFrame) -> DataFrame:
-    """The rows of keys whose nodes are of two components or more."""
+    routes = written(hubs(members))
+    tried = written(compare(routes.select("a", "b").distinct()).select("a", "b", "x", "y", linked(percent).alias("linked")))
+    parts = components(tried.where("linked").select("a", "b"))
+    known = tried.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    left = routes.where("n > 2").join(known, ["a", "b"])
     split = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return written(left.join(split, "key", "left_semi"))
+    left = written(left.join(split, "key", "left_semi"))
 
-
-def _tried(left: DataFrame, compare: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
-    """a, b of the links between nodes of a key (key, a, b, x, y, linked, component) of which not both link to its hub;
-    None if nothing was left to try."""
-    sizes = left.groupBy("key").agg(F.count("*").alias("left"))
-    left = written(_open(left.drop("n").join(sizes, "key")))
-    one = left.where((F.col("left") <= FEW) & ~F.col("linked")).select("key", F.col("a").alias("p"), F.col("x").alias("x_p"), F.col("component").alias("part_p"))
-    two = left.where(F.col("left") <= FEW).select("key", F.col("a").alias("q"), F.col("x").alias("x_q"), F.col("component").alias("part_q"), F.col("linked").alias("linked_q"))
+    one = left.where((F.col("n") <= FEW + 1) & ~F.col("linked")).select("key", F.col("a").alias("p"), F.col("x").alias("x_p"), F.col("component").alias("part_p"))
+    two = left.where(F.col("n") <= FEW + 1).select("key", F.col("a").alias("q"), F.col("x").alias("x_q"), F.col("component").alias("part_q"), F.col("linked").alias("linked_q"))
     sized = 100 * F.least("x_p", "x_q") >= percent * F.greatest("x_p", "x_q")
     pairs = one.join(two, "key").where(F.expr("part_p <> part_q and (linked_q or p < q)") & sized)
     pairs = written(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-    more = compare(pairs).where(linked(percent)).select("a", "b") if pairs.limit(1).count() else None
+    if pairs.limit(1).count():
+        parts = extended(parts, compare(pairs).where(linked(percent)).select("a", "b"))
 
-    cluster = written(left.where(F.col("left") > FEW).select("a", "b", "x", "y", "linked", "component").distinct())
+    cluster = written(left.where(F.col("n") > FEW + 1).select("a", "b", "x", "y", "linked", "component").distinct())
     if cluster.limit(1).count():
-        cluster = written(cluster.join(differences(cluster.select("a", "b")), ["a", "b"]))
+        diff = F.concat(F.sort_array("mine"), F.sort_array("theirs"))
+        cluster = written(cluster.join(differences(cluster.select("a", "b")), ["a", "b"]).withColumn("diff", diff).drop("mine", "theirs"))
         side = lambda c: cluster.select("b", F.col("a").alias(c), F.col("x").alias(f"x_{c}"), F.col("diff").alias(f"diff_{c}"))
         checked = nearby(cluster, percent).distinct().join(side("p"), ["b", "p"]).join(side("q"), ["b", "q"])
         apart = F.size("diff_p") + F.size("diff_q") - 2 * F.size(F.array_intersect("diff_p", "diff_q"))
         checked = checked.withColumn("both", (F.col("x_p") + F.col("x_q") - apart) / 2).withColumnsRenamed({"x_p": "x", "x_q": "y"})
-        checked = checked.where(linked(percent)).select(F.col("p").alias("a"), F.col("q").alias("b"))
-        more = checked if more is None else more.union(checked)
-    return None if more is None else written(more)
+        parts = extended(parts, checked.where(linked(percent)).select(F.col("p").alias("a"), F.col("q").alias("b")))
+    return parts
+
+
+def extended(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component with further links (a, b): what they join are single nodes, or components so far."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    ends = written(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("x"), F.coalesce("part_b", "b").alias("y")).where("x <> y"))
+    if not ends.limit(1).count():
+        return parts
+    whole = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = ends.where("a = x").select("a").union(ends.where("b = y").select("b")).distinct().toDF("node").join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return written(parts.union(alone).join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
 
 
 def nearby(cluster: DataFrame, percent: int) -> DataFrame:
@@ -149,31 +122,42 @@ def nearby(cluster: DataFrame, percent: int) -> DataFrame:
 
     With sizes x, y and differences of d, e elements from the hub, two sets differ in d + e - 2 * o
     elements if o of those are common, so a link needs o of at least (d + e - c * (x + y)) / 2,
-    where c = (100 - percent) / (100 + percent). That is positive unless both link to the hub. Under an
-    order of the elements, the rarest of the cluster first, two lists that share o elements share one
-    within their first d - o + 1 and e - o + 1. As o grows with the other's distance, the prefixes are cut
-    for each class of the other's distance apart. What only one node has can't be shared and is never sent.
+    where c = (100 - percent) / (100 + percent). That is positive unless both link to the hub. Under any
+    order of the elements, two lists that share o elements share one within their first d - o + 1 and e - o + 1;
+    as o grows with the other's distance, these are cut for each class of the other's distance apart.
+
+    The order: what the hub lacks, then what it has, and last what more than ``COMMON`` of its nodes have among
+    their first elements. Only first elements are ever sent, and of them only those that another node has as well.
     """
     c, span = (100 - percent) / (100 + percent), 100 / percent
-    many = cluster.select("b", "a", "x", "y", "linked", "component", "diff", F.size("diff").alias("d"), F.greatest(F.lit(1), F.floor(2 * c * F.col("y") / CLASSES)).cast("int").alias("width"))
-    each = many.select("b", "a", F.explode("diff").alias("e"))
-    rare = each.groupBy("b", "e").agg(F.count("*").alias("times")).where("times > 1")
-    shared = each.join(rare, ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("shared"))
-    many = many.drop("diff").join(shared, ["b", "a"]).withColumn("class", F.floor(F.col("d") / F.col("width")).cast("int"))
-    most = (c * (1 + span) * F.col("x") / F.col("width")).cast("int") + 1
-    rows = many.select("*", F.size("shared").alias("m"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("class") - most), F.col("class") + most)).alias("other"))
-    other = F.col("other") * F.col("width")
-    least = F.greatest(F.lit(1), F.ceil((F.col("d") + other - c * (F.col("x") + F.least(span * F.col("x"), F.col("y") + other))) / 2 - 1e-6)).cast("int")
-    rows = rows.withColumn("least", least).where((F.col("least") <= F.col("d")) & (F.col("least") < other + F.col("width")))
-    rows = rows.withColumn("take", F.col("m") - F.col("least") + 1).where("take > 0")
-    rows = rows.select("*", F.posexplode(F.slice("shared", 1, F.col("take"))).alias("i", "s"))
-    keyed = [F.col("b"), F.col("s.e").alias("e"), F.least("class", "other").alias("lo"), F.greatest("class", "other").alias("hi")]
-    rows = written(rows.select(*keyed, "a", "class", "linked", F.col("component").alias("part"), "x", "d", "m", "i"))
-    names = ["class", "part", "x", "d", "m", "i"]
+    width = F.greatest(F.lit(1), F.floor(2 * c * F.col("y") / CLASSES)).cast("int")
+    many = cluster.select("b", "a", "x", "y", "linked", F.col("component").alias("part"), "diff", F.size("diff").alias("d"), width.alias("width"))
+    many = many.withColumn("class", F.floor(F.col("d") / F.col("width")).cast("int"))
+    reach = (c * (1 + span) * F.col("x") / F.col("width")).cast("int") + 1
+    lowest = F.greatest(F.lit(0), F.col("class") - reach)
+
+    def least(other: F.Column) -> F.Column:
+        """The fewest elements common with any node of a class that links."""
+        e = other * F.col("width")
+        return F.greatest(F.lit(1), F.ceil((F.col("d") + e - c * (F.col("x") + F.least(span * F.col("x"), F.col("y") + e))) / 2 - 1e-6)).cast("int")
+
+    many = many.withColumns({"lowest": lowest, "highest": F.col("class") + reach}).withColumn("most", F.greatest(F.lit(0), F.col("d") - least(F.col("lowest")) + 1))
+    heads = many.select("b", F.explode(F.slice("diff", 1, F.col("most"))).alias("e")).groupBy("b", "e").agg(F.count("*").alias("times"))
+    common = heads.where(F.col("times") > COMMON).groupBy("b").agg(F.collect_list("e").alias("common"))  # few: heads are bounded
+    many = many.join(common, "b", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    many = many.withColumn("diff", F.concat(F.array_except("diff", "common"), F.array_intersect("diff", "common"))).drop("common")
+    many = written(many.withColumn("diff", F.slice("diff", 1, F.col("most"))))
+    each = many.select("b", "a", F.posexplode("diff").alias("i", "e"))
+    held = each.groupBy("b", "e").agg(F.count("*").alias("times")).where("times > 1").select("b", "e")
+    shared = each.join(held, ["b", "e"]).join(many.drop("diff"), ["b", "a"])
+    rows = shared.withColumn("other", F.explode(F.sequence("lowest", "highest")))
+    rows = rows.withColumn("least", least(F.col("other"))).where(F.col("least") < (F.col("other") + 1) * F.col("width")).where("i <= d - least")
+    rows = written(rows.select("b", "e", F.least("class", "other").alias("lo"), F.greatest("class", "other").alias("hi"), "a", "class", "linked", "part", "x", "d", "i"))
+    names = ["class", "part", "x", "d", "i"]
     one = rows.where("not linked").select("b", "e", "lo", "hi", F.col("a").alias("p"), *names)
     two = rows.select("b", "e", "lo", "hi", F.col("a").alias("q"), F.col("linked").alias("linked_q"), *(F.col(n).alias(f"{n}_q") for n in names))
     # what can be common at most, by the places of a common element in both lists, against what a link needs
-    may = F.least("i", "i_q") + 1 + F.least(F.col("m") - F.col("i"), F.col("m_q") - F.col("i_q")) - 1
+    may = F.least("i", "i_q") + F.least(F.col("d") - F.col("i"), F.col("d_q") - F.col("i_q"))
     fits = (2 * may >= F.col("d") + F.col("d_q") - c * (F.col("x") + F.col("x_q")) - 1e-6) & (100 * F.least("x", "x_q") >= percent * F.greatest("x", "x_q"))
     met = one.join(two, ["b", "e", "lo", "hi"]).where(F.expr("part <> part_q and (linked_q or p < q) and (class <> class_q or lo = hi)") & fits)
     return met.select("b", "p", "q")

@@ -226,9 +226,9 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, diff of each pair: the elements that only one of the two has, found in each fragment apart."""
-    only = F.concat(F.array_except("own_a", "own_b"), F.array_except("own_b", "own_a"))
-    return _sides(pairs, sets).groupBy("a", "b").agg(F.flatten(F.collect_list(only)).alias("diff"))
+    """a, b, mine, theirs of each pair: the elements that only one of the two has, found in each fragment apart."""
+    only = lambda c, other: F.flatten(F.collect_list(F.array_except(c, other)))
+    return _sides(pairs, sets).groupBy("a", "b").agg(only("own_a", "own_b").alias("mine"), only("own_b", "own_a").alias("theirs"))
 
 
 def shared(found: DataFrame) -> DataFrame:
