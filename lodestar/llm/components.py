@@ -52,6 +52,8 @@ FEW = 4
 CLASSES = 6
 #: Elements that more of a hub's nodes than this have among their first differences go last in the order.
 COMMON = 16
+#: At most so many of a hub's elements go last, the most frequent ones (a list of 128 KB).
+LATE = 16_384
 
 
 def hubs(members: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def nearby(cluster: DataFrame, percent: int) -> DataFrame:
     as o grows with the other's distance, these are cut for each class of the other's distance apart.
 
     The order: what the hub lacks, then what it has, and last what more than ``COMMON`` of its nodes have among
-    their first elements. Only first elements are ever sent, and of them only those that another node has as well.
+    their first elements (in large clusters, more than a ``LATE``-th of all first elements). Only first elements are ever sent, and of them only those that another node has as well.
     """
     c, span = (100 - percent) / (100 + percent), 100 / percent
     width = F.greatest(F.lit(1), F.floor(2 * c * F.col("y") / CLASSES)).cast("int")
@@ -143,7 +145,9 @@ def nearby(cluster: DataFrame, percent: int) -> DataFrame:
 
     many = many.withColumns({"lowest": lowest, "highest": F.col("class") + reach}).withColumn("most", F.greatest(F.lit(0), F.col("d") - least(F.col("lowest")) + 1))
     heads = many.select("b", F.explode(F.slice("diff", 1, F.col("most"))).alias("e")).groupBy("b", "e").agg(F.count("*").alias("times"))
-    common = heads.where(F.col("times") > COMMON).groupBy("b").agg(F.collect_list("e").alias("common"))  # few: heads are bounded
+    heads = heads.join(heads.groupBy("b").agg(F.sum("times").alias("total")), "b")
+    # fewer than LATE elements can each have more than a LATE-th of all
+    common = heads.where((F.col("times") > COMMON) & (F.col("times") > F.col("total") / LATE)).groupBy("b").agg(F.collect_list("e").alias("common"))
     many = many.join(common, "b", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     many = many.withColumn("diff", F.concat(F.array_except("diff", "common"), F.array_intersect("diff", "common"))).drop("common")
     many = written(many.withColumn("diff", F.slice("diff", 1, F.col("most"))))
