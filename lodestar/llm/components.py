@@ -47,7 +47,7 @@ def linked(percent: int) -> F.Column:
 
 
 #: Keys of so many nodes besides their hub, or fewer, are compared pair by pair.
-FEW = 4
+FEW = 8
 #: The number of classes of distances to the hub that a linked pair's distance spans, about.
 CLASSES = 6
 #: Elements that more of a hub's nodes than this have among their first differences go last in the order.
