@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import ann, html, jaccard, language, licences, lines, mixing, quality, sentencepiece, toxicity
+from lodestar.llm import ann, compression, html, jaccard, language, licences, lines, mixing, quality, sentencepiece, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(_read(spark, sf_dir, "documents"))
 
 
+def op11_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of every vector, and the error that they leave."""
+    return compression.compressed(_read(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_html": op2_html,
@@ -73,5 +78,6 @@ QUERIES = {
     "op9_licences": op9_licences,
     "op8_quality": op8_quality,
     "op10_mixing": op10_mixing,
+    "op11_compression": op11_compression,
 }
-ORACLE = {"op6_jaccard": jaccard.SQL, "op10_mixing": mixing.SQL}
+ORACLE = {"op6_jaccard": jaccard.SQL, "op10_mixing": mixing.SQL, "op11_compression": compression.SQL}
