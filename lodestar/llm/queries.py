@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import ann, compression, html, jaccard, language, licences, lines, mixing, quality, sentencepiece, toxicity
+from lodestar.llm import ann, compression, html, jaccard, language, licences, lines, mixing, packing, quality, sentencepiece, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op11_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compressed(_read(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, by sequence."""
+    return packing.packed(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_html": op2_html,
@@ -79,5 +84,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op10_mixing": op10_mixing,
     "op11_compression": op11_compression,
+    "op12_packing": op12_packing,
 }
 ORACLE = {"op6_jaccard": jaccard.SQL, "op10_mixing": mixing.SQL, "op11_compression": compression.SQL}
