@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import ann, compression, html, jaccard, language, licences, lines, mixing, packing, quality, sentencepiece, toxicity
+from lodestar.llm import ann, compression, html, jaccard, language, licences, lines, mixing, negatives, packing, quality, sentencepiece, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every anchor and positive."""
+    return negatives.mined(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_html": op2_html,
@@ -85,5 +90,6 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_compression": op11_compression,
     "op12_packing": op12_packing,
+    "op13_negatives": op13_negatives,
 }
-ORACLE = {"op6_jaccard": jaccard.SQL, "op10_mixing": mixing.SQL, "op11_compression": compression.SQL}
+ORACLE = {"op6_jaccard": jaccard.SQL, "op10_mixing": mixing.SQL, "op11_compression": compression.SQL, "op13_negatives": negatives.SQL}
