@@ -9,7 +9,7 @@ from lodestar.functions import values as V
 from lodestar.operators import geometry, runs
 from lodestar.plans.tables import read
 from lodestar.sources.scratch import fresh_path
-from lodestar.streaming import checks
+from lodestar.streaming import checks, states
 
 NOW = "timestamp '2024-02-19 12:00:00'"
 
@@ -91,6 +91,30 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.run_available(stream, fresh_path(spark, "stream"))
 
 
+_STALE = 2 * 86_400
+_HALF = "2024-01-16 00:00:00"
+
+
+def check_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each user's checks after every event, as a stream that reads the first half of the month, stops, and goes
+    on from its checkpoint with the second half; and the times at which a user went two days without a success."""
+    fetches = _events(spark, sf_dir).selectExpr(
+        "user_id as source",
+        "unix_micros(ts) as at",
+        "event_id as ord",
+        "case when event_type = 'signup' and value > 35 then 'blocked' when event_type = 'error' then if(value > 20, 'refused', 'failed') else 'read' end as status",
+        "event_type = 'click' as redirected",
+        "cast(get_json_object(props, '$.k') % 3 as string) as digest",
+        "case event_id % 8 when 0 then 'deferred' when 1 then 'confirmed' when 2 then 'published' when 3 then 'held' when 4 then 'broken' when 5 then 'confirmed' when 6 then 'held' end as reading",
+        "ts",
+    )
+    folder = fresh_path(spark, "states")
+    for half in (f"ts < timestamp '{_HALF}'", f"ts >= timestamp '{_HALF}'"):
+        fetches.where(half).drop("ts").write.mode("append").parquet(f"{folder}/arrivals")
+        out = states.checked(spark, f"{folder}/arrivals", folder, _STALE)
+    return out
+
+
 def simplify_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's values over time as a line with fewer points."""
     point = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("x"), F.col("value").alias("y"))
@@ -119,7 +143,7 @@ def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.repair_queue(last, "last").select("user_id", "place")
 
 
-QUERIES = {f.__name__: f for f in (freshness_by_key, freshness_summary, outcome_counts, failure_runs, trailing_sum, allowance, exclude_seen, json_props, state_after_batch, stream_counts, simplify_line, ring_centroids, daily_change, queue_order)}
+QUERIES = {f.__name__: f for f in (freshness_by_key, freshness_summary, outcome_counts, failure_runs, trailing_sum, allowance, exclude_seen, json_props, state_after_batch, check_states, stream_counts, simplify_line, ring_centroids, daily_change, queue_order)}
 
 _FRESH = f"""newest as (select user_id, event_type, max(ts) t from events group by all), fresh as (select user_id, event_type, case when event_type <> 'signup' then greatest(0, date_sub('day', t, {NOW})) end age from newest),
 states as (select *, case when age is null then 'never_checked' when age >= 21 then 'stale' else 'fresh' end state from fresh),
@@ -142,6 +166,26 @@ select coalesce(a.user_id, b.user_id) user_id,
  a.event_type content_hash,
  case when b.user_id is null then null when b.value > 40 then 'refused' when b.event_type = 'error' then case when coalesce(case when a.event_type = 'error' then 1 else 0 end, 0) + 1 >= 2 then 'dead' else 'failed' end when b.event_type is not distinct from a.event_type then 'unchanged' else 'changed' end outcome
 from a full join b on a.user_id = b.user_id""",
+    "check_states": f"""with f as (select user_id source, epoch_us(ts) "at", event_id ord,
+  case when event_type = 'signup' and value > 35 then 'blocked' when event_type = 'error' then case when value > 20 then 'refused' else 'failed' end else 'read' end status,
+  event_type = 'click' redirected, cast(cast(props->>'k' as int) % 3 as varchar) digest,
+  case event_id % 8 when 0 then 'deferred' when 1 then 'confirmed' when 2 then 'published' when 3 then 'held' when 4 then 'broken' when 5 then 'confirmed' when 6 then 'held' end reading from events),
+b as (select *, status = 'read' and coalesce(reading in ('confirmed', 'published'), false) agrees,
+  last_value(case when status = 'read' and reading in ('confirmed', 'published') then digest end ignore nulls) over (w rows between unbounded preceding and 1 preceding) base from f window w as (partition by source order by "at", ord)),
+u as (select *, status = 'read' and digest is not distinct from base same from b),
+r as (select *, sum(case when status = 'read' then 1 else 0 end) over (w rows unbounded preceding) run,
+  last_value(case when agrees or same then digest end ignore nulls) over (w rows unbounded preceding) baseline,
+  last_value(case when agrees or same then "at" end ignore nulls) over (w rows unbounded preceding) success,
+  last_value(case when status = 'read' and not same and reading in ('confirmed', 'published', 'held', 'broken') then "at" end ignore nulls) over (w rows unbounded preceding) extraction from u window w as (partition by source order by "at", ord)),
+n as (select *, cast(sum(case when status = 'failed' then 1 else 0 end) over (partition by source, run order by "at", ord rows unbounded preceding) as int) failures from r),
+l as (select *, last_value(case when status = 'blocked' then 'link_only' when status = 'failed' and failures >= 2 then 'dead' when status = 'read' then case when redirected then 'redirected' else 'ok' end end ignore nulls) over w link from n window w as (partition by source order by "at", ord rows unbounded preceding)),
+s as (select *, lead("at") over (partition by source order by "at", ord) after, lead(success) over (partition by source order by "at", ord) later from l)
+select source, "at", ord, case status when 'blocked' then 'link_only' when 'refused' then 'source_refused' when 'failed' then 'source_failed' else
+  case when same then 'unchanged' else coalesce(case reading when 'deferred' then 'ai_deferred' when 'held' then 'review_required' when 'broken' then 'extraction_failed' else reading end, 'ai_unavailable') end end outcome,
+  link, failures, baseline, success, extraction from l
+union all
+select source, success + {_STALE}000000, null, 'stale', link, failures, baseline, success, extraction from s
+where success is not null and "at" < success + {_STALE}000000 and coalesce(after, 1::bigint << 62) >= success + {_STALE}000000 and success + {_STALE}000000 <= (select max("at") from f)""",
     "stream_counts": "select cast(date_trunc('day', ts) as timestamp)::varchar \"day\", event_type, count(*) n, round(sum(value), 2) total from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 2 day group by all",
     "ring_centroids": """with g as (select user_id, value x, cast(event_id % 100 as double) y, row_number() over w n, count(*) over (partition by user_id) c from events window w as (partition by user_id order by ts, event_id)), h as (select a.user_id, a.n, a.x, a.y, b.x x2, b.y y2 from g a join g b on a.user_id = b.user_id and b.n = a.n % a.c + 1 where a.c >= 3),
 s as (select user_id, sum(x * y2 - x2 * y order by n) d, sum((x + x2) * (x * y2 - x2 * y) order by n) sx, sum((y + y2) * (x * y2 - x2 * y) order by n) sy from h group by user_id)
