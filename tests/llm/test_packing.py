@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,7 +18,7 @@ from lodestar.llm import packing
 FILE = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", " \n\t ", "Hello, world. It's ready! I've 42 x's", "ÉCOLE Straße İstanbul ΣΊΣΥΦΟΣ", "étude É.", "日本語。テキスト！ ok", "a\x1cb\x1f c\x85d\xa0e f",
-    "<|endoftext|> x<|startoftext|>. Y", "...!!! 'Tis 'll's,", "😀 fun​ny\r\nline\x0b\x0cend", "K K ﬁ", "don't.stop,now 3.14 a.b.c.", "x" * 300 + ". " + "Y" * 70 + "!",
+    "<|endoftext|> x<|startoftext|>. Y", "<|ENDOFTEXT|>A <|EndOfText|>", "J\u030cA A\u0301b.C\u0301", "...!!! 'Tis 'll's,", "😀 fun​ny\r\nline\x0b\x0cend", "K K ﬁ", "don't.stop,now 3.14 a.b.c.", "x" * 300 + ". " + "Y" * 70 + "!",
 ]
 
 
@@ -26,26 +27,42 @@ def plain():
     return Tokenizer.from_file(FILE)
 
 
+def ids_of(ids, texts):
+    """The ids of each text by the operator, without the end id."""
+    got, ends, stop, docs = ids.texts(pa.array(texts, pa.string()))
+    assert len(ends) == len(stop) and docs[-1] == len(got) and (got[docs - 1] == 2).all()
+    return [part[:-1].tolist() for part in np.split(got, docs[:-1])]
+
+
 def test_ids_are_the_tokenizers(plain):
     ids = packing.Ids(FILE)
-    for text in ODD + [" ".join(ODD)] + ODD:
-        got, ends, stop = ids.text(text)
-        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, text
-        assert len(ends) == len(stop) and (not len(ends) or ends[-1] == len(got))
+    for texts in ([t] for t in ODD):
+        assert ids_of(ids, texts) == [plain.encode(texts[0], add_special_tokens=False).ids], texts
+    for texts in (ODD, [*ODD, None, " ".join(ODD)], [""], [None, ""]):
+        assert ids_of(ids, texts) == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aAé'.,!? \n<>1")), max_size=60))
-def test_ids_of_any_text(text):
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aAJsS'.,!? \n<|>1\u030c\u0301")), max_size=40), min_size=1, max_size=3))
+def test_ids_of_any_text(texts):
     one = packing.tokenizer(FILE)
-    assert one.text(text)[0].tolist() == one.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids_of(one, texts) == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_words_are_forgotten_and_learned_again(plain, monkeypatch):
     monkeypatch.setattr(packing, "KEPT", 3)
     ids = packing.Ids(FILE)
-    for text in ODD * 2:
-        assert ids.text(text)[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    for t in ODD * 2:
+        assert ids_of(ids, [t]) == [plain.encode(t, add_special_tokens=False).ids]
+
+
+def test_sentences_and_lines_end_words():
+    ids = packing.Ids(FILE)
+    text = 'One two. He said "no!" and\nleft 3.14 a.b.c 終わり。 end'
+    got, ends, stop, docs = ids.texts(pa.array([text, "", "x"]))
+    before = {int(e) for e in ends[stop]}
+    want = {len(ids.tokenizer.encode(text[: text.index(m) + len(m)], add_special_tokens=False).ids) for m in ("two.", 'no!"', "and", "。")} | {int(docs[0]) - 1}
+    assert before == want | {int(docs[1]) + 1}
 
 
 def cost_of(lengths, costs, window):
@@ -81,11 +98,13 @@ def test_an_open_block_ends_near_its_end():
 
 
 def test_places_are_sentence_ends_and_words_in_long_stretches():
-    ends, stop = np.array([5, 9, 300, 301, 420]), np.array([True, False, False, True, False])
-    at, cost = packing.places(ends, stop, 421)
-    assert at[-1] == 421 and cost[-1] == 0 and np.diff([0, *at]).max() <= 2 * packing.STRETCH
-    assert dict(zip(at.tolist(), cost.tolist()))[5] == packing.SENTENCE and dict(zip(at.tolist(), cost.tolist()))[301] == packing.SENTENCE
-    assert packing.places(np.empty(0, int), np.empty(0, bool), 1)[0].tolist() == [1]
+    ends, stop = np.array([5, 9, 300, 301, 420, 423]), np.array([True, False, False, True, True, True])
+    at, cost = packing.places(ends, stop, np.array([421, 422, 424]))
+    by = dict(zip(at.tolist(), cost.tolist()))
+    assert by[421] == by[422] == by[424] == 0 and np.diff([0, *at]).max() <= 2 * packing.STRETCH
+    assert by[5] == by[301] == packing.SENTENCE and 420 not in by and 423 not in by
+    assert {c for p, c in by.items() if p not in (5, 301, 421, 422, 424)} == {packing.INSIDE}
+    assert packing.places(np.empty(0, int), np.empty(0, bool), np.array([1]))[0].tolist() == [1]
 
 
 def whole(rows, texts, plain, window=packing.WINDOW):
