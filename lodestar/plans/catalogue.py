@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.plans import events_queries, orders_queries, review_queries, text_queries
+from lodestar.plans import events_queries, orders_queries, record_queries, review_queries, text_queries
 
-MODULES = (text_queries, events_queries, orders_queries, review_queries)
+MODULES = (text_queries, events_queries, orders_queries, review_queries, record_queries)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
