@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import schema
+from lodestar.operators import merging, schema
 from lodestar.plans.tables import read
+from lodestar.sources import sinks
+from lodestar.sources.scratch import fresh_path
+from lodestar.streaming import issues
 
 #: A record as the catalogue would state it; every kind of rule is broken by some row of ``_records``.
 RECORD = {
@@ -95,7 +98,54 @@ def record_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "kind", F.array_join("changed", ",").alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (schema_violations, record_diff)}
+def merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue after a batch of findings: a bucketed table of which the merge rewrites what it touches. Orders are
+    roles; a ninth of the customers isn't in the batch, some of the others couldn't be read."""
+    orders = read(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    current = orders.selectExpr("o_custkey as org_id", "k as id", "o_orderstatus as status", "o_orderpriority as commitment", "array(o_orderpriority) as skills", "if(k % 4 = 0, array('dbs'), null) as unsupported", "o_totalprice as price")
+    reads = read(spark, sf_dir, "customer").where("c_custkey % 9 <> 0").selectExpr("c_custkey as org_id", "case when c_custkey % 7 = 0 then 'read_failed' else 'ok' end as read_status")
+    read_well = orders.join(reads.where(~F.col("read_status").isin(*merging.UNREAD)), F.col("o_custkey") == F.col("org_id"))
+    again = read_well.where("k % 5 < 3").selectExpr("org_id", "k as id", "case when k % 11 = 0 then null else o_orderstatus end as status", "if(k % 6 = 0, '0-NOW', o_orderpriority) as commitment", "if(k % 10 = 0, array(o_orderpriority, 'more'), array(o_orderpriority)) as skills")
+    fresh = read_well.where("k % 8 = 3").selectExpr("org_id", "-k as id", "'F' as status", "o_orderpriority as commitment", "array('new') as skills")
+    retire = read_well.where("k % 13 = 0").selectExpr("org_id", "k as id", "case k % 3 when 0 then 'page_404' when 1 then 'not_recruiting' end as basis", "if(k % 5 = 0, 'we are full', '') as quote")
+    table = merging.Buckets(spark, fresh_path(spark, "catalogue"), "org_id", 16)
+    table.create(current)
+    merge = lambda rows: merging.merged_findings(rows, reads, again.unionByName(fresh), retire, ["status", "commitment", "skills"])
+    table.merge(reads.select("org_id"), lambda rows: merge(rows).where("action <> 'retired'").drop("action"))
+    return table.read().withColumns({c: F.array_join(c, ",") for c in ("skills", "unsupported")})
+
+
+def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event does to its user's issue, as a stream into a sink, in three runs that go on from each other."""
+    reports = read(spark, sf_dir, "events").selectExpr(
+        "user_id as key",
+        "unix_micros(cast(ts as timestamp)) as at",
+        "event_id as ord",
+        "case event_type when 'error' then 'broken' when 'purchase' then 'attention' when 'click' then 'attention' else 'ok' end as level",
+        "case when event_type in ('error', 'purchase', 'click') then array(concat('w', event_id % 3), concat('x', event_id % 2)) else array() end as waiting",
+        "user_id % 2 = 0 as weekly",
+        "event_id % 5 < 2 as keep",
+    ).withColumn("day", F.expr("date_trunc('DAY', timestamp_micros(at))"))
+    folder = fresh_path(spark, "issues")
+    for part in ("day < timestamp '2024-01-10'", "day >= timestamp '2024-01-10' and day < timestamp '2024-01-20'", "day >= timestamp '2024-01-20'"):
+        reports.where(part).drop("day").write.mode("append").parquet(f"{folder}/arrivals")
+        sink = issues.tracked(spark, f"{folder}/arrivals", folder)
+    return sink.log().select("key", "ord", "level", "action", "comment", "number")
+
+
+def page_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of doors and activities after the roles of one organisation changed: which are written, kept, removed."""
+    df = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = df.selectExpr("o_orderpriority as door", "concat(c_mktsegment, '/', c_nationkey) as facet", "o_orderkey as id", "o_orderstatus as status", "o_custkey")
+    folder = fresh_path(spark, "pages")
+    sinks.update_pages(rows.drop("o_custkey"), folder, "door", "facet")
+    # A role of customer 1 closes, those of customers 2 to 50 go, one of customer 7 comes under a facet of its own.
+    later = rows.where("o_custkey not between 2 and 50").withColumn("status", F.expr("if(o_custkey = 1, 'closed', status)"))
+    later = later.union(rows.where("o_custkey = 7").selectExpr("door", "'new facet' as facet", "id", "status", "o_custkey"))
+    return sinks.update_pages(later.drop("o_custkey"), folder, "door", "facet")
+
+
+QUERIES = {f.__name__: f for f in (schema_violations, record_diff, merge_findings, issue_log, page_updates)}
 
 ORACLE = {
     "schema_violations": """with o as (select *, case when o_orderkey % 41 = 0 then 'order ' || o_orderkey else 'o-' || o_orderkey end id, strftime(o_orderdate, '%Y-%m-%d') "day" from orders),
@@ -123,6 +173,27 @@ union all select id, 'items.' || place || '.ship.flag', 'isn''t one of A, N' fro
 union all select id, 'items.' || place || '.ship.dock', 'is an unknown key' from i where not (l_linenumber = 2 and k % 31 = 0) and k % 37 = 0
 union all select id, 'extra', 'is an unknown key' from o where o_orderkey % 61 = 0)
 select id, path, id || ': ' || path || ' - ' || message as "text" from v""",
+    "merge_findings": """with o as (select o_custkey org_id, o_orderkey k, o_orderstatus st, o_orderpriority p, o_totalprice price, o_custkey % 9 <> 0 batch, o_custkey % 9 <> 0 and o_custkey % 7 <> 0 well from orders),
+a as (select *, well and k % 5 < 3 found, well and k % 13 = 0 dead, k % 3 = 0 or k % 5 = 0 gone from o),
+m as (select *, found and (k % 11 = 0 or k % 6 = 0 or k % 10 = 0) and  not dead upd from a where not (dead and gone))
+select org_id, k id, case when dead then 'unknown' when upd and k % 11 = 0 then null else st end status,
+ case when upd and k % 6 = 0 then '0-NOW' else p end commitment, case when upd and k % 10 = 0 then p || ',more' else p end skills,
+ case when dead and k % 4 = 0 then 'dbs,status' when dead then 'status' when k % 4 = 0 then 'dbs' end unsupported, price from m
+union all select org_id, -k, 'F', p, 'new', null, null from o where well and k % 8 = 3""",
+    "issue_log": """with recursive r as materialized (select user_id key, event_id ord, row_number() over (partition by user_id order by ts, event_id) i,
+ case event_type when 'error' then 2 when 'purchase' then 1 when 'click' then 1 else 0 end lv,
+ case when event_type in ('error', 'purchase', 'click') then ['w' || event_id % 3, 'x' || event_id % 2] else []::varchar[] end waiting, user_id % 2 = 0 weekly, event_id % 5 < 2 keep from events),
+s as (select key, 0::bigint i, null::bigint ord, 0 lv, 0 was, []::varchar[] waiting, []::varchar[] seen, 0::bigint number, false passed, false weekly from (select distinct key from r)
+union all select r.key, r.i, r.ord, case when r.keep and s.lv = 2 then s.lv else r.lv end, s.lv, case when r.keep and s.lv = 2 then s.waiting else r.waiting end, s.waiting,
+ s.number + case when not (r.keep and s.lv = 2) and s.lv = 0 and r.lv > 0 then 1 else 0 end, r.keep and s.lv = 2, r.weekly from s join r on r.key = s.key and r.i = s.i + 1),
+f as (select s.*, r.lv own, list_filter(s.waiting, lambda x: not list_contains(s.seen, x)) fresh from s join r on r.key = s.key and r.i = s.i)
+select key, ord, case own when 2 then 'broken' when 1 then 'attention' else 'ok' end "level",
+ case when passed then 'left broken' when lv = 0 and was = 0 then 'nothing' when lv = 0 then 'closed' when was = 0 then 'opened' else 'updated' end "action",
+ case when passed then null when lv = 0 and was > 0 then 'all clear' when lv = 0 or was = 0 then null when lv > was then 'worse' when weekly and lv = 2 then 'still broken' when len(fresh) > 0 then 'waiting: ' || array_to_string(fresh, ', ') end "comment", number from f""",
+    "page_updates": """with r as (select o_orderpriority door, c_mktsegment || '/' || c_nationkey facet, o_custkey c from orders join customer on o_custkey = c_custkey),
+f as (select door, facet, bool_or(c = 1 or c between 2 and 50) touched, bool_and(c between 2 and 50) emptied from r group by all)
+select door, facet, case when emptied then 'removed' when touched then 'written' else 'kept' end "action" from f
+union all select distinct door, 'new facet', 'written' from r where c = 7""",
     "record_diff": """with d as (select o_orderkey n, n % 4 <> 1 old, n % 6 <> 0 new from orders)
 select n o_orderkey, case when not old then 'added' when not new then 'gone' else 'pair' end kind, case
  when not old then 'eligibility,intake,screening.age.least,screening.dbs,season.end,season.start,skills,stated_places,status'

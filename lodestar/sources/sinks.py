@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators.runs import placed
+from lodestar.sources.scratch import written
 
 
 def documents(orgs: DataFrame, roles: DataFrame, key: str = "org_id") -> DataFrame:
@@ -38,6 +39,54 @@ def write_pages(df: DataFrame, path: str, *by: str) -> None:
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+#: The folder beside the pages that keeps each folder's digest, and the column of it.
+DIGESTS, DIGEST = "_digests", "_digest"
+
+
+def folder_digests(df: DataFrame, *by: str) -> DataFrame:
+    """by, _digest: a digest of each folder's rows that doesn't depend on their order; a repeated row counts."""
+    row = F.xxhash64(*(F.to_json(F.struct(c)) for c in df.columns))
+    sums = [F.sum(F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(1 << 40))).cast("string") for seed in (1, 2)]
+    return df.groupBy(*by).agg(F.concat_ws("-", F.count("*").cast("string"), *sums).alias(DIGEST))
+
+
+def update_pages(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """by, action (written, kept or removed): folders of pages brought up to date. Only folders whose rows changed since the
+    last call are written, those without rows are removed, and the files of all others stay as they are.
+
+    Digests are read and written under a lock and after the folders, so that a run that fails half-way is made good by
+    the next one. Values of ``by`` mustn't be null.
+    """
+    spark = df.sparkSession
+    with Locked(spark, path):
+        now = folder_digests(df, *by)
+        held = f"{path}/{DIGESTS}"
+        before = spark.read.schema(now.schema).parquet(held) if _exists(spark, held) else now.limit(0)
+        both = now.alias("n").join(before.withColumnRenamed(DIGEST, "_was"), list(by), "full_outer")
+        action = F.when(F.col(DIGEST).isNull(), "removed").when(F.col(DIGEST).eqNullSafe(F.col("_was")), "kept").otherwise("written")
+        plan = written(both.select(*by, action.alias("action"), DIGEST))
+        changed = plan.where("action = 'written'").select(*by)
+        rows = df.join(changed, list(by), "left_semi")
+        rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        _remove(spark, path, plan.where("action = 'removed'").select(*by))
+        kept = plan.where(F.col(DIGEST).isNotNull()).select(*by, DIGEST)
+        swapped_in(kept, held, lambda found: None)
+    return plan.select(*by, "action")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _remove(spark: SparkSession, path: str, folders: DataFrame) -> None:
+    """Removes folders by their names; the driver sees one after the other."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for row in folders.toLocalIterator():
+        place = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(name(c, str(row[c])) for c in folders.columns)]))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def site_list(*paths: DataFrame) -> DataFrame:
     """path, place: the distinct paths of several one-column tables, sorted."""
     out = paths[0]
