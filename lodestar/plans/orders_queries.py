@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import labels, place, values
 from lodestar.functions.text import match_class, name_slug, slug
-from lodestar.operators import changes, facets, geometry, matching, ranking, rules, runs
+from lodestar.operators import chains, changes, facets, geometry, matching, ranking, rules, runs
 from lodestar.plans.tables import read
 from lodestar.sources import sinks
 
@@ -407,6 +407,14 @@ def seam_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.seam(item.where("l_returnflag = 'R'").select("a", "b"), item.where("l_returnflag <> 'R'").select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def seam_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that returned and other items share, joined into lines that run on through junctions. Suppliers get numbers
+    apart from the parts'."""
+    item = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"), "l_returnflag")
+    shared = geometry.seam(item.where("l_returnflag = 'R'").select("a", "b"), item.where("l_returnflag <> 'R'").select("a", "b"))
+    return chains.chained(shared).withColumnsRenamed({"from": "run_from", "to": "run_to"})
+
+
 def prune_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few columns of orders, those of stale customers masked."""
     df = read(spark, sf_dir, "orders")
@@ -521,13 +529,35 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.bundle(read(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_size"])
 
 
+def _seam_runs() -> str:
+    """SQL of ``seam_runs``: pointers that double 24 times, so lines of up to 2^24 edges."""
+    rounds = [
+        f"""s{n + 1} as materialized (select s.d, q.p, s.n + q.n as n, least(s.m, q.m) as m, q.ended from s{n} as s join s{n} as q on s.p = q.d)"""
+        for n in range(24)
+    ]
+    return f"""with recursive u as (select distinct -l_suppkey f, l_partkey t from lineitem where l_returnflag = 'R' intersect select -l_suppkey, l_partkey from lineitem where l_returnflag <> 'R'),
+g as materialized (select f, t, [f, t] d from u union all select t, f, [t, f] from u),
+k as (select f, t, (row_number() over (partition by f order by t) - 1) // 2 two from g),
+l as (select a.t f, a.f t, b.t nt from k a join k b on a.f = b.f and a.two = b.two and a.t <> b.t),
+h as materialized (select g.d, g.f, g.t, case when nt is not null then [g.t, nt] end nxt from g left join l on l.f = g.f and l.t = g.t),
+s0 as (select d, coalesce(nxt, d) p, case when nxt is null then 0 else 1 end::bigint n, d m, nxt is null ended from h),
+{", ".join(rounds)},
+e as materialized (select x.d, x.p, x.n, x.m, x.ended, y.p rp, y.n rn, y.m rm from s24 x join s24 y on y.d = [x.d[2], x.d[1]]),
+lines as (select [rp[2], rp[1]] s, false closed, rn place, d from e where ended and rp[2] < p[2]),
+rings as materialized (select e.d, e.m, h.nxt from e join h using (d) where not e.ended and e.m < e.rm),
+walk as (select d, m, nxt, 0::bigint place from rings where d = m union all select r.d, r.m, r.nxt, w.place + 1 from walk w join rings r on r.d = w.nxt where w.nxt <> w.m)
+select s[1] run_from, s[2] run_to, closed, place, d[1] a, d[2] b from lines union all select m[1], m[2], true, place, d[1], d[2] from walk"""
+
+
+_SEAM_RUNS = _seam_runs()
+
 QUERIES = {
     f.__name__: f
     for f in (
         facet_filter, facet_filter_zones, facet_counts, facet_grid, door_grid, door_counts, relax_suggest, door_activity, majority_note, discoverable, filter_regular, sort_page, sort_soonest, top1_per_group, fit_score, fit_regular, fit_best,
         crawl_parts, attributed_errors, unseen_customers, union_of_lists, totals,
         lookup_join, two_key_anti, feed_gaps, self_others, semi_surviving, anti_surviving, snapshot_diff, gate_route, carry_forward, upsert_actions, fuzzy_pairs, id_suffix,
-        rename_hints, rule_violations, invariants, season_wrap, status_today, collapse_rules, bands, reach_bands, seam_intersect, prune_mask, unnest_counts, share_buckets,
+        rename_hints, rule_violations, invariants, season_wrap, status_today, collapse_rules, bands, reach_bands, seam_intersect, seam_runs, prune_mask, unnest_counts, share_buckets,
         typeahead, duplicate_names, brand_medians, project_points, place_cascade, role_labels, snapshot_kinds, value_lists, sitemap, bundle, bundle_script,
     )
 }
@@ -623,6 +653,7 @@ ORACLE = {
     "collapse_rules": "with t as (select p_name, case when p_name like 'red %' then 'Red things' when regexp_matches(p_name, 'bolt|ring') then 'Small metal' when regexp_matches(p_name, 'g[ei]') then 'Gears and gizmos' end r from part), u as (select r title, count(*) n from t where r is not null group by r union all select p_name, 1 from t where r is null) select title, sum(n) n, count(*) \"rows\" from u group by title",
     "bands": "with p as (select *, case when p_partkey % 9 = 0 then null else p_size end s from part) select p_brand, band, array_to_string(list_sort(list(distinct p_type)), ',') items from p, unnest([15, 30, 45]) u(band) where s <= band group by p_brand, band",
     "reach_bands": "select n_name, band, array_to_string(list_sort(list(distinct cast(s_suppkey as varchar))), ',') items from supplier, nation, unnest([5, 10, 20]) u(band) where abs(n_nationkey - s_nationkey) <= band group by n_name, band",
+    "seam_runs": _SEAM_RUNS,
     "seam_intersect": "select distinct least(l_partkey, l_suppkey) a, greatest(l_partkey, l_suppkey) b from lineitem where l_returnflag = 'R' intersect select least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey) from lineitem where l_returnflag <> 'R'",
     "prune_mask": "with l as (select o_custkey, date_sub('day', max(o_orderdate), timestamp '2001-08-10') >= 21 hide from orders group by 1) select o_orderkey, case when hide then 'unknown' else o_orderstatus end status, case when hide then null else o_totalprice end price from orders join l using (o_custkey)",
     "unnest_counts": "select option, count(*) n from (select distinct p_partkey, unnest(string_split(p_name, ' ')) option from part where p_size <> 50 union all select p_partkey, null from part where p_size = 50) group by option",
