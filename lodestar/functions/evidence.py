@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: The fields that need a quotation.
 FIELDS = ("status", "screening.dbs", "screening.references", "screening.interview", "screening.min_age", "next_intake", "specific_times", "commitment", "seasonal_window", "eligibility", "who_can_apply")
-#: What a field without evidence becomes; null for all others.
-FORCED = {"screening.dbs": "unknown", "status": "unknown", "commitment": "unknown", "who_can_apply": "individual"}
+#: What a field without evidence becomes (lists as joined text, so an empty one is empty); null for all others.
+FORCED = {"screening.dbs": "unknown", "status": "unknown", "commitment": "unknown", "eligibility": "", "who_can_apply": "individual"}
 #: Statuses and applicants that claim something.
 CLAIMING = {"status": ("open", "closed", "seasonal_closed", "oversubscribed"), "who_can_apply": ("team_only", "either")}
 #: What a quotation must hold for a check, by the check's value, else the last.

@@ -40,7 +40,7 @@ def areas(location: Column, district: Column, boroughs: Column, london_only: Col
     or has zones of its own; else what its organisation covers."""
     return (
         F.when(location.isin(*ELSEWHERE), _none())
-        .when(district.isNotNull(), F.array(district))
+        .when(district.isNotNull() & (district != ""), F.array(district))
         .when(F.size(boroughs) > 0, boroughs)
         .when(london_only | (F.size(F.coalesce(role_zones, _none())) > 0), _none())
         .otherwise(F.coalesce(coverage, _none()))

@@ -229,11 +229,24 @@ def role_text(sections: Column, link: Column, title: Column) -> Column:
 
 
 def place_near_title(text: Column, title: Column, place: Column, span: int = 600) -> Column:
-    """Whether a place stands within ``span`` characters after any occurrence of a title; anywhere
-    where the title doesn't occur."""
-    page, head, want = F.lower(text), F.lower(title), F.lower(place)
-    # each piece after a title begins where that title ends; a piece may run on into the next ones
-    pieces = F.split(page, F.concat(F.lit(r"\Q"), head, F.lit(r"\E")))
-    tails = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.substring(F.call_function("array_join", F.slice(pieces, i, F.size(pieces)), head), F.lit(1), F.lit(span)))
-    near = F.when(F.size(pieces) > 1, F.exists(tails, lambda t: t.contains(want))).otherwise(page.contains(want))
-    return F.coalesce(near, F.lit(False))
+    """Whether a page names a place within ``span`` characters after the end of any occurrence of a title, or in the title
+    itself; anywhere on the page where the title doesn't occur. All three compare as place keys. Occurrences of a title are
+    counted without overlaps, from the left; a place counts only as a whole within the window."""
+    page, head, want = place_key(text), place_key(F.coalesce(title, F.lit(""))), place_key(place)
+    n = F.length(head)
+    pieces = F.split(page, F.concat(F.lit(r"\Q"), F.replace(head, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
+    # Where each occurrence begins: the lengths of all pieces before it, and of the titles between them.
+    sizes = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.length(p))
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("next"))
+    starts = F.aggregate(sizes, start, lambda a, s: F.struct(F.array_append(a["at"], a["next"] + s).alias("at"), (a["next"] + s + n).alias("next")), lambda a: a["at"])
+    near = F.exists(starts, lambda s: F.substring(page, s + 1, n + span).contains(want))
+    found = page.contains(want) & (want != "")
+    return F.coalesce(F.when(found & (n > 0) & page.contains(head), near).otherwise(found), F.lit(False))
+
+
+def places_stand(text: Column, title: Column, places: Column, span: int = 600) -> Column:
+    """The places that a role states, white space made single, if the page names every one near its title; else none, as
+    a part of them could make the role look as if it were elsewhere."""
+    held = F.coalesce(places, F.array().cast("array<string>"))
+    all_ = F.forall(held, lambda p: place_near_title(text, title, p, span))
+    return F.when(all_, F.transform(held, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))).otherwise(F.array().cast("array<string>"))

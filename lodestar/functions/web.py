@@ -34,8 +34,9 @@ def is_subdomain(inner: Column, outer: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """The values of href attributes in page order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)\bhref\s*=\s*"([^"]*)"'), F.lit(1))
+    """The values of href attributes in page order, in quotes of either kind or in none."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(found, lambda h: F.when(h.rlike("^[\"']"), F.substring(h, F.lit(2), F.length(h) - 2)).otherwise(h))
 
 
 def absolute(base: Column, link: Column) -> Column:

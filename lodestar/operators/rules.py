@@ -75,28 +75,25 @@ def unknown_columns(df: DataFrame, schema: T.StructType) -> list[str]:
 
 
 def invariants(roles: DataFrame, orgs: DataFrame) -> DataFrame:
-    """id, rule, message: the rules of business over roles (id, org_id, commitment, status, apply_url,
+    """id, rule, message: the rules of business over roles (id, ord, org_id, commitment, status, apply_url,
     url_specificity, confidence, min_term_months, has_season, dbs, verified, unsupported, reviewed) and
     organisations (org_id, opted_out, website_url, volunteer_url). A link may leave the organisation's own
-    domain only where a person has reviewed the record and a note in ``unsupported`` names the domain."""
-    twice = F.count("*").over(Window.partitionBy("id")) > 1
+    domain only where a person has reviewed the record and a note in ``unsupported`` names the domain. Of roles that
+    share an id each but the first (by ``ord``) is a duplicate; of a role without its organisation nothing else is asked."""
+    twice = F.row_number().over(Window.partitionBy("id").orderBy("ord")) > 1
     both = roles.withColumn("_twice", twice).join(orgs.select("org_id", "opted_out", web.host(F.col("website_url")).alias("_host"), "volunteer_url", F.lit(True).alias("_there")), "org_id", "left")
     c, there = F.col, web.host(F.col("apply_url"))
     away = (there != "") & (c("_host") != "") & ~web.is_subdomain(there, c("_host"))
     named = c("reviewed") & F.exists(F.coalesce("unsupported", F.array().cast("array<string>")), lambda x: x.contains(there))
-    return violations(
-        both,
-        "id",
-        [
-            Rule("duplicate", c("_twice"), "id occurs twice"),
-            Rule("organisation", c("_there").isNull(), "organisation is missing"),
-            Rule("opt_out", c("opted_out"), "organisation opted out"),
-            Rule("link", c("_there") & (F.coalesce(c("apply_url"), F.lit("")) == "") & (F.coalesce(c("volunteer_url"), F.lit("")) == ""), "no link"),
-            Rule("dbs", (c("dbs") == "none") & ~F.coalesce(F.array_contains("verified", "screening.dbs"), F.lit(False)), "no check claimed but not verified"),
-            Rule("homepage", (c("url_specificity") == "org_homepage") & (c("confidence") > 0.5), "homepage link with high confidence"),
-            Rule("season", (c("status") == "seasonal_closed") & ~c("has_season"), "seasonal without a window"),
-            Rule("term", c("commitment").isin("one_off", "flexible") & (c("min_term_months") > 0), "a term on a one-off"),
-            Rule("foreign", away & ~F.coalesce(named, F.lit(False)), "link leads to a site that wasn't declared"),
-            Rule("open", (c("status") == "open") & F.coalesce(F.array_contains("unsupported", "status"), F.lit(False)), "open isn't supported by the page"),
-        ],
-    )
+    always = [Rule("duplicate", c("_twice"), "id occurs twice"), Rule("organisation", c("_there").isNull(), "organisation is missing")]
+    with_org = [
+        Rule("opt_out", c("opted_out"), "organisation opted out"),
+        Rule("link", (F.coalesce(c("apply_url"), F.lit("")) == "") & (F.coalesce(c("volunteer_url"), F.lit("")) == ""), "no link"),
+        Rule("dbs", (c("dbs") == "none") & ~F.coalesce(F.array_contains("verified", "screening.dbs"), F.lit(False)), "no check claimed but not verified"),
+        Rule("homepage", (c("url_specificity") == "org_homepage") & (c("confidence") > 0.5), "homepage link with high confidence"),
+        Rule("season", (c("status") == "seasonal_closed") & ~c("has_season"), "seasonal without a window"),
+        Rule("term", c("commitment").isin("one_off", "flexible") & (c("min_term_months") > 0), "a term on a one-off"),
+        Rule("foreign", away & ~F.coalesce(named, F.lit(False)), "link leads to a site that wasn't declared"),
+        Rule("open", (c("status") == "open") & F.coalesce(F.array_contains("unsupported", "status"), F.lit(False)), "open isn't supported by the page"),
+    ]
+    return violations(both, "id", always + [Rule(r.name, c("_there") & r.broken, r.message) for r in with_org])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import values as V
 from lodestar.operators import geometry, runs
 from lodestar.plans.tables import read
+from lodestar.sources import loose
 from lodestar.sources.scratch import fresh_path
 from lodestar.streaming import checks, states
 
@@ -72,6 +73,30 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("parsed"), F.count_if(k.isNull()).alias("refused"), F.sum(k.cast("long")).alias("total"))
 
 
+_PAYLOAD = """case event_id % 23 when 0 then concat('[', props, ']') when 1 then '{"k": "7"}' when 2 then '{"k": null}' when 3 then substring(props, 1, length(props) - 1)
+ when 4 then '{"k": 2.5}' when 5 then '{}' when 6 then concat('{"k": 3, "tags": ', event_id % 3, '}') when 7 then '{"k": 4, "by": {"name": "x"}, "tags": ["a"]}' when 8 then '{"k": 4, "by": {"name": 5}}'
+ when 9 then '' when 10 then null else props end"""
+_SHAPE = {"$": "object", "$.k": "whole", "$.tags": "list?", "$.by": "object?", "$.by.name": "text?"}
+
+
+def loose_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events as variants; payloads that are cut, null, or of another shape are refused rows with a reason."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.expr(_PAYLOAD).alias("payload"))
+    return loose.shaped(rows, "payload", _SHAPE, {"k": "$.k", "name": "$.by.name"})
+
+
+def whole_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose listing must be refused as a whole: a user's events are pages of four, some refused, some missing."""
+    rows = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr(_PAYLOAD).alias("payload"))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = loose.shaped(rows, "payload", _SHAPE, {"k": "$.k"}).withColumn("page", F.floor((n + 3) / 4).cast("int"))
+    # What a page lacks isn't a reason here unless it is cut; users of a kind lack their second page, some name another one.
+    pages = rows.where("not (user_id % 3 = 0 and page = 2)").groupBy("user_id", "page").agg(F.min(F.when(F.col("user_id") % 5 == 0, F.when(F.col("refused") == "isn't JSON", F.col("refused")))).alias("refused"))
+    last = pages.groupBy("user_id").agg(F.max("page").alias("last"))
+    pages = pages.join(last, "user_id").withColumn("more", (F.col("page") < F.col("last")) | (F.col("user_id") % 7 == 0))
+    return loose.whole_listing(pages, "user_id", 17)
+
+
 def state_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The check state of each user after the last event of the first half and one of the second."""
     df = read(spark, sf_dir, "events")
@@ -143,7 +168,7 @@ def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.repair_queue(last, "last").select("user_id", "place")
 
 
-QUERIES = {f.__name__: f for f in (freshness_by_key, freshness_summary, outcome_counts, failure_runs, trailing_sum, allowance, exclude_seen, json_props, state_after_batch, check_states, stream_counts, simplify_line, ring_centroids, daily_change, queue_order)}
+QUERIES = {f.__name__: f for f in (freshness_by_key, freshness_summary, outcome_counts, failure_runs, trailing_sum, allowance, exclude_seen, json_props, loose_json, whole_listings, state_after_batch, check_states, stream_counts, simplify_line, ring_centroids, daily_change, queue_order)}
 
 _FRESH = f"""newest as (select user_id, event_type, max(ts) t from events group by all), fresh as (select user_id, event_type, case when event_type <> 'signup' then greatest(0, date_sub('day', t, {NOW})) end age from newest),
 states as (select *, case when age is null then 'never_checked' when age >= 21 then 'stale' else 'fresh' end state from fresh),
@@ -158,6 +183,14 @@ ORACLE = {
     "allowance": "with a as (select *, event_id % 7 asked from events) select event_id, asked, greatest(0, least(asked, 7 - coalesce(sum(asked) over (partition by user_id, cast(ts as date) order by ts, event_id rows between unbounded preceding and 1 preceding), 0))) granted from a",
     "exclude_seen": "select distinct user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and ts < timestamp '2024-01-04')",
     "json_props": "select event_type, count(cast(props->>'k' as int)) parsed, count(*) filter (cast(props->>'k' as int) is null) refused, sum(cast(props->>'k' as int)) total from events group by event_type",
+    "loose_json": """select event_id, case event_id % 23 when 0 then '$ is of kind list, not object' when 1 then '$.k is of kind text, not whole' when 2 then '$.k is of kind nothing, not whole' when 3 then 'isn''t JSON'
+ when 4 then '$.k is of kind number, not whole' when 5 then '$.k is missing' when 6 then '$.tags is of kind whole, not list' when 8 then '$.by.name is of kind whole, not text' when 9 then 'isn''t JSON' when 10 then 'isn''t JSON' end refused,
+ case when event_id % 23 = 7 then 4 when event_id % 23 > 10 then cast(props->>'k' as bigint) end k, case when event_id % 23 = 7 then 'x' end "name" from events""",
+    "whole_listings": """with r as (select user_id, event_id, (row_number() over (partition by user_id order by ts, event_id) + 3) // 4 page from events),
+p as (select user_id, page, bool_or(user_id % 5 = 0 and event_id % 23 in (3, 9, 10)) bad from r where not (user_id % 3 = 0 and page = 2) group by all),
+b as (select user_id, count(*) n, max(page) l, min(page) filter (bad) bad, user_id % 7 = 0 more from p group by user_id)
+select user_id, case when bad is not null then 'page ' || bad || ': isn''t JSON' when n <> l then 'pages are missing' when more and l >= 17 then 'has more than 17 pages' else 'ends before its last page' end reason
+from b where bad is not null or n <> l or more""",
     "state_after_batch": """with e as (select * from events),
 a as (select * from e where ts < timestamp '2024-01-16' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1),
 b as (select * from e where ts >= timestamp '2024-01-16' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)

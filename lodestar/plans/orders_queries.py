@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import labels, place, values
 from lodestar.functions.text import match_class, name_slug, slug
-from lodestar.operators import chains, changes, facets, geometry, matching, ranking, rules, runs
+from lodestar.operators import chains, changes, facets, geometry, matching, ranking, reach, rules, runs
 from lodestar.plans.tables import read
 from lodestar.sources import sinks
 
@@ -313,6 +313,7 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     r = read(spark, sf_dir, "orders").select(
         (k - F.when(k % 100 == 1, 1).otherwise(0)).alias("id"),
+        k.alias("ord"),
         (F.col("o_custkey") + F.when(k % 50 == 0, 1_000_000).otherwise(0)).alias("org_id"),
         _case("o_orderpriority", COMMITMENTS).alias("commitment"),
         _case("o_orderstatus", STATUSES).alias("status"),
@@ -367,6 +368,15 @@ def reach_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_name", "band", F.array_join("items", ",").alias("items"))
 
 
+def reach_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers within 10, 20 and 40 minutes of each nation's point: a join by grid cells, then bands. Points come from the
+    keys; some suppliers have none, and some pairs have a time of their own."""
+    places = read(spark, sf_dir, "nation").selectExpr("n_name", "n_nationkey", "n_nationkey % 5 * 200.0 + 100 as x", "floor(n_nationkey / 5) * 200.0 + 100 as y")
+    items = read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_nationkey", "if(s_suppkey % 17 = 0, null, cast(s_suppkey * 7919 % 1000 as double)) as x", "cast(s_suppkey * 104729 % 997 as double) as y")
+    known = items.where("s_suppkey % 4 = 0").join(places.select("n_name", "n_nationkey"), F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("n_name", "s_suppkey", "if(s_suppkey % 8 = 0, null, 15) as minutes")
+    return reach.reached(places, items, "n_name", "s_suppkey", [10, 20, 40], 6.0, table=known)
+
+
 def crawl_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts followed from each part to the next of the same order, two rounds of at most 15."""
     item = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -557,7 +567,7 @@ QUERIES = {
         facet_filter, facet_filter_zones, facet_counts, facet_grid, door_grid, door_counts, relax_suggest, door_activity, majority_note, discoverable, filter_regular, sort_page, sort_soonest, top1_per_group, fit_score, fit_regular, fit_best,
         crawl_parts, attributed_errors, unseen_customers, union_of_lists, totals,
         lookup_join, two_key_anti, feed_gaps, self_others, semi_surviving, anti_surviving, snapshot_diff, gate_route, carry_forward, upsert_actions, fuzzy_pairs, id_suffix,
-        rename_hints, rule_violations, invariants, season_wrap, status_today, collapse_rules, bands, reach_bands, seam_intersect, seam_runs, prune_mask, unnest_counts, share_buckets,
+        rename_hints, rule_violations, invariants, season_wrap, status_today, collapse_rules, bands, reach_bands, reach_places, seam_intersect, seam_runs, prune_mask, unnest_counts, share_buckets,
         typeahead, duplicate_names, brand_medians, project_points, place_cascade, role_labels, snapshot_kinds, value_lists, sitemap, bundle, bundle_script,
     )
 }
@@ -643,15 +653,20 @@ ORACLE = {
     "rename_hints": f"with {_SNAP} select a.n_custkey cust, a.n_status status, a.k added_id, g.k gone_id from s a join s g on a.n_custkey = g.o_custkey and a.n_status = g.status where not a.old and not g.new",
     "rule_violations": "with v as (select unnest(['l_linestatus', 'l_quantity', 'discount', 'flag', 'l_returnflag']) \"rule\", unnest(['isn''t an allowed value', 'must lie between 1 and 45', 'discount too high for the quantity', 'returned without tax', 'has the wrong form']) message, unnest([l_linestatus <> 'O', l_quantity not between 1 and 45, l_discount * 100 > l_quantity + 3, l_returnflag = 'R' and l_linestatus = 'F' and l_tax = 0, l_returnflag not in ('A', 'N')]) broken from lineitem) select \"rule\", message, count(*) n from v where broken group by all",
     "invariants": """with r as (select o_orderkey k, o_orderkey - case when o_orderkey % 100 = 1 then 1 else 0 end id, o_custkey + case when o_orderkey % 50 = 0 then 1000000 else 0 end org, o_orderpriority p, o_orderstatus s from orders),
- q as (select *, count(*) over (partition by id) c from r), j as (select q.*, c_custkey from q left join customer on org = c_custkey)
+ q as (select *, row_number() over (partition by id order by k) c from r), j as (select q.*, c_custkey from q left join customer on org = c_custkey)
  select "rule", count(*) n from (select unnest(['duplicate', 'organisation', 'opt_out', 'link', 'dbs', 'homepage', 'season', 'term', 'foreign', 'open']) "rule",
-  unnest([c > 1, c_custkey is null, c_custkey % 40 = 0, c_custkey is not null and k % 29 = 0 and c_custkey % 2 <> 0, k % 5 = 0 and k % 10 <> 0, k % 4 = 0 and k % 10 > 5, s = 'O' and k % 2 <> 0, p in ('1-URGENT', '5-LOW') and k % 3 > 0,
-   c_custkey is not null and k % 29 <> 0 and k % 3 <> 0 and not (k % 3 = 1 and k % 7 <> 0 and k % 2 = 0), s = 'F' and k % 7 = 0]) b from j) where b group by "rule\"""",
+  unnest([c > 1, not o, o and c_custkey % 40 = 0, o and k % 29 = 0 and c_custkey % 2 <> 0, o and k % 5 = 0 and k % 10 <> 0, o and k % 4 = 0 and k % 10 > 5, o and s = 'O' and k % 2 <> 0, o and p in ('1-URGENT', '5-LOW') and k % 3 > 0,
+   o and k % 29 <> 0 and k % 3 <> 0 and not (k % 3 = 1 and k % 7 <> 0 and k % 2 = 0), o and s = 'F' and k % 7 = 0]) b from (select *, c_custkey is not null o from j)) where b group by "rule\"""",
     "season_wrap": "select month(o_orderdate) \"month\", month(o_orderdate) >= 11 or month(o_orderdate) <= 4 winter, month(o_orderdate) between 5 and 8 summer, count(*) n from orders group by all",
     "status_today": """with o as (select *, case o_orderstatus when 'F' then 'open' when 'O' then 'seasonal_closed' else 'closed' end st, case when o_orderkey % 3 = 0 then o_orderkey % 12 + 1 end a, case when o_orderkey % 3 = 0 then o_orderkey % 5 + 1 end b from orders)
  select case when st = 'seasonal_closed' and a is not null and (case when a <= b then 6 between a and b else 6 >= a or 6 <= b end) then 'unknown' else st end status, count(*) n from o group by 1""",
     "collapse_rules": "with t as (select p_name, case when p_name like 'red %' then 'Red things' when regexp_matches(p_name, 'bolt|ring') then 'Small metal' when regexp_matches(p_name, 'g[ei]') then 'Gears and gizmos' end r from part), u as (select r title, count(*) n from t where r is not null group by r union all select p_name, 1 from t where r is null) select title, sum(n) n, count(*) \"rows\" from u group by title",
     "bands": "with p as (select *, case when p_partkey % 9 = 0 then null else p_size end s from part) select p_brand, band, array_to_string(list_sort(list(distinct p_type)), ',') items from p, unnest([15, 30, 45]) u(band) where s <= band group by p_brand, band",
+    "reach_places": """with p as (select n_name, n_nationkey, n_nationkey % 5 * 200 + 100 x, n_nationkey // 5 * 200 + 100 y from nation),
+i as (select s_suppkey, s_nationkey, case when s_suppkey % 17 <> 0 then s_suppkey * 7919 % 1000 end x, s_suppkey * 104729 % 997 y from supplier),
+m as (select n_name, s_suppkey, case when s_nationkey = n_nationkey and s_suppkey % 8 = 0 then null when s_nationkey = n_nationkey and s_suppkey % 4 = 0 then 15
+ else round_even(sqrt(cast((p.x - i.x) * (p.x - i.x) + (p.y - i.y) * (p.y - i.y) as double)) / 6.0, 0) end "minutes" from p, i)
+select n_name, band, s_suppkey, "minutes"::int "minutes" from m, unnest([10, 20, 40]) u(band) where "minutes" <= band""",
     "reach_bands": "select n_name, band, array_to_string(list_sort(list(distinct cast(s_suppkey as varchar))), ',') items from supplier, nation, unnest([5, 10, 20]) u(band) where abs(n_nationkey - s_nationkey) <= band group by n_name, band",
     "seam_runs": _SEAM_RUNS,
     "seam_intersect": "select distinct least(l_partkey, l_suppkey) a, greatest(l_partkey, l_suppkey) b from lineitem where l_returnflag = 'R' intersect select least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey) from lineitem where l_returnflag <> 'R'",

@@ -16,19 +16,23 @@ def _words(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return read(spark, sf_dir, name).select(key, T.words(F.col("text")).alias("w"))
 
 
-def _hits(spark: SparkSession, sf_dir: str, n: Column | int = 8, items: DataFrame | None = None) -> DataFrame:
-    """doc_id, item_id, run: the runs of n words that a document and a benchmark item share, once each.
+def _hits(spark: SparkSession, sf_dir: str, items: DataFrame | None = None, n: int = 8) -> DataFrame:
+    """doc_id, item_id, run: the runs of n words that a document and an item (item_id, w, n; default: the benchmark's) share.
 
-    Documents' runs are hashes until one meets a hash of the benchmark; only then is it a string, and compared.
+    A document's positions travel as hashes of their runs alone. Only the few that meet an item's hash are joined with the
+    document's words again, made strings and compared, so that a hash decides nothing.
     """
     items = items if items is not None else _words(spark, sf_dir, "benchmark", "item_id").withColumn("n", F.lit(n))
-    known = items.select("item_id", "n", F.explode(T.shingles(F.col("w"), F.col("n"))).alias("run")).withColumn("h", F.xxhash64(F.split("run", " ")))
-    sizes = F.array(*(F.lit(r.n) for r in known.select("n").distinct().collect()))  # at most as many as lengths of runs
-    docs = _words(spark, sf_dir, "documents", "doc_id").select("doc_id", "w", F.explode(sizes).alias("n")).where(F.size("w") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
-    each = docs.select("doc_id", "w", "n", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.col("n"))))).alias("at", "h"))
-    met = each.join(known.select("item_id", "n", "h", "run"), ["n", "h"]).select("doc_id", "item_id", "run", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("own"))
-    return met.where("own = run").select("doc_id", "item_id", "run").distinct()
+    known = items.select("item_id", "n", F.explode(T.shingles(F.col("w"), F.col("n"))).alias("run")).withColumn("h", F.xxhash64(F.transform(F.split("run", " "), lambda x: F.xxhash64(x))))
+    lengths = known.agg(F.collect_set("n").alias("sizes"))  # one row; callers have few lengths
+    docs = _words(spark, sf_dir, "documents", "doc_id").select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    docs = docs.crossJoin(F.broadcast(lengths)).select("doc_id", "w", F.explode("sizes").alias("n"))
+    # A text of fewer words has no start; a filter on its words would split the text into words twice.
+    starts = F.when(F.size("w") >= F.col("n"), F.sequence(F.lit(1), F.size("w") - F.col("n") + 1))
+    each = docs.select("doc_id", "n", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.col("n"))))).alias("at", "h"))
+    met = each.join(known.select("item_id", "n", "h").distinct(), ["n", "h"])
+    own = met.join(_words(spark, sf_dir, "documents", "doc_id"), "doc_id").select("doc_id", "item_id", "n", "h", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("own"))
+    return own.join(known, ["item_id", "n", "h"]).where("own = run").select("doc_id", "item_id", "run").distinct()
 
 
 def copy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +76,8 @@ def page_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each page resolved against it, distinct, and how many stay on its site."""
-    each = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(web.hrefs(F.col("html"))).alias("href"))
+    more = F.concat(F.col("html"), F.lit("<a href='/single'><a HREF = /bare class=x>"))
+    each = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(web.hrefs(more)).alias("href"))
     full = each.select("page_id", "url", web.absolute(F.col("url"), F.col("href")).alias("target")).distinct()
     return full.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(web.same_site(F.col("url"), F.col("target"))).alias("own"), F.min("target").alias("first"))
 
@@ -93,10 +98,11 @@ def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The date that a document states after the word updated, of texts to which such a line is added."""
+    """The date that a document states after the word updated, of texts that such a line is put before or after."""
     k = F.col("doc_id")
     line = F.when(k % 3 == 0, F.concat(F.lit("Last updated: 3rd May 20"), (k % 90 + 10).cast("string"))).when(k % 3 == 1, F.concat(F.lit("updated 2024-05-"), (k % 20 + 10).cast("string")))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", F.substring(F.regexp_replace("text", "(?i)updated", ""), 1, 500), line).alias("text"))
+    parts = F.when(k % 2 == 0, F.concat_ws("\n", line, "text")).otherwise(F.concat_ws("\n", "text", line))
+    docs = read(spark, sf_dir, "documents").select("doc_id", parts.alias("text"))
     return docs.select("doc_id", web.updated_date(F.col("text")).alias("updated"))
 
 
@@ -117,17 +123,36 @@ def derived_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark items a document quotes from their 20th character on, white space aside.
+    """Which benchmark items a document quotes from their 20th character on, white space aside; items whose number 7 divides
+    give a quote of ten characters.
 
-    A document that holds a quote holds the run of its inner whole words: only pairs that share this are looked at.
+    A document that holds a quote holds each run of its inner whole words: only pairs that share one run of it, of 8, 4 or
+    2 words, are looked at. Quotes of fewer inner words, which mark no few texts, are looked for in every text.
     """
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 20, 60).alias("quote"))
-    tokens = items.select("item_id", "quote", T.words(F.col("quote")).alias("w")).where("size(w) > 2")
-    inner = tokens.select("item_id", F.slice("w", F.lit(2), F.least(F.lit(8), F.size("w") - 2)).alias("w")).withColumn("n", F.size("w"))
-    near = _hits(spark, sf_dir, items=inner).select("doc_id", "item_id").distinct()
+    length = F.when(F.col("item_id") % 7 == 0, 10).otherwise(60)
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", F.lit(20), length).alias("quote"))
+    tokens = items.withColumn("w", T.words(F.col("quote"))).withColumn("inner", F.size("w") - 2)
+    n = F.when(F.col("inner") >= 8, 8).when(F.col("inner") >= 4, 4).otherwise(2)
+    runs_ = tokens.where("inner >= 2").select("item_id", F.slice("w", F.lit(2), n).alias("w"), n.alias("n"))
     docs = read(spark, sf_dir, "documents").select("doc_id", T.squeezed(F.col("text")).alias("text"))
-    both = near.join(docs, "doc_id").join(items, "item_id")
-    return both.where(T.quote_supported(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
+    near = _hits(spark, sf_dir, runs_).select("doc_id", "item_id").distinct()
+    both = near.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "quote", "text")
+    short = docs.join(tokens.where("inner < 2").select("item_id", "quote"), F.col("text").contains(T.squeezed(F.col("quote")))).select("doc_id", "item_id", "quote", "text")
+    return both.unionByName(short).where(T.quote_supported(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
+
+
+def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every document names a place near a title. Both are words of the document or of the benchmark item that its
+    number leads to; the title may hold the place, and marks around a place don't count."""
+    count = read(spark, sf_dir, "benchmark").agg(F.count("*").alias("items"))
+    item = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("of"), F.split(T.squeezed(F.col("text")), " ").alias("w"))
+    docs = read(spark, sf_dir, "documents").crossJoin(F.broadcast(count)).withColumn("of", F.col("doc_id") % F.col("items")).withColumn("v", F.split(T.squeezed(F.col("text")), " "))
+    k, w, v = F.col("doc_id"), lambda i: F.get("w", F.lit(i)), lambda i: F.get("v", F.lit(i))
+    title = F.when(k % 4 == 0, F.concat_ws(" ", w(0), w(1))).when(k % 4 == 1, F.upper(w(1))).when(k % 4 == 2, v(2))
+    place = F.when(k % 3 == 0, F.concat(F.lit(" ;"), w(0), F.lit("."))).when(k % 3 == 1, v(1)).otherwise(v(200))
+    both = docs.join(item, "of").select("doc_id", "text", title.alias("title"), place.alias("place"))
+    near = T.place_near_title(F.col("text"), F.col("title"), F.col("place"))
+    return both.select("doc_id", near.alias("near"), F.size(T.places_stand(F.col("text"), F.col("title"), F.array("place"))).alias("stand"))
 
 
 def platform_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +166,7 @@ def platform_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (copy_check, copy_check_span, content_hash, hash_changed, duplicate_ids, page_site, page_links, page_role_links, page_main_text, page_updated, verdict_census, derived_confidence, quote_support, platform_hosts)
+    for f in (copy_check, copy_check_span, content_hash, hash_changed, duplicate_ids, page_site, page_links, page_role_links, page_main_text, page_updated, verdict_census, derived_confidence, quote_support, near_titles, platform_hosts)
 }
 
 _RUNS = """
@@ -150,7 +175,7 @@ _RUNS = """
 _BOTH = f"{_RUNS.format('documents', 'doc_id')}, {_RUNS.format('benchmark', 'item_id')}"
 _HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '')"
 _SITE = "regexp_extract(" + _HOST + ", '[^.]+\\.(?:(?:org|co|ac|gov|nhs)\\.)?[^.]+$')"
-_LINKS = f"""e as (select page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') root, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) href from pages),
+_LINKS = f"""e as (select page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') root, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1), ['/single', '/bare'])) href from pages),
 f as (select distinct page_id, url, regexp_replace(root || href, '#.*$', '') target from e)"""
 
 ORACLE = {
@@ -167,13 +192,24 @@ ORACLE = {
  q as (select *, bp <> '' and starts_with(fp, bp || '/') under from p where length(label) between 1 and 90 and not regexp_matches(fp, '{pages.FILES}') and {_SITE.format('url')} = {_SITE.format('f')} and target <> rtrim(url, '/') and not regexp_matches(hay, '{pages.BLOCKED}') and (not regexp_matches(hay, '{pages.PAID}') or regexp_matches(hay, '{pages.VOLUNTEER}'))),
  g as (select page_id, target, min_by(under or regexp_matches(f, '{pages.VOLUNTEER}'), pos) strong, min(pos) pos from q where under or regexp_matches(hay, '{pages.HINT}') group by page_id, target)
  select page_id, target, strong, row_number() over (partition by page_id order by strong desc, pos, target) place from g qualify place <= 3""",
-    "page_updated": "select doc_id, case doc_id % 3 when 0 then '3rd May 20' || (doc_id % 90 + 10) when 1 then '2024-05-' || (doc_id % 20 + 10) end updated from documents",
+    "page_updated": r"""with d as (select doc_id, text, case doc_id % 3 when 0 then 'Last updated: 3rd May 20' || (doc_id % 90 + 10) when 1 then 'updated 2024-05-' || (doc_id % 20 + 10) end line from documents),
+ p as (select doc_id, substr(case when doc_id % 2 = 0 then concat_ws(chr(10), line, text) else concat_ws(chr(10), text, line) end, 1, 20000) t from d)
+ select doc_id, nullif(trim(regexp_extract(t, '(?i)(?:last\s+)?updated[:\s]*(\d{1,2}(?:st|nd|rd|th)?\s+\w+,?\s+\d{4}|\d{4}-\d{2}-\d{2})', 1)), '') updated from p""",
     "verdict_census": """with v as (select page_id k, url, html, length(regexp_replace(html, '(?s)<[^>]*>', '', 'g')) p from pages), m as (select *, case when k % 5 = 0 then p % 1000 else p end n from v),
  c as (select case when k % 31 = 0 then 'blocked' when k % 20 in (0, 7, 9) then 'dead' when n < 400 then case when (k % 2 = 0 or p < 80) and html ilike '%<script%' then 'client_rendered' else 'thin' end when contains(url, '#top') then 'redirected' when n < 1200 and k % 3 = 0 then 'thin' else 'clean' end verdict from m),
  o as (select unnest(['clean', 'thin', 'redirected', 'client_rendered', 'dead', 'blocked']) verdict, unnest([0, 1, 2, 3, 4, 5]) place),
  g as (select verdict, count(*) n from c group by 1), h as (select verdict, place, coalesce(n, 0) n from o left join g using (verdict)), s as (select *, round_even(n / sum(n) over (), 3) share from h)
  select *, case when verdict <> 'clean' then null when share >= 0.7 then 'good' when share >= 0.4 then 'mixed' else 'poor' end level from s""",
     "derived_confidence": "with g as (select source, count(*) filter (quality = 1) ok, count(*) filter (quality = 0) bad from documents left join labels using (doc_id) group by source) select source, case when source = 'src1' then 0.0 when ok + bad = 0 then 1.0 else round_even(ok / (ok + bad), 3) end confidence from g",
-    "quote_support": "with q as (select item_id, trim(regexp_replace(substr(text, 20, 60), '\\s+', ' ', 'g')) q from benchmark), d as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from documents) select distinct doc_id, item_id from d join q on contains(t, q) where length(q) >= 8 and not contains(q, '## Page:')",
+    "quote_support": "with q as (select item_id, trim(regexp_replace(substr(text, 20, case when item_id % 7 = 0 then 10 else 60 end), '\\s+', ' ', 'g')) q from benchmark), d as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from documents) select distinct doc_id, item_id from d join q on contains(t, q) where length(q) >= 8 and not contains(q, '## Page:')",
+    "near_titles": r"""with n as (select count(*) c from benchmark), b as (select item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') w from benchmark),
+ d as (select doc_id, text, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') v, b.w from documents, n, b where b.item_id = doc_id % c),
+ r as (select doc_id, text, coalesce(case doc_id % 4 when 0 then w[1] || ' ' || w[2] when 1 then upper(w[2]) when 2 then v[3] end, '') title, case doc_id % 3 when 0 then ' ;' || w[1] || '.' when 1 then v[2] else v[201] end place from d),
+ k as (select doc_id, trim(regexp_replace(replace(replace(lower(text), '&', ' and '), '’', chr(39)), '\s+', ' ', 'g'), ' ,.;:') t, trim(regexp_replace(replace(replace(lower(title), '&', ' and '), '’', chr(39)), '\s+', ' ', 'g'), ' ,.;:') h, trim(regexp_replace(replace(replace(lower(place), '&', ' and '), '’', chr(39)), '\s+', ' ', 'g'), ' ,.;:') p from r),
+ s as (select doc_id, t, h, p, unnest(string_split(t, h)) piece, generate_subscripts(string_split(t, h), 1) i from k where h <> '' and contains(t, h)),
+ o as (select doc_id, t, h, p, i, sum(length(piece) + length(h)) over (partition by doc_id order by i) - length(h) pos, count(*) over (partition by doc_id) c from s),
+ g as (select doc_id, bool_or(contains(substr(t, pos::bigint + 1, length(h) + 600), p)) near from o where i < c group by doc_id),
+ f as (select doc_id, coalesce(case when p <> '' and contains(t, p) then coalesce(near, true) else false end, false) near, p from k left join g using (doc_id))
+ select doc_id, near, case when near then 1 else 0 end stand from f""",
     "platform_hosts": "select page_id, array_to_string(list_filter([case when page_id % 7 <> 1 then 'app' || page_id % 7 || '.betterimpact.com' end, case when page_id % 2 <> 0 then 'volunteer.example.org' end], lambda x: x is not null), ',') hosts from pages",
 }
