@@ -43,7 +43,8 @@ def _join(path: Column, name: Column) -> Column:
 
 def _scalar(value: Column, schema: dict, path: Column) -> Iterator[Column]:
     if "enum" in schema:
-        yield _hit(~value.isin(*[v for v in schema["enum"] if v is not None]), path, f"isn't one of {', '.join(map(str, schema['enum']))}")
+        allowed = [v for v in schema["enum"] if v is not None]
+        yield _hit(~value.isin(*allowed), path, f"isn't one of {', '.join(map(str, allowed))}")
     if "pattern" in schema:
         yield _hit(~value.rlike(schema["pattern"]), path, f"doesn't match {schema['pattern']}")
     for word, low in (("minLength", True), ("maxLength", False)):

@@ -126,19 +126,20 @@ def quote_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark items a document quotes from their 20th character on, white space aside; items whose number 7 divides
     give a quote of ten characters.
 
-    A document that holds a quote holds each run of its inner whole words: only pairs that share one run of it, of 8, 4 or
-    2 words, are looked at. Quotes of fewer inner words, which mark no few texts, are looked for in every text.
+    A document that holds a quote holds the run of its first four inner whole words: only pairs that share it are looked at.
+    Quotes of fewer inner words, which mark no few texts, are looked for in every text.
     """
     length = F.when(F.col("item_id") % 7 == 0, 10).otherwise(60)
     items = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", F.lit(20), length).alias("quote"))
     tokens = items.withColumn("w", T.words(F.col("quote"))).withColumn("inner", F.size("w") - 2)
-    n = F.when(F.col("inner") >= 8, 8).when(F.col("inner") >= 4, 4).otherwise(2)
-    runs_ = tokens.where("inner >= 2").select("item_id", F.slice("w", F.lit(2), n).alias("w"), n.alias("n"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", T.squeezed(F.col("text")).alias("text"))
+    runs_ = tokens.where("inner >= 4").select("item_id", F.slice("w", 2, 4).alias("w"), F.lit(4).alias("n"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     near = _hits(spark, sf_dir, runs_).select("doc_id", "item_id").distinct()
-    both = near.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "quote", "text")
-    short = docs.join(tokens.where("inner < 2").select("item_id", "quote"), F.col("text").contains(T.squeezed(F.col("quote")))).select("doc_id", "item_id", "quote", "text")
-    return both.unionByName(short).where(T.quote_supported(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
+    both = near.join(docs, "doc_id").join(items, "item_id").where(T.quote_supported(F.col("quote"), F.col("text"))).select("doc_id", "item_id")
+    # A quote supports itself where it can count at all; texts are squeezed once, before they meet the quotes.
+    short = tokens.where("inner < 4").where(T.quote_supported(F.col("quote"), F.col("quote"))).select("item_id", T.squeezed(F.col("quote")).alias("q"))
+    flat = docs.select("doc_id", T.squeezed(F.col("text")).alias("flat"))
+    return both.union(flat.join(short, F.col("flat").contains(F.col("q"))).select("doc_id", "item_id")).distinct()
 
 
 def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
