@@ -20,7 +20,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import bounded, fold, unwrapped, wrapped
@@ -87,19 +87,28 @@ def predict(text: str | None, languages: dict[str, Profile]) -> tuple[str, float
     return lang, 1.0 - far[lang]
 
 
-def sample(rows: DataFrame, most: int) -> DataFrame:
-    """All of ``rows`` if there are at most ``most``, else about ``most`` picked by a hash of doc_id."""
-    share = min(1.0, most / max(rows.count(), 1))
-    return rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+def picked(doc_id: Column, most: int, n: Column | int) -> Column:
+    """True for about ``most`` of ``n`` rows, by a hash of doc_id; for all where there are no more. The share is a part of 2^63, so
+    it doesn't vanish however many rows there are."""
+    part = F.least(F.lit(float(most)) / n, F.lit(1.0)) * F.lit(2.0**63)
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 1).cast("double") < part
 
 
-def by_language(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows of each language (all where there are no more), picked by a hash of doc_id."""
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
-    parts = F.lit(1_000_000)
-    for lang, n in counts:
-        parts = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * most / n))).otherwise(parts)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < parts)
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """All of ``rows`` if there are at most ``most``, else about ``most`` picked by a hash of doc_id."""
+    n = rows.count()
+    return rows if n <= most else rows.where(picked(F.col("doc_id"), most, n))
+
+
+def by_language(rows: DataFrame, most: int, counts: dict[str, int] | None = None) -> DataFrame:
+    """About ``most`` rows of each language (all where there are no more), picked by a hash of doc_id; ``counts`` are the rows of
+    languages that have more, counted here if not given."""
+    if counts is None:
+        counts = dict(map(tuple, rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()))
+    keep = F.lit(True)
+    for lang, n in counts.items():
+        keep = F.when(F.col("lang") == lang, picked(F.col("doc_id"), most, n)).otherwise(keep)
+    return rows.where(keep)
 
 
 def fit(docs: DataFrame, most: int = FIT_ROWS, length: int = LENGTH) -> dict[str, Profile]:

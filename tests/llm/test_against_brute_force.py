@@ -392,3 +392,14 @@ def test_pipeline_runs_its_stages(spark, corpus, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     want = sorted(r.doc_id for r in docs.collect())
     assert sorted(r.doc_id for r in got) == want and all(r.same for r in got)
+
+
+def test_a_language_of_billions_of_rows_is_still_learned(spark):
+    """The share of rows picked doesn't round to none; it is the share asked for."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "fr").otherwise("en").alias("lang"))
+    got = dict(map(tuple, language.by_language(rows, 400_000_000, {"en": 2_000_000_000}).groupBy("lang").count().collect()))
+    assert got["fr"] == 1000 and 450 < got["en"] < 750
+    # About one row in two million: its hash is found among many ids, where a coarser share would find none.
+    few = spark.range(8_000_000).where(language.picked(F.col("id"), 1000, 2_000_000_000)).count()
+    assert 1 <= few <= 14
+    assert spark.range(100).where(language.picked(F.col("id"), 1000, 100)).count() == 100
