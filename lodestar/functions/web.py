@@ -65,10 +65,11 @@ def unread_hosts(hosts: Column, covered: Column) -> Column:
 
 
 def known_pages(links: Column, landing: Column) -> Column:
-    """Pages to read again: http links without fragments, not the landing page, no documents, once each."""
-    bare = F.transform(F.array_compact(links), lambda x: F.regexp_replace(x, r"#.*$", ""))
+    """Pages to read again: http links without fragments and slashes at their ends, not the landing page, no documents, once
+    each in order."""
     trim = lambda x: F.rtrim(x, F.lit("/"))
-    return F.array_distinct(F.filter(bare, lambda x: x.rlike("(?i)^https?://") & ~x.rlike(DOCUMENTS) & (trim(x) != trim(landing))))
+    bare = F.transform(F.array_compact(links), lambda x: trim(F.regexp_replace(x, r"(?s)#.*$", "")))
+    return F.array_distinct(F.filter(bare, lambda x: x.rlike("^https?://") & ~x.rlike(DOCUMENTS) & (x != trim(landing))))
 
 
 #: Fixed value: how a page states its last change.
@@ -90,8 +91,10 @@ def looks_client_rendered(html: Column, prose_length: Column) -> Column:
 def image_kind(content: Column) -> Column:
     """png, jpg, webp or svg by a file's first bytes; null for anything else."""
     head = F.hex(F.substring(content, 1, 12))
-    text = F.decode(F.substring(content, 1, 256), "UTF-8")
-    return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("52494646") & head.endswith("57454250"), "webp").when(F.lower(text).contains("<svg"), "svg")
+    # Each byte as a character, as the bytes may be no text.
+    text = F.lower(F.decode(F.substring(content, 1, 4000), "ISO-8859-1"))
+    svg = F.substring(text, 1, 2000).rlike(r"^[\t\n\x0b\f\r ]*<(?:svg|\?xml)") & text.contains("<svg")
+    return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("52494646") & head.endswith("57454250"), "webp").when(svg, "svg")
 
 
 def html_to_text(html: Column) -> Column:

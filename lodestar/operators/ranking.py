@@ -23,26 +23,23 @@ class Preferences:
 
 
 class _Score:
-    """Branches of which the first that holds counts: points, a conflict, reasons, cautions."""
+    """Questions, of each of which the first branch that holds counts: points, a conflict, reason and caution."""
 
     def __init__(self) -> None:
-        self.points, self.clashes, self.reasons, self.cautions = [], [], [], []
+        self.answers: list[Column] = []
 
     def cascade(self, *branches: tuple) -> None:
-        """Each branch is (condition or None, points, conflict, reason, caution); None always holds."""
-        left = F.lit(True)
+        """Each branch is (condition, points, conflict, reason, caution); the last one's condition is None and always holds."""
+        out = F
         for condition, points, clash, reason, caution in branches:
-            mine = left if condition is None else left & F.coalesce(condition, F.lit(False))
-            self.points.append(F.when(mine, points).otherwise(0))
-            self.clashes.append((mine & F.lit(clash)).cast("int"))
-            self.reasons.append(F.when(mine, F.lit(reason)))
-            self.cautions.append(F.when(mine, F.lit(caution)))
-            left = left if condition is None else left & ~F.coalesce(condition, F.lit(False))
+            answer = F.struct(F.lit(points).alias("points"), F.lit(int(clash)).alias("clash"), F.lit(reason).cast("string").alias("reason"), F.lit(caution).cast("string").alias("caution"))
+            out = out.otherwise(answer) if condition is None else out.when(condition, answer)
+        self.answers.append(out)
 
     def column(self) -> Column:
-        total = lambda xs: sum(xs, F.lit(0)).cast("int")
-        text = lambda xs: F.array_compact(F.array(*xs)).cast("array<string>")
-        return F.struct(total(self.points).alias("score"), total(self.clashes).alias("conflicts"), text(self.reasons).alias("reasons"), text(self.cautions).alias("cautions"))
+        total = lambda name: sum((a[name] for a in self.answers), F.lit(0)).cast("int")
+        texts = lambda name: F.array_compact(F.array(*(a[name] for a in self.answers)))
+        return F.struct(total("points").alias("score"), total("clash").alias("conflicts"), texts("reason").alias("reasons"), texts("caution").alias("cautions"))
 
 
 def fit(p: Preferences | None) -> Column:

@@ -529,9 +529,9 @@ def role_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundle_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as a script that assigns them."""
-    n = read(spark, sf_dir, "nation")
-    return sinks.assigned(n.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("line")), "window.DATA", "n_nationkey")
+    """The bundle of parts as a script that assigns it."""
+    parts = read(spark, sf_dir, "part")
+    return sinks.assigned(parts.select("p_partkey", F.to_json(F.struct("p_partkey", "p_name", "p_size")).alias("line")), "window.DATA", "p_partkey")
 
 
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -695,6 +695,6 @@ select n_name, band, s_suppkey, "minutes"::int "minutes" from m, unnest([10, 20,
  select id, case location_type when 'own_home' then 'Your own home' when 'remote' then 'Remote' else coalesce(district || ' \u00b7 ', '') || stated end place,
  case commitment when 'one_off' then 'One-off' when 'flexible' then 'Flexible frequency' when 'weekly' then 'Weekly' when 'monthly' then 'Monthly' else 'Frequency not stated' end || case when coalesce(min_term_months, 0) > 0 then ' \u00b7 at least ' || min_term_months || ' months' else '' end || case when coalesce(typical_shift_hours, 0) > 0 then ' \u00b7 ' || cast(typical_shift_hours as int) || 'h per shift' else '' end often,
  case when stale then 'Confirm with charity' when id % 2 = 0 then 'Mondays' else 'Times not stated' end times, array_to_string(list_filter([case when id % 7 = 0 then 'drivers' end, case when not stale and id % 5 > 0 then 'Aged 18 or over' end], lambda x: x is not null), ', ') asked from d""",
-    "bundle_script": "select 'window.DATA=[' || string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' order by n_nationkey) || '];' script from nation",
+    "bundle_script": "select 'window.DATA=[' || string_agg('{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}', ',' order by p_partkey) || '];' script from part",
     "bundle": "select '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}' line from part",
 }

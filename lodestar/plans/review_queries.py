@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import evidence, place
+from lodestar.functions import evidence, place, values, web
 from lodestar.functions import text as T
-from lodestar.operators import boards, health, review
+from lodestar.operators import boards, changes, health, review, runs
 from lodestar.plans.tables import read
 from lodestar.sources import documents
 
@@ -208,12 +208,11 @@ def ai_broken_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def freshness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Freshness of customers as one JSON document."""
-    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("org_id"), F.expr("case when c_custkey % 4 > 0 then cast(c_custkey % 40 as int) end").alias("age"), F.lit("ok").alias("link"))
-    rows = rows.withColumn("state", F.expr("case when age is null then 'never_checked' when age >= 21 then 'stale' else 'fresh' end")).withColumn("hidden", F.col("state") != "fresh")
-    summary = rows.agg(F.lit(7).alias("median_age"), F.max("age").alias("oldest"), F.count_if("hidden").alias("suppressed"), F.lit(False).alias("banner"))
-    out = health.freshness_report(rows, summary)
-    return out.select(F.get_json_object("report", "$.oldest_days").cast("int").alias("oldest"), F.get_json_object("report", "$.suppressed").cast("long").alias("suppressed"), F.get_json_object("report", "$.orgs.7.state").alias("state"), F.get_json_object("report", "$.thresholds.site_banner_after_days").cast("int").alias("days"))
+    """Freshness of customers as one JSON document, its summary made from the same rows."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("org_id"), F.expr("case when c_custkey % 4 > 0 then cast(c_custkey % 40 as int) end").alias("age"), F.expr("case c_custkey % 9 when 0 then 'dead' when 1 then null else 'ok' end").alias("link"))
+    rows = rows.withColumn("state", values.freshness(F.col("age")))
+    rows = rows.withColumn("hidden", values.suppressed(F.col("state"), F.col("link")))
+    return health.freshness_report(rows, runs.freshness_summary(rows, "age", "hidden").drop("rows"))
 
 
 def summaries_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,10 +225,67 @@ def summaries_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places that stand because all of them were found, by order."""
+    """Two places of each document that stand if its text names both: a word of it, and one of the benchmark item that its
+    number leads to."""
+    count = read(spark, sf_dir, "benchmark").agg(F.count("*").alias("items"))
+    item = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("of"), F.get(F.split(T.squeezed(F.col("text")), " "), F.lit(1)).alias("word"))
+    docs = read(spark, sf_dir, "documents").crossJoin(F.broadcast(count)).withColumn("of", F.col("doc_id") % F.col("items")).join(item, "of")
+    places = F.array(F.concat(F.lit(" "), F.get(F.split(T.squeezed(F.col("text")), " "), F.lit(4)), F.lit("  ")), F.col("word"))
+    df = docs.select("doc_id", "text", places.alias("places"))
+    found = F.transform("places", lambda p: T.place_key(F.col("text")).contains(T.place_key(p)) & (T.place_key(p) != ""))
+    return df.select("doc_id", F.array_join(place.stated_places(F.col("places"), found), ",").alias("places"))
+
+
+def newest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the reports of three event types (the last time, how many), the newest; one of them has no time."""
+    one = lambda kind, stamp: read(spark, sf_dir, "events").where(F.col("event_type") == kind).agg(F.lit(kind).alias("kind"), stamp.alias("generated_at"), F.count("*").alias("n"))
+    last = F.max("ts")
+    return documents.newest_version([one("click", last), one("view", F.lit(None).cast("timestamp_ntz")), one("error", last)]).select("kind", "n")
+
+
+def findings_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all findings on a supplier, that of the first file, then the first place: files are return flags, places order keys."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("org_id"), F.concat("l_returnflag", F.lit(".json")).alias("_file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_pos"))
+    return documents.first_findings(rows).select("org_id", F.col("_file").alias("file"), F.col("_pos").alias("pos"))
+
+
+def seed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as a seed, without those that nations' regions hold already by slug or by name, and without some left out."""
+    parts = [tuple(r) for r in read(spark, sf_dir, "region").select(F.lower("r_name"), "r_name").collect()]
+    seed = [*parts, ("new-one", "New One"), ("left-out", "Left Out"), ("other-slug", "ASIA"), ("asia", "Other name")]
+    known = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("r_regionkey < 3").select(F.lower("r_name").alias("slug"), F.initcap("r_name").alias("name"))
+    return documents.seeded(spark, seed, ["slug", "name"], known, ["Left Out"])
+
+
+def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of content by its first bytes, of pages that such bytes are put before."""
+    first = F.expr("case page_id % 7 when 0 then unhex('89504E470D0A1A0A') when 1 then unhex('FFD8FF') when 2 then concat(unhex('52494646'), unhex('00000000'), cast('WEBP' as binary)) when 3 then cast('<svg ' as binary) when 4 then cast('  <?xml version=\"1.0\"?><svg>' as binary) when 5 then unhex('FFD8') else cast('' as binary) end")
+    df = read(spark, sf_dir, "pages").select("page_id", F.concat(first, F.col("html").cast("binary")).alias("content"))
+    return df.select("page_id", web.image_kind(F.col("content")).alias("kind"))
+
+
+def pages_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each site that are read again: those that its roles link to, without the landing page, documents and repeats."""
+    url = F.col("url")
+    links = F.array(F.concat(url, F.lit("#part")), url, F.concat(url, F.lit("/")), F.concat(url, F.lit("/Guide.PDF")), F.when(F.col("page_id") % 2 == 0, F.lit("https://other.org/a/#x")), F.lit("mailto:a@b.org"), F.lit("https://land.org/"))
+    landing = F.when(F.col("page_id") % 3 == 0, url).otherwise(F.lit("https://land.org"))
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(web.known_pages(links, landing), " ").alias("again"))
+
+
+def notes_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of orders after a new reading: old ones that name the link's domain stay where the domain did."""
+    k = F.col("o_orderkey")
+    old = F.array(F.lit("apply on a.org"), F.concat(F.lit("see "), F.col("o_orderpriority")), F.lit("fee at a.org"))
+    new = F.when(k % 3 == 0, F.array(F.lit("apply on a.org"), F.lit("new"))).otherwise(F.array(F.lit("new")))
+    domain = F.when(k % 4 == 0, F.lit("b.org")).otherwise(F.lit("a.org"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(changes.carried_notes(old, new, F.lit("a.org"), domain), "; ").alias("notes"))
+
+
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons joined and cut, minutes of seconds, and dates for people, of every order."""
     k = F.col("o_orderkey")
-    df = read(spark, sf_dir, "orders").select(k, F.array(F.lit("Camden  Town"), F.concat(F.lit("N"), k.cast("string"))).alias("places"), F.array(F.lit(True), k % 3 > 0).alias("found"))
-    return df.select("o_orderkey", F.array_join(place.stated_places(F.col("places"), F.col("found")), ",").alias("places"))
+    reasons = F.array(F.col("o_orderpriority"), F.lit("late"), F.col("o_orderpriority"), F.when(k % 2 == 0, F.lit("a reason that needs some room")).otherwise(F.lit("late")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", values.joined_reasons(reasons, 30).alias("reasons"), values.minutes(k % 600).alias("minutes"), values.human_date(F.col("o_orderdate")).alias("day"))
 
 
 def usable_for_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +314,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         approve_roles, publish_roles, merge_fields, beside_current, contradictions, publish_check, recount_run, run_report, stale_proposals, baseline_moves, board_records, board_public,
-        evidence_settled, quote_backs, ai_broken_runs, freshness_report, summaries_accepted, place_evidence, usable_for_reach, load_listing, role_sections,
+        evidence_settled, quote_backs, ai_broken_runs, freshness_report, summaries_accepted, place_evidence, newest_report, findings_first, seed_list, image_kinds, pages_again, notes_carried, display_values, usable_for_reach, load_listing, role_sections,
     )
 }
 
@@ -299,11 +355,25 @@ ORACLE = {
  b as (select *, not dry and ((not conf and un > 0) or (conf and calls > 0 and not won and x = 0) or (conf and calls = 0 and de > 0 and x = 2)) broken, k % 17 = 0 stopped from d),
  s as (select *, broken or stopped bad, coalesce(med >= 53, false) stale, un > 0 waits from b)
  select broken, case when bad then 'broken' when stale or waits then 'attention' else 'ok' end as level, array_to_string(list_filter([case when bad then 'broken' end, case when stale then 'freshness' end, case when waits then 'waiting' end], lambda z: z is not null), ',') sections, count(*) n from s group by all""",
-    "freshness_report": "select max(case when c_custkey % 4 > 0 then c_custkey % 40 end) oldest, count(*) filter (c_custkey % 4 = 0 or c_custkey % 40 >= 21) suppressed, 'fresh' state, 60 \"days\" from customer",
+    "freshness_report": """with r as (select c_custkey k, case when c_custkey % 4 > 0 then c_custkey % 40 end age, case c_custkey % 9 when 0 then 'dead' when 1 then null else 'ok' end link from customer),
+s as (select *, case when age is null then 'never_checked' when age >= 21 then 'stale' else 'fresh' end state from r), h as (select *, state <> 'fresh' or coalesce(link = 'dead', false) hidden from s),
+m as (select list_sort(list(age) filter (age is not null)) a, max(age) oldest, count(*) filter (hidden) n from h),
+o as (select string_agg('"' || k || '":{' || coalesce('"days_since_check":' || age || ',', '') || '"state":"' || state || '",' || coalesce('"link_status":"' || link || '",', '') || '"suppress_assertive":' || hidden || '}', ',' order by cast(k as varchar)) j from h)
+select '{"median_days_since_check":' || a[len(a) // 2 + 1] || ',"oldest_days":' || oldest || ',"suppressed":' || n || ',"site_banner":' || (a[len(a) // 2 + 1] >= 60) || ',"thresholds":{"suppress_assertive_after_days":21,"site_banner_after_days":60},"orgs":{' || j || '}}' report from m, o""",
     "summaries_accepted": """with b as (select item_id, case when item_id % 4 = 0 then substr(text, 1, 30) else text end t, case when item_id % 2 = 0 then substr(text, 1, 150) else array_to_string(list_reverse(regexp_split_to_array(text, '\\s+')), ' ') end s from benchmark),
  w as (select *, regexp_extract_all(lower(s), '[a-z0-9'']+') a, regexp_extract_all(lower(t), '[a-z0-9'']+') c from b)
  select item_id, length(t) >= 40 and (len(a) < 8 or not list_has_any(list_transform(range(1, greatest(len(a) - 6, 1)), lambda i: array_to_string(a[i:i+7], ' ')), list_transform(range(1, greatest(len(c) - 6, 1)), lambda i: array_to_string(c[i:i+7], ' ')))) accepted from w""",
-    "place_evidence": "select o_orderkey, case when o_orderkey % 3 > 0 then 'Camden Town,N' || o_orderkey else '' end places from orders",
+    "place_evidence": r"""with n as (select count(*) c from benchmark), b as (select item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[2] w from benchmark),
+d as (select doc_id, text, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[5] v, w from documents, n, b where b.item_id = doc_id % c),
+k as (select *, trim(regexp_replace(replace(replace(lower(text), '&', ' and '), '’', chr(39)), '\s+', ' ', 'g'), ' ,.;:') t, trim(regexp_replace(replace(replace(lower(v), '&', ' and '), '’', chr(39)), '\s+', ' ', 'g'), ' ,.;:') a, trim(regexp_replace(replace(replace(lower(w), '&', ' and '), '’', chr(39)), '\s+', ' ', 'g'), ' ,.;:') b from d)
+select doc_id, case when a <> '' and b <> '' and contains(t, a) and contains(t, b) then v || ',' || w else '' end places from k""",
+    "newest_report": "select event_type kind, count(*) n from events where event_type in ('click', 'error') group by 1 order by max(ts) desc, 1 limit 1",
+    "findings_first": "with f as (select l_suppkey org_id, l_returnflag || '.json' f, l_orderkey * 10 + l_linenumber p from lineitem) select org_id, f \"file\", p pos from f qualify row_number() over (partition by org_id order by f, p) = 1",
+    "seed_list": "with k as (select lower(r_name) s from region where r_regionkey < 3 and r_regionkey in (select n_regionkey from nation)), z as (select lower(r_name) slug, r_name \"name\" from region union all select unnest(['new-one', 'other-slug', 'asia']), unnest(['New One', 'ASIA', 'Other name'])) select slug, \"name\" from z where slug not in (select s from k) and lower(\"name\") not in (select s from k)",
+    "image_kinds": "select page_id, case page_id % 7 when 0 then 'png' when 1 then 'jpg' when 2 then 'webp' when 3 then 'svg' when 4 then 'svg' end kind from pages",
+    "pages_again": "with l as (select page_id, rtrim(regexp_replace(url, '#.*$', ''), '/') u, rtrim(url, '/') raw from pages), m as (select page_id, case when page_id % 3 = 0 then raw else 'https://land.org' end land, u, u || '/Guide.PDF' g, contains(raw, '#') frag from l) select page_id, array_to_string(list_filter([case when u <> land then u end, case when page_id % 2 = 0 then 'https://other.org/a' end, case when page_id % 3 = 0 then 'https://land.org' end], lambda x: x is not null), ' ') again from m",
+    "notes_carried": "select o_orderkey, array_to_string(list_concat(case when o_orderkey % 3 = 0 then ['apply on a.org', 'new'] else ['new'] end, case when o_orderkey % 4 = 0 then [] when o_orderkey % 3 = 0 then ['fee at a.org'] else ['apply on a.org', 'fee at a.org'] end), '; ') notes from orders",
+    "display_values": "with r as (select *, o_orderpriority || '; late' || case when o_orderkey % 2 = 0 then '; a reason that needs some room' else '' end t from orders) select o_orderkey, case when length(t) <= 30 then t else substr(t, 1, 29) || '…' end reasons, cast(round_even(o_orderkey % 600 / 60, 0) as int) \"minutes\", strftime(o_orderdate, '%A, %-d %B %Y') \"day\" from r",
     "usable_for_reach": "select case o_orderkey % 4 when 0 then 'in_person' else 'hybrid' end location_type, count(*) n from orders where o_orderkey % 2 = 0 and o_orderkey % 4 < 2 group by 1",
     "load_listing": "with r as (select o_custkey c, case when o_orderkey % 2 = 0 then case when o_orderkey % 3 = 0 then 'unknown' else 'seasonal_closed' end when o_orderstatus = 'F' then 'open' else 'closed' end status from orders where o_orderkey % 5 > 0) select c_mktsegment, status, count(*) n from r join customer on c = c_custkey group by all",
     "role_sections": "with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn, 'https://c/' || turn || '/', text) i, count(*) over (partition by conv_id) n from conversations), c as (select conv_id, any_value(n) n, count(*) filter (i = 1 or (conv_id % 2 = 0 and turn = 1) or contains(lower(text), 'the')) own from t group by conv_id) select conv_id, case when own > 1 then own else n end n from c",

@@ -362,3 +362,19 @@ def test_versions_findings_and_image_kinds(spark):
     rows = [("A.json", 1, 7, "second"), ("A.json", 0, 7, "first"), ("B.json", 0, 7, "third"), ("B.json", 1, 8, "only")]
     got = documents.first_findings(spark.createDataFrame(rows, "_file string, _pos int, org_id int, what string")).collect()
     assert {r.org_id: r.what for r in got} == {7: "first", 8: "only"}
+
+
+def test_image_kinds_by_their_first_bytes(spark):
+    cases = {
+        b"\x89PNG\r\n\x1a\nrest": "png", b"\xff\xd8\xff\xe0": "jpg", b"RIFF1234WEBPVP8 ": "webp", b"RIFF1234AVI ": None, b"  \n<SVG viewBox": "svg", b"<?xml version='1.0'?><!-- x --><svg>": "svg",
+        b"<?xml version='1.0'?><html>": None, b"text before <svg>": None, b"": None, b"\xff\xfe\x80": None, "<svg>é".encode()[:6]: "svg", b" " * 2001 + b"<svg>": None,
+    }
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i int, content binary")
+    got = {r.i: r.kind for r in df.select("i", web.image_kind(F.col("content")).alias("kind")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_pages_that_are_read_again(spark):
+    links = ["https://a.org/x/#y", "https://a.org/x", "HTTPS://b.org/", "https://a.org/f.PDF", None, "ftp://a.org", "https://land.org/", "http://c.org/a//"]
+    got = spark.range(1).select(web.known_pages(F.array(*map(F.lit, links)), F.lit("https://land.org")).alias("p")).first().p
+    assert got == ["https://a.org/x", "http://c.org/a"]
