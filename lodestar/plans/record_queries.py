@@ -5,12 +5,12 @@ The tables hold no nulls and no broken rows, so the queries put some in.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import merging, schema
 from lodestar.plans.tables import read
-from lodestar.sources import sinks
+from lodestar.sources import listings, sinks
 from lodestar.sources.scratch import fresh_path
 from lodestar.streaming import issues
 
@@ -145,7 +145,40 @@ def page_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.update_pages(later.drop("o_custkey"), folder, "door", "facet")
 
 
-QUERIES = {f.__name__: f for f in (schema_violations, record_diff, merge_findings, issue_log, page_updates)}
+def card_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of one organisation on the card searches of every host, three pages a card page, and the searches that are refused:
+    some lack a page, some have a card without a link."""
+    of = F.split("url", "/")[2]
+    n = F.row_number().over(Window.partitionBy("board").orderBy("page_id"))
+    rows = read(spark, sf_dir, "pages").select(of.alias("board"), "page_id").withColumn("n", n).withColumn("page", F.floor((F.col("n") + 2) / 3).cast("int"))
+    organisation = F.expr("element_at(array('Our  Org', 'our &#111;rg', 'Other Org'), cast(page_id % 3 as int) + 1)")
+    link = F.when(F.col("page_id") % 97 == 5, F.lit("")).otherwise(F.format_string('<a href="/role/%d/?a=1&amp;b">', "page_id"))
+    card = F.concat(F.format_string('<div class="card shadow-0 x"><h5 class="t">Role &amp; <b>%d</b></h5><p>Organisation : ', "page_id"), organisation, F.lit("</p>"), link)
+    boards = rows.groupBy("board").agg(F.max("page").alias("last"), F.min("page_id").alias("key"))
+    pages_ = rows.withColumn("card", card).groupBy("board", "page").agg(F.array_join(F.array_sort(F.collect_list("card")), "").alias("body")).join(boards, "board")
+    html = F.concat(F.lit("<h1>Find Volunteer Roles</h1>"), "body", F.when(F.col("page") < F.col("last"), F.format_string('<a href="?page=%d">', F.col("page") + 1)).otherwise(F.lit("")))
+    pages_ = pages_.where("not (key % 5 = 0 and page = 2)").select("board", "page", F.concat(F.lit("https://"), "board", F.lit("/find")).alias("base"), html.alias("html"))
+    found, refused = listings.card_listing(pages_, boards.select("board", F.lit("OUR org").alias("organisation")))
+    return found.unionByName(refused, allowMissingColumns=True)
+
+
+def search_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers of the searches of every host, whose results are its pages, and the searches that are refused: some list a page that
+    isn't there or says nothing."""
+    of = F.split("url", "/")[2]
+    rows = read(spark, sf_dir, "pages").select(of.alias("board"), "page_id")
+    number = F.format_string("%08x-0000-0000-0000-%012x", "page_id", "page_id")
+    link = F.concat(F.lit('<a href="/PublicEnterprise/EnterpriseGvi?x=1&amp;gviGuid='), F.upper(number), F.lit('" class="r"> Listed <i>'), F.col("page_id").cast("string"), F.lit("</i>\n</a>"))
+    searches = rows.withColumn("link", link).groupBy("board").agg(F.array_join(F.array_sort(F.collect_list("link")), " ").alias("links"))
+    searches = searches.select("board", F.concat(F.lit("Search Volunteer Opportunities "), "links", "links").alias("html"))
+    own = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta name="a" property="og:title" content="Offer &lt;'), F.col("page_id").cast("string"), F.lit('&gt;">'))).otherwise(F.lit(""))
+    said = F.when(F.col("page_id") % 89 == 3, F.lit("")).otherwise(F.concat(F.lit('<META property="og:description" content="Text &amp; more '), F.col("page_id").cast("string"), F.lit('">')))
+    details = rows.where("page_id % 101 <> 7").select("board", number.alias("number"), F.concat(own, said).alias("html"))
+    found, refused = listings.search_listing(searches, details)
+    return found.drop("number").unionByName(refused, allowMissingColumns=True)
+
+
+QUERIES = {f.__name__: f for f in (schema_violations, record_diff, merge_findings, issue_log, page_updates, card_roles, search_offers)}
 
 ORACLE = {
     "schema_violations": """with o as (select *, case when o_orderkey % 41 = 0 then 'order ' || o_orderkey else 'o-' || o_orderkey end id, strftime(o_orderdate, '%Y-%m-%d') "day" from orders),
@@ -173,6 +206,15 @@ union all select id, 'items.' || place || '.ship.flag', 'isn''t one of A, N' fro
 union all select id, 'items.' || place || '.ship.dock', 'is an unknown key' from i where not (l_linenumber = 2 and k % 31 = 0) and k % 37 = 0
 union all select id, 'extra', 'is an unknown key' from o where o_orderkey % 61 = 0)
 select id, path, id || ': ' || path || ' - ' || message as "text" from v""",
+    "card_roles": """with r as (select string_split(url, '/')[3] board, page_id, row_number() over (partition by string_split(url, '/')[3] order by page_id) n from pages), p as (select *, (n + 2) // 3 page from r),
+b as (select board, max(page) l, min(page_id) k, bool_or(page_id % 97 = 5 and not (key % 5 = 0 and page = 2)) broken from (select *, min(page_id) over (partition by board) key from p) group by board),
+x as (select board, case when broken then 'a card can''t be read' when k % 5 = 0 and l > 2 then 'pages are missing' when k % 5 = 0 and l = 2 then 'a page that the last one names is missing' when l >= 20 and false then '' end reason from b)
+select board, 'Role & ' || page_id title, 'https://' || board || '/role/' || page_id || '/?a=1&b' link, null reason from p join x using (board) where reason is null and page_id % 3 < 2
+union all select board, null, null, reason from x where reason is not null""",
+    "search_offers": """with r as (select string_split(url, '/')[3] board, page_id from pages), b as (select board, count(*) n, min(page_id) filter (page_id % 101 = 7 or page_id % 89 = 3) bad from r group by board),
+x as (select board, case when n >= 200 then 'too many results' when bad is not null then 'result ' || printf('%08x', bad) || ' has no description' end reason from b)
+select board, case when page_id % 2 = 0 then 'Offer <' || page_id || '>' else 'Listed ' || page_id end title, 'Text & more ' || page_id description, null reason from r join x using (board) where reason is null
+union all select board, null, null, reason from x where reason is not null""",
     "merge_findings": """with o as (select o_custkey org_id, o_orderkey k, o_orderstatus st, o_orderpriority p, o_totalprice price, o_custkey % 9 <> 0 batch, o_custkey % 9 <> 0 and o_custkey % 7 <> 0 well from orders),
 a as (select *, well and k % 5 < 3 found, well and k % 13 = 0 dead, k % 3 = 0 or k % 5 = 0 gone from o),
 m as (select *, found and (k % 11 = 0 or k % 6 = 0 or k % 10 = 0) and  not dead upd from a where not (dead and gone))

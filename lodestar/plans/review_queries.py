@@ -302,6 +302,23 @@ def load_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(orgs, "org_id").groupBy("c_mktsegment", "status").agg(F.count("*").alias("n"))
 
 
+def load_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles that are in the city by the places that they state, with their status as of a day and the freshness of their
+    organisation's last check."""
+    k, name = F.col("o_orderkey"), lambda i: F.concat(F.lit("nation_"), (i % 40).cast("string"))
+    orders = read(spark, sf_dir, "orders")
+    roles = orders.select(
+        k.alias("id"), F.col("o_custkey").alias("org_id"), F.when(k % 2 == 0, "seasonal_closed").otherwise("open").alias("status"), F.when(k % 13 == 0, "remote").otherwise("in_person").alias("location_type"),
+        F.when(k % 3 == 0, F.array(name(k), F.lit("Elsewhere"))).when(k % 3 == 1, F.array(F.when(k % 2 == 0, F.lit(" the City ")).otherwise(F.lit("Elsewhere")))).alias("stated_places"),
+        F.when(k % 5 < 3, (k % 12 + 1).cast("int")).alias("start_month"), F.when(k % 5 < 3, (k % 7 + 1).cast("int")).alias("end_month"),
+    )
+    gazetteer = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("borough")).unionByName(spark.range(1).select(F.lit("City").alias("name"), F.lit(None).cast("string").alias("borough")))
+    last = orders.groupBy("o_custkey").agg(F.max("o_orderdate").cast("timestamp").alias("last_success"))
+    orgs = last.select(F.col("o_custkey").alias("org_id"), F.when(F.col("o_custkey") % 10 > 0, F.col("last_success")).alias("last_success"), F.when(F.col("o_custkey") % 8 == 0, "dead").otherwise("ok").alias("link_status"))
+    kept, shown = documents.catalogue(roles, orgs, gazetteer, F.to_date(F.lit("2001-08-06")), F.expr("timestamp '2001-08-06 12:00:00'"))
+    return kept.join(shown, "org_id").select("id", "status", "age", "state", "hidden")
+
+
 def role_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of a conversation's turns belong to a role: the first, the one it links to, those that name it."""
     turn = F.struct("turn", F.concat(F.lit("https://c/"), F.col("turn").cast("string"), F.lit("/")).alias("url"), "text")
@@ -314,7 +331,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         approve_roles, publish_roles, merge_fields, beside_current, contradictions, publish_check, recount_run, run_report, stale_proposals, baseline_moves, board_records, board_public,
-        evidence_settled, quote_backs, ai_broken_runs, freshness_report, summaries_accepted, place_evidence, newest_report, findings_first, seed_list, image_kinds, pages_again, notes_carried, display_values, usable_for_reach, load_listing, role_sections,
+        evidence_settled, quote_backs, ai_broken_runs, freshness_report, summaries_accepted, place_evidence, newest_report, findings_first, seed_list, image_kinds, pages_again, notes_carried, display_values, usable_for_reach, load_listing, load_catalogue, role_sections,
     )
 }
 
@@ -376,5 +393,11 @@ select doc_id, case when a <> '' and b <> '' and contains(t, a) and contains(t,
     "display_values": "with r as (select *, o_orderpriority || '; late' || case when o_orderkey % 2 = 0 then '; a reason that needs some room' else '' end t from orders) select o_orderkey, case when length(t) <= 30 then t else substr(t, 1, 29) || '…' end reasons, cast(round_even(o_orderkey % 600 / 60, 0) as int) \"minutes\", strftime(o_orderdate, '%A, %-d %B %Y') \"day\" from r",
     "usable_for_reach": "select case o_orderkey % 4 when 0 then 'in_person' else 'hybrid' end location_type, count(*) n from orders where o_orderkey % 2 = 0 and o_orderkey % 4 < 2 group by 1",
     "load_listing": "with r as (select o_custkey c, case when o_orderkey % 2 = 0 then case when o_orderkey % 3 = 0 then 'unknown' else 'seasonal_closed' end when o_orderstatus = 'F' then 'open' else 'closed' end status from orders where o_orderkey % 5 > 0) select c_mktsegment, status, count(*) n from r join customer on c = c_custkey group by all",
+    "load_catalogue": """with r as (select o_orderkey k, o_custkey c, o_orderkey % 13 = 0 or case o_orderkey % 3 when 0 then o_orderkey % 40 < 25 when 1 then o_orderkey % 2 = 0 else true end city,
+ case when o_orderkey % 5 < 3 then o_orderkey % 12 + 1 end s, case when o_orderkey % 5 < 3 then o_orderkey % 7 + 1 end e from orders),
+l as (select o_custkey c, case when o_custkey % 10 > 0 then max(o_orderdate) end t from orders group by 1),
+a as (select c, greatest(0, date_sub('day', t, timestamp '2001-08-06 12:00:00')) age from l where t is not null union all select c, null from l where t is null),
+f as (select c, age, case when age is null then 'never_checked' when age >= 21 then 'stale' else 'fresh' end state from a)
+select k id, case when k % 2 = 0 then case when s is not null and case when s <= e then 8 between s and e else 8 >= s or 8 <= e end then 'unknown' else 'seasonal_closed' end else 'open' end status, age, state, state <> 'fresh' or c % 8 = 0 hidden from r join f using (c) where city""",
     "role_sections": "with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn, 'https://c/' || turn || '/', text) i, count(*) over (partition by conv_id) n from conversations), c as (select conv_id, any_value(n) n, count(*) filter (i = 1 or (conv_id % 2 = 0 and turn = 1) or contains(lower(text), 'the')) own from t group by conv_id) select conv_id, case when own > 1 then own else n end n from c",
 }

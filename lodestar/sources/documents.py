@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.functions.values import status_today
+from lodestar.functions.place import in_city, matched
+from lodestar.functions.values import age_days, freshness, status_today, suppressed
 
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType, only: list[str] | None = None, key: Column | None = None) -> DataFrame:
@@ -33,6 +34,20 @@ def load(roles: DataFrame, orgs: DataFrame, today: Column, key: str = "org_id")
     return kept, orgs.join(kept.select(key), key, "left_semi")
 
 
+def catalogue(roles: DataFrame, orgs: DataFrame, gazetteer: DataFrame, today: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """``load`` with what it takes for granted derived: whether a role is in the city, from its kind of place and the places
+    that it states (location_type, stated_places) by the gazetteer (name, borough); and of each organisation (org_id,
+    last_success, link_status) that has a role shown the age of its last check, its state and whether it is suppressed."""
+    places = F.coalesce("stated_places", F.array().cast("array<string>"))
+    rows = roles.withColumn("_places", places)
+    known = matched(rows, "id", "_places", gazetteer).select("id", "boroughs", "london_only")
+    rows = rows.join(known, "id").withColumn("in_city", in_city(F.col("location_type"), F.size("_places"), F.col("boroughs"), F.col("london_only")))
+    kept, shown = load(rows.drop("_places", "boroughs", "london_only"), orgs, today)
+    state = freshness(F.col("age"))
+    shown = shown.withColumn("age", age_days(F.col("last_success"), now)).withColumn("state", state).withColumn("hidden", suppressed(F.col("state"), F.col("link_status")))
+    return kept.drop("in_city"), shown
+
+
 def geo_features(spark: SparkSession, path: str, names: list[str], expected: int | None = None) -> DataFrame:
     """name, geometry (JSON) of the features of a GeoJSON file; the name is the first of ``names`` that a
     feature's properties have. Raises where a feature has no name, or ``expected`` isn't their number."""

@@ -1,4 +1,4 @@
-"""Python data sources for paged JSON APIs and listings.
+"""Python data sources for paged JSON APIs; ``listings`` reads platforms that only have pages.
 
 ``register(spark)`` makes the formats known; a reader's partition is a board, and a board that is
 malformed or doesn't end fails its task: a partial listing would look like vanished roles. Pages come from a
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -19,7 +18,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MOST_PAGES = 20
-MOST_LISTED = 200
 OFFER = "board string, id string, title string, url string, status string, raw string"
 
 
@@ -88,27 +86,7 @@ def by_short_page(read: Callable[[int], str], size: int = 100) -> Iterator[dict]
     raise Partial(f"more than {MOST_PAGES} pages")
 
 
-def by_cards(read: Callable[[int], str], organisation: str) -> Iterator[dict]:
-    """Cards of a search page (``html``) whose organisation is the one asked for, case aside."""
-    html = json.loads(read(1)).get("html")
-    if not isinstance(html, str):
-        raise Partial("a page has no html")
-    for card in re.split(r"(?=<div class=\"card\")", html)[1:]:
-        fields = dict(re.findall(r'data-(\w+)="([^"]*)"', card))
-        if fields.get("organisation", "").casefold() == organisation.casefold():
-            yield fields
-
-
-def by_search(read: Callable[[int], str]) -> Iterator[dict]:
-    """A search page of ids, then a page for each; ids once; a full page is refused."""
-    ids = list(dict.fromkeys(json.loads(read(0)).get("ids", [])))
-    if len(ids) >= MOST_LISTED:
-        raise Partial("the search page is full")
-    for place, _ in enumerate(ids, 1):
-        yield json.loads(read(place))
-
-
-DIALECTS = {"next": by_next_link, "total": by_total, "short": by_short_page, "cards": by_cards, "search": by_search}
+DIALECTS = {"next": by_next_link, "total": by_total, "short": by_short_page}
 
 
 class _Board(InputPartition):
@@ -126,9 +104,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Board) -> Iterator[tuple]:
         get = getter(self.options)
         read = lambda page: get(partition.name, page)
-        dialect = self.options.get("dialect", "next")
-        items = by_cards(read, self.options.get("organisation", partition.name)) if dialect == "cards" else DIALECTS[dialect](read)
-        for i in items:
+        for i in DIALECTS[self.options.get("dialect", "next")](read):
             text = lambda k, i=i: None if i.get(k) is None else str(i[k])
             yield partition.name, text("id"), text("title"), text("url"), text("status"), json.dumps(i, sort_keys=True)
 

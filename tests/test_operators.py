@@ -381,11 +381,6 @@ def test_paged_sources(spark, tmp_path):
 def test_other_dialects():
     read = {1: json.dumps([{"id": 1, "status": "draft"}, {"id": 2}])}.get
     assert [i["id"] for i in paged.by_short_page(read)] == [2]
-    html = '<div class="card" data-organisation="Our Org" data-id="7"></div><div class="card" data-organisation="Other" data-id="8"></div>'
-    assert [c["id"] for c in paged.by_cards(lambda p: json.dumps({"html": html}), "our org")] == ["7"]
-    assert [d["id"] for d in paged.by_search(lambda p: json.dumps({"ids": [4, 4, 5]} if p == 0 else {"id": p}))] == [1, 2]
-    with pytest.raises(paged.Partial):
-        list(paged.by_search(lambda p: json.dumps({"ids": list(range(200))})))
 
 
 def test_swap_rolls_back(spark, tmp_path):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import evidence, place, text, web
 from lodestar.operators import chains, merging, reach, rules, schema
-from lodestar.sources import documents, loose, sinks
+from lodestar.sources import documents, listings, loose, sinks
 from lodestar.streaming import issues, states
 
 CLOSED = {
@@ -378,3 +378,30 @@ def test_pages_that_are_read_again(spark):
     links = ["https://a.org/x/#y", "https://a.org/x", "HTTPS://b.org/", "https://a.org/f.PDF", None, "ftp://a.org", "https://land.org/", "http://c.org/a//"]
     got = spark.range(1).select(web.known_pages(F.array(*map(F.lit, links)), F.lit("https://land.org")).alias("p")).first().p
     assert got == ["https://a.org/x", "http://c.org/a"]
+
+
+def test_card_searches_are_whole_or_refused(spark):
+    card = lambda title, org, link: f'<div class="card shadow-0">{title}<p>Organisation: {org}</p>{link}'
+    good, other = card("<h5>A &amp; <b>B</b></h5>", " our  Org", '<a href="/role/1">'), card("<h5>C</h5>", "Others", '<a href="https://x.org/role/2">')
+    head = "Find Volunteer Roles "
+    rows = [
+        ("whole", 1, head + good + other + "?page=2"), ("whole", 2, head + other), ("none", 1, head), ("empty", 1, head + "page=2"), ("odd", 1, good), ("null", 1, None),
+        ("card", 1, head + card("", "our org", "")), ("gap", 1, head + good), ("gap", 3, head + good), ("cut", 1, head + good + "page=2"), ("long", 1, head + good), ("long", 2, head + good + "page=3"),
+    ]
+    pages = spark.createDataFrame([(b, p, "https://l.org/find", h) for b, p, h in rows], "board string, page int, base string, html string")
+    wanted = spark.createDataFrame([(b, "OUR ORG") for b in {r[0] for r in rows}], "board string, organisation string")
+    found, refused = listings.card_listing(pages, wanted, most=2)
+    assert [tuple(r) for r in found.collect()] == [("whole", "A & B", "https://l.org/role/1")]
+    assert {r.board: r.reason for r in refused.collect()} == {"odd": "a page isn't the search", "null": "a page isn't the search", "card": "a card can't be read", "gap": "pages are missing", "cut": "a page that the last one names is missing", "long": "more than 2 pages"}
+
+
+def test_searches_with_detail_pages(spark):
+    number = lambda n: f"{n:08x}-0000-0000-0000-{n:012x}"
+    link = lambda n: f'<a href="/PublicEnterprise/EnterpriseGvi?a=1&amp;gviGuid={number(n).upper()}" x> Listed <i>{n}</i>\n</a>'
+    head = "Search Volunteer Opportunities"
+    searches = [("a", head + link(10) + link(11) + link(10)), ("b", link(1)), ("c", head + link(3)), ("d", head + "".join(map(link, range(5)))), ("e", head), ("f", None)]
+    about = '<meta x="y" property="og:description" content="Do &quot;it&quot;">'
+    details = [("a", number(10), '<meta property="og:title" content="Own">' + about), ("a", number(11), about.upper()), ("c", number(3), "<p>no</p>"), *[("d", number(n), about) for n in range(5)]]
+    found, refused = listings.search_listing(spark.createDataFrame(searches, "board string, html string"), spark.createDataFrame(details, "board string, number string, html string"), most=5)
+    assert sorted((r.board, r.number, r.title, r.description) for r in found.collect()) == [("a", number(10), "Own", 'Do "it"'), ("a", number(11), "Listed 11", 'DO "IT"')]
+    assert {r.board: r.reason for r in refused.collect()} == {"b": "the page isn't the search", "c": "result 00000003 has no description", "d": "too many results", "f": "the page isn't the search"}
