@@ -9,9 +9,11 @@ and years at a line's start are left out; a text that has them is also read with
 A Dice coefficient of at least ``LEAST`` needs sizes within a factor of (2 - LEAST) / LEAST, so
 windows of other sizes are not compared, and as many shared bigrams as the template's size over that
 factor, so a text that doesn't hold them anywhere isn't cut into windows for it. A passage must name the versions that
-the template names, and no others: one word less in common is not another version.
+the template names, and no others: one word less in common is not another version, and neither is it a licence of
+another name (lesser, affero; or one that no template has). A short notice that a text denies (not licensed under ...) isn't one.
 
-Templates are a few short texts, held by the code; callers may pass others, such as whole licences.
+Templates are notices, made from forms and names, and a few short texts, held by the code; callers may pass others, such as
+whole licences.
 
 Cases: null and empty texts have no licence; a passage matches its best template, ties by name (two
 windows are one passage if more than half of each lies in the other); a document repeats each licence
@@ -21,6 +23,7 @@ once, with its best coefficient; other columns are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,24 +34,37 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import bounded
 
 LEAST = 0.8
+#: How notices name a licence, and the names of licences by SPDX name. Fixed values.
+FORMS = ("Released under the {}.", "Licensed under the {}.", "Distributed under the {}.", "This project is licensed under the terms of the {}.")
+NAMES = {
+    "MIT": ("MIT License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"),
+    "CC0-1.0": ("Creative Commons CC0 1.0 Universal License", "CC0 1.0 Universal Public Domain Dedication"),
+    "Unlicense": ("Unlicense",),
+}
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see https://www.gnu.org/licenses/."
 #: Public licence notices and texts, by SPDX name (a LicenseRef where a notice leaves open which). Fixed values.
-TEMPLATES = {
+TEXTS = {
     "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Released under the Apache License 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Licensed under the GNU General Public License v3.0.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
-    ),
+    "GPL-2.0": (_GNU.format("General Public License", 2),),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", _GNU.format("General Public License", 3)),
+    "LGPL-2.1": (_GNU.format("Lesser General Public License", 2.1),),
+    "LGPL-3.0": (_GNU.format("Lesser General Public License", 3),),
+    "AGPL-3.0": (_GNU.format("Affero General Public License", 3),),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -69,6 +85,7 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ),
 }
+TEMPLATES = {name: (*(form.format(own) for own in NAMES.get(name, ()) for form in FORMS), *TEXTS.get(name, ())) for name in {**TEXTS, **NAMES}}
 WORDS = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 NOTICE = re.compile(r"(?im)^\W*(?:copyright\b|\(c\)|©).*$")
 #: Only the copyright words, signs and years of such a line.
@@ -76,7 +93,12 @@ SIGNS = re.compile(r"(?im)^[^\w\n]*(?:copyright\b(?=\W*(?:\(c\)|©|\d{4}\b))|\(c
 BREAK = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|\n")
 #: A number as versions are written, and the words that a version follows.
 VERSION = re.compile(r"v?(\d+(?:\.\d+)*)")
-BEFORE_VERSION = frozenset("version v license gpl by sa nc apache attribution sharealike noncommercial".split())
+BEFORE_VERSION = frozenset("version v license gpl by sa nc apache attribution sharealike noncommercial cc0 mpl lgpl agpl".split())
+#: Words that tell licences apart by name, and words that deny a notice. Fixed values.
+NAMING = frozenset("lesser library affero gnu mit bsd isc apache mozilla mpl unlicense cc0 cc creative commons".split())
+DENIALS = frozenset("not never no nor neither without isn aren wasn cannot".split())
+#: Notices of at most so many bigrams can be denied; longer texts hold such words themselves.
+SHORT = 25
 KIND = "array<struct<licence:string,dice:double>>"
 
 
@@ -100,8 +122,9 @@ def dice(a: frozenset, b: frozenset) -> float:
 
 
 def versions(words: list[str]) -> frozenset:
-    """The versions that words name: numbers marked with v, or after a word that a version follows."""
-    found = set()
+    """The versions that words name: numbers marked with v, or after a word that a version follows; and the words that tell
+    licences apart."""
+    found = set(NAMING.intersection(words))
     for before, word in zip(["", *words], words):
         if (m := VERSION.fullmatch(word)) and (word[0] == "v" or before in BEFORE_VERSION):
             found.add(m[1].removesuffix(".0"))
@@ -158,7 +181,13 @@ def passages(text: str, table: list[tuple[int, str, frozenset, frozenset]], leas
     for piece in BREAK.split(text):
         if n := len(WORDS.findall(piece)):
             cuts.append(cuts[-1] + n)
-    found = {(-d, name, start, end) for name, b, own in likely for kind in (windows(pairs, b), runs(words, cuts, b, span)) for start, end, d in kind if d >= least and versions(words[start:end]) == own}
+
+    def denied(start: int, end: int, b: frozenset) -> bool:
+        # Up to three words before a notice count, in its own sentence.
+        begin = max(start - 3, cuts[bisect_right(cuts, start) - 1])
+        return len(b) <= SHORT and not DENIALS.isdisjoint(words[begin:end])
+
+    found = {(-d, name, start, end) for name, b, own in likely for kind in (windows(pairs, b), runs(words, cuts, b, span)) for start, end, d in kind if d >= least and versions(words[start:end]) == own and not denied(start, end, b)}
     over = defaultdict(list)
     for d, name, start, end in sorted(found):
         if any(2 * (min(end, e) - max(start, s)) > max(end - start, e - s) for s, e in over[(start + end) // 2]):

@@ -119,3 +119,21 @@ def test_batches_are_cut_by_bytes():
     assert [p.num_rows for p in common.pieces(batch, 1, 20)] == [2, 1, 3]
     assert [p.num_rows for p in common.pieces(batch, 1, 1)] == [1, 1, 1, 1, 1, 1] or sum(p.num_rows for p in common.pieces(batch, 1, 1)) == 6
     assert common._bytes("8m") == 8 << 20 and common._bytes("64b") == 64 and common._bytes("x") == -1
+
+
+def test_licences_by_name_and_denial():
+    table = licences.compiled(licences.TEMPLATES)
+    named = lambda text: [n for n, _ in licences.scan(text, table, 0.8)]
+    assert named("Licensed under the GNU Lesser General Public License v3.0.") == ["LGPL-3.0"]
+    assert named("Licensed under the GNU Lesser General Public License, version 2.1") == ["LGPL-2.1"]
+    assert named("Released under the GNU Affero General Public License v3.0!") == ["AGPL-3.0"]
+    assert named("Licensed under the GNU General Public License v3.0.") == ["GPL-3.0"]
+    assert named("Distributed under the MIT license.") == ["MIT"]
+    assert named("This project is licensed under the terms of the Mozilla Public License 2.0.") == ["MPL-2.0"]
+    assert named("Released under the Unlicense.") == ["Unlicense"] and named("Released under the CC0 1.0 Universal Public Domain Dedication.") == ["CC0-1.0"]
+    for name in licences.TEXTS:
+        assert name in named("Before.\n" + max(licences.TEXTS[name], key=len) + "\nAfter."), name
+    assert named("not licensed under the MIT License") == [] and named("This project is not licensed under the terms of the MIT license.") == []
+    assert named("It is no longer released under the MIT License.") == []
+    assert named("This project is licensed under the terms of the Foo license.") == [] and named("Licensed under the") == []
+    assert named("No warranty. Licensed under the MIT License.") == ["MIT"] and named("Comes without fees; released under the MIT License.") == ["MIT"]

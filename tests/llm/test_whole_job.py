@@ -126,7 +126,8 @@ def test_licence_notice_inside_a_line():
     [
         ("Licensed under the Apache License, Version 3.0.", []),
         ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
-        ("Licensed under the GNU General Public License v2.0.", []),
+        ("Licensed under the GNU General Public License v1.0.", []),
+            ("Licensed under the GNU General Public License v2.0.", ["GPL-2.0"]),
         ("Licensed under the GNU General Public License v3.", ["GPL-3.0"]),
         ("Licensed under CC BY 3.0.", []),
         ("Great tool. Released under the MIT License. See docs.", ["MIT"]),
