@@ -220,6 +220,14 @@ union all
 select source, success + {_STALE}000000, null, 'stale', link, failures, baseline, success, extraction from s
 where success is not null and "at" < success + {_STALE}000000 and coalesce(after, 1::bigint << 62) >= success + {_STALE}000000 and success + {_STALE}000000 <= (select max("at") from f)""",
     "stream_counts": "select cast(date_trunc('day', ts) as timestamp)::varchar \"day\", event_type, count(*) n, round(sum(value), 2) total from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 2 day group by all",
+    "simplify_line": """with recursive p as materialized (select user_id u, floor(epoch(ts))::double x, value y, row_number() over (partition by user_id order by floor(epoch(ts)), value) i from events),
+n as (select u, max(i) n from p group by u),
+v as (select u, 1::bigint lo, n hi, 0::bigint keep from n where n >= 2
+ union all select u, unnest([lo, mid]), unnest([mid, hi]), unnest([mid, 0]) from (
+  select u, lo, hi, -f.i mid from (select v.u, v.lo, v.hi, max({'d': coalesce(abs((b.x - a.x) * (a.y - p.y) - (a.x - p.x) * (b.y - a.y)) / nullif(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 0), sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y))), 'i': -p.i}) f
+   from v join p a on a.u = v.u and a.i = v.lo join p b on b.u = v.u and b.i = v.hi join p on p.u = v.u and p.i > v.lo and p.i < v.hi group by v.u, v.lo, v.hi) where f.d > 20)),
+k as (select u, count(distinct keep) filter (keep > 0) kept from v group by u)
+select n.u user_id, n.n::int "before", (least(n.n, 2) + coalesce(kept, 0))::int "after" from n left join k on k.u = n.u""",
     "ring_centroids": """with g as (select user_id, value x, cast(event_id % 100 as double) y, row_number() over w n, count(*) over (partition by user_id) c from events window w as (partition by user_id order by ts, event_id)), h as (select a.user_id, a.n, a.x, a.y, b.x x2, b.y y2 from g a join g b on a.user_id = b.user_id and b.n = a.n % a.c + 1 where a.c >= 3),
 s as (select user_id, sum(x * y2 - x2 * y order by n) d, sum((x + x2) * (x * y2 - x2 * y) order by n) sx, sum((y + y2) * (x * y2 - x2 * y) order by n) sy from h group by user_id)
 select user_id, round(d / 2, 3) area, round(case when d <> 0 then sx / (3 * d) end, 3) cx, round(case when d <> 0 then sy / (3 * d) end, 3) cy from s""",
