@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators import merging, schema
+from lodestar.functions import text as T
+from lodestar.functions import values, web
+from lodestar.operators import changes, merging, schema
 from lodestar.plans.tables import read
-from lodestar.sources import listings, sinks
+from lodestar.sources import documents, listings, sinks
 from lodestar.sources.scratch import fresh_path
 from lodestar.streaming import issues
 
@@ -178,7 +180,61 @@ def search_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("number").unionByName(refused, allowMissingColumns=True)
 
 
-QUERIES = {f.__name__: f for f in (schema_violations, record_diff, merge_findings, issue_log, page_updates, card_roles, search_offers)}
+def documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON documents with their orders nested, written, read again with their schema, and unnested: in the order of
+    files, then of places."""
+    orgs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("org_id"), F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).alias("organisation"))
+    roles = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("org_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("commitment"), F.struct(F.col("o_orderstatus").alias("dbs"), (F.col("o_orderkey") % 2 == 0).alias("interview")).alias("screening"))
+    folder, docs = fresh_path(spark, "documents"), sinks.documents(orgs, roles)
+    sinks.write_documents(docs.drop("org_id"), folder)
+    again = documents.json_documents(spark, folder, docs.drop("org_id").schema, single=True)
+    place = F.row_number().over(Window.partitionBy("of_org").orderBy("ord"))
+    return documents.roles_of(again.withColumn("_file", F.concat("_file", F.format_string("#%012d", "organisation.id")))).withColumn("place", place).select("of_org", "place", "id", "commitment", "screening.dbs", "screening.interview")
+
+
+def table_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders after two replacements under a lock: one that passes its check, and one that fails and changes nothing."""
+    path = fresh_path(spark, "swap")
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_totalprice as price")
+
+    def positive(found: DataFrame) -> None:
+        if found.where("price <= 0").limit(1).count():
+            raise ValueError("a price that isn't positive")
+
+    sinks.replaced(rows, path, positive)
+    sinks.replaced(rows.withColumn("price", F.col("price") * 2), path, positive)
+    try:
+        sinks.replaced(rows.withColumn("price", -F.col("price")), path, positive)
+    except ValueError:
+        pass
+    return spark.read.parquet(path)
+
+
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of nested roles by dotted paths: one set, one read, and whether texts and lists claim anything."""
+    df = _role_records(spark, sf_dir, False)
+    role = F.struct(*df.columns)
+    new = changes.with_value(changes.with_value(role, "screening.age.least", F.col("o_orderkey") % 50), "status", F.lower("status"))
+    return df.select("o_orderkey", new["screening"]["age"]["least"].alias("least"), new["screening"]["dbs"].alias("dbs"), new["status"].alias("status"), values.asserted(F.when(F.col("o_orderkey") % 3 == 0, F.lit("unknown")).otherwise(F.col("status")), "O").alias("said"), values.asserted_list(F.col("stated_places")).alias("places"))
+
+
+def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a label, markers in comments, secrets, marks and white space, of texts made from orders."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Intro\n  LOCATION :  Hall "), k.cast("string"), F.lit("  \nHours: 4\n\n\n\nx \t y "), F.when(k % 2 == 0, F.concat(F.lit("<!-- health level=broken waiting="), k.cast("string"), F.lit(",b -->"))).otherwise(F.lit("<!-- health -->")), F.lit(" key_"), F.lpad(k.cast("string"), 24, "z"), F.lit(" *bold* [a](b)"))
+    df = read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    c = F.col("text")
+    return df.select("o_orderkey", T.labelled_line(c, "Location").alias("location"), T.labelled_line(c, "Pay").alias("pay"), T.marker(c, "waiting").alias("waiting"), T.redacted(c, 400).alias("redacted"), T.markdown_safe(F.substring_index(c, " ", -2)).alias("safe"), T.clean_lines(c).alias("clean"))
+
+
+def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of small pieces of HTML made from parts: breaks and blocks end lines, scripts go, references are decoded."""
+    name = F.col("p_name")
+    html = F.concat(F.lit("<p class='x'>"), name, F.lit(" &amp; more</p><script>var a = '<p>';</script><ul><li>One</li><LI>"), F.col("p_brand"), F.lit("&#33;</LI></ul>a<br/>b <b>c</b>&nbsp;d"))
+    return read(spark, sf_dir, "part").select("p_partkey", web.html_to_text(html).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (schema_violations, record_diff, merge_findings, issue_log, page_updates, card_roles, search_offers, documents_round_trip, table_swapped, record_fields, text_rules, html_lines)}
 
 ORACLE = {
     "schema_violations": """with o as (select *, case when o_orderkey % 41 = 0 then 'order ' || o_orderkey else 'o-' || o_orderkey end id, strftime(o_orderdate, '%Y-%m-%d') "day" from orders),
@@ -206,6 +262,14 @@ union all select id, 'items.' || place || '.ship.flag', 'isn''t one of A, N' fro
 union all select id, 'items.' || place || '.ship.dock', 'is an unknown key' from i where not (l_linenumber = 2 and k % 31 = 0) and k % 37 = 0
 union all select id, 'extra', 'is an unknown key' from o where o_orderkey % 61 = 0)
 select id, path, id || ': ' || path || ' - ' || message as "text" from v""",
+    "documents_round_trip": "select o_custkey of_org, row_number() over (partition by o_custkey order by o_orderkey) place, o_orderkey id, case when o_orderkey % 3 > 0 then o_orderpriority end commitment, o_orderstatus dbs, o_orderkey % 2 = 0 interview from orders join customer on c_custkey = o_custkey",
+    "table_swapped": "select o_orderkey id, o_totalprice * 2 price from orders",
+    "record_fields": "select o_orderkey, o_orderkey % 50 least, o_orderpriority dbs, lower(o_orderstatus) status, o_orderkey % 3 <> 0 and o_orderstatus <> 'O' said, o_orderkey % 10 >= 5 places from orders where o_orderkey % 4 <> 1",
+    "text_rules": """with t as (select o_orderkey k, case when o_orderkey % 2 = 0 then '<!-- health level=broken waiting=' || o_orderkey || ',b -->' else '<!-- health -->' end m, lpad(o_orderkey::varchar, 24, 'z') z from orders)
+select k o_orderkey, 'Hall ' || k "location", null pay, case when k % 2 = 0 then k || ',b' end waiting,
+ 'Intro' || chr(10) || '  LOCATION :  Hall ' || k || '  ' || chr(10) || 'Hours: 4' || repeat(chr(10), 4) || 'x ' || chr(9) || ' y ' || m || ' [redacted] *bold* [a](b)' redacted,
+ '\\*bold\\* \\[a\\]\\(b\\)' safe, 'Intro' || chr(10) || ' LOCATION : Hall ' || k || ' ' || chr(10) || 'Hours: 4' || repeat(chr(10), 2) || 'x y ' || m || ' key_' || z || ' *bold* [a](b)' clean from t""",
+    "html_lines": "select p_partkey, p_name || ' & more' || chr(10) || 'One' || chr(10) || p_brand || '!' || chr(10) || 'a' || chr(10) || 'b c d' as \"text\" from part",
     "card_roles": """with r as (select string_split(url, '/')[3] board, page_id, row_number() over (partition by string_split(url, '/')[3] order by page_id) n from pages), p as (select *, (n + 2) // 3 page from r),
 b as (select board, max(page) l, min(page_id) k, bool_or(page_id % 97 = 5 and not (key % 5 = 0 and page = 2)) broken from (select *, min(page_id) over (partition by board) key from p) group by board),
 x as (select board, case when broken then 'a card can''t be read' when k % 5 = 0 and l > 2 then 'pages are missing' when k % 5 = 0 and l = 2 then 'a page that the last one names is missing' when l >= 20 and false then '' end reason from b)

@@ -8,21 +8,23 @@ from pyspark.sql import types as T
 
 from lodestar.functions.place import in_city, matched
 from lodestar.functions.values import age_days, freshness, status_today, suppressed
+from lodestar.operators.runs import placed
 
 
-def json_documents(spark: SparkSession, path: str, schema: T.StructType, only: list[str] | None = None, key: Column | None = None) -> DataFrame:
-    """All documents of a folder with ``_file``; ``only`` keeps those whose ``key`` is listed.
+def json_documents(spark: SparkSession, path: str, schema: T.StructType, only: list[str] | None = None, key: Column | None = None, single: bool = False) -> DataFrame:
+    """All documents of a folder with ``_file``; ``only`` keeps those whose ``key`` is listed. A file is one document, or with
+    ``single`` one on each line.
 
     A file that doesn't parse raises. The schema is given, so nothing is read to guess it.
     """
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
+    df = spark.read.schema(schema).option("multiLine", not single).option("mode", "FAILFAST").json(path).withColumn("_file", F.input_file_name())
     return df.where(key.isin(*only)) if only else df
 
 
 def roles_of(docs: DataFrame, organisation: str = "organisation", roles: str = "opportunities") -> DataFrame:
     """One row a role with its organisation's id and ``ord``: file order, then place in the file. Only file
-    names are ranked together, not roles."""
-    files = docs.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))
+    names are ranked, by ranges of them, not roles."""
+    files = placed(docs.select("_file").distinct(), [F.col("_file")], "_rank")
     numbered = docs.join(files, "_file")
     return numbered.select("_rank", F.col(f"{organisation}.id").alias("_org"), F.posexplode(roles).alias("_pos", "role")).select((F.col("_rank") * F.lit(1_000_000) + F.col("_pos")).cast("long").alias("ord"), F.col("_org").alias("of_org"), "role.*")
 

@@ -15,7 +15,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 MOST_PAGES = 20
 OFFER = "board string, id string, title string, url string, status string, raw string"
@@ -98,10 +98,26 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Boards that a query doesn't ask for aren't read; a status that it asks for is sent to the server as well. Spark
+        still applies all other filters, and the status again, as a server may not know it."""
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            if column == "board":
+                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.options["boards"] = ",".join(b for b in self.options["boards"].split(",") if b in asked)
+                continue
+            if column == "status" and isinstance(f, EqualTo):
+                self.options.setdefault("filter.status", str(f.value))
+            yield f
+
     def partitions(self) -> list[_Board]:
+        """One for each board; a single empty one where none is left."""
         return [_Board(b) for b in self.options["boards"].split(",")]
 
     def read(self, partition: _Board) -> Iterator[tuple]:
+        if not partition.name:
+            return
         get = getter(self.options)
         read = lambda page: get(partition.name, page)
         for i in DIALECTS[self.options.get("dialect", "next")](read):
@@ -124,6 +140,8 @@ class Offers(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known, and lets Spark push filters down to sources in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Offers)
 
 
