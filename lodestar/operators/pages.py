@@ -136,10 +136,14 @@ def role_links(links: DataFrame, key: str, most: int = 15) -> DataFrame:
     """
     path = lambda u: F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     label = F.trim(F.regexp_replace("label", r"\s+", " "))
-    df = links.withColumns({"full": web.absolute(F.col("url"), F.col("href")), "label": label}).withColumn("target", F.rtrim("full", F.lit("/")))
-    df = df.where(F.length("label").between(1, 90) & F.col("full").rlike("(?i)^https?://") & ~path(F.col("full")).rlike(FILES) & web.same_site(F.col("url"), F.col("full")) & (F.col("target") != F.rtrim("url", F.lit("/"))))
-    both, base = F.concat_ws(" ", "label", "full"), F.rtrim(path(F.col("url")), F.lit("/"))
-    under = (base != "") & path(F.col("full")).startswith(F.concat(base, F.lit("/")))
+    # The full link, its path and its page's path are made once, by way of a list of one: written out in each condition that asks
+    # for them they would make more code than Spark compiles.
+    parts = F.struct(web.absolute(F.col("url"), F.col("href")).alias("full"), label.alias("label"), path(F.col("url")).alias("base"))
+    df = links.select(key, "url", "pos", F.explode(F.array(parts)).alias("p")).select(key, "url", "pos", "p.*")
+    df = df.select("*", F.explode(F.array(path(F.col("full")))).alias("path")).withColumn("target", F.rtrim("full", F.lit("/")))
+    df = df.where(F.length("label").between(1, 90) & F.col("full").rlike("(?i)^https?://") & ~F.col("path").rlike(FILES) & web.same_site(F.col("url"), F.col("full")) & (F.col("target") != F.rtrim("url", F.lit("/"))))
+    both, base = F.concat_ws(" ", "label", "full"), F.rtrim("base", F.lit("/"))
+    under = (base != "") & F.col("path").startswith(F.concat(base, F.lit("/")))
     df = df.where(~both.rlike(BLOCKED) & (~both.rlike(PAID) | both.rlike(VOLUNTEER)) & (under | both.rlike(HINT)))
     first = df.groupBy(key, "target").agg(F.min_by(under | F.col("full").rlike(VOLUNTEER), "pos").alias("strong"), F.min("pos").alias("pos"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("strong"), "pos", "target"))

@@ -234,7 +234,19 @@ def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", web.html_to_text(html).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (schema_violations, record_diff, merge_findings, issue_log, page_updates, card_roles, search_offers, documents_round_trip, table_swapped, record_fields, text_rules, html_lines)}
+def sparse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What orders as records state, as JSON: blank, unknown and empty fields are left out at any depth."""
+    df = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id",
+        "case o_orderkey % 4 when 0 then ' ' when 1 then 'unknown' else o_orderpriority end as priority",
+        "named_struct('name', if(o_orderkey % 3 = 0, null, concat('org ', o_custkey)), 'number', if(o_orderkey % 6 = 3, '', 'n1')) as org",
+        "case o_orderkey % 5 when 0 then array() when 1 then array('', 'unknown') when 2 then array('N', '', 'S') end as zones",
+        "if(o_orderkey % 7 = 0, array(named_struct('place', 'unknown')), array(named_struct('place', 'x'), named_struct('place', null))) as places",
+    )
+    return sinks.sparse(df, ["id", "priority", "org", "zones", "places"], "record").select("record")
+
+
+QUERIES = {f.__name__: f for f in (schema_violations, record_diff, merge_findings, issue_log, page_updates, card_roles, search_offers, documents_round_trip, table_swapped, record_fields, text_rules, html_lines, sparse_records)}
 
 ORACLE = {
     "schema_violations": """with o as (select *, case when o_orderkey % 41 = 0 then 'order ' || o_orderkey else 'o-' || o_orderkey end id, strftime(o_orderdate, '%Y-%m-%d') "day" from orders),
@@ -270,6 +282,9 @@ select k o_orderkey, 'Hall ' || k "location", null pay, case when k % 2 = 0 then
  'Intro' || chr(10) || '  LOCATION :  Hall ' || k || '  ' || chr(10) || 'Hours: 4' || repeat(chr(10), 4) || 'x ' || chr(9) || ' y ' || m || ' [redacted] *bold* [a](b)' redacted,
  '\\*bold\\* \\[a\\]\\(b\\)' safe, 'Intro' || chr(10) || ' LOCATION : Hall ' || k || ' ' || chr(10) || 'Hours: 4' || repeat(chr(10), 2) || 'x y ' || m || ' key_' || z || ' *bold* [a](b)' clean from t""",
     "html_lines": "select p_partkey, p_name || ' & more' || chr(10) || 'One' || chr(10) || p_brand || '!' || chr(10) || 'a' || chr(10) || 'b c d' as \"text\" from part",
+    "sparse_records": """select '{"id":' || o_orderkey || case when o_orderkey % 4 > 1 then ',"priority":"' || o_orderpriority || '"' else '' end
+ || case when o_orderkey % 6 = 3 then '' else ',"org":{' || case when o_orderkey % 3 = 0 then '' else '"name":"org ' || o_custkey || '",' end || '"number":"n1"}' end
+ || case when o_orderkey % 5 = 2 then ',"zones":["N","S"]' else '' end || case when o_orderkey % 7 = 0 then '' else ',"places":[{"place":"x"}]' end || '}' record from orders""",
     "card_roles": """with r as (select string_split(url, '/')[3] board, page_id, row_number() over (partition by string_split(url, '/')[3] order by page_id) n from pages), p as (select *, (n + 2) // 3 page from r),
 b as (select board, max(page) l, min(page_id) k, bool_or(page_id % 97 = 5 and not (key % 5 = 0 and page = 2)) broken from (select *, min(page_id) over (partition by board) key from p) group by board),
 x as (select board, case when broken then 'a card can''t be read' when k % 5 = 0 and l > 2 then 'pages are missing' when k % 5 = 0 and l = 2 then 'a page that the last one names is missing' when l >= 20 and false then '' end reason from b)

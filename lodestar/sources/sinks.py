@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.operators.runs import placed
 from lodestar.sources.scratch import written
@@ -26,6 +27,24 @@ def bundle(df: DataFrame, columns: list[str], name: str = "line") -> DataFrame:
     return df.select(F.to_json(F.struct(*columns)).alias(name))
 
 
+def _said(value: Column, kind: T.DataType, unknown: tuple[str, ...]) -> Column:
+    """A value without what says nothing: null for null, '' and the ``unknown`` words, empty lists, and structs of such."""
+    if isinstance(kind, T.StringType):
+        return F.when((F.trim(value) != "") & ~value.isin(*unknown), value)
+    if isinstance(kind, T.ArrayType):
+        held = F.filter(F.transform(value, lambda x: _said(x, kind.elementType, unknown)), lambda x: x.isNotNull())
+        return F.when(F.size(held) > 0, held)
+    if isinstance(kind, T.StructType):
+        parts = [_said(value.getField(f.name), f.dataType, unknown).alias(f.name) for f in kind.fields]
+        return F.when(F.coalesce(*(F.when(p.isNotNull(), True) for p in parts), F.lit(False)), F.struct(*parts))
+    return value
+
+
+def sparse(df: DataFrame, columns: list[str], name: str = "line", unknown: tuple[str, ...] = ("unknown",)) -> DataFrame:
+    """Compact JSON of some columns with only what the record states, at any depth of its structs and lists."""
+    return df.select(F.to_json(F.struct(*(_said(F.col(c), df.schema[c].dataType, unknown).alias(c) for c in columns))).alias(name))
+
+
 def assigned(lines: DataFrame, variable: str, order: str) -> DataFrame:
     """One row ``script``: the lines of a bundle in order as a script that assigns them to a variable. What a
     browser loads at once is small."""
