@@ -420,7 +420,7 @@ def seam_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seam_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges that returned and other items share, joined into lines that run on through junctions. Suppliers get numbers
     apart from the parts'."""
-    item = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b"), "l_returnflag")
+    item = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"), "l_returnflag")
     shared = geometry.seam(item.where("l_returnflag = 'R'").select("a", "b"), item.where("l_returnflag <> 'R'").select("a", "b"))
     return chains.chained(shared).withColumnsRenamed({"from": "run_from", "to": "run_to"})
 
@@ -545,7 +545,7 @@ def _seam_runs() -> str:
         f"""s{n + 1} as materialized (select s.d, q.p, s.n + q.n as n, least(s.m, q.m) as m, q.ended from s{n} as s join s{n} as q on s.p = q.d)"""
         for n in range(24)
     ]
-    return f"""with recursive u as (select distinct -l_suppkey f, l_partkey t from lineitem where l_returnflag = 'R' intersect select -l_suppkey, l_partkey from lineitem where l_returnflag <> 'R'),
+    return f"""with recursive u as (select distinct -1 - l_suppkey f, l_partkey t from lineitem where l_returnflag = 'R' intersect select -1 - l_suppkey, l_partkey from lineitem where l_returnflag <> 'R'),
 g as materialized (select f, t, [f, t] d from u union all select t, f, [t, f] from u),
 k as (select f, t, (row_number() over (partition by f order by t) - 1) // 2 two from g),
 l as (select a.t f, a.f t, b.t nt from k a join k b on a.f = b.f and a.two = b.two and a.t <> b.t),
