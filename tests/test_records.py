@@ -405,3 +405,62 @@ def test_searches_with_detail_pages(spark):
     found, refused = listings.search_listing(spark.createDataFrame(searches, "board string, html string"), spark.createDataFrame(details, "board string, number string, html string"), most=5)
     assert sorted((r.board, r.number, r.title, r.description) for r in found.collect()) == [("a", number(10), "Own", 'Do "it"'), ("a", number(11), "Listed 11", 'DO "IT"')]
     assert {r.board: r.reason for r in refused.collect()} == {"b": "the page isn't the search", "c": "result 00000003 has no description", "d": "too many results", "f": "the page isn't the search"}
+
+
+def restated(html):
+    """(main length, share of the rest, links) of a page by the rules of ``pages``, over a tree whose texts know all that they are in."""
+    from html.parser import HTMLParser
+
+    from lodestar.operators import pages
+
+    texts, anchors = [], []
+
+    class Tree(HTMLParser):
+        above: list = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in pages.BREAKS:
+                texts.append((list(self.above), "\n"))
+            if tag not in pages.VOID:
+                self.above = [*self.above, (tag, dict(attrs))]
+                if tag == "a":
+                    anchors.append(self.above)
+
+        def handle_endtag(self, tag):
+            if tag in pages.BREAKS:
+                texts.append((list(self.above), "\n"))
+            at = [i for i, (t, _) in enumerate(self.above) if t == tag]
+            if at:
+                self.above = self.above[: at[-1]]
+
+        def handle_data(self, data):
+            texts.append((list(self.above), data))
+
+    tree = Tree(convert_charrefs=True)
+    tree.feed(html)
+    tree.close()
+    tidy = lambda parts: "\n".join(x for x in (" ".join(y.split()) for y in "".join(parts).split("\n")) if x)
+    seen = [(above, text_) for above, text_ in texts if not above or above[-1][0] not in ("script", "style", "noscript")]
+    whole = tidy(t for _, t in seen)
+    plain = [(above, t) for above, t in seen if not any(tag in pages.STRIPPED for tag, _ in above)]
+    marked = lambda above: any(tag not in ("html", "body", "main") and pages.CHROME.search(f"{a.get('class') or ''} {a.get('id') or ''}") for tag, a in above)
+    inside = {"main": lambda tag, a: tag == "main", "role": lambda tag, a: tag not in ("main", "article", "body") and a.get("role") == "main", "article": lambda tag, a: tag == "article", "body": lambda tag, a: tag == "body"}
+    best = []
+    for some in ([x for x in plain if not marked(x[0])], plain):
+        best += [tidy(t for above, t in some if any(is_(tag, a) for tag, a in above)) for is_ in inside.values()]
+        best.append(tidy(t for _, t in some))
+    long = [b for i, b in enumerate(best) if len(b) >= pages.LEAST and i % 5 < 4]
+    main = long[0] if long else max(best, key=len)
+    links = sum(bool(above[-1][1].get("href")) and not any(tag in pages.FRAME for tag, _ in above) for above in anchors)
+    return len(main), round(1 - len(main) / len(whole), 3) if whole else None, links
+
+
+def test_page_text_of_the_whole_table(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables aren't here")
+    want = {r.page_id: restated(r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r.page_id: (r.n_chars, r.boilerplate, r.links) for r in entry.queries()["page_main_text"](spark, folder).collect()}
+    assert got == want and len(set(got.values())) > 100
