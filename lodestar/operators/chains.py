@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.runs import placed
-from lodestar.sources.scratch import written
+from lodestar.sources.scratch import scoped, written
 
 
 def _pairs(darts: DataFrame) -> DataFrame:
@@ -51,8 +51,13 @@ def chained(edges: DataFrame) -> DataFrame:
     """from, to, closed, place, a, b: the edges (a, b; undirected, repeats and loops dropped) in lines.
 
     A line is named by its first edge. It begins at the lesser of its two ends; a closed one at its least
-    point, in the direction of the lesser neighbour. ``place`` counts from 0, a and b follow the line.
+    point, in the direction of the lesser neighbour. ``place`` counts from 0, a and b follow the line. Tables of
+    the rounds are removed when the lines are written.
     """
+    return scoped(edges.sparkSession, lambda: _chained(edges))
+
+
+def _chained(edges: DataFrame) -> DataFrame:
     once = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("f"), F.greatest("a", "b").alias("t")).distinct()
     darts = written(_pairs(written(once.union(once.select("t", "f")))))
     state = ranked(darts)

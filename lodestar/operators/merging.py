@@ -65,7 +65,7 @@ class Buckets:
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         dealt = rows.withColumn(BUCKET, bucket_of(F.col(self.key), self.buckets))
-        dealt.repartition(self.buckets, BUCKET).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        dealt.hint("rebalance", BUCKET).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def read(self) -> DataFrame:
         return self._typed().drop(BUCKET)

@@ -54,8 +54,9 @@ def assigned(lines: DataFrame, variable: str, order: str) -> DataFrame:
 
 
 def write_pages(df: DataFrame, path: str, *by: str) -> None:
-    """A folder for each value of the columns; rows of a folder are written by one task."""
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """A folder for each value of the columns; rows of a folder come together, but for those of a large one, which several tasks
+    write."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 #: The folder beside the pages that keeps each folder's digest, and the column of it.
@@ -86,7 +87,7 @@ def update_pages(df: DataFrame, path: str, *by: str) -> DataFrame:
         plan = written(both.select(*by, action.alias("action"), DIGEST))
         changed = plan.where("action = 'written'").select(*by)
         rows = df.join(changed, list(by), "left_semi")
-        rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
         _remove(spark, path, plan.where("action = 'removed'").select(*by))
         kept = plan.where(F.col(DIGEST).isNotNull()).select(*by, DIGEST)
         swapped_in(kept, held, lambda found: None)

@@ -72,7 +72,8 @@ class IssueSink:
         return self.spark.read.schema(f"{LOG}, {BATCH} long").parquet(self.path)
 
     def state(self, before: int | None = None) -> DataFrame:
-        """The issue of each key (key, level, waiting, number), by the batches before one."""
+        """The issue of each key (key, level, waiting, number), by the batches before one. All of the log is read: it has a row for
+        each report, which are few beside what they report on."""
         rows = self.log() if before is None else self.log().where(F.col(BATCH) < before)
         last = rows.where(F.col("action") != "left broken").groupBy("key").agg(F.max_by(F.struct("level", "waiting"), F.struct(BATCH, "at", "ord")).alias("s"), F.max("number").alias("number"))
         return last.select("key", "s.level", "s.waiting", "number")
