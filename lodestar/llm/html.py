@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import BROADCAST_ROWS, bounded, small, written
+from lodestar.llm.common import BROADCAST_ROWS, bounded, written
 
 MANY, SHARE, MOST = 5, 0.05, 0.5
 #: Elements of HTML by what they do to text and to open elements.

@@ -159,3 +159,15 @@ def test_tasks_have_sequences_of_their_own(spark, plain):
     rows = packing.packed(df).collect()
     whole(rows, {i: f"some words. {i}" for i in range(40)}, plain)
     assert len({r.sequence_id >> 33 for r in rows}) > 1
+
+
+def test_ids_of_slices_of_a_batch(plain):
+    """Pieces of an Arrow batch are slices: their texts begin anywhere in its buffers."""
+    ids, texts = packing.Ids(FILE), [*ODD[:8], None, *ODD[8:]]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for start in range(0, len(texts), 2):
+            part = column.slice(start, 3)
+            got, _, _, docs = ids.texts(part)
+            want = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in part.to_pylist()]
+            assert [p.tolist() for p in np.split(got, docs[:-1])] == want
