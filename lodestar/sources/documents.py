@@ -26,7 +26,7 @@ def roles_of(docs: DataFrame, organisation: str = "organisation", roles: str = "
     names are ranked, by ranges of them, not roles."""
     files = placed(docs.select("_file").distinct(), [F.col("_file")], "_rank")
     numbered = docs.join(files, "_file")
-    return numbered.select("_rank", F.col(f"{organisation}.id").alias("_org"), F.posexplode(roles).alias("_pos", "role")).select((F.col("_rank") * F.lit(1_000_000) + F.col("_pos")).cast("long").alias("ord"), F.col("_org").alias("of_org"), "role.*")
+    return numbered.select("_rank", F.col(f"{organisation}.id").alias("_org"), F.posexplode(roles).alias("_pos", "role")).select((F.col("_rank").cast("long") * 1_000_000 + F.col("_pos")).alias("ord"), F.col("_org").alias("of_org"), "role.*")
 
 
 def load(roles: DataFrame, orgs: DataFrame, today: Column, key: str = "org_id") -> tuple[DataFrame, DataFrame]:

@@ -357,6 +357,12 @@ def test_documents_round_trip(spark, tmp_path):
     assert {r.org_id: [o.id for o in r.opportunities] for r in nested.collect()} == {"a": ["a0", "a1"], "b": ["b0"]}
 
 
+def test_roles_of_more_files_than_an_int_of_places_holds(spark):
+    docs = spark.range(2200).selectExpr("named_struct('id', id) as organisation", "array(named_struct('id', 2 * id), named_struct('id', 2 * id + 1)) as opportunities", "format_string('%06d', id) as _file")
+    got = documents.roles_of(docs).orderBy("ord").collect()
+    assert [r.id for r in got] == list(range(4400)) and got[-1].ord == 2_200_000_001
+
+
 def board(folder, name, pages_):
     (folder / name).mkdir()
     for i, body in pages_.items():
