@@ -98,6 +98,11 @@ def place_key(name: Column) -> Column:
     return F.regexp_replace(x, r"^[ ,.;:]+|[ ,.;:]+$", "")
 
 
+def capitals(text: Column) -> Column:
+    """Upper case letter by letter: a letter whose capital isn't a single one (ß) stays, so lower case leads back to it."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def place_canon(name: Column) -> Column:
     """A place's key without a leading article."""
     return F.regexp_replace(place_key(name), r"^the ", "")

@@ -149,7 +149,7 @@ def near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("of"), F.split(T.squeezed(F.col("text")), " ").alias("w"))
     docs = read(spark, sf_dir, "documents").crossJoin(F.broadcast(count)).withColumn("of", F.col("doc_id") % F.col("items")).withColumn("v", F.split(T.squeezed(F.col("text")), " "))
     k, w, v = F.col("doc_id"), lambda i: F.get("w", F.lit(i)), lambda i: F.get("v", F.lit(i))
-    title = F.when(k % 4 == 0, F.concat_ws(" ", w(0), w(1))).when(k % 4 == 1, F.upper(w(1))).when(k % 4 == 2, v(2))
+    title = F.when(k % 4 == 0, F.concat_ws(" ", w(0), w(1))).when(k % 4 == 1, T.capitals(w(1))).when(k % 4 == 2, v(2))
     place = F.when(k % 3 == 0, F.concat(F.lit(" ;"), w(0), F.lit("."))).when(k % 3 == 1, v(1)).otherwise(v(200))
     both = docs.join(item, "of").select("doc_id", "text", title.alias("title"), place.alias("place"))
     near = T.place_near_title(F.col("text"), F.col("title"), F.col("place"))

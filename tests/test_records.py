@@ -7,11 +7,13 @@ import random
 from collections import defaultdict
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import evidence, place, text, web
 from lodestar.operators import chains, merging, reach, rules, schema
+from lodestar.plans import text_queries
 from lodestar.sources import documents, listings, loose, sinks
 from lodestar.streaming import issues, states
 
@@ -330,6 +332,18 @@ def test_places_near_titles(spark):
     assert stand([" Leeds", "York"]) == ["Leeds", "York"] and stand(["Leeds", "Hull"]) == []
 
 
+def test_titles_with_letters_without_a_single_capital(spark, tmp_path):
+    far = " ".join(f"wort{i}" for i in range(300))
+    spark.createDataFrame([(5, f"schß. {far}"), (17, f"wort schß. {far}"), (29, f"naß {far}"), (41, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b naß c", "d", "e schß. f", "g", "h schß. i", "j ﬁn"])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {tuple(r) for r in text_queries.near_titles(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(text_queries.ORACLE["near_titles"]).fetchall())
+    assert spark.range(1).select(text.capitals(F.lit("Straße ﬁn é😀")).alias("c")).first().c == "STRAßE ﬁN É😀"
+
+
 def test_invariants_of_a_role_without_its_organisation(spark):
     kind = "id string, ord int, org_id int, commitment string, status string, apply_url string, url_specificity string, confidence double, min_term_months int, has_season boolean, dbs string, verified array<string>, unsupported array<string>, reviewed boolean"
     role = lambda id_, ord_, org: (id_, ord_, org, "one_off", "seasonal_closed", None, "org_homepage", 0.9, 3, False, "none", None, None, False)
