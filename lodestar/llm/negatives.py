@@ -63,11 +63,13 @@ def prepared(df: DataFrame) -> DataFrame:
 
 
 def centres(rows: DataFrame, lists: int = LISTS) -> np.ndarray:
-    """k-means centres of the ``FIT_ROWS`` rows whose hashes are smallest."""
-    sample = rows.orderBy(F.xxhash64("rid"), "rid").limit(FIT_ROWS).select("v").toPandas()["v"]
+    """k-means centres of the rows whose hashes are below a bound, about ``FIT_ROWS`` of them. No task sends more than
+    its share of the sample: a sorted limit would bring as many rows of every task to the driver."""
+    share = FIT_ROWS / max(FIT_ROWS, rows.count())
+    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).orderBy("rid").select("v").toArrow()["v"]
     if not len(sample):
         return np.empty((0, 0))
-    x = np.stack(sample.to_numpy()).astype(np.float64)
+    x = _matrix(sample.combine_chunks()).astype(np.float64)
     own = np.unique(x, axis=0)
     c = own[np.random.default_rng(13).choice(len(own), min(lists, len(own)), replace=False)]
     for _ in range(FIT_ROUNDS):
@@ -226,7 +228,8 @@ _VISIT = pa.schema([("list", pa.int32()), ("span", pa.int32()), ("a_rid", pa.bin
 
 
 def scanned(visit: DataFrame, held: DataFrame, c: np.ndarray, same: bool, k: int) -> DataFrame:
-    """FOUND rows of the visits: a pack meets the blocks of its span one after the other."""
+    """FOUND rows of the visits: a pack meets the blocks of its span one after the other. Blocks are many times as large in
+    memory as in their file, by which Spark would choose to send them all through the driver; so they are merged."""
     sent = visit.sparkSession.sparkContext.broadcast(c)
     numbers = lambda b: np.frombuffer(b, np.int64)
 
@@ -246,7 +249,7 @@ def scanned(visit: DataFrame, held: DataFrame, c: np.ndarray, same: bool, k: int
         if pack:
             yield pack.rows()
 
-    return visit.join(held, ["list", "span"]).mapInArrow(run, FOUND)
+    return visit.join(held.hint("merge"), ["list", "span"]).mapInArrow(run, FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

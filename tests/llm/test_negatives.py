@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import negatives
@@ -105,3 +106,14 @@ def test_rows_that_share_an_id(spark):
     got = found(negatives.mined(spark.createDataFrame(rows, VECTORS)))
     one = [(100, 100, 1, 2, 65536, 32768), (100, 100, 2, 2, 65536, 32768)]
     assert got == sorted(one + one)
+
+
+def test_only_the_sample_of_centres_is_sent_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "FIT_ROWS", 100)
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id as rid", "array(id % 17, id % 5) as v")
+    taken = []
+    monkeypatch.setattr(negatives, "_matrix", lambda column: taken.append(len(column)) or np.array(column.to_pylist(), np.int64))
+    monkeypatch.setattr(DataFrame, "limit", lambda *_: pytest.fail("a sorted limit brings the limit of every task to the driver"))
+    assert negatives.centres(rows, 8).shape == (8, 2)
+    assert 50 < taken[0] < 160
+    assert negatives.centres(rows.where("false"), 8).size == 0
