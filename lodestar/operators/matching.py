@@ -54,12 +54,18 @@ def newest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def followed(found: DataFrame, level: int, deeper: int, most: int) -> DataFrame:
+    """The pages that a further round can still add to: enough found in the last, and not yet ``most`` in all."""
+    counts = found.groupBy("page").agg(F.count("*").alias("all"), F.count_if(F.col("level") == level).alias("n"))
+    return counts.where((F.col("n") >= deeper) & (F.col("all") < most)).select("page")
+
+
 def crawl(start: DataFrame, links: DataFrame, depth: int = 2, most: int = 15, deeper: int = 2, known: DataFrame | None = None) -> DataFrame:
     """page, target, level, pos, place: links followed breadth first from each page, ``depth`` rounds, at most
     ``most`` targets a page in order of level and position, pages that were known before (``known``: page,
     target, pos) first; a further round only for pages whose last found ``deeper`` targets or more.
-    ``links`` has source, target, pos. What a page's cap leaves out isn't followed, so a round makes at most
-    ``most`` times the links of a source."""
+    ``links`` has source, target, pos. What a page's cap leaves out isn't followed, nor anything of a page that has
+    ``most`` targets already, since later ones come after them; so a round makes at most ``most`` times the links of a source."""
     first = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("page").orderBy("pos", "target"))).where(F.col("_n") <= most).drop("_n")
     home = start.select("page", F.col("page").alias("target"))
     found = known.select("page", "target", F.lit(0).alias("level"), F.col("pos").cast("long").alias("pos")).where("page <> target") if known is not None else None
@@ -69,8 +75,8 @@ def crawl(start: DataFrame, links: DataFrame, depth: int = 2, most: int = 15, de
         step = frontier.select("page", F.col("target").alias("source")).join(links, "source").groupBy("page", "target").agg(F.min("pos").cast("long").alias("pos"))
         step = first(step.join(seen, ["page", "target"], "left_anti")).select("page", "target", F.lit(level).alias("level"), "pos")
         found = step if found is None else found.unionByName(step)
-        many = step.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") >= deeper).select("page")
-        frontier = step.join(many, "page", "left_semi").select("page", "target")
+        if level < depth:
+            frontier = step.join(followed(found, level, deeper, most), "page", "left_semi").select("page", "target")
     place = F.row_number().over(Window.partitionBy("page").orderBy("level", "pos", "target"))
     return found.withColumn("place", place).where(F.col("place") <= most)
 

@@ -357,6 +357,16 @@ def test_documents_round_trip(spark, tmp_path):
     assert {r.org_id: [o.id for o in r.opportunities] for r in nested.collect()} == {"a": ["a0", "a1"], "b": ["b0"]}
 
 
+def test_full_pages_are_not_followed(spark):
+    rows = [("full", i, 1) for i in range(15)] + [("known", 0, 0)] + [("known", i, 1) for i in range(1, 15)] + [("open", i, 1) for i in range(14)] + [("one", 1, 1)]
+    found = spark.createDataFrame(rows, "page string, target int, level int")
+    assert [r.page for r in matching.followed(found, 1, 2, 15).collect()] == ["open"]
+    links = spark.createDataFrame([(1, t, t) for t in range(2, 20)] + [(2, 50, 0), (3, 2, 0), (3, 4, 1), (2, 51, 1)], "source int, target int, pos int")
+    got = matching.crawl(spark.createDataFrame([(1,), (3,)], "page int"), links)
+    assert sorted((r.target, r.level) for r in got.where("page = 1").collect()) == [(t, 1) for t in range(2, 17)]
+    assert sorted((r.target, r.level) for r in got.where("page = 3").collect()) == [(2, 1), (4, 1), (50, 2), (51, 2)]
+
+
 def test_roles_of_more_files_than_an_int_of_places_holds(spark):
     docs = spark.range(2200).selectExpr("named_struct('id', id) as organisation", "array(named_struct('id', 2 * id), named_struct('id', 2 * id + 1)) as opportunities", "format_string('%06d', id) as _file")
     got = documents.roles_of(docs).orderBy("ord").collect()
