@@ -1,11 +1,18 @@
 """Cases that a cut of the work would lose."""
 
+import glob
+import os
 import random
+import tempfile
+import time
+from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestar.llm import ann, html, jaccard, licences, lines, mixing, quality
+from lodestar.llm import ann, components, html, jaccard, licences, lines, mixing, quality
+from lodestar.sources import scratch
 
 SYLLABLES = "the er on an re ha ing st or en ea ti ed is wh ou".split()
 
@@ -303,3 +310,42 @@ def test_targets_of_many_sources(spark):
             want[s] = 2.0 * size[s]
     want |= {s: weight[s] * level for s in free}
     assert all(abs(got[s] - want[s]) < 1e-6 * max(1.0, want[s]) for s in names)
+
+
+def test_long_lines_by_bins_share_keys(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=1))
+    rows, want = [], 0
+    for n in (60, 80, 100, 104, 130, 250, 600):
+        for _ in range(20):
+            line = [word() for _ in range(n)]
+            other = list(line)
+            for i in range(n // 60):  # each changed character spoils five shingles of either line
+                other[i * 60 + 30] = "#"
+            rows += [(2 * want, "".join(line)), (2 * want + 1, "".join(other))]
+            want += 1
+    for some in ("ab cd ef ", "x"):  # few shingles in many places
+        rows += [(2 * want, some * 30), (2 * want + 1, some * 300)]
+        want += 1
+    found = lines.band_keys(spark.createDataFrame(rows, "node long, line string")).collect()
+    keys = defaultdict(set)
+    for r in found:
+        keys[r.node].update(r["keys"])
+    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(want)) == want
+    long_ = [r for r in found if r.node == 2 * (want - 3)]
+    assert sorted(len(r["keys"]) for r in long_) == [lines.BANDS // lines.BINS] * lines.BINS  # a shingle meets one bin's factors only
+
+
+def test_shuffles_and_rounds_leave_no_files(spark):
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*"))
+    before = files()
+    scratch.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    folder = scratch.scratch_dir(spark).removeprefix("file:")
+    tables = len(os.listdir(folder))
+    components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert len(os.listdir(folder)) == tables + 1
