@@ -349,3 +349,27 @@ def test_shuffles_and_rounds_leave_no_files(spark):
     tables = len(os.listdir(folder))
     components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
     assert len(os.listdir(folder)) == tables + 1
+
+
+def test_hubs_of_a_component_have_one_reference(spark):
+    shared, near = set(range(100)), {}
+    hubs = [1000 + i for i in range(3)]
+    for i, h in enumerate(hubs):
+        near |= {h: shared | {500 + i}} | {2000 + 100 * i + j: shared | {600 + 100 * i + j} for j in range(19)}
+    others = {i: set(range(50)) | set(range(10_000 * (i + 1), 10_000 * (i + 1) + 50)) for i in range(9)}
+    others[1] = others[0] - {10_000} | {7}
+    rows = [("all", h) for h in hubs] + [(f"k{h}", n) for h in hubs for n in [h, *others]] + [(f"f{h}", n) for i, h in enumerate(hubs) for n in [h, *range(2000 + 100 * i, 2019 + 100 * i)]]
+    sets = spark.createDataFrame([(n, sorted(s)) for n, s in (near | others).items()], "node long, own array<long>")
+    sides = lambda pairs: pairs.join(sets.toDF("a", "own_a"), "a").join(sets.toDF("b", "own_b"), "b")
+    size = lambda c: F.size(c).cast("long")
+    compare = lambda pairs: sides(pairs).select("a", "b", size("own_a").alias("x"), size("own_b").alias("y"), size(F.array_intersect("own_a", "own_b")).alias("both"))
+    asked = []
+
+    def differences(pairs):
+        asked.extend(pairs.collect())
+        return sides(pairs).select("a", "b", F.array_except("own_a", "own_b").alias("mine"), F.array_except("own_b", "own_a").alias("theirs"))
+
+    members = spark.createDataFrame(rows, "key string, node long")
+    got = {r.node: r.component for r in components.resolved(members, compare, differences, 80).collect()}
+    assert got == dict.fromkeys(near, 1000) | {0: 0, 1: 0}
+    assert sorted(r.a for r in asked) == sorted(others) and len({r.b for r in asked}) == 1  # a row for each node, not for each hub
