@@ -373,3 +373,14 @@ def test_hubs_of_a_component_have_one_reference(spark):
     got = {r.node: r.component for r in components.resolved(members, compare, differences, 80).collect()}
     assert got == dict.fromkeys(near, 1000) | {0: 0, 1: 0}
     assert sorted(r.a for r in asked) == sorted(others) and len({r.b for r in asked}) == 1  # a row for each node, not for each hub
+
+
+def test_rows_only_for_classes_that_have_an_element(spark, monkeypatch):
+    rows = [(i, 0, 400, 400, i, False, [*range(60), *range(1000 * i, 1000 * i + 40)]) for i in (1, 2)]
+    rows += [(3, 0, 400, 400, 3, True, list(range(40)))]
+    cluster, made = spark.createDataFrame(rows, "a long, b long, x long, y long, component long, linked boolean, diff array<long>"), []
+    monkeypatch.setattr(components, "written", lambda df: made.append(df) or df)
+    found = {(r.p, r.q) for r in components.nearby(cluster, 80).collect()}
+    assert (1, 2) in found
+    (table,) = [df for df in made if "lo" in df.columns]
+    assert all(n <= 2 for n in (r["count"] for r in table.groupBy("a", "e").count().collect()))  # two classes hold elements
