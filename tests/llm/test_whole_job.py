@@ -384,3 +384,13 @@ def test_rows_only_for_classes_that_have_an_element(spark, monkeypatch):
     assert (1, 2) in found
     (table,) = [df for df in made if "lo" in df.columns]
     assert all(n <= 2 for n in (r["count"] for r in table.groupBy("a", "e").count().collect()))  # two classes hold elements
+
+
+def test_line_sets_are_hashes_of_code_points(spark):
+    texts = ["abcdefgh", "abcdefgx", "ab", "é\U0001f600bcd\U0001f601e", "é\U0001f600bcd\U0001f601f", "aaaaaaaaaa"]
+    own = [{s[i : i + lines.SHINGLE] for i in range(max(1, len(s) - lines.SHINGLE + 1))} for s in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    pairs = spark.createDataFrame([(i, j) for i in range(6) for j in range(6)], "a long, b long")
+    got = {(r.a, r.b): (r.x, r.y, r.both) for r in lines.compared(pairs, table).collect()}
+    assert got == {(i, j): (len(own[i]), len(own[j]), len(own[i] & own[j])) for i in range(6) for j in range(6)}
+    assert lines._sets(pairs, table).schema["own_a"].dataType.elementType.simpleString() == "bigint"
