@@ -394,3 +394,31 @@ def test_line_sets_are_hashes_of_code_points(spark):
     got = {(r.a, r.b): (r.x, r.y, r.both) for r in lines.compared(pairs, table).collect()}
     assert got == {(i, j): (len(own[i]), len(own[j]), len(own[i] & own[j])) for i in range(6) for j in range(6)}
     assert lines._sets(pairs, table).schema["own_a"].dataType.elementType.simpleString() == "bigint"
+
+
+@pytest.mark.parametrize("most", [2, 2048])
+def test_marks_spare_comparisons_and_lose_no_link(spark, monkeypatch, most):
+    draw, texts = random.Random(5), []
+    base = prose(draw, 60).split(" ")
+    edit = lambda ws, share: [w if draw.random() > share else "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for w in ws]
+    for _ in range(40):
+        texts.append(" ".join(edit(base, 0.12)))
+    texts += [" ".join(edit(draw.choice(texts[:40]).split(" "), 0.015)) for _ in range(20)]
+    sets = [{t[j : j + lines.SHINGLE] for j in range(len(t) - lines.SHINGLE + 1)} for t in texts]
+    links = [(i, j) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    marks = lines.marked(table).cache(), lines.WORDS
+    pairs = spark.createDataFrame([(i, j) for j in range(60) for i in range(j)], "a long, b long")
+    open_ = {(r.a, r.b) for r in components.possible(pairs, marks, 80).collect()}
+    assert set(links) <= open_ and len(open_ - set(links)) < 300  # of about 1,700 pairs that don't link
+    up = list(range(60))
+    for i, j in links * 6:  # the least label spreads
+        up[i] = up[j] = min(up[i], up[j])
+    assert 5 < len(set(up)) < 60
+    asked = []
+    monkeypatch.setattr(components, "MARKED", most)
+    members = spark.createDataFrame([("one", i) for i in range(60)], "key string, node long")
+    differences = lambda pairs: asked.append(1) or lines.differences(pairs, table)
+    parts = {r.node: r.component for r in components.resolved(members, lambda pairs: lines.compared(pairs, table), differences, 80, marks).collect()}
+    assert [parts.get(i, i) for i in range(60)] == up
+    assert len(asked) == (most == 2)
