@@ -422,3 +422,13 @@ def test_marks_spare_comparisons_and_lose_no_link(spark, monkeypatch, most):
     parts = {r.node: r.component for r in components.resolved(members, lambda pairs: lines.compared(pairs, table), differences, 80, marks).collect()}
     assert [parts.get(i, i) for i in range(60)] == up
     assert len(asked) == (most == 2)
+
+
+def test_keys_of_lines_are_written_once(spark, monkeypatch):
+    draw, made, write = random.Random(6), [], lines.written
+    texts = [prose(draw, 40) for _ in range(5)] + ["short line", "ab " * 100]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(f"{t} end" for t in texts)])], "doc_id long, text string")
+    monkeypatch.setattr(lines, "written", lambda df: made.append(write(df)) or made[-1])
+    assert lines._members(docs, 80).count()
+    kept = [df for df in made if "keys" in df.columns or "key" in df.columns and "node" in df.columns]
+    assert sum(df.count() for df in kept) == lines.band_keys(lines._lines(docs)).count()
