@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bounded, pieces, scoped, small, unwrapped, wrapped, written
-from lodestar.llm.components import resolved
+from lodestar.llm.common import BROADCAST_KEYS, BROADCAST_ROWS, bounded, pieces, scoped, small, unwrapped, wrapped, written
+from lodestar.llm.components import asked_for, resolved
 
 N, PERCENT = 4, 85
 PARTS = 8
@@ -215,6 +215,7 @@ class Candidates:
 
 def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, part, own_a, own_b of each pair and fragment; every set has a row for each fragment."""
+    sets = asked_for(sets, pairs)
     mine = sets.join(pairs.select("a", "b"), F.col("node") == F.col("a")).select("a", "b", "part", F.col("own").alias("own_a"))
     return mine.join(sets.select(F.col("node").alias("b"), "part", F.col("own").alias("own_b")), ["b", "part"])
 
@@ -262,12 +263,15 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 def one_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of ``docs`` but for all documents of a component after its first. Of rows that
     repeat an id and text one stays; rows without an id all stay, since no group can name them."""
-    keep = written(joined(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("of")))
+    found = written(joined(docs, n, percent).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("first")).where("doc_id is not null"))
+    # what goes is named, not what stays: most stay, and a text is only shuffled where the ids are too many to be broadcast
+    gone = written(found.groupBy(F.col("doc_id").alias("of")).agg(F.max("first").alias("first")).where("not first").select("of"))
+    most = BROADCAST_KEYS if gone.schema["of"].dataType.simpleString() == "bigint" else BROADCAST_ROWS
     rows = wrapped(docs, "doc_id", "text")
-    found = rows.join(small(keep, keep.count()), F.col("doc_id") == F.col("of"), "left_semi")
-    if repeats(keep.withColumnRenamed("of", "doc_id")):
-        found = found.dropDuplicates(["doc_id", "text"])
-    return unwrapped(found.union(rows.where("doc_id is null")))
+    left = rows.join(small(gone, gone.count(), most), F.col("doc_id") == F.col("of"), "left_anti")
+    if repeats(found.where("first")):
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(left.where("doc_id is null"))
+    return unwrapped(left)
 
 
 def repeats(rows: DataFrame) -> bool:

@@ -432,3 +432,23 @@ def test_keys_of_lines_are_written_once(spark, monkeypatch):
     assert lines._members(docs, 80).count()
     kept = [df for df in made if "keys" in df.columns or "key" in df.columns and "node" in df.columns]
     assert sum(df.count() for df in kept) == lines.band_keys(lines._lines(docs)).count()
+
+
+def test_one_each_names_what_goes(spark, monkeypatch):
+    draw, asked, small = random.Random(8), [], jaccard.small
+    texts = [" ".join(draw.choices("abcdefghij", k=30)) for _ in range(40)]
+    docs = [*enumerate(texts), (50, texts[0]), (51, texts[1]), (3, texts[2]), (4, texts[4]), (None, texts[5]), (None, texts[5]), (60, None)]
+    monkeypatch.setattr(jaccard, "small", lambda df, n, *most: asked.append(n) or small(df, n, *most))
+    found = jaccard.one_each(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80)
+    # 3 stays by its first text, so both of its rows do; 4 repeats its text; rows without an id all stay
+    want = [*enumerate(texts), (3, texts[2]), (None, texts[5]), (None, texts[5]), (60, None)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    assert asked[-1] == 2
+
+
+def test_what_no_pair_needs_is_not_shuffled(spark, monkeypatch):
+    table = spark.range(1000).select(F.col("id").alias("node"), F.lit("x").alias("line"))
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 5000)], "a long, b long")
+    assert sorted(r.node for r in components.asked_for(table, pairs).collect()) == [1, 2, 3]
+    monkeypatch.setattr(components, "BROADCAST_KEYS", 3)
+    assert components.asked_for(table, pairs).count() == 1000
