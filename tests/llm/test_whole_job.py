@@ -452,3 +452,19 @@ def test_what_no_pair_needs_is_not_shuffled(spark, monkeypatch):
     assert sorted(r.node for r in components.asked_for(table, pairs).collect()) == [1, 2, 3]
     monkeypatch.setattr(components, "BROADCAST_KEYS", 3)
     assert components.asked_for(table, pairs).count() == 1000
+
+
+def test_candidates_lines_are_written_without_a_shuffle(spark, monkeypatch):
+    draw, plans, write = random.Random(7), [], lines.written
+    line = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=120))
+    docs = [(i, f"{line}{i % 3}\n{line}") for i in range(20)]
+
+    def seen(df):
+        if df.columns == ["node", "line"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(lines, "written", seen)
+    got = {r.dd_id: r.removed for r in lines.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: [1]} | {i: [0, 1] for i in range(1, 20)}
+    assert len(plans) == 1 and "Exchange hashpartitioning" not in plans[0]
